@@ -8,8 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import bpe, decontaminate, exact_dedup
-from onomast.llm.common import read
+from onomast.llm import bpe, decontaminate, exact_dedup, token_store
+from onomast.llm.common import read, scratch_dir
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.TokenStore(spark, scratch_dir(spark, "tokens"))
+    store.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return store.documents()
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +41,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_store": op1_token_store,
         "op6_decontaminate": op6_decontaminate,
         "op9_bpe": op9_bpe,
         "op10_exact_dedup": op10_exact_dedup,
