@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import bpe, decontaminate, exact_dedup, token_store
+from onomast.llm import bpe, decontaminate, exact_dedup, secrets, token_store
 from onomast.llm.common import read, scratch_dir
 
 
@@ -18,6 +18,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.documents()
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_entropy")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
@@ -42,6 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
+        "op4_secrets": op4_secrets,
         "op6_decontaminate": op6_decontaminate,
         "op9_bpe": op9_bpe,
         "op10_exact_dedup": op10_exact_dedup,
