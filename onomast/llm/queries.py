@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import bpe, decontaminate, exact_dedup, secrets, token_store
-from onomast.llm.common import read, scratch_dir
+from onomast.llm import bpe, decontaminate, exact_dedup, language_id, pii, secrets, token_store
+from onomast.llm.common import read, remainder, scratch_dir
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.documents()
 
 
+def language_model(docs: DataFrame) -> language_id.Model:
+    """Learned from the documents whose id's remainder is not 1 (null ids teach nothing)."""
+    return language_id.train(docs.where(remainder("doc_id", 3) != 1))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")
+    return language_id.predict(rows, language_model(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_entropy")
@@ -36,6 +47,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_context")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,8 +63,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
+        "op3_language_id": op3_language_id,
         "op4_secrets": op4_secrets,
         "op6_decontaminate": op6_decontaminate,
+        "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
         "op10_exact_dedup": op10_exact_dedup,
     }
