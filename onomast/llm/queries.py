@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import bpe, decontaminate, exact_dedup, language_id, pii, secrets, token_store
+from onomast.llm import bpe, decontaminate, exact_dedup, language_id, pii, secrets, token_store, toxicity
 from onomast.llm.common import read, remainder, scratch_dir
 
 
@@ -34,6 +34,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_entropy")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder("doc_id", 4) != 2)
+    model = toxicity.train(docs, labels)
+    rows = docs.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
+    return toxicity.predict(rows, model).select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
@@ -65,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_store": op1_token_store,
         "op3_language_id": op3_language_id,
         "op4_secrets": op4_secrets,
+        "op5_toxicity": op5_toxicity,
         "op6_decontaminate": op6_decontaminate,
         "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
