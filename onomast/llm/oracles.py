@@ -12,4 +12,24 @@ r AS (
 SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM r
 """
 
-SQL = {"op10_exact_dedup": OP10}
+OP2 = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+  HAVING 10 * count(*) >= 8 * (na.n + nb.n - count(*))),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON p.x = r.y),
+least AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x),
+links AS (SELECT x, count(*) AS n_links FROM pairs GROUP BY x)
+SELECT d.doc_id, c.class_id, coalesce(l.n_links, 0) AS n_links, coalesce(n.n, 0) AS n_shingles
+FROM documents d JOIN least c ON c.x = d.doc_id LEFT JOIN links l ON l.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+SQL = {"op2_ngram_join": OP2, "op10_exact_dedup": OP10}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import bpe, decontaminate, exact_dedup, language_id, pii, secrets, token_store, toxicity
+from onomast.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join, pii, secrets, token_store, toxicity
 from onomast.llm.common import read, remainder, scratch_dir
 
 
@@ -18,6 +18,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.documents()
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links", F.col("n").cast("bigint").alias("n_shingles"))
+
+
 def language_model(docs: DataFrame) -> language_id.Model:
     """Learned from the documents whose id's remainder is not 1 (null ids teach nothing)."""
     return language_id.train(docs.where(remainder("doc_id", 3) != 1))
@@ -71,6 +75,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
+        "op2_ngram_join": op2_ngram_join,
         "op3_language_id": op3_language_id,
         "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
