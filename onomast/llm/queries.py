@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join, pii, secrets, token_store, toxicity
+from onomast.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join, pii, quality, secrets, token_store, toxicity
 from onomast.llm.common import read, remainder, scratch_dir
 
 
@@ -59,6 +59,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.predict(docs, *quality.train(docs)).select("doc_id", "weak_label", "score", "keep")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_context")
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
         "op6_decontaminate": op6_decontaminate,
+        "op7_quality": op7_quality,
         "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
         "op10_exact_dedup": op10_exact_dedup,
