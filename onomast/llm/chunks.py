@@ -2,35 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
 class ChunkTable:
-    """Maps pieces of text to rows of an array, made once a distinct piece; bounded, and cleared when full."""
+    """Maps pieces of text to rows of an array, made once a distinct piece; bounded, and cleared when full.
+
+    `make` gives the rows of a list of new pieces. A table that hangs on a broadcast model serves all tasks of a worker.
+    """
 
-    def __init__(self, make, width: int, limit: int = 250_000):
+    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 500_000):
         self.make, self.limit = make, limit
         self.index: dict[str, int] = {}
-        self.rows = np.zeros((1024, width), np.float32)
+        self.rows: np.ndarray | None = None
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The pieces' rows in self.rows, which may be another array afterwards."""
         if len(self.index) > self.limit:
             self.index.clear()
-        get = self.index.get
-        out = [get(c, -1) for c in chunks]
-        if -1 in out:
-            index, make = self.index, self.make
-            for k, n in enumerate(out):
-                if n < 0:
-                    c = chunks[k]
-                    n = index.get(c)
-                    if n is None:
-                        n = len(index)
-                        if n >= len(self.rows):
-                            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                        self.rows[n] = make(c)
-                        index[c] = n
-                    out[k] = n
+        index = self.index
+        out = list(map(index.get, chunks))
+        if None in out:
+            new = list({c for c, n in zip(chunks, out, strict=True) if n is None})
+            start, made = len(index), self.make(new)
+            if self.rows is None or start + len(new) > len(self.rows):
+                grown = np.zeros((2 * (start + len(new)), made.shape[1]), np.float32)
+                if start:
+                    grown[:start] = self.rows[:start]
+                self.rows = grown
+            self.rows[start : start + len(new)] = made
+            index.update(zip(new, range(start, start + len(new)), strict=True))
+            out = [index[c] if n is None else n for c, n in zip(chunks, out, strict=True)]
+        elif self.rows is None:
+            self.rows = self.make([])
         return np.array(out, np.int64)
 
 

@@ -40,7 +40,13 @@ CLIP = 7.0
 
 
 def words_of(chunk: str) -> list[str]:
-    return [w for w in RUN.findall(chunk.lower()) if any(map(str.isalpha, w))]
+    """Runs of letters and numerals with a letter in them, lower case."""
+    chunk = chunk.lower()
+    if chunk.isalpha():
+        return [chunk]
+    if chunk[:-1].isalpha() and not chunk[-1].isalnum():
+        return [chunk[:-1]]
+    return [w for w in RUN.findall(chunk) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def grams_of(word: str, order: int) -> list[str]:
@@ -131,30 +137,41 @@ class Model:
     langs: list[str]
     words: tuple[dict[str, int], np.ndarray]
     grams: tuple[dict[str, int], np.ndarray]
-
-    def vector(self, word: str) -> np.ndarray:
-        at, rows = self.words
-        if (k := at.get(word)) is not None:
-            return rows[k]
-        at, rows = self.grams
+    stacked: np.ndarray | None = None
+    kept: ChunkTable | None = None
+
+    def places(self, word: str) -> list[int]:
+        """The word's row, or those of its longest known n-grams; n-grams' rows stand after the words'."""
+        if (k := self.words[0].get(word)) is not None:
+            return [k]
+        get, base = self.grams[0].get, len(self.words[0])
         for order in ORDERS:
-            known = [k for g in grams_of(word, order) if (k := at.get(g)) is not None]
+            known = [base + k for g in grams_of(word, order) if (k := get(g)) is not None]
             if known:
-                return _relative(rows[known].mean(axis=0) * min(len(known), 2))
-        return np.zeros(len(self.langs), np.float32)
-
-    def chunk(self, chunk: str) -> np.ndarray:
-        """The summed vectors of a piece's words, then whether it has a letter."""
-        out = np.zeros(len(self.langs) + 1, np.float32)
-        for w in words_of(chunk):
-            out[:-1] += self.vector(w)
-            out[-1] = 1
-        return out
-
-
-def _relative(v: np.ndarray) -> np.ndarray:
-    """Log scores less the best one, not below -CLIP."""
-    return np.maximum(v - v.max(), -CLIP).astype(np.float32)
+                return known
+        return []
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """Relative log scores; n-grams count as their mean, twice where there are two or more."""
+        if self.stacked is None:
+            self.stacked = np.concatenate([self.words[1], self.grams[1]])
+        found = [self.places(w) for w in words]
+        sizes = np.array([len(f) for f in found], np.int64)
+        total = sums(self.stacked[np.array([k for f in found for k in f], np.int64)], sizes)
+        total *= (np.minimum(sizes, 2) / np.maximum(sizes, 1))[:, None]
+        return np.maximum(total - total.max(axis=1, keepdims=True), -CLIP) if total.size else total
+
+    def chunks(self, chunks: list[str]) -> np.ndarray:
+        """The summed vectors of each piece's words, then whether it has a letter."""
+        found = [words_of(c) for c in chunks]
+        sizes = np.array([len(f) for f in found], np.int64)
+        scores = sums(self.vectors([w for f in found for w in f]), sizes)
+        return np.concatenate([scores.reshape(len(chunks), -1), (sizes > 0)[:, None]], axis=1)
+
+    def table(self) -> ChunkTable:
+        if self.kept is None:
+            self.kept = ChunkTable(self.chunks)
+        return self.kept
 
 
 def _vectors(found: pa.Table, totals: dict, langs: list[str], group) -> tuple[dict[str, int], np.ndarray]:
@@ -192,7 +209,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        table = ChunkTable(own.chunk, len(own.langs) + 1)
+        table = own.table()
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
                 chunks: list[str] = []

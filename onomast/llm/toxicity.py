@@ -117,6 +117,19 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Model:
     weights: np.ndarray
     bias: float
+    kept: ChunkTable | None = None
+
+    def pieces(self, found: list[str]) -> np.ndarray:
+        """Of each piece its words' weights, how many features they have, and whether it ends a sentence."""
+        made = [[f for w in set(words(p)) for f in features(w)] for p in found]
+        sizes = np.array([len(m) for m in made], np.int64)
+        total = sums(self.weights[np.array([f for m in made for f in m], np.int64)], sizes)
+        return np.stack([total, sizes, np.array([ends(p) for p in found], bool)], axis=1)
+
+    def table(self) -> ChunkTable:
+        if self.kept is None:
+            self.kept = ChunkTable(self.pieces)
+        return self.kept
 
     def scores(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -214,11 +227,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
 
-        def made(piece: str) -> list[float]:
-            found = [f for w in set(words(piece)) for f in features(w)]
-            return [float(own.weights[found].sum()) if found else 0.0, len(found), ends(piece)]
-
-        table = ChunkTable(made, 3)
+        table = own.table()
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
                 split = [pieces(t or "") for t in part.column(part.schema.get_field_index(text)).to_pylist()]

@@ -35,9 +35,9 @@ def test_held_out_accuracy_and_undetermined(spark):
 def test_unseen_words_back_off_to_characters(spark):
     model = li.train(spark.createDataFrame(texts(300, 3), SCHEMA))
     assert "wasserhaus" not in model.words[0]
-    assert model.langs[int(model.vector("wasserhaus").argmax())] == "de"
-    assert model.langs[int(model.vector("rivièrex").argmax())] == "fr"
-    assert model.vector("щ").tolist() == [0, 0, 0]
+    assert model.langs[int(model.vectors(["wasserhaus"]).argmax())] == "de"
+    assert model.langs[int(model.vectors(["x", "rivièrex"])[1].argmax())] == "fr"
+    assert model.vectors(["щ"]).tolist() == [[0, 0, 0]]
 
 
 def test_counts_and_bounds(spark):
@@ -54,3 +54,8 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "some text", "en", "")], SCHEMA)
     assert [(r["lang_pred"], r["score"]) for r in li.predict(df, model).collect()] == [("und", 0.0)]
     assert li.predict(df.limit(0), model).count() == 0
+
+
+def test_words_of_pieces():
+    for chunk in ["abc", "Abc,", "abc1", "ab²", "²", "l'eau", "a_b", "e\u0301", "", "1.", "x!!", "été.", "abc_"]:
+        assert li.words_of(chunk) == [w for w in li.RUN.findall(chunk.lower()) if any(map(str.isalpha, w))]
