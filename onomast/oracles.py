@@ -52,7 +52,7 @@ def _all(words: list[str]) -> str:
 
 
 def _done(sql: str) -> str:
-    return f"{CORPUS} SELECT p_partkey, round(s, 6) AS score FROM ({sql})"
+    return f"{CORPUS} SELECT p_partkey, round(s::DOUBLE, 6) AS score FROM ({sql})"
 
 
 def _plain(word: str, at: int | None, code: str | None, syn: bool = True, initial: bool = True, gender: str | None = None, exact: str | None = None, fuzzy: str | None = None, null: bool = True, table: str = "an") -> list[str]:
@@ -105,7 +105,7 @@ WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 NORMS = ", ".join(f"({a}, {z}, {v})" for a, z, v in norm_ranges(1 << 24))
 NORMED = f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 norms(lo, hi, norm) AS (VALUES {NORMS}),
-n AS (SELECT doc_id, ws, len(ws) AS n_words, coalesce(norm, 0.0) AS norm FROM w LEFT JOIN norms ON len(ws) BETWEEN lo AND hi)"""
+n AS (SELECT doc_id, ws, len(ws) AS n_words, coalesce(norm, 0.0)::DOUBLE AS norm FROM w LEFT JOIN norms ON len(ws) BETWEEN lo AND hi)"""
 TFIDF = f"""{NORMED},
 d AS (SELECT count(*) AS n, sum(list_contains(ws, 'the')::INT) AS a, sum(list_contains(ws, 'stupid')::INT) AS b FROM n),
 i AS (SELECT ln(n / (a + 1.0)) + 1 AS ia, ln(n / (b + 1.0)) + 1 AS ib FROM d),
@@ -138,7 +138,7 @@ def _bulk() -> str:
         return f"SELECT q, p_partkey, max(s) AS s FROM ({' UNION ALL '.join(parts_)}) GROUP BY q, p_partkey"
 
     return f"""{CORPUS}, names AS (SELECT DISTINCT p_name AS q FROM part ORDER BY 1 LIMIT 64)
-SELECT q AS query_id, p_partkey, round(sum(s), 6) AS score FROM ({word(first, 0)} UNION ALL {word(second, 1)}) GROUP BY q, p_partkey HAVING count(*) = 2"""
+SELECT q AS query_id, p_partkey, round(sum(s)::DOUBLE, 6) AS score FROM ({word(first, 0)} UNION ALL {word(second, 1)}) GROUP BY q, p_partkey HAVING count(*) = 2"""
 
 
 def oracle_sql() -> dict[str, str]:
