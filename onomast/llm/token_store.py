@@ -24,21 +24,26 @@ first. Repeated rows are documents of their own. Other columns are not stored. A
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from onomast.llm.common import ChunkCache, removed, row_slices, texts_of
 
 #: Ids under the rolling hash, and shortest, mean and longest chunk (the hash cuts with chance 1 / MEAN).
 SPAN, SHORTEST, MEAN, LONGEST = 32, 64, 512, 4096
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Rows of a recipe file, about.
 FILE_DOCS = 50_000
 
@@ -46,46 +51,120 @@ FILE_DOCS = 50_000
 # --- encoding -----------------------------------------------------------------------------------------------
 
 
+#: White space of the splitting rule (Unicode White_Space).
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The fixed rule by which byte-level files split text before their merges.
+RULE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+
+
 class Encoder:
-    """The tokenizers library over pieces of text that can't share a token.
+    """The tokenizers library over words, each given to it once and remembered within bounds.
 
-    A byte-level file starts a new piece at every space before a non-space, so each such piece is given
-    to the library once and remembered within bounds. Texts with other runs of white space, or with the string of a
-    special token, go to the library whole.
+    The rule of a byte-level file starts a new word at every space before a non-space, and no token crosses a word's
+    end. So a text is cut at its spaces, new pieces are split into words by the rule, and the new words of a batch go to the
+    library together. The ids of a word are told apart by their lengths in bytes. Texts with other
+    runs of white space, or with the string of a special token, go to the library whole.
     """
 
     def __init__(self, path: str, dtype: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
-        from tokenizers import Tokenizer
-
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
         pre = str(self.library.pre_tokenizer)
-        self.by_piece = self.library.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
+        self.by_word = self.library.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
+        self.rule = regex.compile(RULE)
         self.runs = re.compile(r"\s \s|\s \Z")
+        self.before_runs = [f"{chr(c)} " for c in range(0x3001) if chr(c).isspace()]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.first = ChunkCache(self._ids, 20_000)
-        self.later = ChunkCache(lambda p: self._ids(" " + p))
-
-    def _ids(self, text: str) -> bytes:
+        # every character of a byte-level vocabulary string stands for a byte
+        self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, k in self.library.get_vocab().items():
+            self.sizes[k] = len(token)
+        #: Ids of the space and the piece after it, by piece; ids of words that have no space before them.
+        self.pieces = ChunkCache(None, 250_000)
+        self.words = ChunkCache(None, 50_000)
+
+    def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.by_piece or self.runs.search(text) or any(s in text for s in self.special):
-            return self._ids(text)
-        head, *rest = text.split(" ")
-        later = self.later
-        return self.first[head] + b"".join([later[p] for p in rest])
-
-    def trim(self) -> None:
-        self.first.trim()
-        self.later.trim()
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, by one call of the library."""
+        if not words:
+            return []
+        ids = np.array(self.library.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+        sizes = [len(w) if w.isascii() else len(w.encode()) for w in words]
+        at = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes)) + 1
+        raw, ends = ids.tobytes(), (at * self.dtype.itemsize).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _odd(self, text: str) -> bool:
+        """Whether a text isn't to be cut at its spaces; most have no space after white space, which is found fast."""
+        return any(s in text for s in self.special) or (any(s in text for s in self.before_runs) and bool(self.runs.search(text)))
+
+    def _split(self, piece: str) -> list[str]:
+        """The words of a space and a piece that isn't of letters alone."""
+        if piece[-1:] in ".,!?;:" and piece[:-1].isalpha():
+            return [f" {piece[:-1]}", piece[-1]]
+        return self.rule.findall(f" {piece}")
+
+    def _learn(self, missing: set[str], heads: list[list[str]]) -> None:
+        """Afterwards the missing pieces and the heads' words are known."""
+        pieces, words, old = self.pieces, self.words, self.pieces.old.get
+        made: dict[str, list[str]] = {}
+        order: list[str] = []
+        for p in missing:
+            if (ids := old(p)) is not None:
+                pieces[p] = ids
+            elif p.isalpha():
+                order.append(p)
+            else:
+                made[p] = self._split(p)
+        new_pieces: set[str] = set()
+        new_words: set[str] = set()
+        for group in (made.values(), heads):
+            for found in group:
+                for w in found:
+                    if len(w) > 1 and w[0] == " ":
+                        if (p := w[1:]) not in pieces and p not in missing and not pieces.recall(p):
+                            new_pieces.add(p)
+                    elif w not in words and not words.recall(w):
+                        new_words.add(w)
+        # a piece that is one word, though not of letters alone, is its own word
+        order += new_pieces
+        order += [p for p, found in made.items() if len(found) == 1 and p]
+        rest = list(new_words)
+        ids = self._encoded([f" {p}" for p in order] + rest)
+        pieces.update(zip(order, ids, strict=False))
+        words.update(zip(rest, ids[len(order) :], strict=True))
+        for p, found in made.items():
+            if len(found) != 1 or not p:
+                pieces[p] = self._joined(found)
+
+    def _joined(self, found: list[str]) -> bytes:
+        return b"".join([self.pieces[w[1:]] if len(w) > 1 and w[0] == " " else self.words[w] for w in found])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") if self.by_word and not self._odd(t) else None for t in texts]
+        heads = [self.rule.findall(parts[0]) if parts else [] for parts in split]
+        get, known = self.pieces.get, []
+        missing: set[str] = set()
+        for parts in split:
+            ids = list(map(get, parts[1:])) if parts else []
+            if None in ids:
+                missing.update([p for p, v in zip(parts[1:], ids, strict=True) if v is None])
+            known.append(ids)
+        self._learn(missing, heads)
+        pieces, out = self.pieces, []
+        for t, parts, head, ids in zip(texts, split, heads, known, strict=True):
+            if parts is None:
+                out.append(self.whole(t) if t else b"")
+                continue
+            if None in ids:
+                ids = [pieces[p] if v is None else v for p, v in zip(parts[1:], ids, strict=True)]
+            out.append(self._joined(head) + b"".join(ids))
+        pieces.trim()
+        self.words.trim()
+        return out
 
 
 @cache
@@ -181,30 +260,34 @@ def crc_joined(parts: list[tuple[int, int]]) -> int:
     """The CRC-32 of a concatenation, from (CRC-32, bytes) of its parts."""
     crc = 0
     for part, n in parts:
-        crc = _times(_shift(n), crc) ^ part if n else crc
+        crc = (_times(_shift(n), crc) if crc else 0) ^ part if n else crc
     return crc
 
 
 # --- the store ----------------------------------------------------------------------------------------------
 
 
+def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+
+
 def _staged(docs: DataFrame, path: str, dtype: str, end_id: int, doc_id: str, text: str) -> DataFrame:
     """A row a document: its recipe, and those of its chunks that its task has not given yet."""
     chunk = T.StructType([T.StructField("address", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType())])
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType()), T.StructField("addresses", T.ArrayType(T.BinaryType())), T.StructField("chunks", T.ArrayType(chunk))])
-    kind = pa.list_(pa.struct([("address", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, given = encoder(path, dtype), set()
         end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
-                streams = [own.encode(t) + end for t in texts_of(part, text)]
-                own.trim()
+                streams = [ids + end for ids in own.encode_all(texts_of(part, text))]
                 counts = [len(s) // width for s in streams]
-                stream = b"".join(streams)
-                ends = np.cumsum(counts)
-                roots, recipes, chunks, recipe, new, last, k = [], [], [], [], [], 0, 0
+                stream, ends = b"".join(streams), np.cumsum(counts)
+                del streams
+                roots, sizes, addresses, fresh = [], [], [], []
+                news, sums_, payloads = [], [], []
+                recipe, new, last, k = [], 0, 0, 0
                 stops = ends.tolist()
                 for cut in cuts(np.frombuffer(stream, dtype), ends):
                     ids = stream[last * width : cut * width]
@@ -212,14 +295,19 @@ def _staged(docs: DataFrame, path: str, dtype: str, end_id: int, doc_id: str, te
                     recipe.append(address)
                     if address not in given:
                         given.add(address)
-                        new.append({"address": address, "n": cut - last, "ids": ids})
+                        new += 1
+                        fresh.append(address)
+                        sums_.append(cut - last)
+                        payloads.append(ids)
                     last = cut
                     if cut == stops[k]:
                         roots.append(merkle(recipe))
-                        recipes.append(recipe)
-                        chunks.append(new)
-                        recipe, new, k = [], [], k + 1
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(doc_id)), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), pa.array(recipes, pa.list_(pa.binary())), pa.array(chunks, kind)], schema.names)
+                        sizes.append(len(recipe))
+                        news.append(new)
+                        addresses += recipe
+                        recipe, new, k = [], 0, k + 1
+                made = pa.StructArray.from_arrays([pa.array(fresh, pa.binary()), pa.array(sums_, pa.int32()), pa.array(payloads, pa.binary())], ["address", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(doc_id)), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), _lists(sizes, pa.array(addresses, pa.binary())), _lists(news, made)], schema.names)
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
@@ -238,7 +326,8 @@ class TokenStore:
         _staged(docs, tokenizer, dtype, end_id, doc_id, text).write.option("compression", "zstd").parquet(staging)
         staged = self.spark.read.parquet(staging)
         fresh = staged.select(F.explode("chunks").alias("c")).select("c.*")
-        fresh.groupBy("address").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{self.path}/chunks")
+        # each task gives an address once, so rows are dealt out before they are grouped
+        fresh.repartition("address").groupBy("address").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{self.path}/chunks")
         rows = staged.select("doc_id", "n_tokens", "root", "addresses")
         files = max(1, -(-rows.count() // FILE_DOCS))
         ordered = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "n_tokens", "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "root")
@@ -319,11 +408,16 @@ class TokenStore:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                crcs = []
-                for start, n, root, found in zip(*(b.column(c).to_pylist() for c in ("start", "n_tokens", "root", "found")), strict=True):
-                    if merkle([x["address"] for x in found]) != root or sum(x["n"] for x in found) != n:
+                found = b.column("found")
+                flat = found.flatten()
+                addresses, parts, sizes = (flat.field(c).to_pylist() for c in ("address", "crc", "n"))
+                crcs, at = [], 0
+                for start, n, root, k in zip(b.column("start").to_pylist(), b.column("n_tokens").to_pylist(), b.column("root").to_pylist(), pc.list_value_length(found).to_pylist(), strict=True):
+                    own = slice(at, at + k)
+                    if merkle(addresses[own]) != root or sum(sizes[own]) != n:
                         raise ValueError(f"the document at {start} can't be rebuilt")
-                    crcs.append(crc_joined([(x["crc"], 4 * x["n"]) for x in found]))
+                    crcs.append(crc_joined([(c, 4 * m) for c, m in zip(parts[own], sizes[own], strict=True)]))
+                    at += k
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64()), b.column("parts")], schema.names)
 
         return joined.mapInArrow(run, schema)
