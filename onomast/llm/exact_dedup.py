@@ -3,7 +3,7 @@
 Texts are equal when identical after every character of [\\x20\\x09-\\x0D] is deleted. A slim table holds
 id, lengths and prefix hash of each row. Rows alone in their length, then rows alone in their prefix hash,
 leave; only the survivors' full texts are read and hashed. Every count is pre-aggregated before its
-shuffle, and rows meet their group's count in a sort-merge join that adaptive execution can split, so a
+shuffle, lengths are refined on the counts, and rows meet their group in a join that adaptive execution can split, so a
 group with a third of all rows stays even. No text is shuffled to find the copies.
 
 Defined results: null counts as empty, and empty texts are copies of one another. Of equal texts the row
@@ -34,10 +34,15 @@ def slim_rows(docs: DataFrame, doc_id: str, text: str, prefix: int = PREFIX) ->
     return rows.select("id", "n", F.char_length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix)).alias("prefix"))
 
 
-def _shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows that share the keys with another row."""
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    return rows.join(groups, [*keys], "left_semi")
+def _survivors(slim: DataFrame) -> DataFrame:
+    """The ids of rows that share length and prefix hash with another row.
+
+    Rows are first counted by both, map side and then by Spark, so that lengths are refined on the counts.
+    """
+    groups = slim.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("rows"))
+    lengths = groups.groupBy("len").agg(F.sum("rows").alias("all")).where("all > 1")
+    by_prefix = groups.join(lengths, "len", "left_semi").where("rows > 1").select("len", "prefix")
+    return slim.join(by_prefix, ["len", "prefix"], "left_semi").select("id").distinct()
 
 
 def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
@@ -47,7 +52,7 @@ def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pre
     keep_id, keep_n, group_size.
     """
     slim = written(slim_rows(docs, doc_id, text, prefix), "dedup_slim")
-    survivors = written(_shared(_shared(slim, "len"), "len", "prefix").select("id").distinct(), "dedup_survivors")
+    survivors = written(_survivors(slim), "dedup_survivors")
     # null ids take part under a key of their own, since a join drops null keys
     some = survivors.count()
     ids = survivors.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"))
