@@ -13,7 +13,7 @@ class ChunkTable:
     `make` gives the rows of a list of new pieces. A table that hangs on a broadcast model serves all tasks of a worker.
     """
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 500_000):
+    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 200_000):
         self.make, self.limit = make, limit
         self.index: dict[str, int] = {}
         self.rows: np.ndarray | None = None

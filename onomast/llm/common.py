@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +62,14 @@ def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
 
 
+def release() -> None:
+    """Gives freed memory back at a task's end, since a worker process lives on for the tasks of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class ChunkCache(dict):
     """Maps the pieces between spaces to what an operator made of them.
 
@@ -68,7 +78,7 @@ class ChunkCache(dict):
     cache holds never changes a result.
     """
 
-    def __init__(self, make, limit: int = 150_000):
+    def __init__(self, make, limit: int = 80_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -80,11 +90,20 @@ class ChunkCache(dict):
             self[chunk] = value
         return value
 
+    def recall(self, chunk) -> bool:
+        """Moves a piece that the old generation holds to the young one."""
+        value = self.old.get(chunk)
+        if value is not None:
+            self[chunk] = value
+        return value is not None
+
     def trim(self) -> None:
-        """To be called between batches."""
+        """To be called between batches. Long pieces are kept for their batch only."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
+            for k in [k for k in self.old if len(k) > 64]:
+                del self.old[k]
 
 
 def remainder(doc_id: str, modulus: int) -> Column:

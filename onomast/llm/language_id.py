@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onomast.llm.chunks import ChunkTable, sums
-from onomast.llm.common import row_slices, written
+from onomast.llm.common import release, row_slices, written
 
 WORDS, GRAMS, ORDERS = 30_000, 20_000, (4, 3, 2, 1)
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Counted pieces that a task holds before it hands them on.
-HELD = 200_000
+HELD = 80_000
 RUN = re.compile(r"[^\W\d_]+")
 #: Most that one word can say for one language against another.
 CLIP = 7.0
@@ -77,11 +77,13 @@ def count_words(rows: DataFrame, text: str, lang: str) -> DataFrame:
             yield from _counted(words)
 
         for batch in batches:
-            for name, t in zip(batch.column(lang).to_pylist(), batch.column(text).to_pylist(), strict=True):
-                held.setdefault(name, Counter()).update((t or "").split())
-                if sum(map(len, held.values())) > HELD:
-                    yield from given()
+            for part in row_slices(batch, text, BATCH_BYTES):
+                for name, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    held.setdefault(name, Counter()).update((t or "").split())
+                    if sum(map(len, held.values())) > HELD:
+                        yield from given()
         yield from given()
+        release()
 
     counts = rows.select(lang, text).mapInArrow(run, "lang string, item string, n long")
     return counts.groupBy("lang", "item").agg(F.sum("n").alias("n"))
@@ -97,10 +99,12 @@ def count_grams(words: DataFrame) -> DataFrame:
                 for order in ORDERS:
                     for g in grams_of(word, order):
                         counts[name, g] += n
-            if len(counts) > HELD:
-                yield from _counted(counts)
-                counts.clear()
+                if len(counts) > HELD:
+                    yield from _counted(counts)
+                    counts.clear()
         yield from _counted(counts)
+        counts.clear()
+        release()
 
     return words.mapInArrow(run, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
 

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from onomast.llm.common import BROADCAST_ROWS, ChunkCache, row_slices, written
+from onomast.llm.common import BROADCAST_ROWS, ChunkCache, release, row_slices, written
 from onomast.llm.components import connected
 from onomast.llm.decontaminate import WORD_BYTES
 
 SHINGLE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Members and shingles of a block, about.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
 
@@ -121,13 +121,15 @@ def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -
     schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("print", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkCache(word_hash, 300_000)
+        known = ChunkCache(word_hash, 80_000)
         for batch in batches:
             for part in row_slices(batch, "t", BATCH_BYTES):
                 sets = shingles([t or "" for t in _field(part, "t").to_pylist()], known)
                 full = [s for s in sets if len(s)]
                 made = iter(_signatures(full, bands, rows).astype(np.int64).tolist() if full else [])
                 yield pa.RecordBatch.from_arrays([_field(part, "id"), _field(part, "h"), pa.array([len(s) for s in sets], pa.int32()), pa.array(_prints(sets), pa.binary()), pa.array([next(made) if len(s) else [] for s in sets], pa.list_(pa.int64()))], schema.names)
+        del known
+        release()
 
     return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).mapInArrow(run, schema)
 
@@ -136,13 +138,15 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
     """print and shingles of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkCache(word_hash, 100_000)
+        known = ChunkCache(word_hash, 80_000)
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
                 sets = shingles([t or "" for t in _field(part, text).to_pylist()], known)
                 ends = np.cumsum([0] + [len(s) for s in sets])
                 flat = np.concatenate(sets).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(_prints(sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["print", "shingles"])
+        del known
+        release()
 
     return docs.select(text).mapInArrow(run, "print binary, shingles array<long>")
 
@@ -212,6 +216,8 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
                     key, rows = now, []
                 rows.append((*plain[k], lists[k].values.to_numpy(zero_copy_only=False)))
         yield from given()
+        rows.clear()
+        release()
 
     dealt = members.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
     return dealt.mapInArrow(run, "node long, other long, links long")
