@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onomast.llm.chunks import ChunkTable, sums
-from onomast.llm.common import row_slices, written
+from onomast.llm.common import ChunkCache, row_slices, written
 
 BITS, SAMPLE = 16, 16_000
 BATCH_BYTES = 4 << 20
@@ -223,16 +223,19 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
         rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int(sample / total * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ChunkCache(piece_features)
         for batch in batches:
             for part in row_slices(batch, "t", BATCH_BYTES):
+                known.trim()
                 out: list[list] = [[], [], []]
                 for t in part.column(0).to_pylist():
                     m = measures(t or "")
-                    for x, v in zip(out, (pattern(votes(m)), text_features(m), [f for p in (t or "").split() for f in piece_features(p)]), strict=True):
+                    for x, v in zip(out, (pattern(votes(m)), text_features(m), [f for p in (t or "").split() for f in known[p]]), strict=True):
                         x.append(v)
                 yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(x, k) for x, k in zip(out, (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True))], ["h", "pattern", "measured", "words"])
 
-    made = rows.limit(sample + sample // 4).mapInArrow(run, "h long, pattern int, measured array<int>, words array<int>").toArrow().combine_chunks().sort_by("h")
+    # the hash bounds the rows, and every task of the scan makes its own share of the features
+    made = rows.mapInArrow(run, "h long, pattern int, measured array<int>, words array<int>").toArrow().combine_chunks().sort_by("h")
     flat = lambda c: pc.list_flatten(made.column(c)).combine_chunks().to_numpy()
     target = labels.posterior(made.column("pattern").to_pylist())
     counts_ = pc.list_value_length(made.column("words")).to_numpy()
