@@ -6,37 +6,46 @@ from collections.abc import Callable
 
 import numpy as np
 
+from onomast.llm.common import LONGEST_PIECE
+
 
 class ChunkTable:
-    """Maps pieces of text to rows of an array, made once a distinct piece; bounded, and cleared when full.
+    """Maps pieces of text to rows of an array, made once a distinct piece; bounded by bytes, and cleared when full.
 
-    `make` gives the rows of a list of new pieces. A table that hangs on a broadcast model serves all tasks of a worker.
+    `make` gives the rows of a list of new pieces. Pieces longer than LONGEST_PIECE are kept for their batch only.
     """
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 200_000):
-        self.make, self.limit = make, limit
+    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 24 << 20):
+        self.make, self.limit, self.spent, self.used = make, limit, 0, 0
         self.index: dict[str, int] = {}
         self.rows: np.ndarray | None = None
+        self.brief: list[str] = []
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The pieces' rows in self.rows, which may be another array afterwards."""
-        if len(self.index) > self.limit:
+        for c in self.brief:
+            self.index.pop(c, None)
+        self.brief.clear()
+        if self.spent > self.limit:
             self.index.clear()
+            self.rows, self.spent = None, 0
         index = self.index
         out = list(map(index.get, chunks))
+        if self.rows is None:
+            self.rows, self.used = self.make([]), 0
         if None in out:
             new = list({c for c, n in zip(chunks, out, strict=True) if n is None})
-            start, made = len(index), self.make(new)
-            if self.rows is None or start + len(new) > len(self.rows):
+            start, made = self.used, self.make(new)
+            if start + len(new) > len(self.rows):
                 grown = np.zeros((2 * (start + len(new)), made.shape[1]), np.float32)
-                if start:
-                    grown[:start] = self.rows[:start]
+                grown[:start] = self.rows[:start]
                 self.rows = grown
             self.rows[start : start + len(new)] = made
+            self.used += len(new)
+            self.spent += len(new) * (140 + 8 * made.shape[1]) + sum([len(c) for c in new if len(c) <= LONGEST_PIECE])
+            self.brief += [c for c in new if len(c) > LONGEST_PIECE]
             index.update(zip(new, range(start, start + len(new)), strict=True))
             out = [index[c] if n is None else n for c, n in zip(chunks, out, strict=True)]
-        elif self.rows is None:
-            self.rows = self.make([])
         return np.array(out, np.int64)
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,19 +16,21 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a two-column id table may be broadcast (16 bytes a row in a hashed relation).
 BROADCAST_ROWS = 500_000
+#: Bytes of a batch of rows on its way to Python.
+BATCH_BYTES = 2 << 20
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where that is unset (tests on one machine) a temporary folder is made and set.
+    Where that is unset a temporary folder is made and set, but only if every executor runs on the driver's machine (local master).
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        made = spark.sparkContext.getCheckpointDir()
-        base = made or f"file://{tempfile.mkdtemp(prefix='onomast-')}"
-        if not made:
-            spark.sparkContext.setCheckpointDir(base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='onomast-')}"
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/onomast-{uuid.uuid4().hex}/{name}"
 
 
@@ -44,6 +47,29 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on the session hands rows to Python in batches of at most about `most` bytes.
+
+    The default (10,000 rows, 64 MB) costs each task a multiple of that, on both sides, where texts are long.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with marks added until no column has them (in any case, as Spark compares names)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_slices(batch: pa.RecordBatch, text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that each piece holds about max_bytes of text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
@@ -70,40 +96,72 @@ def release() -> None:
         trim(0)
 
 
+#: What an operator keeps between the tasks of this worker process.
+_held: dict = {}
+
+
+def worker_state(key, make: Callable[[], object]):
+    """The state made for `key`, kept for the next tasks of the same operator; a worker holds one operator's state at a time."""
+    if key not in _held:
+        _held.clear()
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+#: Longer pieces are kept for their batch only.
+LONGEST_PIECE = 64
+
+
 class ChunkCache(dict):
     """Maps the pieces between spaces to what an operator made of them.
 
-    Text repeats its words, so most work is done once a word. Two generations bound the memory: a full
+    Text repeats its words, so most work is done once a word. Two generations bound the memory by bytes: a full
     young generation becomes the old one, and pieces met again move back to the young one. What the
     cache holds never changes a result.
     """
 
-    def __init__(self, make, limit: int = 80_000):
+    def __init__(self, make=None, limit: int = 12 << 20, size: Callable[[object], int] = lambda value: 64):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, chunk):
-        value = self.old.get(chunk)
+        self.make, self.limit, self.size = make, limit, size
+        self.old: dict = {}
+        self.spent, self.brief = 0, []
+
+    def keep(self, key, value) -> None:
+        if len(key) > LONGEST_PIECE:
+            self.brief.append(key)
+        else:
+            self.spent += 120 + len(key) + self.size(value)
+        self[key] = value
+
+    def __missing__(self, key):
+        value = self.old.get(key)
         if value is None:
-            value = self.make(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = value
+            value = self.make(key)
+        if len(key) <= LONGEST_PIECE:
+            self.keep(key, value)
         return value
 
-    def recall(self, chunk) -> bool:
-        """Moves a piece that the old generation holds to the young one."""
-        value = self.old.get(chunk)
-        if value is not None:
-            self[chunk] = value
-        return value is not None
+    def learn(self, keys: set, make_all: Callable[[list], list]) -> None:
+        """Afterwards all keys are known; the values of those that neither generation holds are made together."""
+        missing = keys.difference(self)
+        if not missing:
+            return
+        for key in missing.intersection(self.old):
+            self.keep(key, self.old[key])
+        fresh = list(missing.difference(self.old))
+        for key, value in zip(fresh, make_all(fresh), strict=True):
+            self.keep(key, value)
 
     def trim(self) -> None:
-        """To be called between batches. Long pieces are kept for their batch only."""
-        if len(self) > self.limit:
+        """To be called between batches."""
+        for key in self.brief:
+            self.pop(key, None)
+        self.brief.clear()
+        if self.spent > self.limit:
             self.old = dict(self)
             self.clear()
-            for k in [k for k in self.old if len(k) > 64]:
-                del self.old[k]
+            self.spent = 0
 
 
 def remainder(doc_id: str, modulus: int) -> Column:

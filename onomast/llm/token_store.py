@@ -13,8 +13,8 @@ Files, all below one folder:
   manifest/  file int, n_docs, n_tokens, start long, root binary; file -1 is the whole store
 A document's start is its file's start plus its file_start.
 
-Reading checks that every chunk hashes to its address and every recipe to its root. A checksum per document
-needs no reassembly: the CRC-32 of a concatenation follows from the CRC-32s and lengths of its parts, so
+Reading holds the recipe files against the manifest, every chunk against its address and every recipe against its root. A
+checksum per document needs no reassembly: the CRC-32 of a concatenation follows from the CRC-32s and lengths of its parts, so
 ids are read once a unique chunk however often it is used. read_ids() reassembles the ids themselves.
 
 Defined results: null texts count as empty; an empty text is a document of the end id alone. Null ids come
@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from onomast.llm.common import ChunkCache, removed, row_slices, texts_of
+from onomast.llm.common import BROADCAST_ROWS, ChunkCache, release, removed, row_slices, small_batches, texts_of, worker_state, written
 
 #: Ids under the rolling hash, and shortest, mean and longest chunk (the hash cuts with chance 1 / MEAN).
 SPAN, SHORTEST, MEAN, LONGEST = 32, 64, 512, 4096
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Rows of a recipe file, about.
 FILE_DOCS = 50_000
 
@@ -57,13 +57,18 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 RULE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
+#: The same rule for Python's own engine, which is faster, and the characters whose classes it sees otherwise.
+FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Blocks whose letters and marks are the same to all engines: Latin, Greek, Cyrillic, Thai, dashes and quotes, kana, common ideographs.
+PLAIN = re.compile("[\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\u036f\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u203e\u3040-\u3096\u30a1-\u30fa\u4e00-\u9fa5]*")
+
+
 class Encoder:
     """The tokenizers library over words, each given to it once and remembered within bounds.
 
-    The rule of a byte-level file starts a new word at every space before a non-space, and no token crosses a word's
-    end. So a text is cut at its spaces, new pieces are split into words by the rule, and the new words of a batch go to the
-    library together. The ids of a word are told apart by their lengths in bytes. Texts with other
-    runs of white space, or with the string of a special token, go to the library whole.
+    No token crosses the end of a word of the file's splitting rule, so texts are split by the rule and the new words of a batch
+    go to the library together. The ids of a word are told apart by their lengths in bytes. Texts with the string of a
+    special token go to the library whole.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -73,16 +78,12 @@ class Encoder:
         pre = str(self.library.pre_tokenizer)
         self.by_word = self.library.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
         self.rule = regex.compile(RULE)
-        self.runs = re.compile(r"\s \s|\s \Z")
-        self.before_runs = [f"{chr(c)} " for c in range(0x3001) if chr(c).isspace()]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # every character of a byte-level vocabulary string stands for a byte
         self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, k in self.library.get_vocab().items():
             self.sizes[k] = len(token)
-        #: Ids of the space and the piece after it, by piece; ids of words that have no space before them.
-        self.pieces = ChunkCache(None, 250_000)
-        self.words = ChunkCache(None, 50_000)
+        self.words = ChunkCache(None, 24 << 20, len)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -97,79 +98,20 @@ class Encoder:
         raw, ends = ids.tobytes(), (at * self.dtype.itemsize).tolist()
         return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
-    def _odd(self, text: str) -> bool:
-        """Whether a text isn't to be cut at its spaces; most have no space after white space, which is found fast."""
-        return any(s in text for s in self.special) or (any(s in text for s in self.before_runs) and bool(self.runs.search(text)))
-
-    def _split(self, piece: str) -> list[str]:
-        """The words of a space and a piece that isn't of letters alone."""
-        if piece[-1:] in ".,!?;:" and piece[:-1].isalpha():
-            return [f" {piece[:-1]}", piece[-1]]
-        return self.rule.findall(f" {piece}")
-
-    def _learn(self, missing: set[str], heads: list[list[str]]) -> None:
-        """Afterwards the missing pieces and the heads' words are known."""
-        pieces, words, old = self.pieces, self.words, self.pieces.old.get
-        made: dict[str, list[str]] = {}
-        order: list[str] = []
-        for p in missing:
-            if (ids := old(p)) is not None:
-                pieces[p] = ids
-            elif p.isalpha():
-                order.append(p)
-            else:
-                made[p] = self._split(p)
-        new_pieces: set[str] = set()
-        new_words: set[str] = set()
-        for group in (made.values(), heads):
-            for found in group:
-                for w in found:
-                    if len(w) > 1 and w[0] == " ":
-                        if (p := w[1:]) not in pieces and p not in missing and not pieces.recall(p):
-                            new_pieces.add(p)
-                    elif w not in words and not words.recall(w):
-                        new_words.add(w)
-        # a piece that is one word, though not of letters alone, is its own word
-        order += new_pieces
-        order += [p for p, found in made.items() if len(found) == 1 and p]
-        rest = list(new_words)
-        ids = self._encoded([f" {p}" for p in order] + rest)
-        pieces.update(zip(order, ids, strict=False))
-        words.update(zip(rest, ids[len(order) :], strict=True))
-        for p, found in made.items():
-            if len(found) != 1 or not p:
-                pieces[p] = self._joined(found)
-
-    def _joined(self, found: list[str]) -> bytes:
-        return b"".join([self.pieces[w[1:]] if len(w) > 1 and w[0] == " " else self.words[w] for w in found])
+    def split(self, text: str) -> list[str]:
+        return FAST.findall(text) if PLAIN.fullmatch(text) else self.rule.findall(text)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if self.by_word and not self._odd(t) else None for t in texts]
-        heads = [self.rule.findall(parts[0]) if parts else [] for parts in split]
-        get, known = self.pieces.get, []
-        missing: set[str] = set()
-        for parts in split:
-            ids = list(map(get, parts[1:])) if parts else []
-            if None in ids:
-                missing.update([p for p, v in zip(parts[1:], ids, strict=True) if v is None])
-            known.append(ids)
-        self._learn(missing, heads)
-        pieces, out = self.pieces, []
-        for t, parts, head, ids in zip(texts, split, heads, known, strict=True):
-            if parts is None:
-                out.append(self.whole(t) if t else b"")
-                continue
-            if None in ids:
-                ids = [pieces[p] if v is None else v for p, v in zip(parts[1:], ids, strict=True)]
-            out.append(self._joined(head) + b"".join(ids))
-        pieces.trim()
-        self.words.trim()
+        split = [self.split(t) if self.by_word and not any([s in t for s in self.special]) else None for t in texts]
+        words = self.words
+        words.learn(set().union(*[s for s in split if s]), self._encoded)
+        out = [self.whole(t) if s is None else b"".join(map(words.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        words.trim()
         return out
 
 
-@cache
 def encoder(path: str, dtype: str) -> Encoder:
-    return Encoder(path, dtype)
+    return worker_state(("token store", path, dtype), lambda: Encoder(path, dtype))
 
 
 # --- chunks -------------------------------------------------------------------------------------------------
@@ -220,12 +162,37 @@ def cuts(ids: np.ndarray, ends: np.ndarray) -> list[int]:
     return out
 
 
+class Merkle:
+    """Root over leaves that come one by one; an odd node goes up as it is, leaves and inner nodes are hashed apart.
+
+    Only the roots of the full subtrees so far are held, one for each bit of the leaves' number.
+    """
+
+    def __init__(self):
+        self.n, self.peaks = 0, []
+
+    def add(self, leaf: bytes) -> None:
+        node, n = hashlib.sha256(b"\0" + leaf).digest(), self.n
+        while n & 1:
+            node = hashlib.sha256(b"\1" + self.peaks.pop() + node).digest()
+            n >>= 1
+        self.peaks.append(node)
+        self.n += 1
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return hashlib.sha256(b"\0").digest()
+        node = self.peaks[-1]
+        for left in self.peaks[-2::-1]:
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root over the leaves; an odd node goes up as it is, leaves and inner nodes are hashed apart."""
-    level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"\0").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
 # --- CRC-32 of a concatenation ------------------------------------------------------------------------------
@@ -274,10 +241,12 @@ def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
 def _staged(docs: DataFrame, path: str, dtype: str, end_id: int, doc_id: str, text: str) -> DataFrame:
     """A row a document: its recipe, and those of its chunks that its task has not given yet."""
     chunk = T.StructType([T.StructField("address", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType()), T.StructField("addresses", T.ArrayType(T.BinaryType())), T.StructField("chunks", T.ArrayType(chunk))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType()), T.StructField("addresses", T.ArrayType(T.BinaryType())), T.StructField("task", T.IntegerType()), T.StructField("chunks", T.ArrayType(chunk))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, given = encoder(path, dtype), set()
+        from pyspark import TaskContext
+
+        own, given, task = encoder(path, dtype), set(), TaskContext.get().partitionId()
         end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
@@ -307,8 +276,11 @@ def _staged(docs: DataFrame, path: str, dtype: str, end_id: int, doc_id: str, te
                         addresses += recipe
                         recipe, new, k = [], 0, k + 1
                 made = pa.StructArray.from_arrays([pa.array(fresh, pa.binary()), pa.array(sums_, pa.int32()), pa.array(payloads, pa.binary())], ["address", "n", "ids"])
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(doc_id)), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), _lists(sizes, pa.array(addresses, pa.binary())), _lists(news, made)], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(doc_id)), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), _lists(sizes, pa.array(addresses, pa.binary())), pa.array(np.full(len(counts), task, np.int32)), _lists(news, made)], schema.names)
+        del given
+        release()
 
+    small_batches(docs.sparkSession)
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
@@ -325,12 +297,18 @@ class TokenStore:
         staging = f"{self.path}/staging"
         _staged(docs, tokenizer, dtype, end_id, doc_id, text).write.option("compression", "zstd").parquet(staging)
         staged = self.spark.read.parquet(staging)
-        fresh = staged.select(F.explode("chunks").alias("c")).select("c.*")
-        # each task gives an address once, so rows are dealt out before they are grouped
-        fresh.repartition("address").groupBy("address").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{self.path}/chunks")
+        # a task gives an address once. Only addresses are shuffled; where several tasks have one, the least task's is stored
+        uses = staged.select("task", F.explode("chunks.address").alias("address"))
+        several = uses.groupBy("address").agg(F.min("task").alias("first"), F.count(F.lit(1)).alias("tasks")).where("tasks > 1").select("address", "first")
+        several = written(several, "store_several")
+        fresh = staged.select("task", F.explode("chunks").alias("c")).select("task", "c.*")
+        fresh = fresh.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "address", "left")
+        fresh.where("first is null or first = task").select("address", "n", "ids").write.option("compression", "zstd").parquet(f"{self.path}/chunks")
         rows = staged.select("doc_id", "n_tokens", "root", "addresses")
         files = max(1, -(-rows.count() // FILE_DOCS))
-        ordered = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "n_tokens", "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "root")
+        # rows that repeat id and text are dealt out at random, since no file may hold them all
+        order = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens").asc(), F.col("root").asc()]
+        ordered = rows.repartitionByRange(files, *order, F.rand(7)).sortWithinPartitions(*order)
         schema = T.StructType([T.StructField("file", T.IntegerType()), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("file_start", T.LongType()), T.StructField("root", T.BinaryType()), T.StructField("addresses", T.ArrayType(T.BinaryType()))])
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,20 +326,27 @@ class TokenStore:
         removed(self.spark, staging)
 
     def _roots(self) -> DataFrame:
-        """Of each recipe file its documents, ids and Merkle root; a file's roots are hashed where they are read."""
+        """Of each recipe file its documents, ids and Merkle root, hashed as the rows come."""
         schema = "file int, n_docs long, n_tokens long, root binary"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            files: dict[int, list] = {}
-            for b in batches:
-                for f, *row in zip(*(b.column(c).to_pylist() for c in ("file", "file_start", "n_tokens", "root")), strict=True):
-                    files.setdefault(f, []).append(row)
-            for f, rows in files.items():
-                rows.sort()
-                made = [f], [len(rows)], [sum(r[1] for r in rows)], [merkle([r[2] for r in rows])]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "n_docs", "n_tokens", "root"])
+            file, docs, tokens, tree = None, 0, 0, Merkle()
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((file, pa.int32()), (docs, pa.int64()), (tokens, pa.int64()), (tree.root(), pa.binary()))], ["file", "n_docs", "n_tokens", "root"])
 
-        return self._read("recipes").select("file", "file_start", "n_tokens", "root").repartition("file").mapInArrow(run, schema)
+            for b in batches:
+                for f, n, root in zip(*(b.column(c).to_pylist() for c in ("file", "n_tokens", "root")), strict=True):
+                    if f != file and file is not None:
+                        yield made()
+                        docs, tokens, tree = 0, 0, Merkle()
+                    file, docs, tokens = f, docs + 1, tokens + n
+                    tree.add(root)
+            if file is not None:
+                yield made()
+
+        rows = self._read("recipes").select("file", "file_start", "n_tokens", "root")
+        return rows.repartition("file").sortWithinPartitions("file", "file_start").mapInArrow(run, schema)
 
     def _manifest(self) -> DataFrame:
         """Bounded by the number of recipe files, so made on the driver."""
@@ -391,19 +376,23 @@ class TokenStore:
 
     def _placed(self) -> DataFrame:
         """The recipes with each document's start; the manifest has one row a recipe file."""
-        manifest = [(r["file"], r["start"]) for r in self._read("manifest").where("file >= 0").collect()]
-        starts = self.spark.createDataFrame(manifest, "file int, base long")
-        recipes = self._read("recipes")
-        return recipes.join(F.broadcast(starts), "file").withColumn("start", F.col("base") + F.col("file_start"))
+        starts = self._read("manifest").where("file >= 0").select("file", F.col("start").alias("base"))
+        recipes = self._read("recipes").join(F.broadcast(starts) if starts.count() <= BROADCAST_ROWS else starts, "file", "left")
+        return recipes.withColumn("start", F.col("base") + F.col("file_start"))
 
     def documents(self, dtype: str = "<u2") -> DataFrame:
-        """doc_id, start, n_tokens and ids_crc32, from the files and verified: chunks against addresses, recipes against roots and lengths."""
-        uses = self._placed().select("start", F.posexplode("addresses").alias("at", "address"))
-        parts = uses.join(self.verified_chunks(dtype), "address").select("start", "at", "address", "crc", "n")
-        kept = self._placed().select("doc_id", "start", "n_tokens", "root", F.size("addresses").alias("parts"))
-        grouped = parts.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "address", "crc", "n"))).alias("found"))
-        joined = kept.join(grouped, "start")
-        field = joined.schema["doc_id"]
+        """doc_id, start, n_tokens, ids_crc32 and n_chunks, from the files and verified.
+
+        The recipe files are held against the manifest first, then chunks against addresses and recipes against roots and
+        lengths; a lost or damaged file, recipe or chunk raises an error.
+        """
+        self.check()
+        uses = self._placed().select("start", "doc_id", "n_tokens", "root", F.posexplode("addresses").alias("at", "address"))
+        # the root is carried once a document
+        uses = uses.withColumn("root", F.when(F.col("at") == 0, F.col("root")))
+        parts = uses.join(self.verified_chunks(dtype), "address", "left")
+        grouped = parts.groupBy("start", "doc_id", "n_tokens").agg(F.max("root").alias("root"), F.array_sort(F.collect_list(F.struct("at", "address", "crc", "n"))).alias("found"))
+        field = grouped.schema["doc_id"]
         schema = T.StructType([field, T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("n_chunks", T.IntegerType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,34 +400,51 @@ class TokenStore:
                 found = b.column("found")
                 flat = found.flatten()
                 addresses, parts, sizes = (flat.field(c).to_pylist() for c in ("address", "crc", "n"))
+                counts = pc.list_value_length(found)
                 crcs, at = [], 0
-                for start, n, root, k in zip(b.column("start").to_pylist(), b.column("n_tokens").to_pylist(), b.column("root").to_pylist(), pc.list_value_length(found).to_pylist(), strict=True):
+                for start, n, root, k in zip(b.column("start").to_pylist(), b.column("n_tokens").to_pylist(), b.column("root").to_pylist(), counts.to_pylist(), strict=True):
                     own = slice(at, at + k)
+                    if None in parts[own]:
+                        raise ValueError(f"the document at {start} lacks the chunk {addresses[at + parts[own].index(None)].hex()}")
                     if merkle(addresses[own]) != root or sum(sizes[own]) != n:
                         raise ValueError(f"the document at {start} can't be rebuilt")
                     crcs.append(crc_joined([(c, 4 * m) for c, m in zip(parts[own], sizes[own], strict=True)]))
                     at += k
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64()), b.column("parts")], schema.names)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64()), counts.cast(pa.int32())], schema.names)
 
-        return joined.mapInArrow(run, schema)
+        return grouped.mapInArrow(run, schema)
 
     def read_ids(self, where=None, dtype: str = "<u2") -> DataFrame:
         """doc_id, start and ids (array of long) of the documents, or of those a condition on doc_id picks."""
         recipes = self._placed()
         recipes = recipes if where is None else recipes.where(where)
         uses = recipes.select("doc_id", "start", F.posexplode("addresses").alias("at", "address"))
-        parts = uses.join(self._read("chunks").select("address", "ids"), "address")
+        parts = uses.join(self._read("chunks").select("address", "ids"), "address", "left")
         whole = parts.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
         schema = T.StructType([whole.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids = [np.frombuffer(b"".join(x["ids"] for x in p), dtype).astype(np.int64) for p in b.column("parts").to_pylist()]
+                parts = b.column("parts").to_pylist()
+                if any(x["ids"] is None for p in parts for x in p):
+                    raise ValueError("a chunk is lost")
+                ids = [np.frombuffer(b"".join(x["ids"] for x in p), dtype).astype(np.int64) for p in parts]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(ids, pa.list_(pa.int64()))], schema.names)
 
         return whole.mapInArrow(run, schema)
 
+    def check(self) -> None:
+        """Raises an error unless the recipe files give the manifest: the same files, documents, ids and roots, and the whole store's root."""
+        key = lambda r: (r["file"], r["n_docs"], r["n_tokens"], r["start"], bytes(r["root"]))
+        old, new = ({r["file"]: key(r) for r in rows.collect()} for rows in (self._read("manifest"), self._manifest()))
+        for file in sorted(old.keys() | new.keys(), reverse=True):
+            if old.get(file) != new.get(file):
+                raise ValueError(f"recipe file {file} isn't as the manifest says" if file >= 0 else "the store isn't as the manifest says")
+
     def verify(self) -> bool:
-        """Whether the recipe files still give the manifest's roots."""
-        old = {(r["file"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in self._read("manifest").collect()}
-        return old == {(r["file"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in self._manifest().collect()}
+        """Whether the recipe files still give the manifest."""
+        try:
+            self.check()
+        except ValueError:
+            return False
+        return True

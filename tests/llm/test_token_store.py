@@ -98,3 +98,80 @@ def test_empty_table(spark):
     store = ts.TokenStore(spark, scratch_dir(spark, "t"))
     store.write(spark.createDataFrame([], "doc_id long, text string"), PATH, 2)
     assert store.documents().count() == 0 and store.verify()
+
+
+def _stored(spark, n=40):
+    path = scratch_dir(spark, "t")
+    store = ts.TokenStore(spark, path)
+    rows = [(k, " ".join(f"w{k * j % 97}" for j in range(400))) for k in range(n)]
+    store.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, 2)
+    return path, store
+
+
+def _replaced(spark, store, table, rows):
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    os.system(f"rm -r {store.path.removeprefix('file://')}/{table}")
+    rows.write.parquet(f"{store.path}/{table}")
+
+
+@pytest.mark.parametrize("damage", ["lost chunk", "swapped chunks", "lost recipe", "lost file", "changed count", "lost manifest row"])
+def test_every_loss_is_found(spark, monkeypatch, damage):
+    monkeypatch.setattr(ts, "FILE_DOCS", 10)
+    _, store = _stored(spark)
+    assert store.documents().count() == 40 and store.verify()
+    chunks, recipes, manifest = (store._read(t) for t in ("chunks", "recipes", "manifest"))
+    if damage == "lost chunk":
+        _replaced(spark, store, "chunks", chunks.limit(chunks.count() - 1))
+    elif damage == "swapped chunks":
+        a, b = chunks.limit(2).collect()
+        rest = chunks.where(~chunks["address"].isin(bytes(a[0]), bytes(b[0]))).collect()
+        _replaced(spark, store, "chunks", spark.createDataFrame([*rest, (a[0], a[1], b[2]), (b[0], b[1], a[2])], chunks.schema))
+    elif damage == "lost recipe":
+        _replaced(spark, store, "recipes", recipes.where("doc_id <> 7"))
+    elif damage == "lost file":
+        _replaced(spark, store, "recipes", recipes.where("file <> 1"))
+    elif damage == "changed count":
+        _replaced(spark, store, "recipes", recipes.selectExpr("file", "doc_id", "n_tokens + cast(doc_id = 3 as int) n_tokens", "file_start", "root", "addresses"))
+    else:
+        _replaced(spark, store, "manifest", manifest.where("file <> 2"))
+    assert store.verify() == damage.endswith(("chunk", "chunks"))
+    with pytest.raises(Exception, match=r"lacks the chunk|damaged|isn't as the manifest"):
+        store.documents().collect()
+
+
+def test_merkle_as_levels():
+    import hashlib
+
+    def levels(leaves):
+        level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"\0").digest()]
+        while len(level) > 1:
+            level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0]
+
+    for n in range(40):
+        leaves = [bytes([k]) for k in range(n)]
+        assert ts.merkle(leaves) == levels(leaves)
+
+
+def test_splitting_rules_agree():
+    r, rule = random.Random(3), ts.regex.compile(ts.RULE)
+    letters = [chr(c) for c in [*range(1, 0x600), *range(0x2000, 0x2070), *range(0x3040, 0x3100), 0x4E00, 0x9FA5, 0xE01, 0x1F600]]
+    plain = 0
+    for _ in range(20_000):
+        t = "".join(r.choice(letters if r.random() < 0.3 else " ab's1.\n") for _ in range(r.randint(0, 12)))
+        if ts.PLAIN.fullmatch(t):
+            plain += 1
+            assert ts.FAST.findall(t) == rule.findall(t), t
+    assert plain > 5000
+    assert ts.PLAIN.fullmatch("Größe, «été» ¿qué? – 漢字 かな don’t")
+
+
+def test_text_without_spaces(spark):
+    texts = ["漢字" * 20_000, '{"a":1,' * 8000, "abc" * 30_000]
+    store = ts.TokenStore(spark, scratch_dir(spark, "t"))
+    store.write(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), PATH, 2)
+    got = {r["doc_id"]: r["ids_crc32"] for r in store.documents().collect()}
+    assert got == {k: zlib.crc32(np.array([*LIBRARY.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for k, t in enumerate(texts)}
+    own = ts.encoder(PATH, "<u2")
+    own.encode_all(texts)
+    assert max(map(len, own.words), default=0) <= 64
