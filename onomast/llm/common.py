@@ -147,11 +147,12 @@ class ChunkCache(dict):
         missing = keys.difference(self)
         if not missing:
             return
-        for key in missing.intersection(self.old):
-            self.keep(key, self.old[key])
-        fresh = list(missing.difference(self.old))
-        for key, value in zip(fresh, make_all(fresh), strict=True):
-            self.keep(key, value)
+        found = missing.intersection(self.old)
+        fresh = list(missing.difference(found))
+        keys, values = [*found, *fresh], [*map(self.old.__getitem__, found), *make_all(fresh)]
+        self.update(zip(keys, values, strict=True))
+        self.brief += [k for k in keys if len(k) > LONGEST_PIECE]
+        self.spent += 120 * len(keys) + sum(map(len, keys)) + sum(map(self.size, values))
 
     def trim(self) -> None:
         """To be called between batches."""

@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from onomast.llm.common import BROADCAST_ROWS, ChunkCache, release, removed, row_slices, small_batches, texts_of, worker_state, written
 
@@ -77,6 +77,10 @@ class Encoder:
         self.dtype = np.dtype(dtype)
         pre = str(self.library.pre_tokenizer)
         self.by_word = self.library.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
+        # for words that are split already
+        self.of_words = Tokenizer.from_file(path)
+        if self.by_word:
+            self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.rule = regex.compile(RULE)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # every character of a byte-level vocabulary string stands for a byte
@@ -92,7 +96,7 @@ class Encoder:
         """The ids of each word, by one call of the library."""
         if not words:
             return []
-        ids = np.array(self.library.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+        ids = np.array(self.of_words.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
         sizes = [len(w) if w.isascii() else len(w.encode()) for w in words]
         at = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes)) + 1
         raw, ends = ids.tobytes(), (at * self.dtype.itemsize).tolist()
