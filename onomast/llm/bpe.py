@@ -19,18 +19,19 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from onomast.llm.common import ChunkCache, row_slices, texts_of
+from onomast.llm.common import ChunkCache, release, row_slices, small_batches, texts_of, unused, worker_state
 
 #: White space of the file's rules (Unicode White_Space); Python's own class has U+001C to U+001F besides.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -80,7 +81,8 @@ class Codec:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         self.ranks = {p: k for k, p in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
+        by_id = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
+        self.strings = [by_id.get(i, "") for i in range(max(by_id, default=-1) + 1)]
         self.letters = byte_letters()
         self.bytes = {c: b for b, c in self.letters.items()}
         kind = (spec.get("decoder") or {}).get("type")
@@ -95,8 +97,9 @@ class Codec:
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.odd = regex.compile("[\x1c-\x1f]")
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.pieces = ChunkCache(self._piece)
-        self.words = ChunkCache(self._word)
+        size = lambda made: 64 + len(made[0]) + 8 * len(made[1])
+        self.pieces = ChunkCache(self._piece, 16 << 20, size)
+        self.words = ChunkCache(self._word, 16 << 20, size)
 
     def encode_word(self, word: str) -> list[str]:
         symbols = [self.letters[b] for b in word.encode()]
@@ -104,17 +107,17 @@ class Codec:
             symbols[-1] += self.suffix
         return merge(symbols, self.ranks)
 
-    def _piece(self, piece: str) -> tuple[str, str, int]:
-        """Ids and tokens of a piece without white space, each joined by a space, and their number."""
+    def _piece(self, piece: str) -> tuple[str, tuple[int, ...]]:
+        """Ids of a piece without white space, as text joined by a space and as numbers."""
         found = self.rule.findall(piece)
         if len(found) == 1:
             return self.words[found[0]]
         parts = [self.words[w] for w in found]
-        return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts])
+        return " ".join([p[0] for p in parts]), tuple([i for p in parts for i in p[1]])
 
-    def _word(self, word: str) -> tuple[str, str, int]:
-        tokens = self.encode_word(word)
-        return " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens), len(tokens)
+    def _word(self, word: str) -> tuple[str, tuple[int, ...]]:
+        ids = tuple([self.vocab[t] for t in self.encode_word(word)])
+        return " ".join(map(str, ids)), ids
 
     def trim(self) -> None:
         self.pieces.trim()
@@ -131,45 +134,50 @@ class Codec:
         text = self.normalise(text)
         return text.split() if not self.odd.search(text) else [p for p in self.spaces.split(text) if p]
 
-    def pieces_of(self, text: str) -> list[tuple[str, str, int]]:
+    def pieces_of(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
         pieces = self.pieces
         if self.specials and "<|" in text:
             out = []
             for k, part in enumerate(self.specials.split(text)):
-                out += [(str(self.special[part]), part, 1)] if k % 2 else [pieces[p] for p in self._split(part)]
+                out += [(str(self.special[part]), (self.special[part],))] if k % 2 else [pieces[p] for p in self._split(part)]
             return out
         return [pieces[p] for p in self._split(text)]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, n in self.pieces_of(text) if n for i in ids.split(" ")]
+        return [i for _, ids in self.pieces_of(text) for i in ids]
 
     def decode(self, ids: list[int]) -> str:
-        tokens = [self.strings[i] for i in ids]
+        """Each id looked up in the vocabulary; the strings joined as the file's decoder says."""
+        tokens = map(self.strings.__getitem__, ids)
         if not self.by_bytes:
             return " ".join(tokens)
         return bytes(self.bytes[c] for t in tokens for c in t).decode("utf-8", "replace")
 
 
-@cache
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return worker_state(("bpe", path), lambda: Codec(path))
+
+
+FOUND = ("token_ids", "decoded")
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with token_ids (array of int) and decoded (the text decoded from them)."""
-    names = docs.columns if keep is None else keep
+    """The kept columns with token_ids (array of int) and decoded (the text decoded from them); columns of these names are replaced."""
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in FOUND]
     schema = T.StructType([docs.schema[n] for n in names] + [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    texts = unused(names, "text")[0]
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for part in row_slices(batch, text, BATCH_BYTES):
-                ids = [own.encode(t) for t in texts_of(part, text)]
+            for part in row_slices(batch, texts, BATCH_BYTES):
+                ids = [own.encode(t) for t in texts_of(part, texts)]
                 made = [pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(i) for i in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + made, [*names, "token_ids", "decoded"])
                 own.trim()
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias(texts)).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,17 +186,18 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        if own.by_bytes:
-            raise ValueError("files whose tokens decode apart from each other are expected")
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
                 counts, ids, decoded = [], [], []
                 for t in texts_of(part, text):
                     found = own.pieces_of(t)
-                    counts.append(sum([p[2] for p in found]))
-                    ids.append(hashlib.sha256(" ".join([p[0] for p in found if p[2]]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(" ".join([p[1] for p in found if p[2]]).encode()).hexdigest())
+                    numbers = list(chain.from_iterable([p[1] for p in found]))
+                    counts.append(len(numbers))
+                    ids.append(hashlib.sha256(" ".join([p[0] for p in found if p[1]]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(own.decode(numbers).encode()).hexdigest())
                 own.trim()
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(doc_id)), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(doc_id)), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], schema.names)
+        release()
 
+    small_batches(docs.sparkSession)
     return docs.select(doc_id, text).mapInArrow(run, schema)

@@ -5,18 +5,20 @@ every word (with its edges marked) are counted by the same weights. A known word
 frequency in each language. An unseen word falls back to its 4-grams, or 3-, 2- and 1-grams where none of the
 longer ones is known. A text's words add up, and the softmax over languages gives the score.
 
-Counts are aggregated in each task, then by Spark. The model that is broadcast has a stated size: the most
-frequent WORDS words and GRAMS n-grams of each order in each language, chosen by a count threshold from
-an exact histogram; everything rarer is scored by backoff.
+Counts are aggregated in each task, then by Spark, over all rows. A word is known if its share of a language's words, averaged over the
+languages, is at least 1 / WORDS, an n-gram if its share of the n-grams of its order is at least 1 / GRAMS. Shares add up
+to one, so at most WORDS words and GRAMS n-grams of each order are known whatever the corpus and the number of languages; that bounds
+the broadcast model, and a share means the same at every size. Words of lesser share are scored by backoff.
 
 Defined results: null text, and text without a letter, is `und` with score 0. Rows with null language
 are not learned from; without any learnable row every text is `und`. Ties go to the language first in alphabetical order. Repeated
-rows count as often as they stand. Other columns play no part.
+rows count as often as they stand. Other columns play no part; columns named lang_pred or score are replaced by the results.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,12 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onomast.llm.chunks import ChunkTable, sums
-from onomast.llm.common import release, row_slices, written
+from onomast.llm.common import release, row_slices, small_batches, worker_state, written
 
-WORDS, GRAMS, ORDERS = 30_000, 20_000, (4, 3, 2, 1)
+WORDS, GRAMS, ORDERS = 500_000, 200_000, (4, 3, 2, 1)
 BATCH_BYTES = 2 << 20
 #: Counted pieces that a task holds before it hands them on.
 HELD = 80_000
+#: Bytes of text after which it does so whatever their number.
+HELD_BYTES = 32 << 20
 RUN = re.compile(r"[^\W\d_]+")
 #: Most that one word can say for one language against another.
 CLIP = 7.0
@@ -66,6 +70,7 @@ def count_words(rows: DataFrame, text: str, lang: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
+        taken = 0
 
         def given() -> Iterator[pa.RecordBatch]:
             words: Counter = Counter()
@@ -80,11 +85,14 @@ def count_words(rows: DataFrame, text: str, lang: str) -> DataFrame:
             for part in row_slices(batch, text, BATCH_BYTES):
                 for name, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     held.setdefault(name, Counter()).update((t or "").split())
-                    if sum(map(len, held.values())) > HELD:
+                    taken += len(t or "")
+                    if taken > HELD_BYTES or sum(map(len, held.values())) > HELD:
+                        taken = 0
                         yield from given()
         yield from given()
         release()
 
+    small_batches(rows.sparkSession)
     counts = rows.select(lang, text).mapInArrow(run, "lang string, item string, n long")
     return counts.groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
@@ -110,28 +118,17 @@ def count_grams(words: DataFrame) -> DataFrame:
 
 
 def _frequent(counts: DataFrame, most: int, group: Column) -> tuple[pa.Table, dict]:
-    """The items of each (lang, group) above the least count that lets at most `most` through, and totals of all items."""
-    bucket = F.least(F.col("n"), F.lit(100_000))
-    tally = counts.groupBy("lang", group.alias("g"), bucket.alias("b")).agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("n")).collect()
-    totals: dict = {}
-    by: dict = {}
-    for r in tally:
-        t = totals.setdefault((r["lang"], r["g"]), [0, 0])
-        t[0] += r["items"]
-        t[1] += r["n"]
-        by.setdefault((r["lang"], r["g"]), []).append((r["b"], r["items"]))
-    least = {}
-    for key, found in by.items():
-        room, at = most, 1 << 60
-        for b, items in sorted(found, reverse=True):
-            if items > room:
-                break
-            room, at = room - items, b
-        least[key] = at
-    rule = F.lit(False)
-    for (lang, g), n in least.items():
-        rule = rule | ((F.col("lang") == lang) & (group == g) & (F.col("n") >= n))
-    return counts.where(rule).select("lang", "item", "n").toArrow(), totals
+    """lang, item, n of the items whose mean share of their group's counts in a language is 1 / most or more, and (items, n) of each language and group."""
+    tally = counts.groupBy("lang", group.alias("g")).agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("n"))
+    totals = {(r["lang"], r["g"]): (r["items"], r["n"]) for r in tally.collect()}
+    langs = len({lang for lang, _ in totals})
+    of = counts.sparkSession.createDataFrame([(*k, n) for k, (_, n) in totals.items()], "lang string, g int, total long")
+    # a row for each language and group
+    shared = counts.withColumn("g", group.cast("int")).join(F.broadcast(of), ["lang", "g"])
+    items = shared.groupBy("item").agg((F.sum(F.col("n") / F.col("total")) / max(1, langs)).alias("share"), F.collect_list(F.struct("lang", "n")).alias("of"))
+    # 1e-9 for the rounding of sums
+    known = items.where(F.col("share") >= (1 - 1e-9) / most).select("item", F.explode("of").alias("x")).select("x.lang", "item", "x.n")
+    return known.toArrow(), totals
 
 
 @dataclass
@@ -142,7 +139,6 @@ class Model:
     words: tuple[dict[str, int], np.ndarray]
     grams: tuple[dict[str, int], np.ndarray]
     stacked: np.ndarray | None = None
-    kept: ChunkTable | None = None
 
     def places(self, word: str) -> list[int]:
         """The word's row, or those of its longest known n-grams; n-grams' rows stand after the words'."""
@@ -170,12 +166,7 @@ class Model:
         found = [words_of(c) for c in chunks]
         sizes = np.array([len(f) for f in found], np.int64)
         scores = sums(self.vectors([w for f in found for w in f]), sizes)
-        return np.concatenate([scores.reshape(len(chunks), -1), (sizes > 0)[:, None]], axis=1)
-
-    def table(self) -> ChunkTable:
-        if self.kept is None:
-            self.kept = ChunkTable(self.chunks)
-        return self.kept
+        return np.concatenate([scores.reshape(len(chunks), len(self.langs)), (sizes > 0)[:, None]], axis=1)
 
 
 def _vectors(found: pa.Table, totals: dict, langs: list[str], group) -> tuple[dict[str, int], np.ndarray]:
@@ -187,7 +178,7 @@ def _vectors(found: pa.Table, totals: dict, langs: list[str], group) -> tuple[di
     of = [group(x) for x in index]
     sizes = {}
     for g in set(of):
-        own = [totals.get((name, g), [0, 0]) for name in langs]
+        own = [totals.get((name, g), (0, 0)) for name in langs]
         sizes[g] = [t[1] + 0.5 * max(x[0] for x in own) + 1 for t in own]
     logs = np.log((counts + 0.5) / np.array([sizes[g] for g in of]).reshape(-1, max(1, len(langs)))[:, : len(langs)])
     best = logs.max(axis=1, keepdims=True) if logs.size else logs
@@ -207,13 +198,14 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", words: int =
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of docs with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        table = own.table()
+        table = worker_state(key, lambda: ChunkTable(own.chunks))
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
                 chunks: list[str] = []
@@ -234,5 +226,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     langs.append(own.langs[int(p.argmax())])
                     scores.append(float(p.max() / p.sum()))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
+        release()
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)

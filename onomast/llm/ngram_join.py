@@ -5,9 +5,11 @@
 2. A representative's MinHash values are cut into bands. Bands and rows are chosen so that a pair at the threshold shares a
    band with the target recall. Representatives are shuffled by band hash, and each is tied to the least of
    its bucket - as many ties as rows, whatever the bucket's size. Tied representatives form candidate components.
-3. Inside a component ALL pairs are verified on the full sets, so a link that banding missed is found if both ends are in
-   one component. Large components are dealt out as pairs of blocks of bounded size: a block pair is one
-   group, compared by matrix products, and gives each member's link count and a spanning forest, not pairs.
+3. Candidates are verified on the full sets. A component small enough is one block, all of whose pairs are compared. The
+   members of a larger one are dealt out to blocks of bounded size, by size class and least band hash, so that members alike
+   stand together; a least band hash that many members share is split by a hash of the member. Two blocks meet only if they share a band
+   and their sizes can reach the threshold. A block pair is one group, compared by matrix products, and gives
+   each member's link count and a spanning forest, not pairs. So every pair that shares a band is verified.
 4. Links' components are the classes.
 
 Result: class_id (least id of the class) and n_links (rows whose set has a Jaccard similarity at or above the threshold, copies included)
@@ -29,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from onomast.llm.common import BROADCAST_ROWS, ChunkCache, release, row_slices, written
+from onomast.llm.common import BROADCAST_ROWS, ChunkCache, release, row_slices, small_batches, unused, worker_state, written
 from onomast.llm.components import connected
 from onomast.llm.decontaminate import WORD_BYTES
 
 SHINGLE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 BATCH_BYTES = 2 << 20
 #: Members and shingles of a block, about.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK_ROWS, BLOCK_SHINGLES = 128, 1 << 19
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -61,6 +63,10 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+def known_words() -> ChunkCache:
+    return worker_state("word hashes", lambda: ChunkCache(word_hash))
+
+
 def shingles(texts: list[str], known: ChunkCache, size: int = SHINGLE) -> list[np.ndarray]:
     """Each text's sorted set of shingle hashes."""
     split = [t.lower().encode().translate(WORD_BYTES).split() for t in texts]
@@ -121,16 +127,16 @@ def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -
     schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("print", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkCache(word_hash, 80_000)
+        known = known_words()
         for batch in batches:
             for part in row_slices(batch, "t", BATCH_BYTES):
                 sets = shingles([t or "" for t in _field(part, "t").to_pylist()], known)
                 full = [s for s in sets if len(s)]
                 made = iter(_signatures(full, bands, rows).astype(np.int64).tolist() if full else [])
                 yield pa.RecordBatch.from_arrays([_field(part, "id"), _field(part, "h"), pa.array([len(s) for s in sets], pa.int32()), pa.array(_prints(sets), pa.binary()), pa.array([next(made) if len(s) else [] for s in sets], pa.list_(pa.int64()))], schema.names)
-        del known
         release()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
@@ -138,14 +144,13 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
     """print and shingles of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkCache(word_hash, 80_000)
+        known = known_words()
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
                 sets = shingles([t or "" for t in _field(part, text).to_pylist()], known)
                 ends = np.cumsum([0] + [len(s) for s in sets])
                 flat = np.concatenate(sets).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(_prints(sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["print", "shingles"])
-        del known
         release()
 
     return docs.select(text).mapInArrow(run, "print binary, shingles array<long>")
@@ -223,6 +228,40 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "node long, other long, links long")
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _placed(tied: DataFrame) -> DataFrame:
+    """tied (comp, n, bands and more) with block; 0 is the only block of its component."""
+    weight = F.count(F.lit(1)) / BLOCK_ROWS + F.sum("n") / BLOCK_SHINGLES
+    large = written(tied.groupBy("comp").agg(weight.alias("w")).where("w > 1").select("comp"), "ngram_large")
+    spots = tied.join(_few(large), "comp", "left_semi").groupBy("comp", "size_class", "near").agg(weight.alias("w"))
+    spots = written(spots, "ngram_spots")
+    classes = written(spots.groupBy("comp", "size_class").agg(F.ceil(F.sum("w")).cast("long").alias("buckets")), "ngram_size_classes")
+    spots = spots.join(_few(classes), ["comp", "size_class"]).select("comp", "size_class", "near", "buckets", F.ceil("w").cast("long").alias("parts"))
+    spots = written(spots, "ngram_places")
+    block = F.when(F.col("parts") > 1, F.xxhash64("size_class", "near", F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.xxhash64("size_class", F.pmod("near", F.col("buckets"))))
+    placed = tied.join(_few(spots), ["comp", "size_class", "near"], "left")
+    return placed.select("node", "print", "least", "copies", "n", "bands", "comp", F.coalesce(block, F.lit(0)).alias("block"))
+
+
+def _meetings(placed: DataFrame, threshold: float) -> DataFrame:
+    """comp, block, i, j, first: the block pairs in which a block of a large component takes part."""
+    split = placed.where("block <> 0")
+    blocks = written(split.groupBy("comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "ngram_blocks")
+    marks = split.select("comp", "block", F.explode("bands").alias("band")).distinct().join(_few(blocks), ["comp", "block"])
+    marks = written(marks, "ngram_marks")
+    a = marks.select("comp", "band", F.col("block").alias("i"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+    b = marks.select("comp", "band", F.col("block").alias("j"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+    reach = (F.col("i") < F.col("j")) & (F.col("a_high") >= F.col("b_low") * threshold - 1e-9) & (F.col("b_high") >= F.col("a_low") * threshold - 1e-9)
+    pairs = written(a.join(b, ["comp", "band"]).where(reach).select("comp", "i", "j").distinct(), "ngram_block_pairs")
+    own = blocks.select("comp", "block", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(True).alias("first"))
+    sides = [pairs.select("comp", F.col(side).alias("block"), "i", "j", F.lit(side == "i").alias("first")) for side in ("i", "j")]
+    return written(own.union(sides[0]).union(sides[1]), "ngram_meetings")
+
+
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """id, h (a hash of the text), n (shingles), label (a number of the class, null without words), class_id and n_links for each row of docs."""
     bands, rows = bands_for(threshold, recall)
@@ -232,25 +271,25 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "ngram_representatives")
 
     banded = reps.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("band", "v")
+    # written, so that the join below can split a hot bucket
+    buckets = written(banded.groupBy("band").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("band", "v"), "ngram_buckets")
     ties = banded.join(buckets, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     candidates = connected(ties)
 
-    tied = reps.select("node", "print", "least", "copies", "n").join(candidates, "node").withColumnRenamed("label", "comp")
-    tied = written(tied, "ngram_candidates")
-    sizes = tied.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
-    blocks = sizes.select("comp", F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("int") if threshold < 1 else F.col("n")
+    tied = reps.join(candidates, "node").select("node", "print", "least", "copies", "n", "bands", F.col("label").alias("comp"), size_class.alias("size_class"), F.array_min("bands").alias("near"))
+    tied = written(tied, "ngram_tied")
+    placed = written(_placed(tied), "ngram_candidates")
+    meetings = _meetings(placed, threshold)
 
     key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    wanted = tied.select(key(F.col("least")).alias("k")).distinct()
-    some = wanted.count()
-    again = docs.select(key(F.col(doc_id)).alias("k"), F.col(text).alias("t")).join(F.broadcast(wanted) if some <= BROADCAST_ROWS else wanted, "k", "left_semi")
-    sets = _sets(again, "t").join(tied.select("node", "print", "comp", "copies"), "print")
+    wanted = written(placed.select(key(F.col("least")).alias("k")).distinct(), "ngram_wanted")
+    again = docs.select(key(F.col(doc_id)).alias("k"), F.col(text).alias("t")).join(_few(wanted), "k", "left_semi")
+    sets = _sets(again, "t").join(placed.select("node", "print", "comp", "block", "copies"), "print")
     # a document that stands in several rows gives its set once
-    sets = sets.groupBy("node", "comp", "copies").agg(F.first("shingles").alias("shingles")).join(blocks, "comp")
-    sets = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("node", "comp", "copies", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"), "shingles")
+    sets = sets.groupBy("node", "comp", "block", "copies").agg(F.first("shingles").alias("shingles"))
+    members = sets.join(_few(meetings), ["comp", "block"], "left")
+    members = members.select("node", "comp", "copies", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j"), F.coalesce("first", F.lit(True)).alias("first"), "shingles")
     found = written(_verified(members, threshold), "ngram_verified")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -269,15 +308,17 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     classes = written(jaccard_classes(docs, doc_id, text, **options).where("n > 0"), "ngram_classes")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("h"))
     winners = classes.groupBy("label").agg(F.min(order).alias("w"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__k")
-    sure = classes.join(winners, "label").withColumn("wins", F.col("id").eqNullSafe(F.col("w.id")) & (F.col("h") == F.col("w.h")))
-    judged = written(sure.groupBy(key, F.col("h").alias("__h"), "wins").agg(F.count(F.lit(1)).alias("rows")), "ngram_judged")
-    gone, again = judged.where("not wins or rows > 1").select("__k", "__h"), judged.where("wins and rows > 1").select("__k", "__h")
+    k, h = unused(docs.columns, "k", "h")
+    key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias(k)
+    sure = classes.join(written(winners, "ngram_winners"), "label").withColumn("wins", F.col("id").eqNullSafe(F.col("w.id")) & (F.col("h") == F.col("w.h")))
+    judged = sure.select(key, F.col("h").alias(h), "wins").groupBy(k, h, "wins").agg(F.count(F.lit(1)).alias("times"))
+    judged = written(judged, "ngram_judged")
+    gone, again = judged.where("not wins or times > 1").select(k, h), judged.where("wins and times > 1").select(k, h)
     names = [F.col(f"`{c}`") for c in docs.columns]
-    with_key = docs.withColumns({"__k": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__h": F.xxhash64(text)})
-    kept = with_key.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["__k", "__h"], "left_anti").select(*names)
+    with_key = docs.withColumns({k: F.coalesce(F.col(doc_id).cast("string"), F.lit("")), h: F.xxhash64(text)})
+    kept = with_key.join(_few(gone), [k, h], "left_anti").select(*names)
     if again.isEmpty():
         return kept
     # rows that repeat id and text: one of them
-    one = with_key.join(again, ["__k", "__h"], "left_semi").groupBy("__k", "__h").agg(F.min(F.struct(*names)).alias("row"))
+    one = with_key.join(again, [k, h], "left_semi").groupBy(k, h).agg(F.min(F.struct(*names)).alias("row"))
     return kept.unionByName(one.select("row.*"))

@@ -1,3 +1,4 @@
+import math
 import random
 
 from onomast.llm import language_id as li
@@ -45,8 +46,11 @@ def test_counts_and_bounds(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r[0], r[1]): r[2] for r in li.count_words(df, "text", "lang").collect()}
     assert got == {("x", "a"): 3, ("x", "b"): 2, ("x", "c"): 1, ("y", "a"): 1}
-    model = li.train(df, words=1)
-    assert set(model.words[0]) == {"a"}
+    # mean shares: a (3/6 + 1) / 2, b 1/6, c 1/12
+    assert set(li.train(df, words=1).words[0]) == set()
+    assert set(li.train(df, words=2).words[0]) == {"a"}
+    assert set(li.train(df, words=6).words[0]) == {"a", "b"}
+    assert set(li.train(df, words=12).words[0]) == {"a", "b", "c"}
 
 
 def test_nothing_to_learn(spark):
@@ -59,3 +63,71 @@ def test_nothing_to_learn(spark):
 def test_words_of_pieces():
     for chunk in ["abc", "Abc,", "abc1", "ab²", "²", "l'eau", "a_b", "e\u0301", "", "1.", "x!!", "été.", "abc_"]:
         assert li.words_of(chunk) == [w for w in li.RUN.findall(chunk.lower()) if any(map(str.isalpha, w))]
+
+
+def test_known_items_are_shares_at_any_size(spark):
+    for times in (1, 1000, 10**9):
+        rows = [(lang, f"{lang}{k}", (k + 1) * times) for lang in ("x", "y") for k in range(60)]
+        counts = spark.createDataFrame(rows, "lang string, item string, n long")
+        found, totals = li._frequent(counts, 100, li.F.lit(0))
+        # two languages: a share of 2/100 of its language's words
+        assert sorted(found.column("item").to_pylist()) == sorted(i for _, i, n in rows if n >= 0.02 * sum(range(1, 61)) * times)
+        assert found.num_rows <= 100 and totals["x", 0] == (60, 1830 * times)
+
+
+def brute(train, texts):
+    """Word-first backoff from its definition, in plain Python."""
+    from collections import Counter
+
+    words, grams = {}, {}
+    for _, t, lang, _ in train:
+        for c in (t or "").split() if lang else ():
+            for w in li.words_of(c):
+                words.setdefault(lang, Counter())[w] += 1
+                for o in li.ORDERS:
+                    for g in li.grams_of(w, o):
+                        grams.setdefault((lang, o), Counter())[g] += 1
+    langs = sorted(words)
+
+    def logs(item, tables):
+        size = max(len(t) for t in tables)
+        raw = [math.log((t[item] + 0.5) / (sum(t.values()) + 0.5 * size + 1)) for t in tables]
+        return [max(x - max(raw), -li.CLIP) for x in raw]
+
+    def word(w):
+        if any(w in words[x] for x in langs):
+            return logs(w, [words[x] for x in langs])
+        for o in li.ORDERS:
+            tables = [grams[x, o] for x in langs]
+            known = [logs(g, tables) for g in li.grams_of(w, o) if any(g in t for t in tables)]
+            if known:
+                total = [sum(k[j] for k in known) * min(2, len(known)) / len(known) for j in range(len(langs))]
+                return [max(x - max(total), -li.CLIP) for x in total]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        found = [word(w) for c in (t or "").split() for w in li.words_of(c)]
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        total = [sum(f[j] for f in found) for j in range(len(langs))]
+        p = [math.exp(x - max(total)) for x in total]
+        out.append((langs[p.index(max(p))], max(p) / sum(p)))
+    return out
+
+
+def test_equals_brute_force(spark):
+    train = [*texts(60, 7), (900, "nur deutsch Über-Haus x9 ², l'eau", "de", "s"), (901, None, "fr", "s")]
+    model = li.train(spark.createDataFrame(train, SCHEMA))
+    rows = [*texts(40, 8), (1000, "wasserhaus pierreux fluss", None, None), (1001, "日本語のテキスト" * 50, None, None), (1002, '{"house":1,"eau":[2]}' * 40, None, None), (1003, "Q", None, None), (1004, "", None, None), (1005, "the der le", None, None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in li.predict(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    for (d, *_), (lang, score) in zip(rows, brute(train, [r[1] for r in rows]), strict=True):
+        assert got[d][0] == lang and abs(got[d][1] - score) < 1e-4, d
+
+
+def test_result_columns_are_replaced(spark):
+    model = li.train(spark.createDataFrame(texts(30, 1), SCHEMA))
+    df = spark.createDataFrame([(1, "der fluss", "mine", "mine")], "doc_id long, text string, score string, lang_pred string")
+    got = li.predict(df, model)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"] and got.first()["lang_pred"] == "de"

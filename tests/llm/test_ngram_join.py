@@ -125,3 +125,28 @@ def test_components(spark):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert dict(map(tuple, components.connected(spark.createDataFrame(edges, "u long, v long")).collect())) == root
+
+
+def test_own_columns_stay(spark):
+    df = spark.createDataFrame([(1, "one two three four five six", "mine", 7, "k"), (2, "one two three four five six", "yours", 8, "k")], "doc_id long, text string, k string, h long, __k string")
+    assert [tuple(r) for r in nj.keep_one(df).collect()] == [(1, "one two three four five six", "mine", 7, "k")]
+
+
+def test_text_without_spaces(spark):
+    rows = [(1, "漢字" * 3000), (2, "漢字" * 3000), (3, "字漢" * 3000), (4, "漢 " * 3000)]
+    assert got(spark, rows) == sorted(brute(rows), key=str)
+
+
+def test_large_groups_of_many_sizes(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(nj, "BLOCK_SHINGLES", 600)
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(90):
+        w = base[: r.choice([100, 110, 130, 160, 200, 240, 300])]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            w = w[:]
+            w[r.randrange(len(w))] = f"x{r.randrange(1000)}"
+        rows.append((k, " ".join(w)))
+    assert got(spark, rows) == sorted(brute(rows), key=str)
