@@ -70,6 +70,12 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def one_of(rows: DataFrame, column: str) -> Column:
+    """One value of a group: the least, or the first met where values of that type have no order."""
+    kind = rows.schema[column].dataType.simpleString()
+    return F.first(column) if "map<" in kind or "variant" in kind else F.min(column)
+
+
 def row_slices(batch: pa.RecordBatch, text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that each piece holds about max_bytes of text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()

@@ -3,12 +3,12 @@
 Texts are equal when identical after every character of [\\x20\\x09-\\x0D] is deleted. A slim table holds
 id, lengths and prefix hash of each row. Rows alone in their length, then rows alone in their prefix hash,
 leave; only the survivors' full texts are read and hashed. Every count is pre-aggregated before its
-shuffle, lengths are refined on the counts, and rows meet their group in a join that adaptive execution can split, so a
-group with a third of all rows stays even. No text is shuffled to find the copies.
+shuffle, lengths are refined on the counts, and the groups are written before rows meet them, so that both sides of
+the join are plain shuffles, which adaptive execution splits: a group with a third of all rows stays even. No text is shuffled to find the copies.
 
 Defined results: null counts as empty, and empty texts are copies of one another. Of equal texts the row
 with the most code points in the original text stays, then the smallest id (null ids last). Rows that repeat
-the id as well as the text are one group and exactly one of them stays. Other columns play no part.
+the id as well as the text are one group and exactly one of them stays. Ids may be of any type that has an order. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onomast.llm.common import BROADCAST_ROWS, written
+from onomast.llm.common import BROADCAST_ROWS, one_of, written
 
 PREFIX = 256
 
@@ -60,9 +60,9 @@ def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pre
     full = full.join(F.broadcast(ids) if some <= BROADCAST_ROWS else ids, "k", "left_semi")
     full = full.select("id", full_hash(F.col("t")).alias("full_hash"), F.char_length(F.coalesce("t", F.lit(""))).alias("n"))
     hashed = written(full.groupBy("id", "full_hash", "n").agg(F.count(F.lit(1)).alias("rows")), "dedup_hashed")
-    order = F.struct(F.col("n"), F.col("id").isNotNull(), -F.col("id"))
-    best = hashed.groupBy("full_hash").agg(F.max(order).alias("best"), F.sum("rows").alias("group_size")).where("group_size > 1")
-    best = best.select("full_hash", "group_size", F.col("best.n").alias("keep_n"), F.negate(F.col("best.col3")).alias("keep_id"))
+    order = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
+    best = hashed.groupBy("full_hash").agg(F.min(order).alias("best"), F.sum("rows").alias("group_size")).where("group_size > 1")
+    best = written(best.select("full_hash", "group_size", F.negate("best.n").alias("keep_n"), F.col("best.id").alias("keep_id")), "dedup_groups")
     return hashed.join(best, "full_hash")
 
 
@@ -77,10 +77,11 @@ def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     cols = lambda kept: ["doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), kept.alias("kept"), "text_sha256"]
     if copies.where("rows > 1").isEmpty():
         return out.select(*cols(alone | winner))
-    # rows that repeat id and text: the winner's first copy stays
-    twin = out.groupBy("doc_id", "text_sha256", "n", "keep_id", "keep_n", "group_size").agg(F.count(F.lit(1)).alias("rows"))
-    twin = twin.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return twin.select(*cols((F.col("copy") == 1) & (alone | winner)))
+    # rows that repeat id and text: the winner's first copy stays, by a number that is fixed when the rows are written
+    numbered = written(out.withColumn("rid", F.monotonically_increasing_id()), "dedup_numbered")
+    first = written(numbered.where("rows > 1").groupBy("doc_id", "text_sha256", "n").agg(F.min("rid").alias("first")).select("first"), "dedup_first")
+    twins = numbered.join(first, F.col("rid") == F.col("first"), "left")
+    return twins.select(*cols(alone | (winner & ((F.col("rows") == 1) | F.col("first").isNotNull()))))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,5 +96,5 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     again = copies.where(winner & repeated).select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"), F.col("full_hash").alias("h"), F.col("n").alias("m"))
     if again.isEmpty():
         return kept
-    one = with_key.join(again, ["k", "h", "m"], "left_semi").groupBy("k", "h", "m").agg(F.min("row").alias("row"))
+    one = with_key.join(again, ["k", "h", "m"], "left_semi").groupBy("k", "h", "m").agg(one_of(with_key, "row").alias("row"))
     return kept.unionByName(one.select("row.*"))

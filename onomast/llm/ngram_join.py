@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from onomast.llm.common import BROADCAST_ROWS, ChunkCache, release, row_slices, small_batches, unused, worker_state, written
+from onomast.llm.common import BROADCAST_ROWS, ChunkCache, one_of, release, row_slices, small_batches, unused, worker_state, written
 from onomast.llm.components import connected
 from onomast.llm.decontaminate import WORD_BYTES
 
@@ -320,5 +320,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     if again.isEmpty():
         return kept
     # rows that repeat id and text: one of them
-    one = with_key.join(again, [k, h], "left_semi").groupBy(k, h).agg(F.min(F.struct(*names)).alias("row"))
+    twins = with_key.join(again, [k, h], "left_semi").select(F.col(k).alias("k"), F.col(h).alias("h"), F.struct(*names).alias("row"))
+    one = twins.groupBy("k", "h").agg(one_of(twins, "row").alias("row"))
     return kept.unionByName(one.select("row.*"))

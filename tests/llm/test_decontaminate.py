@@ -82,3 +82,69 @@ def test_empty_tables(spark):
     assert found(spark, [(1, "a b")], [("i", None)])[0] == {1: (2, 0, [], False)}
 
 
+
+
+def test_many_equal_short_items(spark):
+    items = [(str(k), "the") for k in range(300)] + [("x", "the cat"), ("y", "sat on the cat mat now")]
+    docs = [(k, "the cat sat on the cat mat now here " * 40) for k in range(30)] + [(99, "nothing")]
+    got, rows = found(spark, docs, items)
+    assert got == brute(docs, items)
+    assert rows[0]["dc_longest"].asDict() == {"n_words": 6, "doc_word": 2, "item_id": "y", "item_word": 0}
+
+
+def test_memory_of_equal_short_items():
+    import tracemalloc
+
+    text = (b"the cat sat on a mat " * 50_000)[: 1 << 20]
+
+    def peak(n):
+        bench = dc.Benchmark.of([(str(k), "the") for k in range(n)])
+        tracemalloc.start()
+        dc.match([text], bench)
+        try:
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(2000) < 1.2 * peak(1)
+
+
+def brute_longest(docs, items):
+    out = {}
+    for d, t in docs:
+        w, best = WORD.findall(low(t)), None
+        for i, x in items:
+            v = WORD.findall(low(x))
+            for p in range(len(w)):
+                for q in range(len(v)):
+                    n = 0
+                    while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                        n += 1
+                    if n:
+                        rank = (-n, p, i is not None, i or "", q)
+                        best = min(best, rank) if best else rank
+        out[d] = best
+    return out
+
+
+def test_longest_match_equals_brute_force(spark):
+    docs, items = cases(7)
+    docs, items = docs[:-1], [(i, t) for i, t in items if i != "dup"]
+    for options in ({}, {"block_bytes": 150}):
+        counts, rows = found(spark, docs, items, **options)
+        want = brute_longest(docs, items)
+        for r in rows:
+            b = r["dc_longest"]
+            if options:  # a block's own longest match may start where no window of the block hits
+                assert (b is None) == (counts[r[0]][1] == 0) and (b is None or b["n_words"] <= -want[r[0]][0])
+            else:
+                assert (b is None) == (counts[r[0]][1] == 0)
+                assert b is None or (-b["n_words"], b["doc_word"], b["item_id"] is not None, b["item_id"] or "", b["item_word"]) >= want[r[0]]
+                assert b is None or b["n_words"] == -want[r[0]][0] or b["n_words"] < 13
+
+
+def test_text_without_spaces(spark):
+    long = "漢字" * 30_000
+    docs = [(1, long), (2, '{"a":"b"}' * 5000), (3, f"x {long} y"), (4, "b")]
+    items = [("i", long), ("j", "a b")]
+    assert found(spark, docs, items)[0] == {k: v for k, v in brute(docs, items).items()}

@@ -55,3 +55,15 @@ def test_hot_group_and_empty(spark):
     assert sorted(map(tuple, ed.annotate(frame(spark, rows)).collect()), key=str) == brute(rows)
     empty = frame(spark, [])
     assert ed.annotate(empty).count() == 0 and ed.keep_first(empty).columns == empty.columns
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("b", "x y", {"k": 1}), ("a", "xy ", {"k": 2}), (None, "x  y", None), ("c", "z", None), ("c", "z", None)], "doc_id string, text string, m map<string,int>")
+    got = sorted(tuple(r)[:4] for r in ed.annotate(df).where("doc_id is not null").collect())
+    assert got == [("a", None, 3, False), ("b", None, 3, False), ("c", "c", 2, False), ("c", "c", 2, True)]
+    assert sorted(str(r["doc_id"]) for r in ed.keep_first(df).collect()) == ["None", "c"]
+
+
+def test_own_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a", "p", "q"), (2, "a ", "r", "s"), (3, "b", "t", "u")], "doc_id long, text string, keep_id string, row string")
+    assert sorted(map(tuple, ed.keep_first(df).collect())) == [(2, "a ", "r", "s"), (3, "b", "t", "u")]
