@@ -15,10 +15,10 @@ in a text is that token. Rows are encoded each on its own, so ties, repeated row
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
@@ -42,31 +42,30 @@ def byte_letters() -> dict[int, str]:
 
 
 def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Applies the merges in order of rank, then position."""
-    n = len(symbols)
+    """Applies the merges in order of rank, then position. An entry of the queue is one number, rank above position."""
+    n, get = len(symbols), ranks.get
     text = list(symbols)
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    queue = [(r, i, text[i], text[i + 1]) for i in range(n - 1) if (r := ranks.get((text[i], text[i + 1]))) is not None]
-    heapq.heapify(queue)
+    after, before = [*range(1, n), -1], list(range(-1, n - 1))
+    queue = [r << 32 | i for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := get(pair)) is not None]
+    heapify(queue)
     while queue:
-        _, i, a, b = heapq.heappop(queue)
+        entry = heappop(queue)
+        i = entry & 0xFFFFFFFF
         j = after[i]
-        if text[i] != a or j < 0 or text[j] != b:
-            continue  # stale
-        text[i], text[j] = a + b, ""
+        # stale: the symbols there are no longer the pair of this rank
+        if j < 0 or get((text[i], text[j])) != entry >> 32:
+            continue
+        new = text[i] = text[i] + text[j]
+        text[j] = ""
         k = after[i] = after[j]
         if k >= 0:
             before[k] = i
-            if (r := ranks.get((text[i], text[k]))) is not None:
-                heapq.heappush(queue, (r, i, text[i], text[k]))
+            if (r := get((new, text[k]))) is not None:
+                heappush(queue, r << 32 | i)
         h = before[i]
-        if h >= 0 and (r := ranks.get((text[h], text[i]))) is not None:
-            heapq.heappush(queue, (r, h, text[h], text[i]))
-    out, i = [], 0
-    while i >= 0 and n:
-        out.append(text[i])
-        i = after[i]
-    return out
+        if h >= 0 and (r := get((text[h], new))) is not None:
+            heappush(queue, r << 32 | h)
+    return [t for t in text if t]
 
 
 class Codec:
@@ -98,8 +97,8 @@ class Codec:
         self.odd = regex.compile("[\x1c-\x1f]")
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         size = lambda made: 64 + len(made[0]) + 8 * len(made[1])
-        self.pieces = ChunkCache(self._piece, 16 << 20, size)
-        self.words = ChunkCache(self._word, 16 << 20, size)
+        self.pieces = ChunkCache(self._piece, 32 << 20, size)
+        self.words = ChunkCache(self._word, 24 << 20, size)
 
     def encode_word(self, word: str) -> list[str]:
         symbols = [self.letters[b] for b in word.encode()]
