@@ -10,43 +10,50 @@ from onomast.llm.common import LONGEST_PIECE
 
 
 class ChunkTable:
-    """Maps pieces of text to rows of an array, made once a distinct piece; bounded by bytes, and cleared when full.
+    """Maps pieces of text to rows of an array, made once a distinct piece.
 
-    `make` gives the rows of a list of new pieces. Pieces longer than LONGEST_PIECE are kept for their batch only.
+    Two generations bound the memory by bytes: a full young one becomes the old one, and pieces met again move
+    back. `make` gives the rows of a list of new pieces. Pieces longer than LONGEST_PIECE are kept for their batch only.
     """
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 24 << 20):
+    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 16 << 20):
         self.make, self.limit, self.spent, self.used = make, limit, 0, 0
         self.index: dict[str, int] = {}
-        self.rows: np.ndarray | None = None
+        self.old: dict[str, int] = {}
+        self.rows = self.old_rows = None
         self.brief: list[str] = []
 
-    def numbers(self, chunks: list[str]) -> np.ndarray:
-        """The pieces' rows in self.rows, which may be another array afterwards."""
+    def _trim(self) -> None:
         for c in self.brief:
             self.index.pop(c, None)
         self.brief.clear()
         if self.spent > self.limit:
-            self.index.clear()
-            self.rows, self.spent = None, 0
+            self.old, self.old_rows = self.index, self.rows[: self.used].copy()
+            self.index, self.rows, self.spent, self.used = {}, None, 0, 0
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The pieces' rows in self.rows, which may be another array afterwards."""
+        self._trim()
         index = self.index
-        out = list(map(index.get, chunks))
-        if self.rows is None:
-            self.rows, self.used = self.make([]), 0
-        if None in out:
-            new = list({c for c, n in zip(chunks, out, strict=True) if n is None})
-            start, made = self.used, self.make(new)
-            if start + len(new) > len(self.rows):
-                grown = np.zeros((2 * (start + len(new)), made.shape[1]), np.float32)
-                grown[:start] = self.rows[:start]
+        new = set(chunks).difference(index)
+        if new or self.rows is None:
+            met = list(new.intersection(self.old))
+            fresh = list(new.difference(met))
+            made = self.make(fresh).astype(np.float32)
+            if met:
+                made = np.concatenate([made, self.old_rows[[self.old[c] for c in met]]])
+            start, names = self.used, fresh + met
+            if self.rows is None or start + len(names) > len(self.rows):
+                grown = np.zeros((2 * (start + len(names)), made.shape[1]), np.float32)
+                if start:
+                    grown[:start] = self.rows[:start]
                 self.rows = grown
-            self.rows[start : start + len(new)] = made
-            self.used += len(new)
-            self.spent += len(new) * (140 + 8 * made.shape[1]) + sum([len(c) for c in new if len(c) <= LONGEST_PIECE])
-            self.brief += [c for c in new if len(c) > LONGEST_PIECE]
-            index.update(zip(new, range(start, start + len(new)), strict=True))
-            out = [index[c] if n is None else n for c, n in zip(chunks, out, strict=True)]
-        return np.array(out, np.int64)
+            self.rows[start : start + len(names)] = made
+            self.used += len(names)
+            self.spent += len(names) * (130 + 8 * made.shape[1]) + sum([len(c) for c in names if len(c) <= LONGEST_PIECE])
+            self.brief += [c for c in names if len(c) > LONGEST_PIECE]
+            index.update(zip(names, range(start, self.used), strict=True))
+        return np.array(list(map(index.__getitem__, chunks)), np.int64)
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -35,7 +35,7 @@ from onomast.llm.common import release, row_slices, small_batches, worker_state,
 WORDS, GRAMS, ORDERS = 500_000, 200_000, (4, 3, 2, 1)
 BATCH_BYTES = 2 << 20
 #: Counted pieces that a task holds before it hands them on.
-HELD = 80_000
+HELD = 150_000
 #: Bytes of text after which it does so whatever their number.
 HELD_BYTES = 32 << 20
 RUN = re.compile(r"[^\W\d_]+")
@@ -58,11 +58,18 @@ def grams_of(word: str, order: int) -> list[str]:
     return [edged[k : k + order] for k in range(len(edged) - order + 1)]
 
 
-def _counted(counts: Counter) -> Iterator[pa.RecordBatch]:
-    items = list(counts.items())
-    for k in range(0, len(items), 50_000):
-        part = items[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in part], pa.string()), pa.array([x[0][1] for x in part], pa.string()), pa.array([x[1] for x in part], pa.int64())], ["lang", "item", "n"])
+COUNTS = "lang string, item string, n long"
+
+
+def _counted(counts: dict[str, dict[str, int]]) -> Iterator[pa.RecordBatch]:
+    """The counts of each language, which are given away."""
+    for name, own in counts.items():
+        items, ns = list(own), list(own.values())
+        own.clear()
+        for k in range(0, len(items), 50_000):
+            n = len(ns[k : k + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name), n), pa.array(items[k : k + 50_000], pa.string()), pa.array(ns[k : k + 50_000], pa.int64())], ["lang", "item", "n"])
+    counts.clear()
 
 
 def count_words(rows: DataFrame, text: str, lang: str) -> DataFrame:
@@ -73,13 +80,15 @@ def count_words(rows: DataFrame, text: str, lang: str) -> DataFrame:
         taken = 0
 
         def given() -> Iterator[pa.RecordBatch]:
-            words: Counter = Counter()
             for name, chunks in held.items():
+                words: dict[str, int] = {}
+                get = words.get
                 for chunk, n in chunks.items():
                     for w in words_of(chunk):
-                        words[name, w] += n
+                        words[w] = get(w, 0) + n
+                chunks.clear()
+                yield from _counted({name: words})
             held.clear()
-            yield from _counted(words)
 
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
@@ -93,28 +102,27 @@ def count_words(rows: DataFrame, text: str, lang: str) -> DataFrame:
         release()
 
     small_batches(rows.sparkSession)
-    counts = rows.select(lang, text).mapInArrow(run, "lang string, item string, n long")
-    return counts.groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    return rows.select(lang, text).mapInArrow(run, COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
 def count_grams(words: DataFrame) -> DataFrame:
     """lang, item, n of the character n-grams of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: dict[str, dict[str, int]] = {}
         for batch in batches:
             for name, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "item", "n")), strict=True):
+                counts = held.setdefault(name, {})
+                get = counts.get
                 for order in ORDERS:
                     for g in grams_of(word, order):
-                        counts[name, g] += n
+                        counts[g] = get(g, 0) + n
                 if len(counts) > HELD:
-                    yield from _counted(counts)
-                    counts.clear()
-        yield from _counted(counts)
-        counts.clear()
+                    yield from _counted(held)
+        yield from _counted(held)
         release()
 
-    return words.mapInArrow(run, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(run, COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
 def _frequent(counts: DataFrame, most: int, group: Column) -> tuple[pa.Table, dict]:
