@@ -2,17 +2,18 @@
 
 Base rules find assignments, access keys and hex runs. The entropy scan adds high-entropy strings: every
 candidate (a run of key characters) is one character class - hex, base32, or base64 - and a window of
-WINDOW characters slides over it. The counts of the window's characters are kept up by one in and one
-out, and with them S = sum of c * log2(c), so the entropy log2(WINDOW) - S / WINDOW costs a step the same whatever
+WINDOW characters slides over it. A count is kept for each character that the candidate has; a character that comes in or goes
+out changes one count, and with it S = sum of c * log2(c), so the entropy log2(WINDOW) - S / WINDOW costs a step the same whatever
 the window. A candidate whose best window reaches its class's threshold is reported unless an
-allow-list rule suppresses it (words, paths, dates, repeated characters, UUIDs).
+allow-list rule suppresses it (words, paths, dates, repeated characters, UUIDs). Long candidates are scanned in segments that
+overlap by a window, until one reaches the threshold.
 
 Positions come from splitting the text at the matches: the lengths of the parts and matches before a match
-add up to its start, in code points. Everything is built from SQL functions; no row leaves the JVM. Texts that can hold no
+add up to its start, in code points; they are added up block by block, so that lists are not copied once a match. Everything is built from SQL functions; no row leaves the JVM. Texts that can hold no
 match of a kind skip it after one regular-expression test.
 
 Defined results: null counts as empty and has no spans. Rows are scanned each on its own, so ties, repeated
-rows and other columns play no part (columns named as the results are replaced).
+rows and other columns play no part; columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from onomast.llm.common import unused
+
 #: Fixed patterns of the base rules.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -30,13 +33,15 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Characters of a segment, and matches of a block.
+SEGMENT, BLOCK = 2048, 64
 #: Bits a character that the best window must reach, by class; the most that 20 characters can have is 4.32.
 HEX_BITS, BASE32_BITS, BASE64_BITS = 3.0, 3.6, 3.9
 #: Candidates that are no secrets: one case of letters only, numbers, words joined by - _ or /, UUIDs, one character repeated.
 ALLOWED = [
     r"^[A-Z]?[a-z]+$|^[A-Z]+$",
     r"^[0-9]+$",
-    r"^([A-Za-z]+[-_/=+]+)*[A-Za-z]+[-_/=+]*$",
+    r"^[A-Za-z][A-Za-z_/=+-]*$",
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"^(.)\1+$",
 ]
@@ -46,58 +51,83 @@ SPAN = "array<struct<start:int,end:int,match:string>>"
 
 def spans(text: Column, pattern: str, has: Column) -> Column:
     """start, end (code points, end exclusive) and string of the leftmost non-overlapping matches, none of them empty."""
-    matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    sizes = F.transform(F.split(text, pattern, -1), F.char_length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    none = F.array().cast(SPAN)
+    zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.char_length(x["match"])
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("found"))
 
-    def few(sizes: Column, matches: Column) -> Column:
-        pairs = F.arrays_zip(F.slice(sizes, 1, F.size(matches)).alias("gap"), matches.alias("match"))
-        return F.aggregate(pairs, zero, step, lambda acc: acc["found"])
+    def shift(acc: Column, block: Column) -> Column:
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases"))
+
+    def moved(block: Column, base: Column) -> Column:
+        return F.transform(block["found"], lambda s: F.struct((s["start"] + base).alias("start"), (s["end"] + base).alias("end"), s["match"].alias("match")))
 
-    return F.when(has, few(sizes, matches)).otherwise(F.array().cast(SPAN))
+    def blocks(pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(pairs) - 1, F.lit(BLOCK)), lambda k: F.aggregate(F.slice(pairs, k + 1, F.lit(BLOCK)), zero, step))
+
+    def joined(made: Column) -> Column:
+        bases = F.aggregate(made, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases")), shift, lambda a: a["bases"])
+        return F.flatten(F.zip_with(made, bases, moved))
+
+    matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(g.alias("gap"), m.alias("match")))
+    # one-element arrays name a value for the lambda that uses it several times
+    found = F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, F.transform(F.array(blocks(p)), joined)[0]).otherwise(none))[0]
+    return F.when(has, found).otherwise(none)
 
 
-def _weight(n: Column) -> Column:
-    """n * log2(n), 0 for 0."""
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+def _steps(window: int) -> tuple[Column, Column]:
+    """How n * log2(n) grows with the count n, from 0 to the window's size, by one more and by one less."""
+    weight = [n * math.log2(n) if n else 0.0 for n in range(window + 2)]
+    up = F.array(*[F.lit(weight[n + 1] - weight[n]) for n in range(window + 1)])
+    down = F.array(*[F.lit(weight[max(0, n - 1)] - weight[n]) for n in range(window + 2)])
+    return up, down
 
 
 def best_entropy(candidate: Column, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits a character, of a window over the candidate (null if it is shorter).
 
-    Runs over the characters once. The state holds the counts of the characters in the window (128 slots, candidates
-    are ASCII), S and the least S met; a character that enters with count c adds w(c + 1) - w(c), one that
-    leaves takes w(c) - w(c - 1).
+    Runs over the characters once; a character coming in and the one going out are two steps. The state holds the counts, one character
+    ('0' and up) for each distinct character of the candidate, S, and the least S of a full window.
     """
-    codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), F.ascii)
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("least"), F.lit(0).alias("i"))
+    up, down = _steps(window)
+
+    def run(letters: Column) -> Column:
+        alphabet = F.array_join(F.array_distinct(letters), "")
+
+        def scan(alphabet: Column) -> Column:
+            places = F.transform(letters, lambda c: F.instr(alphabet, c))
+
+            def events(places: Column) -> Column:
+                def pair(p: Column, i: Column) -> Column:
+                    into = F.struct(p.alias("p"), F.lit(1).alias("by"), (i == window - 1).alias("full"))
+                    out = F.struct(F.get(places, i - window).alias("p"), F.lit(-1).alias("by"), F.lit(True).alias("full"))
+                    return F.when(i < window, F.array(into)).otherwise(F.array(into, out))
+
+                return F.flatten(F.transform(places, pair))
+
+            def step(a: Column, x: Column) -> Column:
+                n = F.ascii(F.substr(a["n"], x["p"], F.lit(1))) - 48
+                s = a["s"] + F.when(x["by"] > 0, F.element_at(up, n + 1)).otherwise(F.element_at(down, n + 1))
+                return F.struct(F.overlay(a["n"], F.chr(n + 48 + x["by"]), x["p"]).alias("n"), s.alias("s"), F.when(x["full"], F.least(a["least"], s)).otherwise(a["least"]).alias("least"))
 
-    def bumped(n: Column, code: Column, by: int) -> Column:
-        return F.concat(F.slice(n, F.lit(1), code), F.array(F.element_at(n, code + 1) + by), F.slice(n, code + 2, F.lit(127) - code))
+            start = F.struct(F.repeat(F.lit("0"), F.char_length(alphabet)).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("least"))
+            least = F.transform(F.array(places), lambda p: F.aggregate(events(p), start, step, lambda a: a["least"]))[0]
+            return F.when(F.size(letters) >= window, F.lit(math.log2(window)) - least / window)
 
-    def run(codes: Column) -> Column:
-        steps = F.transform(codes, lambda c, i: F.struct(c.alias("new"), F.when(i >= window, F.get(codes, i - window)).alias("old")))
+        return F.transform(F.array(alphabet), scan)[0]
 
-        def step(a: Column, x: Column) -> Column:
-            c_in = F.element_at(a["n"], x["new"] + 1)
-            entered = F.struct(bumped(a["n"], x["new"], 1).alias("n"), (a["s"] + _weight(c_in + 1) - _weight(c_in)).alias("s"))
-            # the leaving character's count after the new one came in
-            c_out = F.element_at(a["n"], x["old"] + 1) + F.when(x["old"] == x["new"], 1).otherwise(0)
-            left_n = bumped(bumped(a["n"], x["new"], 1), x["old"], -1)
-            left_s = a["s"] + _weight(c_in + 1) - _weight(c_in) + _weight(c_out - 1) - _weight(c_out)
-            s = F.when(x["old"].isNull(), entered["s"]).otherwise(left_s)
-            n = F.when(x["old"].isNull(), entered["n"]).otherwise(left_n)
-            i = a["i"] + 1
-            return F.struct(n.alias("n"), s.alias("s"), F.when(i >= window, F.least(a["least"], s)).otherwise(a["least"]).alias("least"), i.alias("i"))
+    return F.transform(F.array(F.filter(F.split(candidate, ""), lambda c: c != "")), run)[0]
 
-        return F.aggregate(steps, start, step, lambda a: F.when(a["i"] >= window, F.lit(math.log2(window)) - a["least"] / window))
 
-    return run(codes)
+def reaches(candidate: Column, bits: Column, window: int = WINDOW) -> Column:
+    """Whether a window of the candidate has so many bits a character; segments after the first one that does aren't scanned."""
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length(candidate) - window, F.lit(0)), F.lit(SEGMENT))
+    return F.exists(starts, lambda k: F.coalesce(best_entropy(F.substr(candidate, k + 1, F.lit(SEGMENT + window - 1)), window) >= bits, F.lit(False)))
 
 
 def suspicious(match: Column) -> Column:
@@ -106,7 +136,7 @@ def suspicious(match: Column) -> Column:
     allowed = F.lit(False)
     for rule in ALLOWED:
         allowed = allowed | match.rlike(rule)
-    return F.when(allowed, F.lit(False)).otherwise(F.coalesce(best_entropy(match) >= bits, F.lit(False)))
+    return F.when(allowed, F.lit(False)).otherwise(reaches(match, bits))
 
 
 def _listed(found: list[tuple[int, str]]) -> Column:
@@ -125,19 +155,13 @@ FOUND = ("n_assign", "n_access", "n_hex", "n_entropy", "base_spans", "spans")
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of docs with n_assign, n_access, n_hex, n_entropy, base_spans and spans (kind:start:end, comma-joined)."""
-    rows = docs.drop(*FOUND)
+    own = unused([*docs.columns, *FOUND], *KINDS)
     t = F.coalesce(F.col(text), F.lit(""))
     # a rule's test runs once a text; its matches are sought in few texts
-    rows = rows.withColumn("__assign", spans(t, ASSIGN, t.rlike(ASSIGN)))
-    rows = rows.withColumn("__access", spans(t, ACCESS, t.contains("AKIA")))
-    rows = rows.withColumn("__hex", spans(t, HEX, t.rlike(HEX)))
-    rows = rows.withColumn("__entropy", spans(t, CANDIDATE, t.rlike(CANDIDATE)))
-    rows = rows.withColumn("__assign", F.filter("__assign", lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 1)) >= 12))
-    rows = rows.withColumn("__entropy", F.filter("__entropy", lambda s: suspicious(s["match"])))
-    base = [(0, "__assign"), (1, "__access"), (2, "__hex")]
-    rows = rows.withColumns({
-        "n_assign": F.size("__assign").cast("bigint"), "n_access": F.size("__access").cast("bigint"),
-        "n_hex": F.size("__hex").cast("bigint"), "n_entropy": F.size("__entropy").cast("bigint"),
-        "base_spans": _listed(base), "spans": _listed([*base, (3, "__entropy")]),
-    })
-    return rows.drop("__assign", "__access", "__hex", "__entropy")
+    rows = docs.withColumns(dict(zip(own, [spans(t, ASSIGN, t.rlike(ASSIGN)), spans(t, ACCESS, t.contains("AKIA")), spans(t, HEX, t.rlike(HEX)), spans(t, CANDIDATE, t.rlike(CANDIDATE))], strict=True)))
+    kept = {own[0]: F.filter(own[0], lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 1)) >= 12), own[3]: F.filter(own[3], lambda s: suspicious(s["match"]))}
+    rows = rows.withColumns(kept)
+    found = list(enumerate(own))
+    counts = {f"n_{kind}": F.size(own[k]).cast("bigint") for k, kind in enumerate(KINDS)}
+    made = counts | {"base_spans": _listed(found[:3]), "spans": _listed(found)}
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in FOUND], *[made[c].alias(c) for c in FOUND])

@@ -60,3 +60,37 @@ def test_entropy_by_incremental_counts(spark):
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_runs_and_many_matches(spark):
+    r = random.Random(6)
+    mixed = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/") for _ in range(3000))
+    runs = ["a-" * 500_000 + "9", "ab" * 500_000 + "9", "A" * 1_000_000, "=" * 1_000_000, "0" * 1_000_000, "a" * 600_000 + "9", "-" * 1_000_000 + "1"]
+    few = ["a-" * 4000 + "9", "a-" * 3000 + mixed, mixed * 3, "ab0" * 2045 + mixed, " ".join("%016x" % k for k in range(3000)), "token=abcdefabcdefab " * 900, "漢字" * 20_000, '{"key":"value","n":[1,2]},' * 3000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(runs + few)], "doc_id long, text string").repartition(4)
+    got = {x[0]: tuple(x)[1:] for x in secrets.scan(df).select("doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_spans", "spans").collect()}
+    for k, t in enumerate(few):
+        assert got[len(runs) + k] == brute(t), t[:80]
+    assert [got[k][3] for k in range(len(runs))] == [0, 0, 0, 0, 0, 0, 0]
+
+
+def test_own_columns_stay(spark):
+    df = spark.createDataFrame([(1, "token=abcdefabcdefab", "a", "b", "c")], "doc_id long, text string, hex string, __hex string, spans string")
+    got = secrets.scan(df)
+    assert got.columns == ["doc_id", "text", "hex", "__hex", *secrets.FOUND]
+    assert tuple(got.first())[2:5] == ("a", "b", 1) and got.first()["spans"] == "assign:0:20"
+
+
+#: The rules as stated in the contract and in the README, apart from the module's own.
+STATED_BITS = {"hex": 3.0, "base32": 3.6, "base64": 3.9}
+STATED_ALLOWED = ["[A-Z]?[a-z]+", "[A-Z]+", "[0-9]+", "[A-Za-z]([A-Za-z]|[-_/=+])*", "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"]
+
+
+def test_thresholds_and_allow_list_are_as_stated():
+    assert (secrets.HEX_BITS, secrets.BASE32_BITS, secrets.BASE64_BITS) == tuple(STATED_BITS.values())
+    r = random.Random(7)
+    parts = ["abc", "Abc", "ABC", "-", "_", "/", "=", "+", "12", "0af3", "123e4567-e89b-12d3-a456-426614174000", "z" * 22]
+    for _ in range(5000):
+        c = "".join(r.choice(parts) for _ in range(r.randint(1, 5)))
+        want = any(re.fullmatch(a, c) for a in STATED_ALLOWED) or (len(c) > 1 and len(set(c)) == 1)
+        assert any(re.search(a, c) for a in secrets.ALLOWED) == want, c
