@@ -1,15 +1,21 @@
 """Personal data by base rules and by bootstrapped contextual extraction.
 
-The base rules find e-mail addresses, IP addresses, card numbers and phone numbers. Their matches are seeds.
-The words to the left of a seed are lexical patterns; every other identifier-like string (five digits or more)
-with such words before it is an instance of the pattern too. Spark scores the bipartite pattern-instance
-graph in rounds: a pattern's score is the smoothed mean of its instances' scores, an instance's score the
-best of its patterns' (1 for seeds). Patterns that reach MIN_SCORE with MIN_SEEDS distinct seeds then mark the
-unseen identifiers next to them as kind "context".
+The base rules find e-mail addresses, IP addresses, card numbers and phone numbers. Their matches are the seed instances.
+The word and the two words before an instance are its lexical patterns; the other instances are the identifier-like
+words (five digits or more). Spark scores the bipartite pattern-instance graph in rounds:
 
-One pass reads the texts and writes a slim table (base spans and candidates of each row); the graph is made from
-counts pre-aggregated by pattern and instance, and meets the rows again by a row number fixed when that table
-was written. No text is shuffled and nothing but row counts reaches the driver.
+- a pattern's score is the sum of its instances' scores over ALL its occurrences in the corpus, whatever follows it (PRIOR more
+  for little evidence). So a word that is seldom followed by an identifier scores low however many seeds it precedes, and what a
+  base rule refused (a failed checksum, a part over 255) counts against the words before it.
+- patterns that reach MIN_SCORE with MIN_SEEDS distinct accepted instances are accepted, and so are the instances beside them, with the
+  best such pattern's score (1 for seeds). Refused strings are never accepted.
+- accepted instances support the patterns of all their other occurrences in the next round, until nothing more is accepted.
+
+Occurrences of accepted instances that no base rule covers are the spans of kind "context". Where no word goes with identifiers, none are.
+
+The first pass over the texts writes a slim table (base spans and instances of each row). The second counts the patterns' occurrences,
+pre-aggregated in the task; a bitmap of fixed size (FILTER_BITS) tells it which words can be a pattern, and the exact join that follows drops
+what the bitmap let through for nothing. No text is shuffled and nothing but the bitmap and row counts reaches the driver.
 
 Defined results: null counts as empty and has no spans. Repeated rows are scanned each on its own. Columns other than
 the id and the text play no part. An empty table gives an empty result.
@@ -18,19 +24,29 @@ the id and the text play no part. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from onomast.llm.common import row_slices, texts_of, written
+from onomast.llm.common import ChunkCache, release, row_slices, small_batches, texts_of, written
 
 KINDS = ("email", "ip", "card", "phone", "context")
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
-ROUNDS, MIN_SCORE, MIN_SEEDS, PRIOR = 3, 0.6, 3, 2.0
+MIN_SCORE, MIN_SEEDS, PRIOR = 0.6, 3, 2.0
+#: Bits of the bitmap of patterns, a multiple of 32,768.
+FILTER_BITS = 1 << 22
+#: Counted patterns that a task holds before it hands them on.
+HELD = 100_000
+#: What an instance is: an identifier-like word, one that a base rule refused, a seed.
+OTHER, REFUSED, SEED = 0, 1, 2
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,7 +54,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
-LIKE = re.compile(r"(?<!\S)[^\s0-9]{0,32}[0-9]\S{4,63}(?!\S)")
+#: Words between white space; a colon or an equals sign ends one.
+WORD = re.compile(r"[^\s:=]+[:=]*|[:=]+")
 EDGES = "\"'`.,;:!?()[]{}<>|*#$%&=~"
 
 
@@ -64,50 +81,78 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(free, at + 1))
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the base rules' matches, by kind, then start."""
+Span = tuple[int, int, int]
+
+
+def judged_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
+    """(kind, start, end) of the base rules' matches, by kind, then start; and (start, end) of the strings that a rule refused."""
     out = [(0, a, z) for a, z in emails(text)] if "@" in text else []
+    refused: list[tuple[int, int]] = []
     if not DIGITS.search(text):
-        return out
+        return out, refused
+
+    def judge(kind: int, m: re.Match, good: bool) -> None:
+        if good:
+            out.append((kind, m.start(), m.end()))
+        else:
+            refused.append(m.span())
+
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
-            out.append((1, m.start(), m.end()))
+        judge(1, m, all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")))
     for m in CARD.finditer(text):
-        if len(m[0]) <= 40 and 13 <= len(d := DIGITS.findall(m[0])) <= 19 and luhn("".join(d)):
-            out.append((2, m.start(), m.end()))
+        judge(2, m, len(m[0]) <= 40 and 13 <= len(d := DIGITS.findall(m[0])) <= 19 and luhn("".join(d)))
     if "+" in text:
         for m in PHONE.finditer(text):
-            if 9 <= len(DIGITS.findall(m[0])) <= 15:
-                out.append((3, m.start(), m.end()))
-    return out
+            judge(3, m, 9 <= len(DIGITS.findall(m[0])) <= 15)
+    return out, refused
+
+
+def base_spans(text: str) -> list[Span]:
+    return judged_spans(text)[0]
+
+
+def plain(word: str) -> str:
+    """A word as patterns have it; empty if it holds a digit, since numbers are no context."""
+    word = word.lower()
+    return "" if DIGITS.search(word) else word.strip(EDGES) or word
+
+
+def patterns_of(two_back: str, back: str) -> list[str]:
+    """The patterns that two plain words make with what follows them: the nearer one, and both."""
+    return [x for x in (back, two_back and f"{two_back} {back}") if x] if back else []
+
 
+def _overlaps(spans: list[tuple[int, int]], starts: list[int], reach: list[int], a: int, z: int) -> bool:
+    """Whether one of some spans in order, with the furthest end up to each, overlaps (a, z)."""
+    k = bisect_left(starts, z)
+    return k > 0 and reach[k - 1] > a
 
-def _left(text: str, start: int) -> list[str]:
-    """Lexical patterns: the one and the two words to the left, lower case."""
-    before = text[max(0, start - 80) : start].lower().split()[-2:]
-    before = [w.strip(EDGES) or w for w in before]
-    if before and any(c.isdigit() for c in before[-1]):
+
+def instances(text: str, base: list[Span], refused: list[tuple[int, int]]) -> list[dict]:
+    """The seeds and the identifier-like words, each with its patterns."""
+    if not base and not DIGITS.search(text):
         return []
-    return [" ".join(before[-k:]) for k in range(1, len(before) + 1)]
+    found = [m.span() for m in WORD.finditer(text)]
+    starts = [a for a, _ in found]
 
+    def before(k: int) -> list[str]:
+        return patterns_of(*(plain(text[slice(*found[i])]) if i >= 0 else "" for i in (k - 2, k - 1)))
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """The seeds and the other identifier-like strings, each with its patterns."""
+    out = []
     taken = sorted((a, z) for _, a, z in base)
-    out = [{"start": a, "end": z, "instance": text[a:z], "seed": True, "patterns": _left(text, a)} for a, z in taken]
-    k = 0
-    for m in LIKE.finditer(text) if DIGITS.search(text) else ():
-        if len(DIGITS.findall(m[0])) < 5:
+    for a, z in taken:
+        out.append({"start": a, "end": z, "instance": text[a:z].lower(), "kind": SEED, "patterns": before(bisect_right(starts, a) - 1)})
+    lines = [(x, [a for a, _ in x], list(accumulate((z for _, z in x), max))) for x in (taken, sorted(refused))]
+    for k, (a, z) in enumerate(found):
+        word = text[a:z]
+        if len(word) < 5 or len(DIGITS.findall(word)) < 5:
             continue
-        a, z = m.span()
         while a < z and text[a] in EDGES:
             a += 1
         while z > a and text[z - 1] in EDGES:
             z -= 1
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if z > a and not any(x < z and a < y for x, y in taken[k : k + 4]):
-            out.append({"start": a, "end": z, "instance": text[a:z].lower(), "seed": False, "patterns": _left(text, a)})
+        if z > a and not _overlaps(*lines[0], a, z):
+            out.append({"start": a, "end": z, "instance": text[a:z].lower(), "kind": REFUSED if _overlaps(*lines[1], a, z) else OTHER, "patterns": before(k)})
     return out
 
 
@@ -115,53 +160,117 @@ def say(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{z}" for k, a, z in spans)
 
 
-CANDIDATE = "struct<start:int,end:int,instance:string,seed:boolean,patterns:array<string>>"
+INSTANCE = "struct<start:int,end:int,instance:string,kind:int,patterns:array<string>>"
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, counts and spans of the base rules, and the candidates; a narrow pass."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]], T.StructField("base_spans", T.StringType()), T.StructField("candidates", T._parse_datatype_string(f"array<{CANDIDATE}>"))])
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
+    """doc_id, counts and spans of the base rules, and the instances; a narrow pass."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]], T.StructField("base_spans", T.StringType()), T.StructField("instances", T._parse_datatype_string(f"array<{INSTANCE}>"))])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("kind", pa.int32()), ("patterns", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
-                counts, spans, cands = [[], [], [], []], [], []
+                counts, spans, found = [[], [], [], []], [], []
                 for t in texts_of(part, text):
-                    base = base_spans(t)
+                    base, refused = judged_spans(t)
                     for k in range(4):
                         counts[k].append(sum(1 for s in base if s[0] == k))
                     spans.append(say(base))
-                    cands.append(candidates(t, base))
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(doc_id)), *[pa.array(c, pa.int64()) for c in counts], pa.array(spans, pa.string()), pa.array(cands, kind)], schema.names)
+                    found.append(instances(t, base, refused))
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(doc_id)), *[pa.array(c, pa.int64()) for c in counts], pa.array(spans, pa.string()), pa.array(found, kind)], schema.names)
 
+    small_batches(docs.sparkSession)
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, score, seeds - from edges (pattern, instance, seed, n)."""
-    scored = edges.select("pattern", "instance", "n", F.col("seed").cast("double").alias("s"), "seed")
-    for k in range(rounds):
-        patterns = scored.groupBy("pattern").agg((F.sum(F.col("s") * F.col("n")) / (F.sum("n") + PRIOR)).alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        if k + 1 == rounds:
-            return patterns
-        patterns = written(patterns, "pii_patterns")
-        # a pattern without seeds hands on nothing; an instance takes its best supported pattern's score
-        best = edges.where("not seed").join(patterns.where(F.col("seeds") >= MIN_SEEDS).select("pattern", "score"), "pattern").groupBy("instance").agg(F.max("score").alias("best"))
-        scored = edges.join(best, "instance", "left").select("pattern", "instance", "n", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("s"))
-        scored = written(scored, "pii_scored")
+def bitmap_of(patterns: DataFrame) -> bytes:
+    """A bit for each crc32 of a pattern, modulo FILTER_BITS; made by Spark, of fixed size."""
+    at = F.pmod(F.crc32(F.col("pattern").cast("binary")), F.lit(FILTER_BITS))
+    rows = patterns.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    out = bytearray(FILTER_BITS // 8)
+    for r in rows.collect():
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
+    return bytes(out)
+
+
+def count_patterns(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
+    """pattern, total: how often each given pattern stands before a word."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(patterns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, counts = shared.value, Counter()
+
+        def listed(pattern: str) -> bool:
+            at = zlib.crc32(pattern.encode()) & (FILTER_BITS - 1) if pattern else -1
+            return at >= 0 and bool(bits[at >> 3] >> (at & 7) & 1)
+
+        def look(word: str) -> tuple[str, bool]:
+            word = plain(word)
+            return word, listed(word)
+
+        known = ChunkCache(look)
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "total"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for part in row_slices(batch, text, BATCH_BYTES):
+                for t in texts_of(part, text):
+                    found = [known[w] for w in WORD.findall(t)]
+                    for k, (word, may) in enumerate(found[:-1]):
+                        if may:
+                            counts[word] += 1
+                            if k and found[k - 1][0] and listed(two := f"{found[k - 1][0]} {word}"):
+                                counts[two] += 1
+                known.trim()
+                if len(counts) > HELD:
+                    yield given()
+        yield given()
+        release()
+
+    small_batches(docs.sparkSession)
+    found = docs.select(text).mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
+    return found.join(patterns.select("pattern").distinct(), "pattern", "left_semi")
+
+
+def bootstrap(edges: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted patterns (pattern, score, support) and instances (instance, score) - from edges (pattern, instance, kind, n) and totals (pattern, total).
+
+    Scores and the accepted sets only grow, so the rounds end.
+    """
+    seeds = edges.where(F.col("kind") == SEED).select("instance").distinct().withColumn("score", F.lit(1.0))
+    accepted, before = written(seeds, "pii_instances"), (-1, -1)
+    others = edges.where(F.col("kind") == OTHER).select("pattern", "instance")
+    while True:
+        support = edges.where(F.col("kind") != REFUSED).join(accepted, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("good"), F.count_distinct("instance").alias("support"))
+        scored = support.join(totals, "pattern").select("pattern", (F.col("good") / (F.col("total") + PRIOR)).alias("score"), "support")
+        patterns = written(scored.where((F.col("score") >= MIN_SCORE) & (F.col("support") >= MIN_SEEDS)), "pii_patterns")
+        met = others.join(patterns, "pattern").groupBy("instance").agg(F.max("score").alias("score"))
+        accepted = written(seeds.unionByName(met).groupBy("instance").agg(F.max("score").alias("score")), "pii_instances")
+        now = (patterns.count(), accepted.count())
+        if now == before:
+            return patterns, accepted
+        before = now
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans (kind:start:end by kind, then start) and n_context."""
     rows = written(scan(docs, doc_id, text).withColumn("rid", F.monotonically_increasing_id()), "pii_rows")
-    cands = rows.where(F.size("candidates") > 0).select("rid", F.explode("candidates").alias("c")).select("rid", "c.*")
-    uses = cands.select("rid", "start", "end", "instance", "seed", F.explode("patterns").alias("pattern"))
-    edges = written(uses.groupBy("pattern", "instance", "seed").agg(F.count(F.lit(1)).alias("n")), "pii_edges")
-    good = score_patterns(edges).where((F.col("score") >= MIN_SCORE) & (F.col("seeds") >= MIN_SEEDS)).select("pattern")
-    more = uses.where("not seed").join(good, "pattern", "left_semi").select("rid", "start", "end").distinct()
-    more = more.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("more"))
+    found = rows.where(F.size("instances") > 0).select("rid", F.explode("instances").alias("c")).select("rid", "c.*")
+    # an instance without a word before it still has a row, so that it can be accepted by its other occurrences
+    uses = found.select("instance", "kind", F.explode("patterns").alias("pattern"))
+    edges = written(uses.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")), "pii_edges")
+    if edges.where(F.col("kind") == OTHER).isEmpty():
+        more = rows.select("rid", F.lit(None).cast("array<struct<start:int,end:int>>").alias("more")).limit(0)
+    else:
+        totals = written(count_patterns(docs, edges, text), "pii_totals")
+        _, accepted = bootstrap(edges, totals)
+        unseen = found.where(F.col("kind") == OTHER).join(accepted.select("instance"), "instance", "left_semi")
+        more = unseen.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("more"))
     context = F.transform("more", lambda s: F.concat_ws(":", F.lit(KINDS[4]), s["start"], s["end"]))
     both = F.when(F.col("more").isNull(), F.col("base_spans")).otherwise(F.array_join(F.concat(F.filter(F.split("base_spans", ","), lambda s: s != ""), context), ","))
-    out = rows.drop("candidates").join(more, "rid", "left")
+    out = rows.drop("instances").join(more, "rid", "left")
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_spans", both.alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("bigint").alias("n_context"))
