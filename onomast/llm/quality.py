@@ -5,17 +5,18 @@ Overlapping heuristic labellers vote good (1), poor (0) or abstain (2) on every
 counts of all vote patterns: there are at most 3 ** labellers of them whatever the corpus, so Spark counts
 them over all rows and the driver iterates on the exact counts. A document's posterior follows from its pattern.
 
-The posteriors of a bounded sample (SAMPLE rows by a hash of id and text, a stated parameter) then train a linear scorer
-on hashed words, word shapes and document measures, which scores every row.
+The posteriors of a bounded sample, by a hash of id and text (about SAMPLE rows and at most about SAMPLE_BYTES of their text, stated
+parameters; rows that repeat both count once), then train a linear scorer on hashed words, word shapes and document measures, which scores every row.
 
 Defined results: null and empty texts have no words; they are scored by their measures alone. Repeated rows are scored alike;
-other columns play no part. An empty table gives a model without weights.
+other columns play no part, and columns named weak_label, score or keep are replaced by the results. An empty table gives a model without weights.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onomast.llm.chunks import ChunkTable, sums
-from onomast.llm.common import ChunkCache, row_slices, written
+from onomast.llm.common import ChunkCache, release, row_slices, small_batches, worker_state, written
 
-BITS, SAMPLE = 16, 16_000
-BATCH_BYTES = 4 << 20
+BITS, SAMPLE, SAMPLE_BYTES = 16, 16_000, 48 << 20
+BATCH_BYTES = 2 << 20
 EM_ROUNDS, EPOCHS, BATCH, RATE, DECAY, SCALE = 60, 8, 128, 0.2, 1e-4, 8.0
 LABELLERS = ("bare_marks", "doubled_marks", "echoes", "bars", "sentence_ends", "repeated_lines", "distinct_words", "symbols", "capitals")
 SYMBOLS = "#$%&*<>{}=~^\\"
@@ -160,17 +161,11 @@ def text_features(m: dict[str, float]) -> list[int]:
 class Model:
     weights: np.ndarray
     bias: float
-    kept: ChunkTable | None = None
 
     def pieces(self, found: list[str]) -> np.ndarray:
         at = np.array([piece_features(p) for p in found], np.int64).reshape(-1, 2)
         return self.weights[at].sum(axis=1, keepdims=True)
 
-    def table(self) -> ChunkTable:
-        if self.kept is None:
-            self.kept = ChunkTable(self.pieces)
-        return self.kept
-
 
 def fit(flat: np.ndarray, counts: np.ndarray, measured: np.ndarray, target: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Logistic regression on soft labels: words and shapes count by their share of the text times SCALE, measures by one."""
@@ -207,10 +202,11 @@ def vote(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             codes = [pattern(votes(measures(t or ""))) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(codes, pa.int32())], schema.names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[Labels, Model]:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[Labels, Model]:
     """The labellers' model from all rows, and the scorer from the posteriors of at most about `sample` rows."""
     tally = written(vote(docs, doc_id, text), "quality_votes").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = {r["pattern"]: r["n"] for r in tally}
@@ -219,8 +215,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
     if not total:
         return labels, Model(np.zeros(1 << BITS, np.float32), 0.0)
     rows = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
-    if total > sample:
-        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int(sample / total * (1 << 30)))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    share = min(1.0, sample / total, sample_bytes / max(1, size))
+    if share < 1:
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = rows.dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ChunkCache(piece_features)
@@ -244,13 +243,14 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
 
 def predict(docs: DataFrame, labels: Labels, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The columns of docs with weak_label (the posterior), score and keep."""
-    shared = docs.sparkSession.sparkContext.broadcast((labels, model))
+    shared, key = docs.sparkSession.sparkContext.broadcast((labels, model)), uuid.uuid4().hex
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("weak_label", "score", "keep")]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("weak_label", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weak, own = shared.value
-        table = own.table()
+        table = worker_state(key, lambda: ChunkTable(own.pieces))
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
                 texts = [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
@@ -263,5 +263,6 @@ def predict(docs: DataFrame, labels: Labels, model: Model, text: str = "text", t
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 made = [pa.array(weak.posterior([pattern(votes(m)) for m in found])), pa.array(score), pa.array(score >= threshold)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + made, schema.names)
+        release()
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)

@@ -7,8 +7,9 @@ the sentences that explain the label, so the trained model locates offending sen
 With a = sum over sentences of softplus(z), the noisy-or is 1 - exp(-a): the loss of a document is
 -log(1 - exp(-a)) or a, and its gradient by z is that by a times sigmoid(z).
 
-Training takes a bounded sample, SAMPLE labelled rows by a hash of the id (stated parameter, all of them if there are fewer);
-their hashed sentences are made by Spark and meet on the driver. Scoring is a narrow pass over all rows.
+Training takes a bounded sample, by a hash of id and text: about SAMPLE labelled rows, and at most about SAMPLE_BYTES of their text (stated
+parameters; all of them if there are fewer). Their hashed sentences are made by Spark and meet on the driver, 4 bytes a
+word. Scoring is a narrow pass over all rows.
 
 Defined results: null and empty texts have one empty sentence, so they get the bias's score. A document with several
 labels is learned from once a label; labels of unknown documents or null labels are ignored. Without labels of
@@ -17,8 +18,8 @@ both kinds every score is 0. Repeated rows are scored alike. Other columns play
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onomast.llm.chunks import ChunkTable, sums
-from onomast.llm.common import row_slices
+from onomast.llm.common import release, row_slices, small_batches, worker_state
 
 BITS = 18
-SAMPLE = 16_000
-BATCH_BYTES = 4 << 20
+SAMPLE, SAMPLE_BYTES = 16_000, 48 << 20
+BATCH_BYTES = 2 << 20
 EPOCHS, BATCH, RATE, DECAY, SPARSITY, LEAST_DOCS = 10, 128, 0.2, 1e-3, 0.02, 5
 THRESHOLD = 0.3
 RUN = re.compile(r"\w+")
@@ -117,7 +118,6 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Model:
     weights: np.ndarray
     bias: float
-    kept: ChunkTable | None = None
 
     def pieces(self, found: list[str]) -> np.ndarray:
         """Of each piece its words' weights, how many features they have, and whether it ends a sentence."""
@@ -126,11 +126,6 @@ class Model:
         total = sums(self.weights[np.array([f for m in made for f in m], np.int64)], sizes)
         return np.stack([total, sizes, np.array([ends(p) for p in found], bool)], axis=1)
 
-    def table(self) -> ChunkTable:
-        if self.kept is None:
-            self.kept = ChunkTable(self.pieces)
-        return self.kept
-
     def scores(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -174,7 +169,7 @@ def fit(bags: Bags, epochs: int = EPOCHS) -> Model:
 
 
 def _collected(rows: DataFrame) -> Bags:
-    """(doc_id, text, y) as bags: words travel as hashes, each with its features once a task."""
+    """(h, text, y) as bags: words travel as hashes, each with its features once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
@@ -183,51 +178,54 @@ def _collected(rows: DataFrame) -> Bags:
                 out: dict = {k: [] for k in ("n_words", "words", "fresh", "n_features", "features")}
                 for t in part.column(part.schema.get_field_index("text")).to_pylist():
                     found = sentences(t or "")
-                    ids = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=7).digest()) for s in found for w in s]
+                    ids = [zlib.crc32(w.encode()) - (1 << 31) for s in found for w in s]
                     new = {i: w for i, w in zip(ids, (w for s in found for w in s), strict=True) if i not in given}
                     given.update(new)
                     made = [features(w) for w in new.values()]
                     for k, v in zip(out, ([len(s) for s in found], ids, list(new), [len(m) for m in made], [f for m in made for f in m]), strict=True):
                         out[k].append(v)
-                names = ("doc_id", "y")
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + [pa.array(v, pa.list_(pa.int64())) for v in out.values()], [*names, *out])
+                names = ("h", "y")
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + [pa.array(v, pa.list_(pa.int32())) for v in out.values()], [*names, *out])
 
-    lists = ", ".join(f"{k} array<long>" for k in ("n_words", "words", "fresh", "n_features", "features"))
-    made = rows.select("doc_id", "text", "y").mapInArrow(run, f"doc_id string, y int, {lists}").toArrow().combine_chunks()
+    lists = ", ".join(f"{k} array<int>" for k in ("n_words", "words", "fresh", "n_features", "features"))
+    small_batches(rows.sparkSession)
+    made = rows.select("h", "text", "y").mapInArrow(run, f"h long, y int, {lists}").toArrow().combine_chunks()
     flat = lambda t, c: pc.list_flatten(t.column(c)).combine_chunks().to_numpy()
     n_features, features_, ids = flat(made, "n_features"), flat(made, "features"), flat(made, "fresh")
     # one copy of each word's features, and the documents in an order that doesn't depend on the tasks
     vocabulary, first = np.unique(ids, return_index=True)
     starts = (np.cumsum(n_features) - n_features)[first]
-    made = made.select(["doc_id", "y", "n_words", "words"]).sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    made = made.select(["h", "y", "n_words", "words"]).sort_by([("h", "ascending"), ("y", "ascending")])
     return Bags(
         made.column("y").to_numpy(), pc.list_value_length(made.column("n_words")).to_numpy(), flat(made, "n_words"),
-        np.searchsorted(vocabulary, flat(made, "words")), n_features[first], features_[_ranges(starts, n_features[first])],
+        np.searchsorted(vocabulary, flat(made, "words")).astype(np.int32), n_features[first], features_[_ranges(starts, n_features[first])],
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learns from at most about `sample` of the given labels, picked by a hash of the id."""
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("string").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    total = known.count()
-    if total > sample:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
-    # at most the stated sample (and a quarter for chance), so broadcast
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known.limit(sample + sample // 4)), "doc_id")
-    return fit(_collected(rows))
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learns from about `sample` of the labelled rows, or fewer that hold about `sample_bytes` of text, picked by a hash of id and text."""
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("string").alias("id"), F.col(label).cast("int").alias("y")).distinct()
+    rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
+    sizes = rows.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).join(known, "id")
+    total, size = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    share = min(1.0, sample / max(1, total), sample_bytes / max(1, size or 0))
+    if share < 1:
+        # the hash alone decides; texts are read again for the picked rows only
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    return fit(_collected(rows.join(known, "id").dropDuplicates(["h", "y"])))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The columns of docs with score, predicted and offending: for predicted documents the (start, end, score) of sentences at or above the threshold, else their best one."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("score", "predicted", "offending")]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("offending", T._parse_datatype_string("array<struct<start:int,end:int,score:double>>"))])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-
-        table = own.table()
+        table = worker_state(key, lambda: ChunkTable(own.pieces))
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
                 split = [pieces(t or "") for t in part.column(part.schema.get_field_index(text)).to_pylist()]
@@ -264,6 +262,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
                         i, j = int(close[s] - sizes[s] + 1) - begin, int(close[s]) - begin
                         spans[d].append({"start": _place(split[d], i), "end": _place(split[d], j) + len(split[d][j]), "score": float(p[s])})
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, kind)], schema.names)
+        release()
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 

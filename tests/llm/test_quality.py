@@ -73,3 +73,67 @@ def test_empty_table(spark):
 def test_sample_is_bounded(spark):
     small, large = (ql.train(frame(spark, corpus(400, 4)), sample=n)[1] for n in (60, 1000))
     assert 0 < np.count_nonzero(small.weights) < np.count_nonzero(large.weights)
+
+
+def test_repeated_rows_stay_bounded(spark):
+    rows = corpus(200, 5)
+    _, once = ql.train(frame(spark, rows))
+    labels, many = ql.train(frame(spark, rows).union(frame(spark, rows[:1] * 3000)), sample=4000)
+    # the row that stands 3,001 times is learned from once, though it counts as often among the votes
+    assert np.count_nonzero(many.weights) == np.count_nonzero(once.weights)
+
+
+def test_scores_equal_brute_force(spark):
+    """Posteriors and scores by their definitions, a document at a time."""
+    import math
+
+    rows = corpus(120, 6) + [(900, "漢字" * 9000, False), (901, '{"a":1},' * 4000, False), (902, "", False)]
+    labels, model = ql.train(frame(spark, rows))
+    got = {r["doc_id"]: r for r in ql.predict(frame(spark, rows), labels, model).collect()}
+    for d, t, _ in rows:
+        m = ql.measures(t)
+        good, poor = labels.share, 1 - labels.share
+        for table, v in zip(labels.tables, ql.votes(m), strict=True):
+            if v < 2:
+                good *= table[1][v] / (table[1][0] + table[1][1])
+                poor *= table[0][v] / (table[0][0] + table[0][1])
+        assert got[d]["weak_label"] == pytest.approx(good / (good + poor), abs=1e-6)
+        pieces = t.split()
+        z = model.bias + sum(float(model.weights[f]) for f in ql.text_features(m))
+        z += sum(float(model.weights[f]) for p in pieces for f in ql.piece_features(p)) * ql.SCALE / max(1, len(pieces))
+        assert got[d]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def brute_estimate(votes, start, rounds):
+    """Expectation-maximisation over single documents, in plain Python."""
+    share, tables = start.share, start.tables.tolist()
+    for _ in range(rounds):
+        posts = []
+        for v in votes:
+            good, poor = share, 1 - share
+            for t, x in zip(tables, v, strict=True):
+                if x < 2:
+                    good *= t[1][x] / (t[1][0] + t[1][1])
+                    poor *= t[0][x] / (t[0][0] + t[0][1])
+            posts.append(good / (good + poor))
+        share = min(0.99, max(0.01, sum(posts) / len(posts)))
+        new = []
+        for k in range(len(tables)):
+            both = []
+            for c in (0, 1):
+                n = [10 * float(start.tables[k][c][x]) + sum(p if c else 1 - p for p, v in zip(posts, votes, strict=True) if v[k] == x) for x in range(3)]
+                both.append([x / sum(n) for x in n])
+            new.append(both)
+        tables = new
+    return share, tables
+
+
+def test_estimates_equal_brute_force():
+    r = np.random.default_rng(2)
+    votes = [[int(r.integers(0, 3)) for _ in ql.LABELLERS] for _ in range(80)] + [[1] * len(ql.LABELLERS)] * 60
+    counts: dict[int, int] = {}
+    for v in votes:
+        counts[ql.pattern(v)] = counts.get(ql.pattern(v), 0) + 1
+    found = ql.estimate(counts, rounds=8)
+    share, tables = brute_estimate(votes, ql.estimate({}), 8)
+    assert found.share == pytest.approx(share, abs=1e-9) and np.abs(found.tables - np.array(tables)).max() < 1e-9

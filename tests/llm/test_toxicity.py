@@ -58,10 +58,25 @@ def test_nothing_to_learn(spark):
     tx.train(df, labels.limit(0))
 
 
-def test_sample_is_bounded(spark):
+def sample_sizes(spark, monkeypatch, **options):
+    """Rows and text bytes that training takes."""
+    taken, plain = [], tx._collected
+
+    def collected(rows):
+        taken.append((rows.count(), rows.agg(tx.F.sum(tx.F.octet_length("text"))).first()[0]))
+        return plain(rows)
+
+    monkeypatch.setattr(tx, "_collected", collected)
     df, labels = frames(spark, make(400, 4))
-    small, large = tx.train(df, labels, sample=100), tx.train(df, labels)
-    assert np.count_nonzero(small.weights) < np.count_nonzero(large.weights)
+    tx.train(df, labels, **options)
+    return taken[0]
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    rows, size = sample_sizes(spark, monkeypatch)
+    assert rows == 400
+    assert 60 <= sample_sizes(spark, monkeypatch, sample=100)[0] <= 140
+    assert sample_sizes(spark, monkeypatch, sample_bytes=size // 5)[1] <= size // 3
 
 
 def test_noisy_or_equals_brute_force(spark):
@@ -75,3 +90,19 @@ def test_noisy_or_equals_brute_force(spark):
             z = model.bias + sum(float(model.weights[f]) for w in s for f in tx.features(w))
             keep *= 1 - 1 / (1 + np.exp(-z))
         assert abs(got[d] - (1 - keep)) < 1e-3
+
+
+def test_repeated_rows_and_labels_stay_bounded(spark):
+    df, labels = frames(spark, make(200, 6))
+    once = tx.train(df, labels)
+    many = tx.train(df.union(df.where("doc_id = 3")).union(df), labels.union(labels).union(labels.where("doc_id < 9")))
+    assert np.array_equal(once.weights, many.weights) and once.bias == many.bias
+    hot = spark.createDataFrame([(7, "one text", "x")] * 5000 + [(8, "other text", "x")], SCHEMA)
+    assert len(tx._collected(hot.select(tx.F.xxhash64("doc_id", "text").alias("h"), "text", tx.F.lit(1).alias("y")).dropDuplicates(["h", "y"])).labels) == 2
+
+
+def test_text_without_spaces_and_clashing_columns(spark):
+    model = tx.train(*frames(spark, make(200, 7)))
+    odd = spark.createDataFrame([(1, "漢字" * 20_000, "mine", 5), (2, '{"a":1},' * 6000, "mine", 6), (3, None, "mine", 7)], "doc_id long, text string, score string, offending int")
+    got = tx.predict(odd, model)
+    assert got.columns == ["doc_id", "text", "score", "predicted", "offending"] and all(0 <= r["score"] <= 1 for r in got.collect())
