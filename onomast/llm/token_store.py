@@ -43,9 +43,11 @@ from onomast.llm.common import BROADCAST_ROWS, ChunkCache, release, removed, row
 
 #: Ids under the rolling hash, and shortest, mean and longest chunk (the hash cuts with chance 1 / MEAN).
 SPAN, SHORTEST, MEAN, LONGEST = 32, 64, 512, 4096
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 #: Rows of a recipe file, about.
 FILE_DOCS = 50_000
+#: Hashes and ids hardly repeat, so dictionaries of them would be built for nothing.
+PLAIN_FILES = {"parquet.enable.dictionary": "false"}
 
 
 # --- encoding -----------------------------------------------------------------------------------------------
@@ -63,12 +65,17 @@ FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\
 PLAIN = re.compile("[\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\u036f\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u203e\u3040-\u3096\u30a1-\u30fa\u4e00-\u9fa5]*")
 
 
+#: The printable character that stands for each byte in byte-level files.
+LETTERS = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+LETTERS |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in LETTERS)}
+
+
 class Encoder:
     """The tokenizers library over words, each given to it once and remembered within bounds.
 
     No token crosses the end of a word of the file's splitting rule, so texts are split by the rule and the new words of a batch
-    go to the library together. The ids of a word are told apart by their lengths in bytes. Texts with the string of a
-    special token go to the library whole.
+    go to the library together, in the file's letters for bytes. The ids of a word are told apart by their lengths in bytes. Texts
+    with the string of a special token go to the library whole.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -77,28 +84,27 @@ class Encoder:
         self.dtype = np.dtype(dtype)
         pre = str(self.library.pre_tokenizer)
         self.by_word = self.library.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
-        # for words that are split already
+        # for words that are split, and written in letters for bytes, already
         self.of_words = Tokenizer.from_file(path)
-        if self.by_word:
-            self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.of_words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.rule = regex.compile(RULE)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # every character of a byte-level vocabulary string stands for a byte
         self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, k in self.library.get_vocab().items():
             self.sizes[k] = len(token)
-        self.words = ChunkCache(None, 24 << 20, len)
+        self.words = ChunkCache(None, 40 << 20, len)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _encoded(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, by one call of the library."""
+        """The ids of each word, by one call of the library. A line end is no letter for a byte, so it parts the words."""
         if not words:
             return []
-        ids = np.array(self.of_words.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
-        sizes = [len(w) if w.isascii() else len(w.encode()) for w in words]
-        at = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes)) + 1
+        letters = [(w if w.isascii() else w.encode().decode("latin-1")).translate(LETTERS) for w in words]
+        ids = np.array(self.of_words.encode_batch_fast(["\n".join(letters)], add_special_tokens=False)[0].ids, self.dtype)
+        at = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, letters), np.int64, len(letters)))) + 1
         raw, ends = ids.tobytes(), (at * self.dtype.itemsize).tolist()
         return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
@@ -106,6 +112,7 @@ class Encoder:
         return FAST.findall(text) if PLAIN.fullmatch(text) else self.rule.findall(text)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
         split = [self.split(t) if self.by_word and not any([s in t for s in self.special]) else None for t in texts]
         words = self.words
         words.learn(set().union(*[s for s in split if s]), self._encoded)
@@ -284,7 +291,7 @@ def _staged(docs: DataFrame, path: str, dtype: str, end_id: int, doc_id: str, te
         del given
         release()
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
@@ -299,7 +306,7 @@ class TokenStore:
 
     def write(self, docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", dtype: str = "<u2") -> None:
         staging = f"{self.path}/staging"
-        _staged(docs, tokenizer, dtype, end_id, doc_id, text).write.option("compression", "zstd").parquet(staging)
+        _staged(docs, tokenizer, dtype, end_id, doc_id, text).write.options(compression="snappy", **PLAIN_FILES).parquet(staging)
         staged = self.spark.read.parquet(staging)
         # a task gives an address once. Only addresses are shuffled; where several tasks have one, the least task's is stored
         uses = staged.select("task", F.explode("chunks.address").alias("address"))
@@ -307,7 +314,7 @@ class TokenStore:
         several = written(several, "store_several")
         fresh = staged.select("task", F.explode("chunks").alias("c")).select("task", "c.*")
         fresh = fresh.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "address", "left")
-        fresh.where("first is null or first = task").select("address", "n", "ids").write.option("compression", "zstd").parquet(f"{self.path}/chunks")
+        fresh.where("first is null or first = task").select("address", "n", "ids").write.options(compression="zstd", **PLAIN_FILES).parquet(f"{self.path}/chunks")
         rows = staged.select("doc_id", "n_tokens", "root", "addresses")
         files = max(1, -(-rows.count() // FILE_DOCS))
         # rows that repeat id and text are dealt out at random, since no file may hold them all
@@ -325,7 +332,7 @@ class TokenStore:
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), file, np.int32)), batch.column("doc_id"), batch.column("n_tokens"), pa.array(starts), batch.column("root"), batch.column("addresses")], schema.names)
 
-        ordered.mapInArrow(placed, schema).write.option("compression", "zstd").parquet(f"{self.path}/recipes")
+        ordered.mapInArrow(placed, schema).write.options(compression="zstd", **PLAIN_FILES).parquet(f"{self.path}/recipes")
         self._manifest().write.parquet(f"{self.path}/manifest")
         removed(self.spark, staging)
 
