@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from onomast.functions import analysis as an
 from onomast.sources.schema import index
+from onomast.sources.store import stored
 
 SYNONYMS = {"fname": {"red": ["red", "crimson"], "ring": ["ring", "band"]}, "lname": {"red": ["red", "crimson"]}}
 
@@ -24,14 +26,25 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(parts(spark, sf_dir).withColumnRenamed("name", "n__fname_an"), SYNONYMS)
+    """The stored index of the parts' names as first names."""
+    return stored(spark, ("first", sf_dir), lambda: index(parts(spark, sf_dir).withColumnRenamed("name", "n__fname_an"), SYNONYMS))
 
 
 def last_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(parts(spark, sf_dir).withColumnRenamed("name", "n__lname_an"), SYNONYMS)
+    """The stored index of the parts' names as surnames."""
+    return stored(spark, ("last", sf_dir), lambda: index(parts(spark, sf_dir).withColumnRenamed("name", "n__lname_an"), SYNONYMS))
 
 
 def many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's name and its brand, as a multi-valued field beside the single-valued one."""
-    df = parts(spark, sf_dir).withColumn("n__fname_an_mv", F.array("name", F.concat(F.lit("ring "), F.col("gender"))))
-    return index(df.withColumnRenamed("name", "n__fname_an"), SYNONYMS)
+
+    def made() -> DataFrame:
+        df = parts(spark, sf_dir).withColumn("n__fname_an_mv", F.array("name", F.concat(F.lit("ring "), F.col("gender"))))
+        return index(df.withColumnRenamed("name", "n__fname_an").withColumn("Gender__facet_text", F.upper("gender")), SYNONYMS)
+
+    return stored(spark, ("many", sf_dir), made)
+
+
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the words of each document (null texts have null)."""
+    return stored(spark, ("words", sf_dir), lambda: read(spark, sf_dir, "documents").select("doc_id", an.words(F.col("text")).alias("words")))

@@ -13,21 +13,29 @@ TOKENS = "array<struct<token:string,pos:int>>"
 
 #: Letters that fold to several ASCII letters, or to one that decomposition does not give.
 FOLD_LONG = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ĳ": "ij", "Ĳ": "IJ"}
-FOLD_ODD = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŧ": "t", "Ŧ": "T", "’": "'", "‘": "'", "‐": "-", "–": "-", "—": "-"}
+FOLD_ODD = {
+    "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŧ": "t", "Ŧ": "T",
+    "’": "'", "‘": "'", "‚": "'", "‛": "'", "‹": "'", "›": "'", "′": "'", "“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "″": '"',
+    "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "⁻": "-", "₋": "-", "⁄": "/", "⁺": "+", "₊": "+", "⁼": "=", "₌": "=", "⁽": "(", "₍": "(", "⁾": ")", "₎": ")",
+}
 #: Fixed value: the refined phonetic digit of each letter from A to Z.
 PHONETIC = "01360240043788015936020505"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GAP = 100
 
 
+#: Blocks whose letters, digits and forms are folded: Latin, phonetic extensions, super- and subscripts, circled, full width.
+FOLDED = (0xAA, 0xB2, 0xB3, 0xB9, 0xBA, *range(0xC0, 0x250), *range(0x1D2C, 0x1D6B), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0x2460, 0x2500), *range(0xFF01, 0xFF5F))
+
+
 @cache
 def fold_table() -> dict[str, str]:
-    """Letters with marks (Latin blocks) to their ASCII base, by canonical decomposition."""
+    """Characters that stand for one ASCII character, by compatibility decomposition without marks; forms of several characters (a circled ten) stay."""
     out = dict(FOLD_ODD)
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for code in FOLDED:
         base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
         if len(base) == 1 and base.isascii() and chr(code) not in FOLD_LONG:
-            out[chr(code)] = base
+            out.setdefault(chr(code), base)
     return out
 
 
@@ -197,5 +205,10 @@ def query_code(word: str) -> str | None:
     return code(found[0]) if found else None
 
 
+def query_synonym_words(text: str) -> list[str]:
+    """The query side of synonym fields: words of letters and digits, lower case."""
+    return [w.lower() for w in re.findall(r"[^\W_]+", text)]
+
+
 def query_exact(text: str) -> str:
     return fold_text(text).lower().strip()

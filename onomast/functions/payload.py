@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from onomast.functions.similarity import Similarity
+
 
 def with_payload(tokens: Column) -> Column:
     return F.transform(tokens, lambda t, i: F.struct(t["token"].alias("token"), t["pos"].alias("pos"), (i + 1).cast("int").alias("payload")))
@@ -24,6 +26,17 @@ def payload_score(tokens: Column, term: str, posn: int, mult: float = 1.0) -> Co
     return F.array_max(F.transform(mine, lambda t: F.lit(float(mult)) / (F.abs(t["payload"] - posn) + 1)))
 
 
+def doc_score(score: Column) -> Column:
+    """A row's payload score, 1 if no payload was seen."""
+    return F.coalesce(score, F.lit(1.0))
+
+
+def payload_sum(tokens: Column, term: str, similarity: Similarity) -> Column:
+    """What the payloads of a term's occurrences count together under a similarity."""
+    mine = F.filter(with_payload(tokens), lambda t: t["token"] == term)
+    return F.aggregate(mine, F.lit(0.0), lambda s, t: s + similarity.payload(t["payload"]).cast("double"))
+
+
 def payload_query(df: DataFrame, tokens: str, term: str, posn, mult=None) -> DataFrame:
     """Rows that hold the term, with their score; posn must be an integer and mult, if given, a number."""
     try:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,8 +73,42 @@ def norm_of(length: Column, longest: int = 1 << 24) -> Column:
     return out
 
 
+def field_length(tokens: Column, discount_overlaps: bool = True) -> Column:
+    """Number of tokens; those at the place of an earlier one don't count if overlaps are discounted."""
+    return F.size(F.array_distinct(F.transform(tokens, lambda t: t["pos"]))) if discount_overlaps else F.size(tokens)
+
+
+def phrase_idf(doc_freqs: dict[str, int], docs: int) -> dict:
+    """The summed idf of a phrase's terms, and what it is made of."""
+    parts = {t: math.log(docs / (n + 1)) + 1 for t, n in doc_freqs.items()}
+    return {"value": sum(parts.values()), "description": "idf(), sum of:", "details": [{"value": v, "description": f"idf(docFreq={doc_freqs[t]}, maxDocs={docs})"} for t, v in parts.items()]}
+
+
+@dataclass(frozen=True)
+class Similarity:
+    """An exchangeable similarity: how frequencies, distances, document frequencies, lengths and payloads count."""
+
+    tf: Callable[[Column], Column] = tf
+    sloppy: Callable[[Column], Column] = sloppy
+    idf: Callable[[Column, Column], Column] = idf
+    coord: Callable[[Column, Column], Column] = coord
+    norm: Callable[[Column], Column] = lambda length: norm_of(length)
+    payload: Callable[[Column], Column] = lambda payload: F.lit(1.0)
+    discount_overlaps: bool = True
+
+    def length_norm(self, tokens: Column) -> Column:
+        return self.norm(field_length(tokens, self.discount_overlaps))
+
+
+CLASSIC = Similarity()
+#: Names: neither idf nor lengths count, and a payload counts as its number.
+FLAT = Similarity(idf=lambda n, docs: F.lit(1.0), coord=lambda matched, total: F.lit(1.0), norm=lambda length: F.lit(1.0), payload=lambda payload: payload.cast("double"))
+
+
 def explain(freq: Column, idf_: Column, norm: Column, boost: float = 1.0, query_norm_: float = 1.0) -> Column:
     """value with its query weight (boost, idf, query norm) and field weight (tf of freq, idf, field norm)."""
     field = F.struct((tf(freq) * idf_ * norm).alias("value"), tf(freq).alias("tf"), freq.cast("double").alias("freq"), idf_.alias("idf"), norm.alias("field_norm"))
     weight = F.struct((F.lit(boost) * idf_ * query_norm_).alias("value"), F.lit(boost).alias("boost"), idf_.alias("idf"), F.lit(query_norm_).alias("query_norm"))
-    return F.struct((field["value"] * weight["value"]).alias("value"), weight.alias("query_weight"), field.alias("field_weight"))
+    # the weight of the query is left out where it is one
+    same = weight["value"] == 1.0
+    return F.struct(F.when(same, field["value"]).otherwise(field["value"] * weight["value"]).alias("value"), F.when(~same, weight).alias("query_weight"), field.alias("field_weight"))

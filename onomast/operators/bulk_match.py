@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from onomast.plans.name_query import NameQuery
 
@@ -32,26 +35,78 @@ def clause_table(spark: SparkSession, queries: Iterable[tuple[str, NameQuery]])
     rows = []
     for query_id, query in queries:
         for k, c in enumerate(query.clauses()):
-            if c.kind in ("wild", "fuzzy"):
-                raise ValueError("wildcard and fuzzy words are scored row by row (name_search)")
             rows.append((query_id, c.variant, c.n_tok, c.tok, k, c.kind, c.field, c.term, c.target, c.boost, c.guard))
     return spark.createDataFrame(rows, CLAUSES)
 
 
+def clause_rows(names: DataFrame, name: str, options: dict) -> DataFrame:
+    """The clauses of a query for each distinct value of a column; compiled where the values are."""
+    schema = T._parse_datatype_string(CLAUSES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, c.variant, c.n_tok, c.tok, k, c.kind, c.field, c.term, c.target, c.boost, c.guard) for n in batch.column(0).to_pylist() if n is not None for k, c in enumerate(NameQuery(n, **options).clauses())]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], to_arrow_schema(schema))
+
+    return names.select(name).distinct().mapInArrow(run, schema)
+
+
+def edits_between(a: Column, b: Column, most: Column) -> Column:
+    """Edit distance with exchanged neighbours as one edit, null beyond `most` (1 or 2), of two columns.
+
+    An exchange costs two plain edits, so pairs within twice the limit are looked at once more: all words that one exchange
+    makes of b, and those that two make.
+    """
+    plain = F.levenshtein(a, b)
+
+    def swapped(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.char_length(w) - 1, F.lit(1)))
+        return F.transform(at, lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.lit(1)), F.substr(w, i, F.lit(1)), F.substr(w, i + 2)))
+
+    once = F.array_min(F.transform(swapped(b), lambda w: F.levenshtein(a, w))) + 1
+    twice = F.array_min(F.transform(F.flatten(F.transform(swapped(b), swapped)), lambda w: F.levenshtein(a, w))) + 2
+    least = F.when(plain <= 2 * most, F.least(plain, once, F.when(most > 1, twice))).otherwise(plain)
+    return F.when(least <= most, least)
+
+
+def expanded(clauses: DataFrame, posted: DataFrame) -> DataFrame:
+    """The clauses with `weight`; each wildcard or fuzzy one becomes one for each term of its field that it takes in.
+
+    Patterns meet the distinct terms, not the postings, and only those that share the literal beginning: two letters for
+    a fuzzy word, one for a wildcard. A pattern that begins with a wildcard is held against the whole vocabulary of its field.
+    """
+    plain = clauses.where(~F.col("kind").isin("wild", "fuzzy")).withColumn("weight", F.lit(1.0))
+    open_ = clauses.where(F.col("kind").isin("wild", "fuzzy"))
+    if open_.isEmpty():
+        return plain
+    keyed = open_.withColumnRenamed("term", "pattern")
+    keyed = keyed.withColumn("size", F.when(F.col("kind") == "fuzzy", 2).when(F.substring("pattern", 1, 1).isin("*", "?"), 0).otherwise(1))
+    keyed = keyed.withColumn("start", F.substr("pattern", F.lit(1), F.col("size")))
+    terms = posted.where(F.col("field") == "an").select("field", "term").distinct()
+    terms = terms.select("field", "term", F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.substring("term", 1, n).alias("start")) for n in (0, 1, 2)])).alias("s")).select("field", "term", "s.*")
+    met = keyed.join(terms, ["field", "size", "start"])
+    like = F.replace(F.replace(F.replace(F.replace(F.replace("pattern", F.lit("\\"), F.lit("\\\\")), F.lit("%"), F.lit("\\%")), F.lit("_"), F.lit("\\_")), F.lit("*"), F.lit("%")), F.lit("?"), F.lit("_"))
+    near = edits_between(F.col("term"), F.col("pattern"), F.when(F.char_length("pattern") > 8, 2).otherwise(1))
+    weight = F.when(F.col("kind") == "wild", F.when(F.like(F.col("term"), like), 1.0)).otherwise(1.0 - near / F.least(F.char_length("term"), F.char_length("pattern")))
+    return plain.unionByName(met.withColumn("weight", weight).where("weight > 0").select(*plain.columns))
+
+
 def bulk_match(clauses: DataFrame, posted: DataFrame, tie: float = 0.0, excluded: DataFrame | None = None) -> DataFrame:
     """query_id, doc, score. excluded: the doc ids whose gender guarded clauses skip.
 
     The optimizer broadcasts the clause table only while it is below its threshold. After the join rows are
     partial-aggregated, and all later steps group by supersets of (query_id, doc), dealt out once.
     """
-    found = clauses.join(posted, ["field", "term"])
+    found = expanded(clauses, posted).join(posted, ["field", "term"])
     if excluded is not None:
         found = found.join(excluded.select(F.col("doc"), F.lit(True).alias("out")).distinct(), "doc", "left").where(~(F.col("guard") & F.coalesce("out", F.lit(False))))
     near = F.when(F.col("target").isNull(), F.lit(1.0)).otherwise(1.0 / (F.abs(F.col("pos") - F.col("target")) + 1))
     dealt = found.withColumn("near", near).repartition("query_id", "doc")
-    by_clause = dealt.groupBy("query_id", "doc", "variant", "n_tok", "tok", "clause", "kind", "boost").agg(F.sum("near").alias("freq"))
-    score = F.when(F.col("kind") == "half", F.sqrt(F.col("freq") / 2)).otherwise(F.col("boost") * F.sqrt("freq"))
+    by_term = dealt.groupBy("query_id", "doc", "variant", "n_tok", "tok", "clause", "kind", "boost", "weight", "term").agg(F.sum("near").alias("freq"))
+    # a wildcard's terms count once, a fuzzy word's terms add up by their weights
+    one = F.when(F.col("kind") == "half", F.sqrt(F.col("freq") / 2)).when(F.col("kind") == "wild", F.col("boost")).otherwise(F.col("boost") * F.col("weight") * F.sqrt("freq"))
+    by_clause = by_term.groupBy("query_id", "doc", "variant", "n_tok", "tok", "clause").agg(F.when(F.first("kind") == "wild", F.max(one)).otherwise(F.sum(one)).alias("s"))
     best = lambda c: F.max(c) + tie * (F.sum(c) - F.max(c))
-    by_word = by_clause.withColumn("s", score).groupBy("query_id", "doc", "variant", "n_tok", "tok").agg(best("s").alias("s"))
+    by_word = by_clause.groupBy("query_id", "doc", "variant", "n_tok", "tok").agg(best("s").alias("s"))
     by_variant = by_word.groupBy("query_id", "doc", "variant", "n_tok").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("words")).where("words = n_tok")
     return by_variant.groupBy("query_id", "doc").agg(best("s").alias("score"))

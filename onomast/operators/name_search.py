@@ -81,26 +81,66 @@ def dismax(scores: list[Column], tie: float) -> Column:
     return best + tie * (total - best)
 
 
-def query_score(query: NameQuery, fields: dict[str, str | None], gender: str | None = None) -> Column:
+def _free(query: NameQuery, gender: str | None, kind: str = "string") -> Column:
+    """Whether a row isn't of the excluded gender."""
+    if not gender or not query.gender_value:
+        return F.lit(True)
+    c = F.col(f"`{gender}`")
+    return ~F.coalesce(F.array_contains(c, query.gender_value) if kind.startswith("array") else c == query.gender_value, F.lit(False))
+
+
+def _clause_scores(query: NameQuery, fields: dict[str, str | None], free: Column) -> list[tuple[Clause, Column]]:
+    return [(c, F.when(free, clause_score(c, fields)) if c.guard else clause_score(c, fields)) for c in query.clauses()]
+
+
+def query_score(query: NameQuery, fields: dict[str, str | None], gender: str | None = None, kind: str = "string") -> Column:
     """The query's score on a row, null where it doesn't match: every word must match, words add up."""
-    clauses = query.clauses()
-    if not clauses:
+    scored = _clause_scores(query, fields, _free(query, gender, kind))
+    if not scored:
         return F.lit(None).cast("double")
-    free = ~F.coalesce(F.col(gender) == query.gender_value, F.lit(False)) if gender and query.gender_value else F.lit(True)
     variants = []
-    for v in sorted({c.variant for c in clauses}):
-        words = []
-        for k in sorted({c.tok for c in clauses if c.variant == v}):
-            scores = [F.when(free, clause_score(c, fields)) if c.guard else clause_score(c, fields) for c in clauses if (c.variant, c.tok) == (v, k)]
-            words.append(dismax(scores, query.tie))
+    for v in sorted({c.variant for c, _ in scored}):
+        words = [dismax([s for c, s in scored if (c.variant, c.tok) == (v, k)], query.tie) for k in sorted({c.tok for c, _ in scored if c.variant == v})]
         variants.append(reduce(lambda a, b: a + b, words))
     return dismax(variants, query.tie)
 
 
+def _gender(df: DataFrame, query: NameQuery, gender: str | None) -> tuple[str | None, str]:
+    gender = gender or (query.gender_field if query.gender_field in df.columns else None)
+    return gender, df.schema[gender].dataType.simpleString() if gender else "string"
+
+
 def name_search(df: DataFrame, query: NameQuery, base: str, mv: bool = False, gender: str | None = None) -> DataFrame:
-    """The matching rows with their score."""
+    """The matching rows with their score. The excluded gender is sought in `gender`, or in the query's own field if there is one."""
+    fields = fields_of(base, mv, df.columns)
+    return df.withColumn("score", query_score(query, fields, *_gender(df, query, gender))).where(F.col("score").isNotNull())
+
+
+def request(df: DataFrame, params: dict[str, str]) -> DataFrame:
+    """A search by request parameters: v, f (with `_mv` for the multi-valued fields) and the options as strings."""
+    query = NameQuery.of(params)
+    return name_search(df, query, params["f"].removesuffix("_mv"), params["f"].endswith("_mv"))
+
+
+ALTERNATIVE = "array<struct<variant:int,tok:int,kind:string,field:string,term:string,target:int,boost:double,score:double,k:int>>"
+
+
+def explained(df: DataFrame, query: NameQuery, base: str, mv: bool = False, gender: str | None = None) -> DataFrame:
+    """The matching rows with score and explanation: every alternative that matched, and whether it is the best of its word (the first of equals)."""
     fields = fields_of(base, mv, df.columns)
-    return df.withColumn("score", query_score(query, fields, gender)).where(F.col("score").isNotNull())
+    scored = _clause_scores(query, fields, _free(query, *_gender(df, query, gender)))
+    lit = lambda v, kind: F.lit(v).cast(kind)
+    rows = [F.struct(lit(c.variant, "int").alias("variant"), lit(c.tok, "int").alias("tok"), lit(c.kind, "string").alias("kind"), lit(c.field, "string").alias("field"), lit(c.term, "string").alias("term"), lit(c.target, "int").alias("target"), lit(c.boost, "double").alias("boost"), s.alias("score"), lit(k, "int").alias("k")) for k, (c, s) in enumerate(scored)]
+    met = F.filter(F.array(*rows), lambda r: r["score"].isNotNull()) if rows else F.array().cast(ALTERNATIVE)
+
+    def judged(all_: Column) -> Column:
+        def better(r: Column) -> Column:
+            return F.exists(all_, lambda o: (o["variant"] == r["variant"]) & (o["tok"] == r["tok"]) & ((o["score"] > r["score"]) | ((o["score"] == r["score"]) & (o["k"] < r["k"]))))
+
+        return F.transform(all_, lambda r: F.struct(*[r[c].alias(c) for c in ("variant", "tok", "kind", "field", "term", "target", "boost", "score")], (~better(r)).alias("best")))
+
+    found = name_search(df, query, base, mv, gender)
+    return found.withColumn("explanation", F.transform(F.array(met), judged)[0])
 
 
 def ranked(df: DataFrame, order: str, k: int | None = None) -> DataFrame:
@@ -109,6 +149,12 @@ def ranked(df: DataFrame, order: str, k: int | None = None) -> DataFrame:
     return out if k is None else out.limit(k)
 
 
+def sorted_by(df: DataFrame, column: str, order: str, descending: bool = False) -> DataFrame:
+    """Rows in the order of a column, those without a value last whichever the direction, ties by a stable key."""
+    c = F.col(column)
+    return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), F.col(order).asc())
+
+
 def term_query(df: DataFrame, tokens: str, term: str, target: int | None = None) -> DataFrame:
     return df.withColumn("score", position_score(F.col(tokens), lambda t: t["token"] == term, target)).where("score is not null")
 

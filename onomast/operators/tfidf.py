@@ -9,19 +9,24 @@ from onomast.functions import analysis as an
 from onomast.functions import similarity as sim
 
 
+def _words(df: DataFrame, text: str):
+    """The words of a text column, or a stored array of words as it is."""
+    return F.col(text) if df.schema[text].dataType.typeName() == "array" else an.words(F.col(text))
+
+
 def term_statistics(df: DataFrame, text: str, terms: list[str]) -> tuple[int, dict[str, int]]:
     """Rows and document frequencies of the stated terms, in one pre-aggregated pass."""
-    has = [F.sum(F.array_contains(an.words(F.col(text)), t).cast("int")).alias(f"t{k}") for k, t in enumerate(terms)]
+    has = [F.sum(F.array_contains(_words(df, text), t).cast("int")).alias(f"t{k}") for k, t in enumerate(terms)]
     row = df.agg(F.count(F.lit(1)).alias("n"), *has).first()
     return row["n"], {t: row[f"t{k}"] or 0 for k, t in enumerate(terms)}
 
 
 def tfidf(df: DataFrame, text: str, terms: list[str], explained: bool = False) -> DataFrame:
-    """The rows that hold any of the terms, with their classic score: coord * query norm * sum of tf * idf^2 * norm."""
+    """The rows that hold any of the terms (of a text, or of a stored array of words), with their classic score: coord * query norm * sum of tf * idf^2 * norm."""
     n, freqs = term_statistics(df, text, terms)
     idf = {t: sim.math.log(n / (freqs[t] + 1)) + 1 if n else 1.0 for t in terms}
     norm_q = sim.query_norm(list(idf.values()))
-    out = df.withColumn("__w", an.words(F.col(text))).withColumn("norm", sim.norm_of(F.size("__w")))
+    out = df.withColumn("__w", _words(df, text)).withColumn("norm", sim.norm_of(F.size("__w")))
     counts = {t: F.size(F.filter("__w", _is(t))).cast("double") for t in terms}
     total = sum((sim.tf(counts[t]) * (idf[t] ** 2) * F.col("norm") for t in terms), F.lit(0.0))
     matched = sum(((counts[t] > 0).cast("int") for t in terms), F.lit(0))

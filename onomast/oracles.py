@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from onomast.functions.analysis import FOLD_LONG, fold_table
-from onomast.functions.similarity import norm_ranges
-
 CODE = "'01360240043788015936020505'"
 
 CORPUS = """
@@ -102,10 +99,10 @@ MV_SQL = _word([
 ])
 
 WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
-NORMS = ", ".join(f"({a}, {z}, {v})" for a, z, v in norm_ranges(1 << 24))
+#: The norm byte keeps the exponent of 1 / sqrt(n) and two bits of its fraction.
+NORM = "CASE WHEN {n} = 0 THEN 0.0 ELSE (1 + floor((1 / sqrt({n}) / pow(2, floor(log2(1 / sqrt({n})))) - 1) * 4) / 4) * pow(2, floor(log2(1 / sqrt({n})))) END::DOUBLE"
 NORMED = f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
-norms(lo, hi, norm) AS (VALUES {NORMS}),
-n AS (SELECT doc_id, ws, len(ws) AS n_words, coalesce(norm, 0.0)::DOUBLE AS norm FROM w LEFT JOIN norms ON len(ws) BETWEEN lo AND hi)"""
+n AS (SELECT doc_id, ws, len(ws) AS n_words, {NORM.format(n='len(ws)')} AS norm FROM w)"""
 TFIDF = f"""{NORMED},
 d AS (SELECT count(*) AS n, sum(list_contains(ws, 'the')::INT) AS a, sum(list_contains(ws, 'stupid')::INT) AS b FROM n),
 i AS (SELECT ln(n / (a + 1.0)) + 1 AS ia, ln(n / (b + 1.0)) + 1 AS ib FROM d),
@@ -119,12 +116,54 @@ SELECT doc_id, round(sqrt(freq) * idf * norm, 6) AS value, round(sqrt(freq), 6)
 FROM c, d WHERE freq > 0"""
 
 
+def _labelled(word: str, at: int, code: str, tok: int) -> str:
+    """A word's alternatives with their fields, in the order of the query."""
+    parts_ = [("an", _near("an", f"token = '{word}'", at, 1.0)), ("exact", _null(at)), ("syn", _near(SYN, f"token = '{word}'", at, 0.8)), ("an", _near("an", f"token = '{word[0]}'", at, 0.42)), ("rs", _near(RS, f"token = '{code}'", at, 0.75))]
+    return " UNION ALL ".join(f"SELECT p_partkey, {tok} AS tok, {k} AS k, '{field}' AS field, s FROM ({sql})" for k, (field, sql) in enumerate(parts_))
+
+
+EXPLAIN_NAME = f"""{CORPUS}, e AS ({_labelled('red', 0, RED, 0)} UNION ALL {_labelled('widget', 1, WIDGET, 1)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, tok ORDER BY s DESC, k) = 1 AS best FROM e WHERE p_partkey IN (SELECT p_partkey FROM ({BASIC})))
+SELECT p_partkey, tok::BIGINT AS tok, field, round(s::DOUBLE, 6) AS score, best FROM r"""
+MANY = """(SELECT p_partkey, token, pos FROM an UNION ALL SELECT p_partkey, 'ring', len(ws) + 100 FROM split UNION ALL SELECT p_partkey, gender, len(ws) + 101 FROM split JOIN parts USING (p_partkey))"""
+MANY_SYN = f"(SELECT * FROM {MANY} UNION ALL SELECT p_partkey, 'band', pos FROM {MANY} WHERE token = 'ring' UNION ALL SELECT p_partkey, 'crimson', pos FROM {MANY} WHERE token = 'red')"
+
+
+def _request() -> str:
+    word = lambda w, at: _word([_near(MANY, f"token = '{w}'", at, 1.0), _guard(_null(at), "male"), _near(MANY_SYN, f"token = '{w}'", at, 0.5)])
+    return _done(_all([word("ring", 0), word("widget", 1)]))
+
+
+def _open_word(word: str, at: int, fuzzy: bool = True) -> str:
+    parts_ = [_near("an", f"token = '{word}'", at, 1.0)]
+    if fuzzy:
+        near = f"substr(token, 1, 2) = '{word[:2]}' AND damerau_levenshtein(token, '{word}') <= {2 if len(word) > 8 else 1}"
+        parts_.append(f"SELECT p_partkey, sum(w) AS s FROM (SELECT p_partkey, token, 0.2 * (1 - damerau_levenshtein(token, '{word}') / least(length(token), {len(word)})) * sqrt(count(*)) AS w FROM an WHERE {near} GROUP BY p_partkey, token) WHERE w > 0 GROUP BY p_partkey")
+    return _word(parts_)
+
+
+def _open() -> str:
+    found = {"rign": _open_word("rign", 0), "widgte red": _all([_open_word("widgte", 0), _open_word("red", 1)]), "re* *et": _all([WILD("re%"), WILD("%et")]), "b?lt": WILD("b_lt")}
+    return f"{CORPUS} " + " UNION ALL ".join(f"SELECT '{q}' AS query_id, p_partkey, round(s::DOUBLE, 6) AS score FROM ({sql})" for q, sql in found.items())
+
+
+FIELD_TYPES = """SELECT p_partkey, p_size::BIGINT AS a, round(p_retailprice, 2) AS b, (p_size + 7)::BIGINT AS c, true AS d, p_size - 1.5::DOUBLE AS e, p_name AS f, p_name || '|q' AS g,
+  103::BIGINT AS h, 2001::BIGINT AS i, substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1) AS j, 'e' || p_name AS k FROM part"""
+
+
+#: Letters that accent stripping doesn't give, and what stands for them.
+ODD = [("ß", "ss"), ("ẞ", "SS"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("þ", "th"), ("Þ", "TH"), ("ĳ", "ij"), ("Ĳ", "IJ"), ("ø", "o"), ("Ø", "O"), ("đ", "d"), ("Đ", "D"), ("ð", "d"), ("Ð", "D"), ("ł", "l"), ("Ł", "L"), ("ħ", "h"), ("Ħ", "H"), ("ı", "i"), ("²", "2"), ("³", "3"), ("¹", "1"), ("ª", "a"), ("º", "o")]
+MARKS = [("'", "’‘‚‛‹›′"), ('"', "“”„«»″"), ("-", "‐‑‒–—")]
+
+
 def _folding() -> str:
-    table = fold_table()
-    out = f"translate(text, '{''.join(table).replace(chr(39), chr(39) * 2)}', '{''.join(table.values()).replace(chr(39), chr(39) * 2)}')"
-    for k, v in FOLD_LONG.items():
+    out = "text"
+    for k, v in ODD:
         out = f"replace({out}, '{k}', '{v}')"
-    return f"SELECT doc_id, sha256({out}) AS folded FROM documents WHERE text IS NOT NULL"
+    for mark, those in MARKS:
+        for c in those:
+            out = f"replace({out}, '{c}', '{mark.replace(chr(39), chr(39) * 2)}')"
+    return f"SELECT doc_id, sha256(strip_accents({out})) AS folded FROM documents WHERE text IS NOT NULL"
 
 
 def _bulk() -> str:
@@ -137,7 +176,7 @@ def _bulk() -> str:
         parts_ = [of("an", w, 1.0), of(SYN, w, 0.8), of("an", f"substr({w}, 1, 1)", 0.42), of(RS, _code(w), 0.75), f"SELECT q, p_partkey, {0.01 * (1 / (at + 1)) ** 0.5} AS s FROM names, parts WHERE name = '-'"]
         return f"SELECT q, p_partkey, max(s) AS s FROM ({' UNION ALL '.join(parts_)}) GROUP BY q, p_partkey"
 
-    return f"""{CORPUS}, names AS (SELECT DISTINCT p_name AS q FROM part ORDER BY 1 LIMIT 64)
+    return f"""{CORPUS}, names AS (SELECT DISTINCT p_name AS q FROM part)
 SELECT q AS query_id, p_partkey, round(sum(s)::DOUBLE, 6) AS score FROM ({word(first, 0)} UNION ALL {word(second, 1)}) GROUP BY q, p_partkey HAVING count(*) = 2"""
 
 
@@ -166,5 +205,19 @@ def oracle_sql() -> dict[str, str]:
         "analysed_tokens": f"{CORPUS} SELECT p_partkey, token, pos::BIGINT AS pos FROM {LAST}",
         "phonetic_codes": f"SELECT word, {_code('word')} AS code FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)",
         "ascii_folding": _folding(), "tfidf_documents": TFIDF, "length_norm": f"{NORMED} SELECT doc_id, n_words, norm FROM n", "explain_terms": EXPLAIN, "bulk_match": _bulk(),
-        "replica_order": "SELECT event_type AS server, sum(CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS inflight FROM events GROUP BY 1",
+        "replica_order": "SELECT *, row_number() OVER (ORDER BY inflight, server) AS place FROM (SELECT event_type AS server, sum(CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS inflight FROM events GROUP BY 1)",
+        "bulk_open": _open(), "explain_name": EXPLAIN_NAME, "request": _request(), "name_empty": f"{CORPUS} SELECT p_partkey, 0.0::DOUBLE AS score FROM parts WHERE false",
+        "name_total": f"{CORPUS}, b AS ({BASIC}) SELECT p_partkey, round(s::DOUBLE, 6) AS score, (SELECT count(*) FROM b) AS total FROM b ORDER BY score DESC, p_partkey LIMIT 5",
+        "match_all": _done("SELECT p_partkey, 1.0 AS s FROM parts"),
+        "missing_last": f"{CORPUS}, g AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN gender END AS g FROM parts WHERE p_partkey < 30) SELECT p_partkey, g, row_number() OVER (ORDER BY g DESC NULLS LAST, p_partkey) AS place FROM g QUALIFY place <= 20",
+        "synonym_position": _done(_near(f"(SELECT * FROM {SYN})", "token = 'band'", 1, 1.0)), "synonym_file": _done(_near(f"(SELECT * FROM {SYN})", "token = 'crimson'", None, 1.0)), "stored_index": _done(CONCAT),
+        "whitespace_tokens": f"{CORPUS}, w AS (SELECT p_partkey, list_filter(string_split(upper(name) || ' x', ' '), lambda x: x <> '') AS ws FROM parts) SELECT p_partkey, unnest(ws) AS token, unnest(range(0, len(ws))) AS pos FROM w",
+        "analysed_text": f"SELECT doc_id, len(ws)::BIGINT AS n, sha256(array_to_string(ws, ' ')) AS tokens FROM (SELECT doc_id, {WORDS} AS ws FROM documents)",
+        "field_types": FIELD_TYPES, "payload_bytes": "SELECT p_partkey, printf('%08X', p_partkey * 1000) AS bytes, p_partkey * 1000 AS n FROM part",
+        "payload_scores": f"{CORPUS} SELECT p_partkey, count(pos)::DOUBLE AS classic, coalesce(sum(pos + 1), 0)::DOUBLE AS flat, coalesce(max(2.0 / (abs(pos + 1 - 2) + 1)), 1)::DOUBLE AS doc_score FROM parts LEFT JOIN (SELECT * FROM an WHERE token = 'widget') USING (p_partkey) GROUP BY p_partkey",
+        "phrase_idf": f"WITH w AS (SELECT {WORDS} AS ws FROM documents), d AS (SELECT count(*) AS n, sum(list_contains(ws, 'the')::INT) AS a, sum(list_contains(ws, 'stupid')::INT) AS b FROM w) SELECT round(ln(n / (a + 1.0)) + ln(n / (b + 1.0)) + 2, 6) AS idf, 'idf(docFreq=' || a || ', maxDocs=' || n || ')' AS first_detail FROM d",
+        "overlap_norm": f"{CORPUS} SELECT p_partkey, CASE len(ws) WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 ELSE 0.625 END::DOUBLE AS discounted, CASE len(ws) WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS whole FROM split",
+        "name_fuzzy_two": _done(_word([_near("an", "token = 'w'", 0, 0.42), _null(0), f"SELECT p_partkey, 0.2 * (1 - 2 / 6.0) * sqrt(count(*)) AS s FROM an WHERE substr(token, 1, 2) = 'wi' AND damerau_levenshtein(token, 'widgetsts') <= 2 GROUP BY p_partkey"])),
+        "target_fuzzy_two": _done(_near("an", "substr(token, 1, 2) = 'wi' AND damerau_levenshtein(token, 'widegtess') <= 2", 1, 1.0)),
+        "surname_wildcard": _done(f"SELECT DISTINCT p_partkey, 0.1 AS s FROM {LAST} WHERE token LIKE 'wi%t'"),
     }

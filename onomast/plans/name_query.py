@@ -51,21 +51,23 @@ class NameQuery:
     is_surname: bool = True
     surname_field: bool | None = None  # which chain analyses the text; as is_surname unless said
     gender_value: str | None = None
+    gender_field: str = "Gender__facet_text"
+    field_name: str | None = None  # the field that requests name, `_mv` included
     compat: bool = True
     extra: dict = field(default_factory=dict, compare=False)
 
     @staticmethod
     def of(params: dict[str, str]) -> NameQuery:
         """From request parameters: v, f and the options as strings."""
-        names = {"isSurname": "is_surname", "gendervalue": "gender_value"}
-        made: dict = {"text": params["v"].strip(), "surname_field": "lname" in params.get("f", "lname")}
+        names = {"isSurname": "is_surname", "gendervalue": "gender_value", "genderfield": "gender_field"}
+        made: dict = {"text": params["v"].strip(), "surname_field": "lname" in params.get("f", "lname"), "field_name": params.get("f")}
         for k, v in params.items():
             k = names.get(k, k)
             if k.startswith("use") or k == "is_surname":
                 made[k] = flag(v)
             elif k.endswith("boost") or k == "tie":
                 made[k] = float(v)
-            elif k == "gender_value":
+            elif k in ("gender_value", "gender_field"):
                 made[k] = v
         return NameQuery(**made)
 

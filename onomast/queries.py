@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from onomast import corpus
@@ -13,6 +15,8 @@ from onomast.functions import payload, surname
 from onomast.functions import similarity as sim
 from onomast.operators import bulk_match, hedge, name_search, tfidf
 from onomast.plans.name_query import NameQuery
+from onomast.sources import store
+from onomast.sources.schema import index, read_synonyms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,26 +83,49 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return tfidf.tfidf(docs, "text", ["the", "stupid"]).select("doc_id", F.round("score", 6).alias("score"))
+    docs = corpus.document_words(spark, sf_dir)
+    return tfidf.tfidf(docs, "words", ["the", "stupid"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def length_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.read(spark, sf_dir, "documents").select("doc_id", F.size(an.words(F.coalesce("text", F.lit("")))).alias("n"))
+    docs = corpus.document_words(spark, sf_dir).select("doc_id", F.coalesce(F.size("words"), F.lit(0)).alias("n"))
+    docs = docs.withColumn("n", F.greatest("n", F.lit(0)))
     return docs.select("doc_id", F.col("n").cast("bigint").alias("n_words"), sim.norm_of(F.col("n")).alias("norm"))
 
 
 def explain_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = tfidf.tfidf(docs, "text", ["stupid"], explained=True).select("doc_id", F.col("explanation")[0].alias("e"))
+    docs = corpus.document_words(spark, sf_dir)
+    found = tfidf.tfidf(docs, "words", ["stupid"], explained=True).select("doc_id", F.col("explanation")[0].alias("e"))
     r = lambda c, name: F.round(c, 6).alias(name)
     return found.select("doc_id", r("e.value", "value"), r("e.field_weight.tf", "tf"), r("e.field_weight.idf", "idf"), r("e.field_weight.field_norm", "field_norm"))
 
 
+def phrase_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, freqs = tfidf.term_statistics(corpus.document_words(spark, sf_dir), "words", ["the", "stupid"])
+    made = sim.phrase_idf(freqs, n)
+    return spark.createDataFrame([(round(made["value"], 6), made["details"][0]["description"])], "idf double, first_detail string")
+
+
+def overlap_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = corpus.last_names(spark, sf_dir)
+    plain = dataclasses.replace(sim.CLASSIC, discount_overlaps=False)
+    return df.select("p_partkey", sim.CLASSIC.length_norm(F.col("n__lname_an")).alias("discounted"), plain.length_norm(F.col("n__lname_an")).alias("whole"))
+
+
 def bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct part name against the whole corpus, by the postings join."""
-    names = [r[0] for r in corpus.read(spark, sf_dir, "part").select("p_name").distinct().orderBy("p_name").limit(64).collect()]
-    clauses = bulk_match.clause_table(spark, [(n, NameQuery(n, is_surname=False, surname_field=False)) for n in names])
+    clauses = bulk_match.clause_rows(corpus.read(spark, sf_dir, "part"), "p_name", {"is_surname": False, "surname_field": False})
+    return _bulk(spark, sf_dir, clauses)
+
+
+def bulk_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy and wildcard words by the postings join."""
+    options = {"is_surname": False, "surname_field": False, "usephonetic": False, "useinitial": False, "usesyn": False, "usenull": False}
+    queries_ = [("rign", NameQuery("rign", usefuzzy=True, **options)), ("widgte red", NameQuery("widgte red", usefuzzy=True, **options)), ("re* *et", NameQuery("re* *et", **options)), ("b?lt", NameQuery("b?lt", **options))]
+    return _bulk(spark, sf_dir, bulk_match.clause_table(spark, queries_))
+
+
+def _bulk(spark: SparkSession, sf_dir: str, clauses: DataFrame) -> DataFrame:
     df = corpus.first_names(spark, sf_dir)
     posted = bulk_match.postings(df, "p_partkey", name_search.fields_of("n__fname", columns=df.columns))
     return bulk_match.bulk_match(clauses, posted).select("query_id", F.col("doc").alias("p_partkey"), F.round("score", 6).alias("score"))
@@ -109,6 +136,100 @@ def replica_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hedge.replica_order(events, "event_type", "change")
 
 
+def explain_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = NameQuery("red widget", is_surname=False, surname_field=False)
+    found = name_search.explained(corpus.first_names(spark, sf_dir), query, "n__fname")
+    e = found.select("p_partkey", F.explode("explanation").alias("e")).select("p_partkey", "e.*")
+    return e.select("p_partkey", F.col("tok").cast("bigint").alias("tok"), "field", F.round("score", 6).alias("score"), "best")
+
+
+def request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request with a multi-valued field, the usual gender field and an excluded gender."""
+    return _scored(name_search.request(corpus.many_names(spark, sf_dir), {"v": " ring widget", "f": "n__fname_mv", "isSurname": "false", "gendervalue": "male", "usephonetic": "FALSE", "useinitial": "no", "synboost": "0.5"}))
+
+
+def name_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first("  ")(spark, sf_dir)
+
+
+def name_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top, total = name_search.with_total(_first("red widget")(spark, sf_dir), "p_partkey", 5)
+    return top.withColumn("total", F.lit(total).cast("bigint"))
+
+
+def match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(name_search.match_all(corpus.first_names(spark, sf_dir)))
+
+
+def missing_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty by descending gender where half is missing: the missing ones would be last."""
+    df = corpus.parts(spark, sf_dir).where("p_partkey < 30").withColumn("g", F.when(F.col("p_partkey") % 2 == 0, F.col("gender")))
+    rows = name_search.sorted_by(df, "g", "p_partkey", descending=True)
+    return rows.select("p_partkey", "g", F.row_number().over(Window.orderBy(F.col("g").desc_nulls_last(), "p_partkey")).cast("bigint").alias("place")).limit(20)
+
+
+def synonym_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(name_search.term_query(corpus.first_names(spark, sf_dir), "n__fname_syn", an.query_synonym_words("Band!")[0], 1))
+
+
+def synonym_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A synonym file written, read and used."""
+    path = f"{store.shared_folder(spark)}/onomast-synonyms-{uuid.uuid4().hex}"
+    spark.createDataFrame([("Red => red, crimson",), ("# no rule",), ("ring=>ring,band",)], "value string").write.text(path)
+    df = index(corpus.parts(spark, sf_dir).withColumnRenamed("name", "n__fname_an"), {"fname": read_synonyms(spark, path)})
+    return _scored(name_search.term_query(df, "n__fname_syn", "crimson"))
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index written, opened again and searched."""
+    path = f"{store.shared_folder(spark)}/onomast-names-{uuid.uuid4().hex}"
+    store.write_index(corpus.parts(spark, sf_dir).withColumnRenamed("name", "n__lname_an"), path, corpus.SYNONYMS)
+    query = NameQuery("red widget", surname_field=True)
+    return _scored(name_search.name_search(store.open_index(spark, path), query, "n__lname"))
+
+
+def _tokens(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    t = df.select(key, F.explode(tokens).alias("t"))
+    return t.select(key, F.col("t.token").alias("token"), F.col("t.pos").cast("bigint").alias("pos"))
+
+
+def whitespace_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(corpus.parts(spark, sf_dir).withColumn("t", an.whitespace_words(F.concat(F.lit(" "), F.upper("name"), F.lit(" x")))), "p_partkey", "t")
+
+
+def analysed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = index(corpus.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body__text")))
+    return df.select("doc_id", F.size("body__text").cast("bigint").alias("n"), F.sha2(F.array_join(F.transform("body__text", lambda t: t["token"]), " "), 256).alias("tokens"))
+
+
+def field_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of dynamic field but the names: plain, several values, place, facet, generic text of several values, date."""
+    p = corpus.read(spark, sf_dir, "part")
+    text = lambda c: F.col(c).cast("string")
+    df = p.select(
+        "p_partkey", text("p_size").alias("a__int"), text("p_retailprice").alias("b__double"), F.array(text("p_size"), F.lit("7")).alias("c__int_mv"), F.lit("true").alias("d__boolean"),
+        F.concat(text("p_size"), F.lit(" , -1.5")).alias("e__location"), F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ")).alias("f__facet_text"), F.array(F.upper("p_name"), F.lit(" Q ")).alias("g__facet_text_mv_ordered"),
+        F.array("p_name", F.lit("Last one")).alias("h__text_mv"), F.lit("2001-02-03 04:05:06").alias("i__date"), F.col("p_name").alias("j__fname_an_initial"), F.concat(F.lit("\u00c9"), "p_name").alias("k__lname"),
+    )
+    x = index(df)
+    return x.select(
+        "p_partkey", F.col("a__int").cast("bigint").alias("a"), F.round("b__double", 2).alias("b"), F.aggregate("c__int_mv", F.lit(0), lambda s, v: s + v).cast("bigint").alias("c"), F.col("d__boolean").alias("d"), (F.col("e__location.lat") + F.col("e__location.lon")).alias("e"),
+        F.col("f__facet_text").alias("f"), F.array_join("g__facet_text_mv_ordered", "|").alias("g"), F.array_max(F.transform("h__text_mv", lambda t: t["pos"])).cast("bigint").alias("h"), F.year("i__date").cast("bigint").alias("i"), F.array_join(F.transform("j__fname_an_initial", lambda t: t["token"]), "").alias("j"), F.col("k__lname").alias("k"),
+    )
+
+
+def payload_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = corpus.read(spark, sf_dir, "part").select("p_partkey", payload.encode_int(F.col("p_partkey") * 1000).alias("b"))
+    return made.select("p_partkey", F.hex("b").alias("bytes"), payload.decode_int(F.col("b")).cast("bigint").alias("n"))
+
+
+def payload_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What payloads count under either similarity, and the document's score where none was seen."""
+    df = corpus.parts(spark, sf_dir).withColumn("t", an.first_an(F.col("name")))
+    of = lambda s: payload.payload_sum(F.col("t"), "widget", s)
+    return df.select("p_partkey", of(sim.CLASSIC).alias("classic"), of(sim.FLAT).alias("flat"), payload.doc_score(payload.payload_score(F.col("t"), "widget", 2, 2)).alias("doc_score"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "term_any": _term("red", None), "target_pos_0": _term("widget", 0), "target_pos_1": _term("widget", 1), "target_pos_10": _term("widget", 10),
@@ -120,4 +241,8 @@ def queries() -> dict[str, Query]:
         "name_surname_concat": _last("red widget"), "name_surname_single": _last("redwidget", gender_value="female"), "name_mv": name_mv, "name_top10": name_top10,
         "field_query": field_query, "payload_position": payload_position, "surname_key": surname_key, "analysed_tokens": analysed_tokens, "phonetic_codes": phonetic_codes,
         "ascii_folding": folded, "tfidf_documents": tfidf_documents, "length_norm": length_norm, "explain_terms": explain_terms, "bulk_match": bulk, "replica_order": replica_order,
+        "bulk_open": bulk_open, "explain_name": explain_name, "request": request, "name_empty": name_empty, "name_total": name_total, "match_all": match_all, "missing_last": missing_last,
+        "synonym_position": synonym_position, "synonym_file": synonym_file, "stored_index": stored_index, "whitespace_tokens": whitespace_tokens, "analysed_text": analysed_text,
+        "field_types": field_types, "payload_bytes": payload_bytes, "payload_scores": payload_scores, "phrase_idf": phrase_idf, "overlap_norm": overlap_norm,
+        "name_fuzzy_two": _first("widgetsts", usefuzzy=True, usephonetic=False), "target_fuzzy_two": _multi("widegtess", "fuzzy", 1), "surname_wildcard": _last("wi*t"),
     }

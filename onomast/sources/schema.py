@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +23,28 @@ def read_synonyms(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return out
 
 
+#: Analysis by kind: words of generic text, one lower-case value, and the name fields.
+ANALYSED = {
+    "text": an.analysed, "facet": an.text_facet,
+    "fname": an.first_an, "fname_string": an.name_string, "fname_syn": an.first_syn, "fname_an_rs": an.first_rs, "fname_an_initial": an.first_initial,
+    "lname": an.last_an, "lname_string": an.name_string, "lname_syn": an.last_syn, "lname_an_rs": an.last_rs,
+}
+#: Kinds whose column names end otherwise.
+ENDS = {"fname_an": "fname", "lname_an": "lname", "fname": "fname_string", "lname": "lname_string", "facet_text": "facet"}
+
+
 def resolve(column: str) -> str | None:
-    """The plain type, `location`, `facet` or analysed kind of a column name, or none."""
-    for suffix, kind in PLAIN.items():
-        if column.endswith(suffix):
-            return kind
-    if column.endswith("__location"):
-        return "location"
-    if column.endswith("__facet_text"):
-        return "facet"
-    m = re.search(r"__(fname|lname)_an(_mv)?$", column)
-    return f"{m[1]}{m[2] or ''}" if m else None
+    """The plain type, `location` or analysed kind of a column name, with `_mv` behind it for several values, or none."""
+    if "__" not in column:
+        return None
+    end = column.rsplit("__", 1)[1]
+    if end.startswith("facet_text"):
+        end = end.removesuffix("_ordered")
+    one, many = end.removesuffix("_mv"), end.endswith("_mv")
+    kind = PLAIN.get(f"__{one}") or ENDS.get(one) or (one if one == "location" or (one in ANALYSED and one != "facet") else None)
+    if kind is None or (many and kind in ("boolean", "binary", "location", "fname_an_initial")):
+        return None
+    return f"{kind}_mv" if many else kind
 
 
 def derived(source: str, synonyms: dict[str, dict[str, list[str]]] | None = None) -> dict[str, Column]:
@@ -44,7 +53,7 @@ def derived(source: str, synonyms: dict[str, dict[str, list[str]]] | None = None
     The analysed source itself is `<field>_an` and so replaces the raw column.
     """
     kind = resolve(source)
-    if not kind or not kind.startswith(("fname", "lname")):
+    if not kind or kind.removesuffix("_mv") not in ("fname", "lname"):
         raise ValueError(f"{source} is no name column")
     syn = (synonyms or {}).get(kind[:5], {})
     many = kind.endswith("_mv")
@@ -60,18 +69,32 @@ def derived(source: str, synonyms: dict[str, dict[str, list[str]]] | None = None
     return {f"{base}{k}{mv}": v for k, v in out.items()} | {f"{base}{mv}": exact}
 
 
+def analyse(column: str, kind: str, synonyms: dict[str, dict[str, list[str]]] | None = None) -> Column:
+    """A column's own analysis, whatever else is derived from it."""
+    one, many = kind.removesuffix("_mv"), kind.endswith("_mv")
+    step = ANALYSED[one]
+    if one.endswith("_syn"):
+        step = lambda c: ANALYSED[one](c, (synonyms or {}).get(one[:5], {}))
+    if not many:
+        return step(F.col(column))
+    return F.transform(column, step) if one in ("facet", "fname_string", "lname_string") else an.multi_valued(F.col(column), step)
+
+
 def index(df: DataFrame, synonyms: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
-    """Casts plain columns by suffix and adds the analysed columns of every name column."""
+    """Casts plain columns by suffix, analyses the others, and adds the columns derived from every analysed name column (which replace columns of their names)."""
     made: dict[str, Column] = {}
     for name in df.columns:
         kind = resolve(name)
-        if kind in PLAIN.values():
-            made[name] = F.unbase64(name) if kind == "binary" else F.col(name).cast(kind)
+        if kind is None:
+            continue
+        plain = kind.removesuffix("_mv")
+        if plain in PLAIN.values():
+            made.setdefault(name, F.unbase64(name) if kind == "binary" else F.col(name).cast(f"array<{plain}>" if kind.endswith("_mv") else kind))
         elif kind == "location":
             at = F.split(name, ",")
             made[name] = F.struct(F.trim(at[0]).cast("double").alias("lat"), F.trim(at[1]).cast("double").alias("lon"))
-        elif kind == "facet":
-            made[name] = an.text_facet(F.col(name))
-        elif kind:
+        elif plain in ("fname", "lname"):
             made |= derived(name, synonyms)
+        else:
+            made.setdefault(name, analyse(name, kind, synonyms))
     return df.withColumns(made)

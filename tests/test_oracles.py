@@ -21,7 +21,7 @@ def sql():
     return c
 
 
-@pytest.mark.parametrize("name", ["name_basic", "name_tie", "name_surname_concat", "name_mv", "name_fuzzy", "initial_wildcard", "bulk_match", "tfidf_documents", "length_norm", "surname_key", "payload_position"])
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_equals_sql(spark, sql, name):
     got = queries.queries()[name](spark, DIR)
     names = sorted(got.columns)

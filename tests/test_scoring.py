@@ -39,6 +39,19 @@ def test_payload(spark):
     assert spark.range(1).select(payload.decode_int(payload.encode_int(F.lit(70_000)))).first()[0] == 70_000
 
 
+def test_folding_of_forms(spark):
+    text = "Ｇｒöße ²³ Ⓐⓑ ① ₂ “q” ‹x› é ﬀ ⑩ ½"
+    want = 'Grosse 23 Ab 1 2 "q" \'x\' e ﬀ ⑩ ½'
+    assert an.fold_text(text) == want and spark.createDataFrame([(text,)], "t string").select(an.fold(F.col("t"))).first()[0] == want
+
+
+def test_similarities(spark):
+    df = spark.createDataFrame([("a b a",)], "text string").withColumn("t", an.whitespace_words(F.col("text")))
+    assert tuple(df.select(payload.payload_sum(F.col("t"), "a", sim.CLASSIC), payload.payload_sum(F.col("t"), "a", sim.FLAT), payload.doc_score(payload.payload_score(F.col("t"), "x", 1))).first()) == (2.0, 4.0, 1.0)
+    e = spark.range(1).select(sim.explain(F.lit(4.0), F.lit(1.0), F.lit(0.5)).alias("e")).first()["e"]
+    assert e["value"] == 1.0 and e["query_weight"] is None
+
+
 def test_surname_key(spark):
     rule = {"surname_col": "k", "regex": "^([A-Za-z])", "default_match": r"(\d)"}
     df = spark.createDataFrame([(None,), ("",), ("  ",), ("Smith",), ("Sm1th",)], "n string")
