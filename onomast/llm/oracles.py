@@ -32,4 +32,57 @@ SELECT d.doc_id, c.class_id, coalesce(l.n_links, 0) AS n_links, coalesce(n.n, 0)
 FROM documents d JOIN least c ON c.x = d.doc_id LEFT JOIN links l ON l.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-SQL = {"op2_ngram_join": OP2, "op10_exact_dedup": OP10}
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {WORDS} AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, {WORDS} AS ws FROM benchmark),
+win AS MATERIALIZED (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (
+  SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)),
+hit AS MATERIALIZED (SELECT doc_id, i, n, item_id FROM dw JOIN win USING (g, n)),
+places AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit),
+c AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+it AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM hit WHERE item_id IS NOT NULL GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+#: Kind, pattern and the rule that its matches must meet.
+SECRETS = [
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "len(regexp_extract(s, p, 1)) >= 12"),
+    ("access", "AKIA[A-Z0-9]+", "len(s) >= 18"),
+    ("hex", "[0-9a-f]+", "len(s) >= 16"),
+    ("entropy", "[A-Za-z0-9+/_=-]+", """len(s) >= 20 AND NOT regexp_full_match(s, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[A-Za-z][A-Za-z_/=+-]*|[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}')
+       AND len(list_distinct(string_split(s, ''))) > 1
+       AND list_max(list_transform(range(1, len(s) - 18), lambda i: list_sum(list_transform(list_distinct(string_split(s[i:i + 19], '')),
+         lambda c: (len(replace(s[i:i + 19], c, '')) - 20) / 20 * log2((20 - len(replace(s[i:i + 19], c, ''))) / 20)))))
+         >= CASE WHEN regexp_full_match(s, '[0-9a-fA-F]+') THEN 3.0 WHEN regexp_full_match(s, '[A-Z2-7=]+') THEN 3.6 ELSE 3.9 END"""),
+]
+
+
+def _secrets() -> str:
+    parts = []
+    for k, (kind, pattern, rule) in enumerate(SECRETS):
+        parts.append(f"""
+SELECT doc_id, '{kind}' AS kind, {k} AS k, a, a + len(s) AS z FROM (
+  SELECT doc_id, p, ms[i] AS s, (list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: len(m))), 0))::BIGINT AS a
+  FROM (SELECT doc_id, p, ms, regexp_split_to_array(x, p) AS gaps, unnest(range(1, len(ms) + 1)) AS i
+        FROM (SELECT doc_id, x, p, regexp_extract_all(x, p) AS ms FROM (SELECT doc_id, coalesce(text, '') AS x, '{pattern}' AS p FROM documents))))
+WHERE {rule}""")
+    said = "string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k)"
+    return f"""
+WITH f AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_entropy,
+  {said} FILTER (k < 3) AS base, {said} AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)"""
+
+
+SQL = {"op2_ngram_join": OP2, "op4_secrets": _secrets(), "op6_decontaminate": OP6, "op10_exact_dedup": OP10}
