@@ -1,4 +1,11 @@
-"""A corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents.
+
+Defined results: documents with null or empty text, or without a letter, go in the first stage. Null ids are ids like any
+other; rows that repeat the id but not the text are documents of their own; of rows that repeat id and text one stays (exact dedup). Of
+equally good copies the least id stays, null ids last. Very long texts are read whole by every stage. All stages but the last keep the
+columns that they are given, whatever their names; the last one returns doc_id, n_tokens, ids_sha256 and decoded_sha256. An empty table
+gives an empty result.
+"""
 
 from __future__ import annotations
 
