@@ -66,3 +66,18 @@ def test_language_model_learns_from_the_others_only(spark):
 
     docs = spark.createDataFrame([(k, "alpha beta" if k % 2 else "gamma delta", "x" if k % 2 else "y") for k in range(30)], "doc_id long, text string, lang string")
     assert isinstance(language_model(docs), language_id.Model)
+
+
+def test_repeated_ids_nulls_and_long_texts(spark, tmp_path):
+    long = " ".join(f"wort{k % 977}" for k in range(60_000))
+    rows = [(1, "eins zwei drei", "de", "s", 1), (1, "eins zwei drei", "de", "t", 2), (1, "ganz andere worte hier", "de", "s", 3), (None, "ohne nummer steht das hier", "de", "s", 4), (2, None, "de", "s", 5), (3, "", None, None, None), (4, long, "de", "s", 6), (5, long + " ende", "de", "s", 7), (6, "漢字" * 9000, "zh", "s", 8), (7, "eins  zwei drei", "de", "s", 9), (0, "123 456", "de", "s", 10)]
+    docs = spark.createDataFrame([(*r, "mine", "own", "k") for r in rows], f"{DOCS}, score string, lang_pred string, __k string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (None, "einige worte die nirgends stehen")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[-3:] == ["score", "lang_pred", "__k"]
+    assert {tuple(r) for r in docs.select("score", "lang_pred", "__k").distinct().collect()} == {("mine", "own", "k")}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # "eins  zwei drei" (7) has more code points than the rows of id 1; 4 and 5 are near copies
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "4", "6", "7", "None"]
