@@ -97,8 +97,8 @@ class Codec:
         self.odd = regex.compile("[\x1c-\x1f]")
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         size = lambda made: 64 + len(made[0]) + 8 * len(made[1])
-        self.pieces = ChunkCache(self._piece, 32 << 20, size)
-        self.words = ChunkCache(self._word, 24 << 20, size)
+        self.pieces = ChunkCache(self._piece, 20 << 20, size)
+        self.words = ChunkCache(self._word, 14 << 20, size)
 
     def encode_word(self, word: str) -> list[str]:
         symbols = [self.letters[b] for b in word.encode()]

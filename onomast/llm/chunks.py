@@ -16,7 +16,7 @@ class ChunkTable:
     back. `make` gives the rows of a list of new pieces. Pieces longer than LONGEST_PIECE are kept for their batch only.
     """
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 16 << 20):
+    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 12 << 20):
         self.make, self.limit, self.spent, self.used = make, limit, 0, 0
         self.index: dict[str, int] = {}
         self.old: dict[str, int] = {}

@@ -35,7 +35,7 @@ from onomast.llm.common import release, row_slices, small_batches, worker_state,
 WORDS, GRAMS, ORDERS = 500_000, 200_000, (4, 3, 2, 1)
 BATCH_BYTES = 2 << 20
 #: Counted pieces that a task holds before it hands them on.
-HELD = 150_000
+HELD = 100_000
 #: Bytes of text after which it does so whatever their number.
 HELD_BYTES = 32 << 20
 RUN = re.compile(r"[^\W\d_]+")
