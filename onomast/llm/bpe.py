@@ -32,6 +32,8 @@ from onomast.llm.common import ChunkCache, release, row_slices, small_batches, t
 #: White space of the file's rules (Unicode White_Space); Python's own class has U+001C to U+001F besides.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 BATCH_BYTES = 2 << 20
+#: Bytes of encoded pieces and words that a worker remembers, in each of two generations; less memory costs time, never a result.
+CACHE_BYTES = 112 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -71,7 +73,7 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -97,8 +99,8 @@ class Codec:
         self.odd = regex.compile("[\x1c-\x1f]")
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         size = lambda made: 64 + len(made[0]) + 8 * len(made[1])
-        self.pieces = ChunkCache(self._piece, 20 << 20, size)
-        self.words = ChunkCache(self._word, 14 << 20, size)
+        self.pieces = ChunkCache(self._piece, cache_bytes * 3 // 5, size)
+        self.words = ChunkCache(self._word, cache_bytes * 2 // 5, size)
 
     def encode_word(self, word: str) -> list[str]:
         symbols = [self.letters[b] for b in word.encode()]
@@ -153,8 +155,8 @@ class Codec:
         return bytes(self.bytes[c] for t in tokens for c in t).decode("utf-8", "replace")
 
 
-def codec(path: str) -> Codec:
-    return worker_state(("bpe", path), lambda: Codec(path))
+def codec(path: str, cache_bytes: int = CACHE_BYTES) -> Codec:
+    return worker_state(("bpe", path, cache_bytes), lambda: Codec(path, cache_bytes))
 
 
 FOUND = ("token_ids", "decoded")
@@ -179,12 +181,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias(texts)).mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256; ids and decoded text leave no task."""
     schema = T.StructType([docs.schema[doc_id], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path, cache_bytes)
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
                 counts, ids, decoded = [], [], []
