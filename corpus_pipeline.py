@@ -42,9 +42,12 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digests of each document's ids and of the text decoded from them."""
-    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), cache_bytes=TOKEN_CACHE)
 
 
+#: Executors hold what earlier stages left behind, so the last stage remembers less.
+TOKEN_CACHE = 34 << 20
+
 STAGES = [("language id", language), ("exact dedup", exact), ("n-gram join", near), ("decontaminate", clean), ("bpe", tokens)]
 
 #: Language models and BPE can't be expressed in SQL; the tests hold run() against a brute-force version.
