@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read again: its rows are fixed and executors may be lost."""
+    path = f"{shared_folder(df.sparkSession)}/onomast-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_index(df: DataFrame, path: str, synonyms: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
     """Analyses the columns of df, writes them below path and reads them again."""
     made = index(df, synonyms)
