@@ -85,4 +85,36 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM documents LEFT JOIN g USING (doc_id)"""
 
 
-SQL = {"op2_ngram_join": OP2, "op4_secrets": _secrets(), "op6_decontaminate": OP6, "op10_exact_dedup": OP10}
+#: Every block's quotient is listed and ranked; shares are filled up in the order of 3 * size / weight.
+OP12 = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '~') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat_ws('|', '20', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))) AS h FROM documents),
+c AS MATERIALIZED (SELECT *, ('0x' || h[1:8])::BIGINT % (SELECT greatest(1, ceil(count(*) / 10000))::BIGINT FROM d) AS cell FROM d),
+s AS (SELECT k, count(*) AS n, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY k) - 1 AS place, 1 + (row_number() OVER (ORDER BY k) - 1) % 3 AS w FROM d GROUP BY k),
+f AS (
+  SELECT *, row_number() OVER o AS nth, (sum(size) OVER () - coalesce(sum(3 * size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT
+    / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS level
+  FROM s WINDOW o AS (ORDER BY 3 * size / w, place)),
+l AS (SELECT nth AS stop, level AS final FROM f WHERE 3 * size / w >= level ORDER BY nth LIMIT 1),
+t AS MATERIALIZED (SELECT k, place, n, size, CASE WHEN nth < stop THEN (3 * size)::DOUBLE ELSE w * final END AS target FROM f, l),
+b AS (SELECT greatest(1, least(256, floor(min(CASE WHEN target > 0 THEN target END) / 128)))::BIGINT AS b FROM t),
+w AS (SELECT place, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, place, seat) AS nth
+  FROM (SELECT place, target, unnest(range(0, floor(target / b)::BIGINT + 99)) AS seat FROM t, b WHERE target > 0)),
+q AS (SELECT place, count(*) AS seats FROM w, b WHERE nth <= (SELECT (sum(size)::BIGINT + b // 2) // b FROM t) GROUP BY place),
+p AS MATERIALIZED (
+  SELECT c.*, t.place, t.size AS source_size, target, coalesce(seats, 0) AS seats, cell % ceil(n / 10000)::BIGINT AS shard
+  FROM c JOIN t USING (k) LEFT JOIN q USING (place)),
+z AS (SELECT place, shard, sum(size)::BIGINT AS z, any_value(seats) AS seats FROM p GROUP BY place, shard),
+y AS (SELECT place, shard, seats, row_number() OVER (PARTITION BY place ORDER BY z / (2 * seat + 1) DESC, shard, seat) AS nth
+  FROM (SELECT *, unnest(range(0, seats)) AS seat FROM z WHERE z > 0)),
+x AS (SELECT place, shard, count(*) AS quota FROM y WHERE nth <= seats GROUP BY place, shard),
+e AS (
+  SELECT p.*, z, least(coalesce(quota, 0) * b, 3 * z) AS words, coalesce(sum(p.size) OVER (PARTITION BY place, shard ORDER BY cell, h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM b, p JOIN z USING (place, shard) LEFT JOIN x USING (place, shard))
+SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
+  (CASE WHEN z = 0 THEN 0 ELSE words // z * size + least(greatest(words % z - before, 0), size) END)::BIGINT AS taken
+FROM e
+"""
+
+SQL = {"op12_mix": OP12, "op2_ngram_join": OP2, "op4_secrets": _secrets(), "op6_decontaminate": OP6, "op10_exact_dedup": OP10}

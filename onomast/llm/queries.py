@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join, pii, quality, secrets, token_store, toxicity
+from onomast.llm import bpe, decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, quality, secrets, token_store, toxicity
 from onomast.llm.common import read, remainder, scratch_dir
 
 
@@ -77,6 +77,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(read(spark, sf_dir, "documents"))
 
 
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
         "op10_exact_dedup": op10_exact_dedup,
+        "op12_mix": op12_mix,
     }
 
 
