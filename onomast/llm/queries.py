@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import bpe, decontaminate, exact_dedup, hard_negatives, language_id, mixing, ngram_join, pii, quality, secrets, token_store, toxicity
+from onomast.llm import alignment, bpe, decontaminate, exact_dedup, hard_negatives, language_id, mixing, ngram_join, pii, quality, secrets, token_store, toxicity
 from onomast.llm.common import read, remainder, scratch_dir
 
 
@@ -86,6 +86,10 @@ def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -100,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_mix": op12_mix,
+        "op13_alignment": op13_alignment,
     }
 
 
