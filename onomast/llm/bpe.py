@@ -10,6 +10,7 @@ pieces between spaces never share a token, so each distinct piece is encoded onc
 
 Defined results: null and empty texts have no ids and decode to the empty string. A special token's string
 in a text is that token. Rows are encoded each on its own, so ties, repeated rows and other columns play no part.
+Very long texts are encoded whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -70,6 +70,12 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def others(columns: Iterable[str], *results: str) -> list[str]:
+    """The columns that no result is named as, in any case, as Spark compares names."""
+    taken = {r.lower() for r in results}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def one_of(rows: DataFrame, column: str) -> Column:
     """One value of a group: the least, or the first met where values of that type have no order."""
     kind = rows.schema[column].dataType.simpleString()

@@ -14,7 +14,8 @@ under the text's hash; the last pass adds them to its own.
 Defined results: null and empty texts have no words and are never contaminated; repeated rows are judged
 each on its own; items without words (or null) match nothing; several items with the same id count once; a null item_id
 still hits words but is listed nowhere. Of equally long matches the first in the document counts, then the least item id and word.
-Other columns pass through untouched; columns named as the results are replaced.
+Other columns pass through untouched; columns named as the results, in any case, are replaced (by `decontaminate` kept). An empty table
+gives an empty result, an empty benchmark hits nothing. Very long texts are read whole; a text of more than a shard's bytes is a shard of its own.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from onomast.llm.common import release, row_slices, small_batches, unused, written
+from onomast.llm.common import others, release, row_slices, small_batches, unused, written
 
 WINDOW = 13
 #: Text bytes of one shard's suffix array.
@@ -339,7 +340,7 @@ def _finds(docs: DataFrame, block, text: str) -> DataFrame:
 
 def _pass(docs: DataFrame, block, text: str, earlier: str | None = None) -> DataFrame:
     """The columns of docs but `earlier` with the results; `earlier` holds what other blocks found."""
-    kept = [f for f in docs.schema.fields if f.name not in FOUND and f.name != earlier]
+    kept = [docs.schema[c] for c in others(docs.columns, *FOUND) if c != earlier]
     schema = T.StructType(kept + [T.StructField(k, T._parse_datatype_string(v)) for k, v in FOUND.items()])
     names = [f.name for f in kept]
 
@@ -401,6 +402,7 @@ def contaminated(share: int = 20) -> F.Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without the contaminated ones, with their own columns (also those named as this operator's)."""
-    own = {c: f"{c}__own" for c in docs.columns if c in FOUND}
+    clashing = [c for c in docs.columns if c not in others(docs.columns, *FOUND)]
+    own = dict(zip(clashing, unused([*docs.columns, *FOUND], *[f"{c}__own" for c in clashing]), strict=True))
     found = find_contamination(docs.withColumnsRenamed(own), benchmark, **options).where(~contaminated())
     return found.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])

@@ -12,7 +12,8 @@ the broadcast model, and a share means the same at every size. Words of lesser s
 
 Defined results: null text, and text without a letter, is `und` with score 0. Rows with null language
 are not learned from; without any learnable row every text is `und`. Ties go to the language first in alphabetical order. Repeated
-rows count as often as they stand. Other columns play no part; columns named lang_pred or score are replaced by the results.
+rows count as often as they stand. Other columns play no part; columns named lang_pred or score, in any case, are replaced by the
+results. Very long texts are read whole. An empty table gives an empty result, and a model that knows no language.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onomast.llm.chunks import ChunkTable, sums
-from onomast.llm.common import release, row_slices, small_batches, worker_state, written
+from onomast.llm.common import others, release, row_slices, small_batches, worker_state, written
 
 WORDS, GRAMS, ORDERS = 500_000, 200_000, (4, 3, 2, 1)
 BATCH_BYTES = 2 << 20
@@ -205,10 +206,10 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", words: int =
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The columns of docs with lang_pred and score."""
+    """The columns of docs with lang_pred and score; columns of these names, in any case, are replaced."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = others(docs.columns, "lang_pred", "score")
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

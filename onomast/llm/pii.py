@@ -18,7 +18,7 @@ pre-aggregated in the task; a bitmap of fixed size (FILTER_BITS) tells it which
 what the bitmap let through for nothing. No text is shuffled and nothing but the bitmap and row counts reaches the driver.
 
 Defined results: null counts as empty and has no spans. Repeated rows are scanned each on its own. Columns other than
-the id and the text play no part. An empty table gives an empty result.
+the id and the text play no part. An empty table gives an empty result. Very long texts are scanned whole.
 """
 
 from __future__ import annotations

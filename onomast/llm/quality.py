@@ -9,7 +9,8 @@ The posteriors of a bounded sample, by a hash of id and text (about SAMPLE rows
 parameters; rows that repeat both count once), then train a linear scorer on hashed words, word shapes and document measures, which scores every row.
 
 Defined results: null and empty texts have no words; they are scored by their measures alone. Repeated rows are scored alike;
-other columns play no part, and columns named weak_label, score or keep are replaced by the results. An empty table gives a model without weights.
+other columns play no part, and columns named weak_label, score or keep, in any case, are replaced by the results. Very long texts are measured and scored whole. An empty table gives a model
+without weights and an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onomast.llm.chunks import ChunkTable, sums
-from onomast.llm.common import ChunkCache, release, row_slices, small_batches, worker_state, written
+from onomast.llm.common import ChunkCache, others, release, row_slices, small_batches, worker_state, written
 
 BITS, SAMPLE, SAMPLE_BYTES = 16, 16_000, 48 << 20
 BATCH_BYTES = 2 << 20
@@ -245,7 +246,7 @@ def predict(docs: DataFrame, labels: Labels, model: Model, text: str = "text", t
     """The columns of docs with weak_label (the posterior), score and keep."""
     shared, key = docs.sparkSession.sparkContext.broadcast((labels, model)), uuid.uuid4().hex
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("weak_label", "score", "keep")]
+    names = others(docs.columns, "weak_label", "score", "keep")
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("weak_label", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@ add up to its start, in code points; they are added up block by block, so that l
 match of a kind skip it after one regular-expression test.
 
 Defined results: null counts as empty and has no spans. Rows are scanned each on its own, so ties, repeated
-rows and other columns play no part; columns named as the results are replaced.
+rows and other columns play no part; columns named as the results are replaced. Very long texts are
+scanned whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

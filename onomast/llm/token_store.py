@@ -18,7 +18,8 @@ checksum per document needs no reassembly: the CRC-32 of a concatenation follows
 ids are read once a unique chunk however often it is used. read_ids() reassembles the ids themselves.
 
 Defined results: null texts count as empty; an empty text is a document of the end id alone. Null ids come
-first. Repeated rows are documents of their own. Other columns are not stored. An empty table gives an empty store.
+first. Repeated rows are documents of their own. Other columns are not stored. An empty table gives an empty store. Very long texts
+are encoded whole, by words.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ word. Scoring is a narrow pass over all rows.
 
 Defined results: null and empty texts have one empty sentence, so they get the bias's score. A document with several
 labels is learned from once a label; labels of unknown documents or null labels are ignored. Without labels of
-both kinds every score is 0. Repeated rows are scored alike. Other columns play no part.
+both kinds every score is 0. Repeated rows are scored alike. Very long texts are scored whole. Other columns play
+no part; columns named score, predicted or offending, in any case, are replaced. An empty table gives an empty result, and no model but zeros.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onomast.llm.chunks import ChunkTable, sums
-from onomast.llm.common import release, row_slices, small_batches, worker_state
+from onomast.llm.common import others, release, row_slices, small_batches, worker_state
 
 BITS = 18
 SAMPLE, SAMPLE_BYTES = 16_000, 48 << 20
@@ -219,7 +220,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
     """The columns of docs with score, predicted and offending: for predicted documents the (start, end, score) of sentences at or above the threshold, else their best one."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("score", "predicted", "offending")]
+    names = others(docs.columns, "score", "predicted", "offending")
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("offending", T._parse_datatype_string("array<struct<start:int,end:int,score:double>>"))])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
