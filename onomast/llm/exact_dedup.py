@@ -9,6 +9,7 @@ the join are plain shuffles, which adaptive execution splits: a group with a thi
 Defined results: null counts as empty, and empty texts are copies of one another. Of equal texts the row
 with the most code points in the original text stays, then the smallest id (null ids last). Rows that repeat
 the id as well as the text are one group and exactly one of them stays. Ids may be of any type that has an order. Other columns play no part.
+Very long texts are hashed whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,8 +58,9 @@ def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pre
     some = survivors.count()
     ids = survivors.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"))
     full = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).withColumn("k", F.coalesce(F.col("id").cast("string"), F.lit("")))
-    full = full.join(F.broadcast(ids) if some <= BROADCAST_ROWS else ids, "k", "left_semi")
-    full = full.select("id", full_hash(F.col("t")).alias("full_hash"), F.char_length(F.coalesce("t", F.lit(""))).alias("n"))
+    hashed_ = [full_hash(F.col("t")).alias("full_hash"), F.char_length(F.coalesce("t", F.lit(""))).alias("n")]
+    # too many ids to broadcast: texts are hashed where they are read, and hashes move instead of texts
+    full = full.join(F.broadcast(ids), "k", "left_semi").select("id", *hashed_) if some <= BROADCAST_ROWS else full.select("id", "k", *hashed_).join(ids, "k", "left_semi").drop("k")
     hashed = written(full.groupBy("id", "full_hash", "n").agg(F.count(F.lit(1)).alias("rows")), "dedup_hashed")
     order = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
     best = hashed.groupBy("full_hash").agg(F.min(order).alias("best"), F.sum("rows").alias("group_size")).where("group_size > 1")
