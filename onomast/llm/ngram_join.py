@@ -17,6 +17,7 @@ for each row. Words are runs of letters, digits and non-ASCII characters of the
 
 Defined results: null texts and texts without words are alone, with their own id as class and no links. Repeated rows are copies. Null ids
 count as documents; a class whose ids are all null has a null class_id. Other columns play no part.
+Very long texts are read whole: a text is one set, however large. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -296,7 +297,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = connected(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
     named = reps.join(links, "node", "left").join(classes, "node", "left").select("print", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
     named = written(named, "ngram_named")
-    least = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    # written, so that the join below can split a class with a large share of all representatives
+    least = written(named.groupBy("label").agg(F.min("least").alias("class_id")), "ngram_least")
     named = named.join(least, "label").select("print", "label", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = signed.select("id", "h", "n", F.when(F.col("n") > 0, F.col("print")).alias("print")).join(named, "print", "left")
     alone = F.col("n") == 0
