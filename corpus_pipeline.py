@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join
-from onomast.llm.common import read, written
+from onomast.llm.common import others, read, unused, written
 from onomast.llm.queries import language_model
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no text, or no letter) go."""
-    own = {c: f"{c}__own" for c in docs.columns if c in ("lang_pred", "score")}
+    clashing = [c for c in docs.columns if c not in others(docs.columns, "lang_pred", "score")]
+    own = dict(zip(clashing, unused([*docs.columns, "lang_pred", "score"], *[f"{c}__own" for c in clashing]), strict=True))
     known = language_id.predict(docs.withColumnsRenamed(own), language_model(docs)).where("lang_pred <> 'und'")
     return known.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
