@@ -5,10 +5,10 @@ both end, and the running count of these cuts numbers the groups. Tokens of one
 that a group with many tokens costs its different ids and not all pairs of occurrences.
 
 Neither tokenizer has a token across the place between a character that isn't white space and a space (checked on the files; else texts are taken
-whole), and both end a token there. So a text is the sequence of its pieces, and every different piece of a block is tokenized and aligned once. A block is a
-task's documents, up to BLOCK_BYTES of text (one document at least); its documents hold numbers of its pieces, and what was found of pieces is put together for them
-in Spark's own expressions. Tables are written in buckets by block, and everything up to the counts of pairs, which are added up in their tasks first, is joined,
-windowed and grouped inside the buckets: texts are read once, and no text, token or document is shuffled.
+whole), and both end a token there. So a text is the sequence of its pieces, every different piece is tokenized and aligned once in the corpus, and documents hold
+numbers of pieces. Documents are packed into blocks of BLOCK_BYTES of text at most (one document at least) with a list of the block's different pieces; what was found of pieces
+comes back to the blocks by joins on the piece and is put together there, in Spark's own expressions. Texts are read once; what is shuffled are pieces, numbers of pieces, and counts that were added up in
+their tasks first. The blocks hold hot words once each.
 
 An id pair's count is the number of documents that hold it linked at least once, over all documents.
 
@@ -23,7 +23,6 @@ import itertools
 import json
 import os
 import re
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -38,10 +37,10 @@ from pyspark.sql.types import _parse_datatype_string
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from onomast.llm.common import release, scratch_dir, small_batches, worker_state, written
+from onomast.llm.common import release, small_batches, worker_state, written
 
-#: Text of a block, about, and pieces that are tokenized together.
-BLOCK_BYTES, TOGETHER = 64 << 20, 20_000
+#: Text of a block, about: a block's pieces and documents are one row each.
+BLOCK_BYTES = 16 << 20
 #: Where a text is cut: at a space after a character that isn't white space, unless only spaces follow.
 CUT = re.compile(r"(?<=\S) (?! *\Z)")
 #: White space before a space, or spaces at the end: only then do cuts differ from all spaces.
@@ -107,45 +106,26 @@ def pieces_of(text: str, cut: bool = True) -> list[str]:
 
 # --- blocks and pieces --------------------------------------------------------------------------------------
 
-TOKENS = "a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>"
 
-
-def tokens_of(both: tuple, pieces: list[str]) -> list[pa.Array]:
-    """The ids and byte lengths of either tokenizer, as list columns; none of a piece whose bytes either doesn't give back."""
-    ids = [t.encode(pieces) for t in both]
-    whole = [f" {p}".encode() for p in pieces]
-    sound = [all(b"".join(map(t.bytes.__getitem__, x[k])) == w for t, x in zip(both, ids, strict=True)) for k, w in enumerate(whole)]
-    out = []
-    for t, x in zip(both, ids, strict=True):
-        kept = [own if ok else [] for own, ok in zip(x, sound, strict=True)]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.fromiter(map(len, kept), np.int64, len(kept)))]).astype(np.int32))
-        flat = np.fromiter(itertools.chain.from_iterable(kept), np.int32)
-        sizes = np.fromiter(map(len, map(t.bytes.__getitem__, flat.tolist())), np.int32, len(flat))
-        out += [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(sizes))]
-    return out
-
-
-def blocks(docs: DataFrame, doc_id: str, text: str, a_file: bytes, b_file: bytes) -> DataFrame:
-    """Rows of two kinds. code null: a block's documents with the numbers of their pieces; else a different piece of the block, as tokens."""
+def blocks(docs: DataFrame, doc_id: str, text: str, cut: bool) -> DataFrame:
+    """Rows of two kinds. code null: a block's documents with the numbers of their pieces; else one different piece of the block."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = _parse_datatype_string(f"block bigint, code int, {TOKENS}, docs array<struct<doc_id:{rows.dtypes[0][1]},codes:array<int>>>")
+    schema = _parse_datatype_string(f"block bigint, code int, piece string, docs array<struct<doc_id:{rows.dtypes[0][1]},codes:array<int>>>")
     arrow, most = to_arrow_schema(schema), BLOCK_BYTES
-    cut = ByteLevel.cuts_at_spaces(a_file) and Pieces.cuts_at_spaces(b_file)
 
-    def made(both: tuple, block: int, ids: list[pa.Array], codes: list[np.ndarray], index: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    def made(block: int, ids: list[pa.Array], codes: list[np.ndarray], index: dict[str, int]) -> Iterator[pa.RecordBatch]:
         offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(codes)))
         docs_ = pa.StructArray.from_arrays([pa.concat_arrays(ids), lists], ["doc_id", "codes"])
-        row = [pa.array([block]), pa.nulls(1, pa.int32()), *[pa.nulls(1, arrow.field(k).type) for k in range(2, 6)], pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), docs_)]
+        row = [pa.array([block]), pa.array([None], pa.int32()), pa.array([None], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), docs_)]
         yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(row, arrow, strict=True)], schema=arrow)
         names = list(index)
-        for at in range(0, len(names), TOGETHER):
-            part = names[at : at + TOGETHER]
+        for at in range(0, len(names), 50_000):
+            part = names[at : at + 50_000]
             n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(at, at + n, dtype=np.int32)), *tokens_of(both, part), pa.nulls(n, arrow.field("docs").type)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(part, pa.string()), pa.nulls(n, arrow.field("docs").type)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = worker_state(("alignment", hash(a_file), hash(b_file)), lambda: (ByteLevel(a_file), Pieces(b_file)))
         base, n = TaskContext.get().partitionId() << 32, itertools.count()
         fresh = lambda: ([], [], defaultdict(itertools.count().__next__))
         (ids, codes, index), held = fresh(), 0
@@ -158,35 +138,56 @@ def blocks(docs: DataFrame, doc_id: str, text: str, a_file: bytes, b_file: bytes
                 held += len(t)
                 if held >= most:
                     ids.append(batch.column(0).slice(at, k + 1 - at))
-                    yield from made(both, base | next(n), ids, codes, index)
+                    yield from made(base | next(n), ids, codes, index)
                     (ids, codes, index), held, at = fresh(), 0, k + 1
             if at < len(batch):
                 ids.append(batch.column(0).slice(at))
         if codes:
-            yield from made(both, base | next(n), ids, codes, index)
+            yield from made(base | next(n), ids, codes, index)
         del ids, codes, index
         release()
 
     return rows.mapInArrow(run, schema)
 
 
-# --- alignment ----------------------------------------------------------------------------------------------
+def tokenized(pieces: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
+    """pid and the ids and byte lengths of either tokenizer; pieces whose bytes either doesn't give back are left out."""
 
-PIECE = ["block", "code"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = worker_state(("alignment", hash(a_file), hash(b_file)), lambda: (ByteLevel(a_file), Pieces(b_file)))
+        for batch in batches:
+            pieces_, pids = batch.column("piece").to_pylist(), batch.column("pid").to_numpy()
+            ids = [t.encode(pieces_) for t in both]
+            whole = [f" {p}".encode() for p in pieces_]
+            sound = [all(b"".join(map(t.bytes.__getitem__, x[k])) == w for t, x in zip(both, ids, strict=True)) for k, w in enumerate(whole)]
+            keep = np.flatnonzero(sound)
+            out = [pa.array(pids[keep])]
+            for t, x in zip(both, ids, strict=True):
+                kept = [x[k] for k in keep]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.fromiter(map(len, kept), np.int64, len(kept)))]).astype(np.int32))
+                flat = np.fromiter(itertools.chain.from_iterable(kept), np.int32)
+                sizes = np.fromiter(map(len, map(t.bytes.__getitem__, flat.tolist())), np.int32, len(flat))
+                out += [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(sizes))]
+            yield pa.RecordBatch.from_arrays(out, ["pid", "a_ids", "a_sizes", "b_ids", "b_sizes"])
+        release()
 
+    return pieces.mapInArrow(run, "pid bigint, a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>")
+
+
+# --- alignment ----------------------------------------------------------------------------------------------
 
 def ends(tokens: DataFrame, side: str) -> DataFrame:
     """One row for each token of one side: its piece, the byte it ends at, its id."""
-    rows = tokens.select(*PIECE, F.posexplode(F.arrays_zip(f"{side}_ids", f"{side}_sizes")).alias("pos", "t"))
-    end = F.sum(F.col(f"t.{side}_sizes")).over(Window.partitionBy(*PIECE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(*PIECE, end.alias("end"), F.col(f"t.{side}_ids").alias(side))
+    rows = tokens.select("pid", F.posexplode(F.arrays_zip(f"{side}_ids", f"{side}_sizes")).alias("pos", "t"))
+    end = F.sum(F.col(f"t.{side}_sizes")).over(Window.partitionBy("pid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("pid", end.alias("end"), F.col(f"t.{side}_ids").alias(side))
 
 
 def grouped(tokens: DataFrame) -> DataFrame:
     """Tokens by end: a, b (null where only the other side ends there) and g, the number of cuts before."""
-    both = ends(tokens, "a").join(ends(tokens, "b"), [*PIECE, "end"], "full")
+    both = ends(tokens, "a").join(ends(tokens, "b"), ["pid", "end"], "full")
     cut = F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1))
-    return both.withColumn("g", cut.over(Window.partitionBy(*PIECE).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)))
+    return both.withColumn("g", cut.over(Window.partitionBy("pid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)))
 
 
 def pair_of(a: Column, b: Column) -> Column:
@@ -199,33 +200,25 @@ def aligned(tokens: DataFrame) -> DataFrame:
     joined = lambda x: F.array_join(F.transform(x, lambda k: k.cast("string")), ",")
     # the join of a group's two sides goes by different ids and their counts
     counted = lambda x: F.transform(F.array_distinct(x), lambda k: F.struct(k.alias("k"), F.size(F.filter(x, lambda v: v == k)).cast("bigint").alias("n")))
-    groups = grouped(tokens).groupBy(*PIECE, "g").agg(in_order("a").alias("x"), in_order("b").alias("y"))
+    groups = grouped(tokens).groupBy("pid", "g").agg(in_order("a").alias("x"), in_order("b").alias("y"))
     links = F.flatten(F.transform(counted(F.col("x")), lambda a: F.transform(counted(F.col("y")), lambda b: F.struct(pair_of(a["k"], b["k"]).alias("pair"), (a["n"] * b["n"]).alias("times")))))
     size = lambda c: F.size(c).cast("bigint")
-    groups = groups.select(*PIECE, "g", F.concat(joined(F.col("x")), F.lit("|"), joined(F.col("y"))).alias("text"), size("x").alias("n_x"), size("y").alias("n_y"), links.alias("links"))
-    return groups.groupBy(*PIECE).agg(
+    groups = groups.select("pid", "g", F.concat(joined(F.col("x")), F.lit("|"), joined(F.col("y"))).alias("text"), size("x").alias("n_x"), size("y").alias("n_y"), links.alias("links"))
+    return groups.groupBy("pid").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "text"))), lambda s: s["text"]), ";").alias("groups"),
         F.sum("n_x").alias("n_a"), F.sum("n_y").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("n_x") * F.col("n_y")).alias("n_links"), F.flatten(F.collect_list("links")).alias("links"),
     )
 
 
-def listed(pieces: DataFrame, found: DataFrame, value: Column) -> DataFrame:
-    """block and what was found of its pieces, in the order of their numbers; nulls in the place of pieces without tokens."""
-    rows = pieces.select(*PIECE).join(found.select(*PIECE, value.alias("value")), PIECE, "left").select("block", "code", F.struct("value").alias("value"))
-    return rows.sortWithinPartitions(*PIECE).groupBy("block").agg(F.collect_list("value").alias("known"))
-
-
-def in_buckets(df: DataFrame, name: str, made: list[str]) -> DataFrame:
-    """The table written in buckets by block and read again; `made` gets its name in the catalogue, where only its folder is known."""
-    spark, table = df.sparkSession, f"onomast_{name}_{uuid.uuid4().hex}"
-    made.append(table)
-    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", scratch_dir(spark, name)).option("compression", "zstd").saveAsTable(table)
-    return spark.table(table)
+def listed(entries: DataFrame, value: Column) -> DataFrame:
+    """block and the values of its pieces, in the order of their numbers."""
+    rows = entries.select("block", "code", value.alias("value")).repartition("block").sortWithinPartitions("block", "code")
+    return rows.groupBy("block").agg(F.collect_list("value").alias("known"))
 
 
 @contextmanager
 def partitioned_by_some_keys(spark: SparkSession) -> Iterator[None]:
-    """Joins inside buckets by block, whatever further keys they have."""
+    """Joins inside partitions by one of their keys."""
     key = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(key)
     spark.conf.set(key, "false")
@@ -237,46 +230,39 @@ def partitioned_by_some_keys(spark: SparkSession) -> Iterator[None]:
 
 def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256."""
-    spark, made = docs.sparkSession, []
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     a_file, b_file = (open(p, "rb").read() for p in (a_path, b_path))  # noqa: SIM115
-    with partitioned_by_some_keys(spark):
-        try:
-            return written(_aligned_documents(blocks(docs, doc_id, text, a_file, b_file), made), "alignment")
-        finally:
-            for table in made:
-                spark.sql(f"DROP TABLE IF EXISTS {table}")
-
-
-def _aligned_documents(rows: DataFrame, made: list[str]) -> DataFrame:
-    raw = in_buckets(rows, "blocks", made)
-    pieces, by_block = raw.where("code is not null"), raw.where("code is null").select("block", "docs")
-    found = in_buckets(aligned(pieces), "pieces", made)
+    raw = written(blocks(docs, doc_id, text, ByteLevel.cuts_at_spaces(a_file) and Pieces.cuts_at_spaces(b_file)), "alignment_blocks")
+    found = raw.where("code is not null").select("block", "code", "piece")
+    pieces = written(found.select("piece").distinct().withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    tokens = written(tokenized(pieces, a_file, b_file), "piece_tokens")
+    with partitioned_by_some_keys(docs.sparkSession):
+        # tokens are dealt out once, as arrays; all that follows up to a piece's result stays in its partition
+        results = written(aligned(tokens.repartition("pid")), "pieces_aligned")
+    entries = written(found.join(pieces, "piece").select("block", "code", "pid"), "alignment_entries")
+    by_block = raw.where("code is null").select("block", "docs")
 
     # documents that hold a pair: the different pairs of a document's different pieces, counted in the task first
-    with_pairs = by_block.join(listed(pieces, found, F.transform("links", lambda s: s["pair"])), "block")
-    of_doc = lambda d: F.transform(F.array_distinct(d["codes"]), lambda c: F.get("known", c)["value"])
-    # a piece without tokens is null and makes the whole document's pairs null
+    pairs = results.select("pid", F.array_distinct(F.transform("links", lambda s: s["pair"])).alias("pairs"))
+    with_pairs = by_block.join(listed(entries.join(pairs, "pid", "left"), F.struct("pairs")), "block")
+    of_doc = lambda d: F.transform(F.array_distinct(d["codes"]), lambda c: F.get("known", c)["pairs"])
+    # a piece without tokens has null pairs, which make the whole document's null
     each = F.transform("docs", lambda d: F.array_distinct(F.flatten(of_doc(d))))
     counts = with_pairs.select(F.explode(each).alias("p")).select(F.explode("p").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts.withColumn("a", F.shiftright("pair", 32)), "pair_counts")
     best = counts.groupBy("a").agg(F.max("n").alias("most"))
     counts = counts.join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("bigint").alias("best"))
-
-    # what a block's pairs count goes to the block, each pair once
-    linked = found.select(*PIECE, F.explode("links").alias("l")).select(*PIECE, "l.pair", "l.times")
-    known = linked.select("block", "pair").distinct().join(counts, "pair")
-    sums = linked.join(known.repartition("block"), ["block", "pair"], "left").groupBy(*PIECE)
-    sums = sums.agg(F.sum(F.col("times") * F.coalesce("n", F.lit(0))).alias("count_sum"), F.sum(F.col("times") * F.coalesce("best", F.lit(0))).alias("n_best"))
+    sums = results.select("pid", F.explode("links").alias("l")).select("pid", "l.*").join(counts, "pair", "left")
+    sums = sums.groupBy("pid").agg(F.sum(F.col("times") * F.coalesce("n", F.lit(0))).alias("count_sum"), F.sum(F.col("times") * F.coalesce("best", F.lit(0))).alias("n_best"))
 
     numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    with_values = by_block.join(listed(pieces, found.drop("links").join(sums, PIECE), F.struct("groups", *numbers)), "block")
+    values = results.drop("links").join(sums, "pid")
+    with_values = by_block.join(listed(entries.join(written(values, "piece_values"), "pid", "left"), F.struct("groups", *numbers)), "block")
 
     def result(d: Column) -> Column:
-        own = lambda c: F.get("known", c)["value"]
-        groups = F.transform(d["codes"], lambda c: own(c)["groups"])
+        groups = F.transform(d["codes"], lambda c: F.get("known", c)["groups"])
         sound = (F.size(d["codes"]) > 0) & ~F.exists(groups, lambda g: g.isNull())
-        total = lambda name: F.aggregate(d["codes"], F.lit(0).cast("bigint"), lambda s, c: s + own(c)[name])
+        total = lambda name: F.aggregate(d["codes"], F.lit(0).cast("bigint"), lambda s, c: s + F.get("known", c)[name])
         digest = F.when(sound, F.sha2(F.array_join(groups, ";").cast("binary"), 256)).otherwise(F.lit(""))
         return F.struct(d["doc_id"].alias("doc_id"), *[F.coalesce(F.when(sound, total(n)), F.lit(0)).cast("bigint").alias(n) for n in numbers], digest.alias("groups_sha256"))
 
