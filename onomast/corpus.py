@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from onomast.functions import analysis as an
 from onomast.sources.schema import index
-from onomast.sources.store import stored
+from onomast.sources.segments import Segments
+from onomast.operators.name_search import fields_of
+from onomast.sources.postings import Postings, write_postings
+from onomast.sources.store import kept, stored, version_of
 
 SYNONYMS = {"fname": {"red": ["red", "crimson"], "ring": ["ring", "band"]}, "lname": {"red": ["red", "crimson"]}}
 
@@ -16,6 +19,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _version(spark: SparkSession, sf_dir: str, table: str) -> tuple:
+    return version_of(spark, f"{sf_dir}/{table}.parquet")
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey, name and gender: part names with missing, initialled and hyphenated ones among them."""
     p, words = read(spark, sf_dir, "part"), F.split("p_name", " ")
@@ -27,12 +34,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored index of the parts' names as first names."""
-    return stored(spark, ("first", sf_dir), lambda: index(parts(spark, sf_dir).withColumnRenamed("name", "n__fname_an"), SYNONYMS))
+    return stored(spark, ("first", sf_dir), lambda: index(parts(spark, sf_dir).withColumnRenamed("name", "n__fname_an"), SYNONYMS), _version(spark, sf_dir, "part"))
 
 
 def last_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored index of the parts' names as surnames."""
-    return stored(spark, ("last", sf_dir), lambda: index(parts(spark, sf_dir).withColumnRenamed("name", "n__lname_an"), SYNONYMS))
+    return stored(spark, ("last", sf_dir), lambda: index(parts(spark, sf_dir).withColumnRenamed("name", "n__lname_an"), SYNONYMS), _version(spark, sf_dir, "part"))
 
 
 def many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +49,63 @@ def many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = parts(spark, sf_dir).withColumn("n__fname_an_mv", F.array("name", F.concat(F.lit("ring "), F.col("gender"))))
         return index(df.withColumnRenamed("name", "n__fname_an").withColumn("Gender__facet_text", F.upper("gender")), SYNONYMS)
 
-    return stored(spark, ("many", sf_dir), made)
+    return stored(spark, ("many", sf_dir), made, _version(spark, sf_dir, "part"))
+
+
+TEXT = "t__text"
+
+
+def people(spark: SparkSession, sf_dir: str) -> Segments:
+    """Parts as people: the name as first and last name, the gender, and a text of type, name and brand (every fifth: the type alone); all in one index."""
+
+    def made(path: str) -> Segments:
+        p = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.col("p_type")).otherwise(F.concat_ws(" ", "p_type", "p_name", "p_brand")).alias(TEXT))
+        names = parts(spark, sf_dir).select("p_partkey", F.col("name").alias("n__fname_an"), F.col("name").alias("n__lname_an"), "gender")
+        out = Segments(spark, path, "p_partkey", (TEXT,), SYNONYMS)
+        out.add(names.join(p, "p_partkey"))
+        out.commit()
+        return out
+
+    return kept(spark, ("people", sf_dir), _version(spark, sf_dir, "part"), made)
+
+
+def changed_documents(spark: SparkSession, sf_dir: str) -> Segments:
+    """Documents in three commits: ids not divisible by three; then those divisible by two, backwards and again; then without every fifth; merged in the end."""
+
+    def made(path: str) -> Segments:
+        docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body__text"))
+        out = Segments(spark, path, "doc_id", ("body__text",), boosts={"body__text": 2.0})
+        out.add(docs.where("doc_id % 3 <> 0"))
+        out.commit()
+        out.add(docs.where("doc_id % 2 = 0").withColumn("body__text", F.concat_ws(" ", F.lit("stupid"), "body__text")))
+        out.commit()
+        out.delete(docs.where("doc_id % 5 = 0"))
+        out.commit()
+        return out
+
+    return kept(spark, ("changed documents", sf_dir), _version(spark, sf_dir, "documents"), made)
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and the words of each document (null texts have null)."""
-    return stored(spark, ("words", sf_dir), lambda: read(spark, sf_dir, "documents").select("doc_id", an.words(F.col("text")).alias("words")))
+    return stored(spark, ("words", sf_dir), lambda: read(spark, sf_dir, "documents").select("doc_id", an.words(F.col("text")).alias("words")), _version(spark, sf_dir, "documents"))
+
+
+def name_postings(spark: SparkSession, sf_dir: str) -> Postings:
+    """The stored postings of the parts' names as first names."""
+
+    def made(path: str) -> Postings:
+        df = first_names(spark, sf_dir)
+        return write_postings(df, path, "p_partkey", fields_of("n__fname", columns=df.columns))
+
+    return kept(spark, ("name postings", sf_dir), _version(spark, sf_dir, "part"), made)
+
+
+def word_postings(spark: SparkSession, sf_dir: str) -> Postings:
+    """The stored postings of the documents' words."""
+
+    def made(path: str) -> Postings:
+        df = document_words(spark, sf_dir).withColumn("words", an.positioned(F.col("words")))
+        return write_postings(df, path, "doc_id", {"text": "words"}, ("text",))
+
+    return kept(spark, ("word postings", sf_dir), _version(spark, sf_dir, "documents"), made)

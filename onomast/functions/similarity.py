@@ -52,25 +52,30 @@ def length_norm(length: int, boost: float = 1.0) -> float:
     return decode_norm(encode_norm(boost / math.sqrt(length))) if length else 0.0
 
 
-def norm_ranges(longest: int) -> list[tuple[int, int, float]]:
-    """(least length, greatest length, norm) for lengths up to `longest`."""
-    out: list[tuple[int, int, float]] = []
-    values = sorted({decode_norm(b) for b in range(1, 256) if decode_norm(b) <= 1}, reverse=True)
-    for v in values:
-        above = next((x for x in sorted(values) if x > v), None)
-        low = 1 if above is None else math.floor(1 / above**2 + 1e-9) + 1
-        high = math.floor(1 / v**2 + 1e-9)
-        if low <= min(high, longest):
-            out.append((low, min(high, longest), v))
-    return out
-
-
-def norm_of(length: Column, longest: int = 1 << 24) -> Column:
-    """The kept norm of a length, by ranges."""
-    out = F.lit(0.0)
-    for low, _, v in norm_ranges(longest):
-        out = F.when(length >= low, F.lit(v)).otherwise(out)
-    return out
+def encoded(value: Column) -> Column:
+    """The norm byte of a value: the largest whose own value is not above it (0 for 0 and less), computed from exponent and two bits of fraction."""
+    safe = F.greatest(value.cast("double"), F.lit(1e-300)) * (1 + 1e-9)
+    exponent = F.floor(F.log2(safe))
+    # log2 may round up to the next power
+    exponent = F.when(F.pow(F.lit(2.0), exponent) > safe, exponent - 1).otherwise(exponent)
+    quarters = F.least(F.floor((safe / F.pow(F.lit(2.0), exponent) - 1) * 4), F.lit(3))
+    return F.when(value <= 0, F.lit(0)).otherwise(F.greatest(F.least((exponent + 31) * 4 + quarters, F.lit(255)), F.lit(1))).cast("int")
+
+
+def decoded(code: Column) -> Column:
+    """The value of a norm byte, by table."""
+    return F.element_at(F.lit(norm_table()), code.cast("int") + 1)
+
+
+def norm_code(length: Column, boost: Column | float = 1.0) -> Column:
+    """The norm byte of a field of so many tokens with an index-time boost; 0 for an empty one."""
+    boost = boost if isinstance(boost, Column) else F.lit(float(boost))
+    return F.when(length > 0, encoded(boost / F.sqrt(F.greatest(length, F.lit(1))))).otherwise(F.lit(0))
+
+
+def norm_of(length: Column, boost: Column | float = 1.0) -> Column:
+    """The kept norm of a length, whatever the length."""
+    return decoded(norm_code(length, boost))
 
 
 def field_length(tokens: Column, discount_overlaps: bool = True) -> Column:
@@ -95,6 +100,8 @@ class Similarity:
     norm: Callable[[Column], Column] = lambda length: norm_of(length)
     payload: Callable[[Column], Column] = lambda payload: F.lit(1.0)
     discount_overlaps: bool = True
+    #: Neither document frequencies nor lengths count, so that neither is read.
+    plain: bool = False
 
     def length_norm(self, tokens: Column) -> Column:
         return self.norm(field_length(tokens, self.discount_overlaps))
@@ -102,7 +109,7 @@ class Similarity:
 
 CLASSIC = Similarity()
 #: Names: neither idf nor lengths count, and a payload counts as its number.
-FLAT = Similarity(idf=lambda n, docs: F.lit(1.0), coord=lambda matched, total: F.lit(1.0), norm=lambda length: F.lit(1.0), payload=lambda payload: payload.cast("double"))
+FLAT = Similarity(idf=lambda n, docs: F.lit(1.0), coord=lambda matched, total: F.lit(1.0), norm=lambda length: F.lit(1.0), payload=lambda payload: payload.cast("double"), plain=True)
 
 
 def explain(freq: Column, idf_: Column, norm: Column, boost: float = 1.0, query_norm_: float = 1.0) -> Column:

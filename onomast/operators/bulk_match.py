@@ -3,32 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from onomast.plans.name_query import NameQuery
+from onomast.sources.postings import Postings, matches, postings, term_keys
+from onomast.sources.store import written
 
-CLAUSES = "query_id string, variant int, n_tok int, tok int, clause int, kind string, field string, term string, target int, boost double, guard boolean"
-
+__all__ = ["bulk_match", "clause_rows", "clause_table", "expanded", "postings", "top_matches"]
 
-def postings(df: DataFrame, order: str, fields: dict[str, str | None]) -> DataFrame:
-    """doc, field, term, pos of all tokens; the exact value stands at position 0. Columns that don't exist give nothing."""
-    parts = []
-    for name, column in fields.items():
-        if column is None:
-            continue
-        if name == "exact":
-            parts.append(df.select(F.col(order).alias("doc"), F.lit(name).alias("field"), F.col(column).alias("term"), F.lit(0).alias("pos")).where(F.col(column).isNotNull()))
-        else:
-            parts.append(df.select(F.col(order).alias("doc"), F.lit(name).alias("field"), F.explode(column).alias("t")).select("doc", "field", F.col("t.token").alias("term"), F.col("t.pos").alias("pos")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+CLAUSES = "query_id string, variant int, n_tok int, tok int, clause int, kind string, field string, term string, target int, boost double, guard boolean"
+#: Clauses that are broadcast at once.
+TOGETHER = 200_000
+#: Scores that differ by less are ties (sums may be added up in another order).
+DIGITS = 9
 
 
 def clause_table(spark: SparkSession, queries: Iterable[tuple[str, NameQuery]]) -> DataFrame:
@@ -51,62 +44,130 @@ def clause_rows(names: DataFrame, name: str, options: dict) -> DataFrame:
     return names.select(name).distinct().mapInArrow(run, schema)
 
 
-def edits_between(a: Column, b: Column, most: Column) -> Column:
-    """Edit distance with exchanged neighbours as one edit, null beyond `most` (1 or 2), of two columns.
+def _posted(index: DataFrame | Postings) -> DataFrame:
+    return index.table("postings") if isinstance(index, Postings) else index
+
 
-    An exchange costs two plain edits, so pairs within twice the limit are looked at once more: all words that one exchange
-    makes of b, and those that two make.
+def expanded(clauses: DataFrame, index: DataFrame | Postings) -> DataFrame:
+    """The clauses with `weight`; each wildcard or fuzzy one becomes one for each term of its field that it takes in (a fuzzy one for the best fifty).
+
+    Patterns meet the keys of the dictionary, not the postings; a stored index has the keys ready.
     """
-    plain = F.levenshtein(a, b)
+    plain = clauses.where(~F.col("kind").isin("wild", "fuzzy")).withColumn("weight", F.lit(1.0))
+    open_ = clauses.where(F.col("kind").isin("wild", "fuzzy")).withColumnRenamed("term", "pattern")
+    if isinstance(index, Postings):
+        found = index.matches(open_)
+    else:
+        keys = term_keys(index.where(F.col("field") == "an").select("field", "term").distinct())
+        found = matches(open_, keys, keys.where("kind = 'gram'").groupBy("field", "key").agg(F.count(F.lit(1)).alias("n")))
+    met = open_.join(found, ["pattern", "kind", "field"])
+    return plain.unionByName(met.select(*plain.columns))
 
-    def swapped(w: Column) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.char_length(w) - 1, F.lit(1)))
-        return F.transform(at, lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.lit(1)), F.substr(w, i, F.lit(1)), F.substr(w, i + 2)))
 
-    once = F.array_min(F.transform(swapped(b), lambda w: F.levenshtein(a, w))) + 1
-    twice = F.array_min(F.transform(F.flatten(F.transform(swapped(b), swapped)), lambda w: F.levenshtein(a, w))) + 2
-    least = F.when(plain <= 2 * most, F.least(plain, once, F.when(most > 1, twice))).otherwise(plain)
-    return F.when(least <= most, least)
+def _freed(found: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    """Without the guarded clauses of documents whose gender is excluded."""
+    if excluded is None:
+        return found
+    out = excluded.select("doc", F.lit(True).alias("out")).distinct()
+    return found.join(out, "doc", "left").where(~(F.col("guard") & F.coalesce("out", F.lit(False))))
 
 
-def expanded(clauses: DataFrame, posted: DataFrame) -> DataFrame:
-    """The clauses with `weight`; each wildcard or fuzzy one becomes one for each term of its field that it takes in.
+def _best(c: str | Column, tie: float) -> Column:
+    return F.max(c) + tie * (F.sum(c) - F.max(c))
 
-    Patterns meet the distinct terms, not the postings, and only those that share the literal beginning: two letters for
-    a fuzzy word, one for a wildcard. A pattern that begins with a wildcard is held against the whole vocabulary of its field.
-    """
-    plain = clauses.where(~F.col("kind").isin("wild", "fuzzy")).withColumn("weight", F.lit(1.0))
-    open_ = clauses.where(F.col("kind").isin("wild", "fuzzy"))
-    if open_.isEmpty():
-        return plain
-    keyed = open_.withColumnRenamed("term", "pattern")
-    keyed = keyed.withColumn("size", F.when(F.col("kind") == "fuzzy", 2).when(F.substring("pattern", 1, 1).isin("*", "?"), 0).otherwise(1))
-    keyed = keyed.withColumn("start", F.substr("pattern", F.lit(1), F.col("size")))
-    terms = posted.where(F.col("field") == "an").select("field", "term").distinct()
-    terms = terms.select("field", "term", F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.substring("term", 1, n).alias("start")) for n in (0, 1, 2)])).alias("s")).select("field", "term", "s.*")
-    met = keyed.join(terms, ["field", "size", "start"])
-    like = F.replace(F.replace(F.replace(F.replace(F.replace("pattern", F.lit("\\"), F.lit("\\\\")), F.lit("%"), F.lit("\\%")), F.lit("_"), F.lit("\\_")), F.lit("*"), F.lit("%")), F.lit("?"), F.lit("_"))
-    near = edits_between(F.col("term"), F.col("pattern"), F.when(F.char_length("pattern") > 8, 2).otherwise(1))
-    weight = F.when(F.col("kind") == "wild", F.when(F.like(F.col("term"), like), 1.0)).otherwise(1.0 - near / F.least(F.char_length("term"), F.char_length("pattern")))
-    return plain.unionByName(met.withColumn("weight", weight).where("weight > 0").select(*plain.columns))
-
-
-def bulk_match(clauses: DataFrame, posted: DataFrame, tie: float = 0.0, excluded: DataFrame | None = None) -> DataFrame:
-    """query_id, doc, score. excluded: the doc ids whose gender guarded clauses skip.
 
-    The optimizer broadcasts the clause table only while it is below its threshold. After the join rows are
-    partial-aggregated, and all later steps group by supersets of (query_id, doc), dealt out once.
-    """
-    found = expanded(clauses, posted).join(posted, ["field", "term"])
-    if excluded is not None:
-        found = found.join(excluded.select(F.col("doc"), F.lit(True).alias("out")).distinct(), "doc", "left").where(~(F.col("guard") & F.coalesce("out", F.lit(False))))
+def _by_word(found: DataFrame, tie: float) -> DataFrame:
+    """query_id, doc, variant, n_tok, tok, s: what each word scores on a document."""
     near = F.when(F.col("target").isNull(), F.lit(1.0)).otherwise(1.0 / (F.abs(F.col("pos") - F.col("target")) + 1))
-    dealt = found.withColumn("near", near).repartition("query_id", "doc")
-    by_term = dealt.groupBy("query_id", "doc", "variant", "n_tok", "tok", "clause", "kind", "boost", "weight", "term").agg(F.sum("near").alias("freq"))
+    by_term = found.groupBy("query_id", "doc", "variant", "n_tok", "tok", "clause", "kind", "boost", "weight", "term").agg(F.sum(near).alias("freq"))
     # a wildcard's terms count once, a fuzzy word's terms add up by their weights
     one = F.when(F.col("kind") == "half", F.sqrt(F.col("freq") / 2)).when(F.col("kind") == "wild", F.col("boost")).otherwise(F.col("boost") * F.col("weight") * F.sqrt("freq"))
     by_clause = by_term.groupBy("query_id", "doc", "variant", "n_tok", "tok", "clause").agg(F.when(F.first("kind") == "wild", F.max(one)).otherwise(F.sum(one)).alias("s"))
-    best = lambda c: F.max(c) + tie * (F.sum(c) - F.max(c))
-    by_word = by_clause.groupBy("query_id", "doc", "variant", "n_tok", "tok").agg(best("s").alias("s"))
-    by_variant = by_word.groupBy("query_id", "doc", "variant", "n_tok").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("words")).where("words = n_tok")
-    return by_variant.groupBy("query_id", "doc").agg(best("s").alias("score"))
+    return by_clause.groupBy("query_id", "doc", "variant", "n_tok", "tok").agg(_best("s", tie).alias("s"))
+
+
+def _by_document(words: DataFrame, tie: float) -> DataFrame:
+    """query_id, doc, score: all words of a variant must match and add up."""
+    by_variant = words.groupBy("query_id", "doc", "variant", "n_tok").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("words")).where("words = n_tok")
+    return by_variant.groupBy("query_id", "doc").agg(_best("s", tie).alias("score"))
+
+
+def bulk_match(clauses: DataFrame, index: DataFrame | Postings, tie: float = 0.0, excluded: DataFrame | None = None) -> DataFrame:
+    """query_id, doc, score of every match. excluded: the doc ids whose gender guarded clauses skip.
+
+    The optimizer broadcasts the clause table only while it is below its threshold. After the join rows are
+    partial-aggregated, and all later steps group by supersets of (query_id, doc), dealt out once.
+    """
+    found = _freed(expanded(clauses, index).join(_posted(index), ["field", "term"]), excluded)
+    return _by_document(_by_word(found.repartition("query_id", "doc"), tie), tie)
+
+
+def _weak() -> Column:
+    """Clauses that many documents meet and that say little: missing names, and initials of longer words."""
+    return (F.col("kind").isin("term", "exact")) & (F.char_length("term") == 1) & (F.col("boost") < F.col("n_tok_boost"))
+
+
+def top_matches(clauses: DataFrame, index: Postings, k: int, tie: float = 0.0, excluded: DataFrame | None = None) -> DataFrame:
+    """query_id, doc, score, rank: the first k documents of each query, ties in the order of doc; the same as the full ranking's.
+
+    Postings are dealt out by document once, and blocks of at most TOGETHER clauses are broadcast to them (their number is counted first), so a document is scored
+    where it is and a task hands on at most k documents a query: the shuffle is at most queries x k x tasks.
+
+    Strong clauses go first. What they score on the k-th document bounds the ranking from below; bounds of what each clause can score at most (from the
+    dictionary's greatest frequencies) tell for which queries a document without a strong match of every word can still get there. Only
+    these queries meet the long postings of missing names and initials; of the others only the documents that can still rank are scored again by all clauses.
+    """
+    factor = F.max(F.when(F.col("kind") == "term", F.col("boost"))).over(Window.partitionBy("query_id", "variant", "tok"))
+    every = expanded(clauses, index).withColumn("n_tok_boost", F.coalesce(factor, F.lit(0.0))).withColumn("weak", _weak()).drop("n_tok_boost")
+    often = index.table("terms").select("field", "term", "max_freq")
+    freq = F.when((F.col("kind") == "exact") & F.col("target").isNotNull(), 1.0 / (F.col("target") + 1)).otherwise(F.col("max_freq").cast("double"))
+    most = F.when(F.col("kind") == "half", F.sqrt(F.col("max_freq") / 2)).when(F.col("kind") == "wild", F.col("boost")).otherwise(F.col("boost") * F.col("weight") * F.sqrt(freq))
+    every = written(every.join(often, ["field", "term"]).withColumn("most", most).drop("max_freq"), "clauses")
+
+    # bounds of a word: by any clause, and by weak ones alone
+    one = every.groupBy("query_id", "variant", "n_tok", "tok", "clause").agg(F.when(F.first("kind") == "wild", F.max("most")).otherwise(F.sum("most")).alias("m"), F.first("weak").alias("weak"))
+    word = one.groupBy("query_id", "variant", "n_tok", "tok").agg(_best("m", tie).alias("any"), F.coalesce(_best(F.when(F.col("weak"), F.col("m")), tie), F.lit(0.0)).alias("weak"), F.max(F.when(~F.col("weak"), 1)).alias("strong"))
+    sums = Window.partitionBy("query_id", "variant")
+    word = written(word.withColumn("without", F.sum("any").over(sums) - F.col("any") + F.col("weak")), "clause_bounds")
+
+    by_doc = index.table("postings").repartition("doc")
+    blocks = max(1, -(-every.count() // TOGETHER))
+
+    def met(those: DataFrame) -> list[DataFrame]:
+        parts = [those if blocks == 1 else those.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+        return [_freed(by_doc.join(F.broadcast(p), ["field", "term"]), excluded) for p in parts]
+
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "doc"))
+    top = lambda scored: scored.withColumn("rank", first).where(F.col("rank") <= k)
+    strong = [_by_word(p, tie) for p in met(every.where("not weak"))]
+    least = reduce(DataFrame.union, [top(_by_document(w, tie)) for w in strong])
+    least = top(least.drop("rank")).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    # the other variant may add tie times its score to the best one's
+    reach = word.groupBy("query_id").agg(F.max("without").alias("reach")).join(least, "query_id", "left")
+    open_ = F.col("least").isNull() | (F.col("reach") * (1 + tie) >= F.col("least") - 1e-6)
+    judged = written(reach.select("query_id", "least", open_.alias("open")), "clause_reach")
+
+    whole = [top(_by_document(_by_word(p, tie), tie)) for p in met(every.join(judged.where("open"), "query_id", "left_semi"))]
+    closed = judged.where("not open").select("query_id", "least")
+    able = []
+    for w in strong:
+        bounded = w.join(F.broadcast(word.select("query_id", "variant", "tok", F.col("weak").alias("w"))) if blocks == 1 else word.select("query_id", "variant", "tok", F.col("weak").alias("w")), ["query_id", "variant", "tok"])
+        can = bounded.groupBy("query_id", "doc", "variant", "n_tok").agg(F.sum(F.col("s") + F.col("w")).alias("can"), F.count(F.lit(1)).alias("words")).where("words = n_tok")
+        able.append(can.groupBy("query_id", "doc").agg(F.max("can").alias("can")).join(closed, "query_id").where(F.col("can") * (1 + tie) >= F.col("least") - 1e-6).select("query_id", "doc"))
+    candidates = written(reduce(DataFrame.union, able), "candidates")
+    again = candidates.join(every, "query_id").join(by_doc, ["doc", "field", "term"])
+    rest = top(_by_document(_by_word(_freed(again, excluded), tie), tie))
+    return top(reduce(DataFrame.union, [*whole, rest]).drop("rank"))
+
+
+#: Terms up to which one query's lookup is a filter that the scan of the postings prunes by; more are joined.
+FEW = 500
+
+
+def match_one(index: Postings, query: NameQuery, excluded: DataFrame | None = None) -> DataFrame:
+    """doc, score of one query, from the postings of its own terms and no others."""
+    clauses = expanded(clause_table(index.spark, [("", query)]), index)
+    terms = clauses.select("field", "term").distinct().limit(FEW + 1).collect()
+    posted = index.of([(r["field"], r["term"]) for r in terms]) if len(terms) <= FEW else index.table("postings")
+    found = _freed(clauses.join(posted, ["field", "term"]), excluded)
+    return _by_document(_by_word(found.repartition("query_id", "doc"), query.tie), query.tie).select("doc", "score")

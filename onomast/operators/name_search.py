@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from onomast.functions.similarity import FLAT, Similarity
 from onomast.plans.name_query import Clause, NameQuery, like, most_edits
 
 
@@ -17,17 +19,17 @@ def fields_of(base: str, mv: bool = False, columns: list[str] | None = None) ->
     return {k: v if columns is None or v in columns else None for k, v in out.items()}
 
 
-def proximity(tokens: Column, target: int | None) -> Column:
-    """Sum over tokens of 1 / (distance to the target + 1); without a target their number."""
+def proximity(tokens: Column, target: int | None, similarity: Similarity = FLAT) -> Column:
+    """Sum over tokens of what the similarity makes of their distance to the target; without a target their number."""
     if target is None:
         return F.size(tokens).cast("double")
-    return F.aggregate(tokens, F.lit(0.0), lambda s, t: s + 1.0 / (F.abs(t["pos"] - target) + 1))
+    return F.aggregate(tokens, F.lit(0.0), lambda s, t: s + similarity.sloppy(F.abs(t["pos"] - target)))
 
 
-def position_score(tokens: Column, matches, target: int | None, boost: float = 1.0) -> Column:
-    """boost * sqrt(proximity) of the tokens that match; null without any."""
+def position_score(tokens: Column, matches, target: int | None, boost: float = 1.0, similarity: Similarity = FLAT) -> Column:
+    """boost times the similarity's tf of the proximity of the tokens that match; null without any."""
     mine = F.filter(tokens, matches)
-    return F.when(F.size(mine) > 0, F.lit(boost) * F.sqrt(proximity(mine, target)))
+    return F.when(F.size(mine) > 0, F.lit(boost) * similarity.tf(proximity(mine, target, similarity)))
 
 
 def swaps(word: str) -> list[str]:
@@ -50,8 +52,8 @@ def fuzzy_weight(token: Column, word: str) -> Column:
     return 1.0 - edits(token, word, most_edits(word)) / F.least(F.char_length(token), F.lit(len(word)))
 
 
-def clause_score(clause: Clause, fields: dict[str, str | None]) -> Column:
-    """The clause's score on a row; null where it doesn't match. A column that doesn't exist matches nothing."""
+def clause_score(clause: Clause, fields: dict[str, str | None], similarity: Callable[[str], Similarity] = lambda column: FLAT) -> Column:
+    """The clause's score on a row; null where it doesn't match. A column that doesn't exist matches nothing. similarity: of a column."""
     name = fields.get(clause.field)
     if name is None:
         return F.lit(None).cast("double")
@@ -69,7 +71,7 @@ def clause_score(clause: Clause, fields: dict[str, str | None]) -> Column:
         terms = F.array_distinct(F.transform(near, lambda t: t["token"]))
         total = F.aggregate(terms, F.lit(0.0), lambda s, w: s + fuzzy_weight(w, clause.term) * F.sqrt(F.size(F.filter(near, lambda t: t["token"] == w)).cast("double")))
         return F.when(F.size(near) > 0, F.lit(clause.boost) * total)
-    return position_score(c, lambda t: t["token"] == clause.term, clause.target, clause.boost)
+    return position_score(c, lambda t: t["token"] == clause.term, clause.target, clause.boost, similarity(name))
 
 
 def dismax(scores: list[Column], tie: float) -> Column:
@@ -89,13 +91,13 @@ def _free(query: NameQuery, gender: str | None, kind: str = "string") -> Column:
     return ~F.coalesce(F.array_contains(c, query.gender_value) if kind.startswith("array") else c == query.gender_value, F.lit(False))
 
 
-def _clause_scores(query: NameQuery, fields: dict[str, str | None], free: Column) -> list[tuple[Clause, Column]]:
-    return [(c, F.when(free, clause_score(c, fields)) if c.guard else clause_score(c, fields)) for c in query.clauses()]
+def _clause_scores(query: NameQuery, fields: dict[str, str | None], free: Column, similarity: Callable[[str], Similarity] = lambda column: FLAT) -> list[tuple[Clause, Column]]:
+    return [(c, F.when(free, s) if c.guard else s) for c in query.clauses() for s in [clause_score(c, fields, similarity)]]
 
 
-def query_score(query: NameQuery, fields: dict[str, str | None], gender: str | None = None, kind: str = "string") -> Column:
+def query_score(query: NameQuery, fields: dict[str, str | None], gender: str | None = None, kind: str = "string", similarity: Callable[[str], Similarity] = lambda column: FLAT) -> Column:
     """The query's score on a row, null where it doesn't match: every word must match, words add up."""
-    scored = _clause_scores(query, fields, _free(query, gender, kind))
+    scored = _clause_scores(query, fields, _free(query, gender, kind), similarity)
     if not scored:
         return F.lit(None).cast("double")
     variants = []
@@ -105,15 +107,22 @@ def query_score(query: NameQuery, fields: dict[str, str | None], gender: str | N
     return dismax(variants, query.tie)
 
 
-def _gender(df: DataFrame, query: NameQuery, gender: str | None) -> tuple[str | None, str]:
+def fresh_score(df: DataFrame, score: str = "score") -> None:
+    """Scores never replace a column of the caller's."""
+    if score.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the table has a column {score} already; rename it, or combine queries in one tree")
+
+
+def gender_of(df: DataFrame, query: NameQuery, gender: str | None) -> tuple[str | None, str]:
     gender = gender or (query.gender_field if query.gender_field in df.columns else None)
     return gender, df.schema[gender].dataType.simpleString() if gender else "string"
 
 
 def name_search(df: DataFrame, query: NameQuery, base: str, mv: bool = False, gender: str | None = None) -> DataFrame:
     """The matching rows with their score. The excluded gender is sought in `gender`, or in the query's own field if there is one."""
+    fresh_score(df)
     fields = fields_of(base, mv, df.columns)
-    return df.withColumn("score", query_score(query, fields, *_gender(df, query, gender))).where(F.col("score").isNotNull())
+    return df.withColumn("score", query_score(query, fields, *gender_of(df, query, gender))).where(F.col("score").isNotNull())
 
 
 def request(df: DataFrame, params: dict[str, str]) -> DataFrame:
@@ -128,16 +137,17 @@ ALTERNATIVE = "array<struct<variant:int,tok:int,kind:string,field:string,term:st
 def explained(df: DataFrame, query: NameQuery, base: str, mv: bool = False, gender: str | None = None) -> DataFrame:
     """The matching rows with score and explanation: every alternative that matched, and whether it is the best of its word (the first of equals)."""
     fields = fields_of(base, mv, df.columns)
-    scored = _clause_scores(query, fields, _free(query, *_gender(df, query, gender)))
+    scored = _clause_scores(query, fields, _free(query, *gender_of(df, query, gender)))
     lit = lambda v, kind: F.lit(v).cast(kind)
     rows = [F.struct(lit(c.variant, "int").alias("variant"), lit(c.tok, "int").alias("tok"), lit(c.kind, "string").alias("kind"), lit(c.field, "string").alias("field"), lit(c.term, "string").alias("term"), lit(c.target, "int").alias("target"), lit(c.boost, "double").alias("boost"), s.alias("score"), lit(k, "int").alias("k")) for k, (c, s) in enumerate(scored)]
     met = F.filter(F.array(*rows), lambda r: r["score"].isNotNull()) if rows else F.array().cast(ALTERNATIVE)
 
     def judged(all_: Column) -> Column:
-        def better(r: Column) -> Column:
-            return F.exists(all_, lambda o: (o["variant"] == r["variant"]) & (o["tok"] == r["tok"]) & ((o["score"] > r["score"]) | ((o["score"] == r["score"]) & (o["k"] < r["k"]))))
-
-        return F.transform(all_, lambda r: F.struct(*[r[c].alias(c) for c in ("variant", "tok", "kind", "field", "term", "target", "boost", "score")], (~better(r)).alias("best")))
+        # the best of each word by one pass over the alternatives, as its number
+        words = sorted({(c.variant, c.tok) for c, _ in scored})
+        of = lambda v, w: F.filter(all_, lambda o: (o["variant"] == v) & (o["tok"] == w))
+        best = F.array(*[F.array_min(F.transform(of(v, w), lambda o: F.struct((-o["score"]).alias("s"), o["k"].alias("k"))))["k"] for v, w in words]) if words else F.array().cast("array<int>")
+        return F.transform(all_, lambda r: F.struct(*[r[c].alias(c) for c in ("variant", "tok", "kind", "field", "term", "target", "boost", "score")], F.array_contains(best, r["k"]).alias("best")))
 
     found = name_search(df, query, base, mv, gender)
     return found.withColumn("explanation", F.transform(F.array(met), judged)[0])
@@ -159,10 +169,18 @@ def term_query(df: DataFrame, tokens: str, term: str, target: int | None = None)
     return df.withColumn("score", position_score(F.col(tokens), lambda t: t["token"] == term, target)).where("score is not null")
 
 
+def token_rule(kind: str, pattern: str) -> Callable[[Column], Column]:
+    """Whether a token is the term, or one that a prefix, wildcard or fuzzy pattern takes in."""
+    rules = {
+        "term": lambda t: t["token"] == pattern, "prefix": lambda t: t["token"].startswith(pattern), "wildcard": lambda t: t["token"].like(like(pattern)),
+        "fuzzy": lambda t: F.coalesce(edits(t["token"], pattern, most_edits(pattern)) >= 0, F.lit(False)),
+    }
+    return rules[kind]
+
+
 def multi_term_query(df: DataFrame, tokens: str, pattern: str, kind: str, target: int | None = None) -> DataFrame:
     """Positions of all tokens that a prefix, wildcard or fuzzy pattern takes in, together."""
-    rules = {"prefix": lambda t: t["token"].startswith(pattern), "wildcard": lambda t: t["token"].like(like(pattern)), "fuzzy": lambda t: F.coalesce(edits(t["token"], pattern, most_edits(pattern)) >= 0, F.lit(False))}
-    return df.withColumn("score", position_score(F.col(tokens), rules[kind], target)).where("score is not null")
+    return df.withColumn("score", position_score(F.col(tokens), token_rule(kind, pattern), target)).where("score is not null")
 
 
 def field_query(df: DataFrame, tokens: str, words: list[str]) -> DataFrame:

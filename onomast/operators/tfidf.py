@@ -10,8 +10,11 @@ from onomast.functions import similarity as sim
 
 
 def _words(df: DataFrame, text: str):
-    """The words of a text column, or a stored array of words as it is."""
-    return F.col(text) if df.schema[text].dataType.typeName() == "array" else an.words(F.col(text))
+    """The words of a text column, or a stored array of words (or of tokens with places) as it is."""
+    kind = df.schema[text].dataType.simpleString()
+    if kind.startswith("array<struct"):
+        return F.transform(text, lambda t: t["token"])
+    return F.col(text) if kind.startswith("array") else an.words(F.col(text))
 
 
 def term_statistics(df: DataFrame, text: str, terms: list[str]) -> tuple[int, dict[str, int]]:
@@ -21,12 +24,15 @@ def term_statistics(df: DataFrame, text: str, terms: list[str]) -> tuple[int, di
     return row["n"], {t: row[f"t{k}"] or 0 for k, t in enumerate(terms)}
 
 
-def tfidf(df: DataFrame, text: str, terms: list[str], explained: bool = False) -> DataFrame:
-    """The rows that hold any of the terms (of a text, or of a stored array of words), with their classic score: coord * query norm * sum of tf * idf^2 * norm."""
-    n, freqs = term_statistics(df, text, terms)
+def tfidf(df: DataFrame, text: str, terms: list[str], explained: bool = False, statistics: tuple[int, dict[str, int]] | None = None, norm: str | None = None) -> DataFrame:
+    """The rows that hold any of the terms (of a text, or of a stored array of words), with their classic score: coord * query norm * sum of tf * idf^2 * norm.
+
+    statistics: rows and document frequencies, where an index keeps them; else a pass over all rows counts them. norm: a column of stored norm bytes.
+    """
+    n, freqs = statistics or term_statistics(df, text, terms)
     idf = {t: sim.math.log(n / (freqs[t] + 1)) + 1 if n else 1.0 for t in terms}
     norm_q = sim.query_norm(list(idf.values()))
-    out = df.withColumn("__w", _words(df, text)).withColumn("norm", sim.norm_of(F.size("__w")))
+    out = df.withColumn("__w", _words(df, text)).withColumn("norm", sim.decoded(F.col(norm)) if norm else sim.norm_of(F.size("__w")))
     counts = {t: F.size(F.filter("__w", _is(t))).cast("double") for t in terms}
     total = sum((sim.tf(counts[t]) * (idf[t] ** 2) * F.col("norm") for t in terms), F.lit(0.0))
     matched = sum(((counts[t] > 0).cast("int") for t in terms), F.lit(0))

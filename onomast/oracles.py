@@ -180,6 +180,50 @@ def _bulk() -> str:
 SELECT q AS query_id, p_partkey, round(sum(s)::DOUBLE, 6) AS score FROM ({word(first, 0)} UNION ALL {word(second, 1)}) GROUP BY q, p_partkey HAVING count(*) = 2"""
 
 
+def _either(scores: list[str]) -> str:
+    """Rows that any of them matches, with the sum."""
+    return f"SELECT p_partkey, sum(s) AS s FROM ({' UNION ALL '.join(scores)}) GROUP BY p_partkey"
+
+
+def _words(table: str, words: list[str]) -> str:
+    return _either([_near(table, f"token = '{w}'", None, 1.0) for w in words])
+
+
+TREE_RED, TREE_WIDGET = _word(_plain("red", 0, RED)), _word(_last("widget", None, WIDGET))
+TREE_NAMES = f"SELECT t.* FROM ({_all([TREE_RED, TREE_WIDGET])}) t JOIN parts USING (p_partkey) WHERE gender <> 'male'"
+TREE_PLACES = f"""SELECT p_partkey, sum(s) AS s FROM ({_near(LAST, "token = 'widget'", 1, 1.0)} UNION ALL SELECT p_partkey, max(2.0 / (abs(pos + 1 - 2) + 1)) AS s FROM an WHERE token = 'ring' GROUP BY p_partkey
+  UNION ALL {_words(INITIAL, ["r", "b"])}) GROUP BY p_partkey HAVING count(*) >= 2"""
+TREE_NESTED = f"""SELECT p_partkey, a.s + 2 * b.s AS s FROM ({_either([TREE_RED, _near("an", "token LIKE 'bl%'", 0, 1.0)])}) a
+  JOIN ({_either([_words(LAST, ["ring", "bolt", "red"]), TREE_WIDGET])}) b USING (p_partkey) JOIN parts USING (p_partkey)
+  WHERE NOT (gender = 'female' AND p_partkey IN (SELECT p_partkey FROM an WHERE token = 'ring'))"""
+TREE_MIXED = f"""SELECT p_partkey, r.s + coalesce(t.s, 0) AS s FROM ({TREE_RED}) r LEFT JOIN (
+  SELECT p_partkey, sum(sqrt(n) * idf * idf * norm) AS s FROM (
+    SELECT p_partkey, w, len(list_filter(ws, lambda x: x = w)) AS n, {NORM.format(n="len(ws)")} AS norm FROM texts, (SELECT unnest(['promo', 'ring', 'brand']) AS w) WHERE list_contains(ws, w))
+  JOIN (SELECT w, ln((SELECT count(*) FROM texts) / (count(*) + 1.0)) + 1 AS idf FROM texts, (SELECT unnest(['promo', 'ring', 'brand']) AS w) WHERE list_contains(ws, w) GROUP BY w) USING (w) GROUP BY p_partkey) t USING (p_partkey)"""
+TEXTS = "texts AS (SELECT p_partkey, regexp_extract_all(lower(CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE concat_ws(' ', p_type, p_name, p_brand) END), '[a-z]+|[0-9]+') AS ws FROM part)"
+#: Documents after two additions and a deletion; a norm of twice the weight.
+CHANGED = f"""w AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN list_concat(['stupid'], {WORDS}) ELSE {WORDS} END AS ws FROM documents WHERE doc_id % 5 <> 0 AND (doc_id % 3 <> 0 OR doc_id % 2 = 0))"""
+DOUBLE_NORM = NORM.replace("1 / sqrt({n})", "2 / sqrt({n})")
+SEGMENTS_TFIDF = f"""WITH {CHANGED}, n AS (SELECT doc_id, ws, {DOUBLE_NORM.format(n="len(ws)")} AS norm FROM w),
+d AS (SELECT count(*) AS n, sum(list_contains(ws, 'the')::INT) AS a, sum(list_contains(ws, 'stupid')::INT) AS b FROM n),
+i AS (SELECT ln(n / (a + 1.0)) + 1 AS ia, ln(n / (b + 1.0)) + 1 AS ib FROM d),
+c AS (SELECT doc_id, norm, len(list_filter(ws, lambda x: x = 'the')) AS ca, len(list_filter(ws, lambda x: x = 'stupid')) AS cb FROM n)
+SELECT doc_id, round((sqrt(ca) * ia * ia + sqrt(cb) * ib * ib) * norm / sqrt(ia * ia + ib * ib) * ((ca > 0)::INT + (cb > 0)::INT) / 2, 6) AS score FROM c, i WHERE ca > 0 OR cb > 0"""
+SEGMENTS_ORDER = f"WITH {CHANGED} SELECT doc_id, row_number() OVER (ORDER BY doc_id % 2 = 0, doc_id) - 1 AS place FROM w"
+VOCABULARY = f"SELECT term, count(*) AS n FROM (SELECT unnest({WORDS}) AS term FROM documents) GROUP BY term"
+ASKED = f"SELECT DISTINCT w FROM (SELECT unnest({WORDS}) AS w FROM benchmark)"
+#: The distance counts bytes, so the letters beyond ASCII become one byte each.
+LATIN = "translate({c}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
+FUZZY_WORDS = f"""WITH v AS MATERIALIZED (SELECT term, substr(term, 1, 2) AS start, length(term) AS len FROM ({VOCABULARY})),
+p AS MATERIALIZED (SELECT DISTINCT substr(w, 1, length(w) - 2) || substr(w, length(w), 1) || substr(w, length(w) - 1, 1) AS pattern FROM ({ASKED}) WHERE regexp_full_match(w, '[a-z]{{4,}}')),
+m AS MATERIALIZED (SELECT pattern, term, damerau_levenshtein({LATIN.format(c='term')}, {LATIN.format(c='pattern')}) AS d FROM p JOIN v ON substr(pattern, 1, 2) = start AND abs(length(pattern) - len) <= 2),
+k AS (SELECT pattern, term, 1 - d / least(length(term), length(pattern)) AS weight FROM m WHERE d <= CASE WHEN length(pattern) > 8 THEN 2 ELSE 1 END)
+SELECT pattern, term, round(weight::DOUBLE, 6) AS weight FROM k WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY weight DESC, term) <= 50"""
+WILDCARD_WORDS = f"""WITH v AS MATERIALIZED ({VOCABULARY}), q AS (SELECT w FROM ({ASKED}) WHERE regexp_full_match(w, '[a-z]{{5,}}')),
+p AS MATERIALIZED (SELECT DISTINCT unnest(['*' || substr(w, length(w) - 3), '*' || substr(w, 2, 3) || '*', '?' || substr(w, 2, 20)]) AS pattern FROM q)
+SELECT pattern, count(*) AS n_terms, sum(n)::BIGINT AS n_uses FROM p JOIN v ON (CASE WHEN pattern LIKE '*%*' THEN contains(term, pattern[2:4]) WHEN pattern LIKE '*%' THEN suffix(term, pattern[2:]) ELSE length(term) = length(pattern) AND suffix(term, pattern[2:]) END) GROUP BY pattern"""
+
+
 def oracle_sql() -> dict[str, str]:
     gender = _all([_word(_plain("red", 0, RED, gender="male")), _word(_plain("widget", 1, WIDGET, gender="male"))])
     half = f"SELECT p_partkey, sqrt(count(*) / 2) AS s FROM {INITIAL} WHERE token = 'r' GROUP BY p_partkey"
@@ -206,7 +250,10 @@ def oracle_sql() -> dict[str, str]:
         "phonetic_codes": f"SELECT word, {_code('word')} AS code FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)",
         "ascii_folding": _folding(), "tfidf_documents": TFIDF, "length_norm": f"{NORMED} SELECT doc_id, n_words, norm FROM n", "explain_terms": EXPLAIN, "bulk_match": _bulk(),
         "replica_order": "SELECT *, row_number() OVER (ORDER BY inflight, server) AS place FROM (SELECT event_type AS server, sum(CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS inflight FROM events GROUP BY 1)",
-        "bulk_open": _open(), "explain_name": EXPLAIN_NAME, "request": _request(), "name_empty": f"{CORPUS} SELECT p_partkey, 0.0::DOUBLE AS score FROM parts WHERE false",
+        "tree_names": _done(TREE_NAMES), "tree_places": _done(TREE_PLACES), "tree_nested": _done(TREE_NESTED),
+        "tree_mixed": f"{CORPUS}, {TEXTS} SELECT p_partkey, round(s::DOUBLE, 6) AS score FROM ({TREE_MIXED})", "segments_tfidf": SEGMENTS_TFIDF, "segments_order": SEGMENTS_ORDER,
+        "bulk_open": _open(), "bulk_top10": f"SELECT query_id, p_partkey, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey) AS place FROM ({_bulk()}) QUALIFY place <= 10",
+        "posted_basic": _done(BASIC), "posted_fuzzy": _done(_word(_plain("widgte", 0, None, fuzzy=FUZZY))), "fuzzy_words": FUZZY_WORDS, "wildcard_words": WILDCARD_WORDS, "explain_name": EXPLAIN_NAME, "request": _request(), "name_empty": f"{CORPUS} SELECT p_partkey, 0.0::DOUBLE AS score FROM parts WHERE false",
         "name_total": f"{CORPUS}, b AS ({BASIC}) SELECT p_partkey, round(s::DOUBLE, 6) AS score, (SELECT count(*) FROM b) AS total FROM b ORDER BY score DESC, p_partkey LIMIT 5",
         "match_all": _done("SELECT p_partkey, 1.0 AS s FROM parts"),
         "missing_last": f"{CORPUS}, g AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN gender END AS g FROM parts WHERE p_partkey < 30) SELECT p_partkey, g, row_number() OVER (ORDER BY g DESC NULLS LAST, p_partkey) AS place FROM g QUALIFY place <= 20",

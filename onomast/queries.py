@@ -13,10 +13,13 @@ from onomast import corpus
 from onomast.functions import analysis as an
 from onomast.functions import payload, surname
 from onomast.functions import similarity as sim
-from onomast.operators import bulk_match, hedge, name_search, tfidf
+from onomast.operators import bulk_match, hedge, name_search, tfidf, tree_search
+from onomast.operators.ranks import running
+from onomast.plans import query_tree as qt
 from onomast.plans.name_query import NameQuery
 from onomast.sources import store
 from onomast.sources.schema import index, read_synonyms
+from onomast.sources.segments import norm_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,9 +129,75 @@ def bulk_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bulk(spark: SparkSession, sf_dir: str, clauses: DataFrame) -> DataFrame:
-    df = corpus.first_names(spark, sf_dir)
-    posted = bulk_match.postings(df, "p_partkey", name_search.fields_of("n__fname", columns=df.columns))
-    return bulk_match.bulk_match(clauses, posted).select("query_id", F.col("doc").alias("p_partkey"), F.round("score", 6).alias("score"))
+    found = bulk_match.bulk_match(clauses, corpus.name_postings(spark, sf_dir))
+    return found.select("query_id", F.col("doc").alias("p_partkey"), F.round("score", 6).alias("score"))
+
+
+def bulk_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best parts for every distinct part name."""
+    clauses = bulk_match.clause_rows(corpus.read(spark, sf_dir, "part"), "p_name", {"is_surname": False, "surname_field": False})
+    found = bulk_match.top_matches(clauses, corpus.name_postings(spark, sf_dir), 10)
+    return found.select("query_id", F.col("doc").alias("p_partkey"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("place"))
+
+
+def _tree(node: qt.Node, classic: bool = False) -> Query:
+    """A combined query over first names, last names, gender and text; classic: the text by document frequencies and norms that the index keeps."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        index_ = corpus.people(spark, d)
+        wanted = [t for c, t in qt.terms(node) if c == corpus.TEXT]
+        docs, freqs = index_.frequencies(corpus.TEXT, wanted) if classic else (0, {})
+        by_column = {corpus.TEXT: sim.CLASSIC} if classic else {}
+        scoring = tree_search.Scoring(by_column, docs=docs, doc_freq=lambda column, term: freqs[term], norms=norm_columns([corpus.TEXT]))
+        return _scored(tree_search.tree_search(index_.rows(), node, scoring))
+
+    return run
+
+
+FIRST_RED = qt.of_request("{!nameQuery f=n__fname isSurname=false}red")
+LAST_WIDGET = qt.of_request('_query_:"{!nameQuery f=n__lname}widget"')
+SOME_PLACES = qt.All(should=(qt.Positioned("n__lname_an", "widget", 1), qt.Payload("n__fname_an", "ring", 2, 2.0), qt.Words("n__fname_an_initial", ("r", "b"))), at_least=2)
+NESTED = qt.All(must=(qt.All(should=(FIRST_RED, qt.Positioned("n__fname_an", "bl", 0, "prefix"))), qt.All(should=(qt.Words("n__lname_an", ("ring", "bolt", "red")), LAST_WIDGET), boost=2)), must_not=(qt.All(must=(qt.Value("gender", "female"), qt.Words("n__fname_an", ("ring",)))),))
+
+
+def segments_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classic scores over an index with additions, replacements and deletions, by the frequencies and norms that it keeps."""
+    index_ = corpus.changed_documents(spark, sf_dir)
+    terms = ["the", "stupid"]
+    found = tfidf.tfidf(index_.rows(), "body__text", terms, statistics=index_.frequencies("body__text", terms), norm="body__text_norm")
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+def segments_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live rows of the same index in their order of insertion, which breaks ties."""
+    live = corpus.changed_documents(spark, sf_dir).rows().select("doc_id", "_seq")
+    return running(live, [F.col("_seq").asc()]).select("doc_id", F.col("n_before").alias("place"))
+
+
+def _posted(text: str, **options) -> Query:
+    """A query by the stored postings of its own terms."""
+    query = NameQuery(text, is_surname=False, surname_field=False, **options)
+    return lambda spark, d: bulk_match.match_one(corpus.name_postings(spark, d), query).select(F.col("doc").alias("p_partkey"), F.round("score", 6).alias("score"))
+
+
+def fuzzy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best fifty words of the documents for each word of the benchmark with an exchange of its last two letters: one edit, or two of long words."""
+    words = corpus.read(spark, sf_dir, "benchmark").select(F.explode(an.words(F.col("text"))).alias("w")).where("w rlike '^[a-z]{4,}$'").distinct()
+    n = F.char_length("w")
+    changed = F.concat(F.substr("w", F.lit(1), n - 2), F.substr("w", n, F.lit(1)), F.substr("w", n - 1, F.lit(1)))
+    found = corpus.word_postings(spark, sf_dir).matches(words.select(changed.alias("pattern"), F.lit("fuzzy").alias("kind"), F.lit("text").alias("field")))
+    return found.select("pattern", "term", F.round("weight", 6).alias("weight"))
+
+
+def wildcard_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words and documents each end, middle or pattern of the benchmark's words takes in; none begins with a letter."""
+    words = corpus.read(spark, sf_dir, "benchmark").select(F.explode(an.words(F.col("text"))).alias("w")).where("w rlike '^[a-z]{5,}$'").distinct()
+    tail = F.substr("w", F.char_length("w") - 3)
+    made = F.array(F.concat(F.lit("*"), tail), F.concat(F.lit("*"), F.substring("w", 2, 3), F.lit("*")), F.concat(F.lit("?"), F.substring("w", 2, 20)))
+    index = corpus.word_postings(spark, sf_dir)
+    found = index.matches(words.select(F.explode(made).alias("pattern"), F.lit("wild").alias("kind"), F.lit("text").alias("field")))
+    counted = found.join(index.table("terms"), ["field", "term"]).groupBy("pattern")
+    return counted.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("total_freq").alias("n_uses"))
 
 
 def replica_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +310,9 @@ def queries() -> dict[str, Query]:
         "name_surname_concat": _last("red widget"), "name_surname_single": _last("redwidget", gender_value="female"), "name_mv": name_mv, "name_top10": name_top10,
         "field_query": field_query, "payload_position": payload_position, "surname_key": surname_key, "analysed_tokens": analysed_tokens, "phonetic_codes": phonetic_codes,
         "ascii_folding": folded, "tfidf_documents": tfidf_documents, "length_norm": length_norm, "explain_terms": explain_terms, "bulk_match": bulk, "replica_order": replica_order,
-        "bulk_open": bulk_open, "explain_name": explain_name, "request": request, "name_empty": name_empty, "name_total": name_total, "match_all": match_all, "missing_last": missing_last,
+        "tree_names": _tree(qt.All(must=(FIRST_RED, LAST_WIDGET), must_not=(qt.Value("gender", "male"),))), "tree_places": _tree(SOME_PLACES), "tree_nested": _tree(NESTED),
+        "tree_mixed": _tree(qt.All(must=(FIRST_RED,), should=(qt.Words(corpus.TEXT, ("promo", "ring", "brand")),)), classic=True), "segments_tfidf": segments_tfidf, "segments_order": segments_order,
+        "bulk_open": bulk_open, "bulk_top10": bulk_top10, "posted_basic": _posted("red widget"), "posted_fuzzy": _posted("widgte", usefuzzy=True, usephonetic=False), "fuzzy_words": fuzzy_words, "wildcard_words": wildcard_words, "explain_name": explain_name, "request": request, "name_empty": name_empty, "name_total": name_total, "match_all": match_all, "missing_last": missing_last,
         "synonym_position": synonym_position, "synonym_file": synonym_file, "stored_index": stored_index, "whitespace_tokens": whitespace_tokens, "analysed_text": analysed_text,
         "field_types": field_types, "payload_bytes": payload_bytes, "payload_scores": payload_scores, "phrase_idf": phrase_idf, "overlap_norm": overlap_norm,
         "name_fuzzy_two": _first("widgetsts", usefuzzy=True, usephonetic=False), "target_fuzzy_two": _multi("widegtess", "fuzzy", 1), "surname_wildcard": _last("wi*t"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from onomast.sources.schema import index
 
-_written: dict[tuple, tuple[str, object]] = {}
+_written: dict[tuple, tuple[tuple, str, object]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,12 +44,36 @@ def open_index(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def stored(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that `make` gives, written once an application and key, and read from then on."""
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's own file system layer."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def version_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files, by which a change on disk is noticed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def kept(spark: SparkSession, key: tuple, version: tuple, make: Callable[[str], object]) -> object:
+    """What `make` writes below a new folder and returns, made once an application, key and version; what an older version left behind is deleted."""
     key = (spark.sparkContext.applicationId, *key)
+    if key in _written and _written[key][0] != version:
+        removed(spark, _written.pop(key)[1])
     if key not in _written:
-        path, df = f"{shared_folder(spark)}/onomast-index-{uuid.uuid4().hex}", make()
+        path = f"{shared_folder(spark)}/onomast-index-{uuid.uuid4().hex}"
+        _written[key] = version, path, make(path)
+    return _written[key][2]
+
+
+def stored(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], version: tuple = ()) -> DataFrame:
+    """The table that `make` gives, written once an application, key and version, and read from then on."""
+
+    def write(path: str) -> DataFrame:
+        df = make()
         df.write.parquet(path)
-        _written[key] = path, df.schema
-    path, schema = _written[key]
-    return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return kept(spark, key, version, write)

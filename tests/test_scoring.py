@@ -15,8 +15,13 @@ from onomast.streaming.names import match_stream
 def test_norms():
     want = {1: 1, 2: 0.625, 3: 0.5, 4: 0.5, 5: 0.4375, 6: 0.375, 7: 0.375, 8: 0.3125, 10: 0.3125, 16: 0.25, 100: 0.09375}
     assert {n: sim.length_norm(n) for n in want} == want
-    for n in range(1, 3000):
-        assert sum(v for a, z, v in sim.norm_ranges(3000) if a <= n <= z) == sim.length_norm(n)
+
+
+def test_norms_as_columns(spark):
+    lengths = [*range(3000), 1 << 24, (1 << 24) + 1, 1 << 40]
+    df = spark.createDataFrame([(n,) for n in lengths], "n long").select("n", sim.norm_of(F.col("n")), sim.norm_of(F.col("n"), 2.5), sim.norm_code(F.col("n")))
+    for n, plain, boosted, code in df.collect():
+        assert (plain, boosted, code) == (sim.length_norm(n), sim.length_norm(n, 2.5), sim.encode_norm(1 / n**0.5) if n else 0)
 
 
 def test_tfidf_and_explanation(spark):
