@@ -9,6 +9,8 @@ from functools import cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from onomast.functions.standard import standard_words, words_of
+
 TOKENS = "array<struct<token:string,pos:int>>"
 
 #: Letters that fold to several ASCII letters, or to one that decomposition does not give.
@@ -156,7 +158,8 @@ def text_facet(c: Column) -> Column:
 
 
 def analysed(c: Column) -> Column:
-    return _full(positioned(words(c)))
+    """Generic text: words by the standard rules."""
+    return _full(standard_words(c))
 
 
 def whitespace_words(c: Column) -> Column:
@@ -206,8 +209,8 @@ def query_code(word: str) -> str | None:
 
 
 def query_synonym_words(text: str) -> list[str]:
-    """The query side of synonym fields: words of letters and digits, lower case."""
-    return [w.lower() for w in re.findall(r"[^\W_]+", text)]
+    """The query side of synonym fields: words by the standard rules."""
+    return words_of(text)
 
 
 def query_exact(text: str) -> str:

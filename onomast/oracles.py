@@ -99,6 +99,9 @@ MV_SQL = _word([
 ])
 
 WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+#: Words by the standard rules, for Latin text: letters joined by : . and apostrophes, digits by . , ; and apostrophes, connectors with either.
+UNIT = "[\\p{L}]+(?:[:.·''‘’][\\p{L}]+)*|\\p{Nd}+(?:[.,;''‘’]\\p{Nd}+)*|_"
+STANDARD = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '(?:{UNIT})+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{Nd}}]') AND length(x) <= 255)"
 #: The norm byte keeps the exponent of 1 / sqrt(n) and two bits of its fraction.
 NORM = "CASE WHEN {n} = 0 THEN 0.0 ELSE (1 + floor((1 / sqrt({n}) / pow(2, floor(log2(1 / sqrt({n})))) - 1) * 4) / 4) * pow(2, floor(log2(1 / sqrt({n})))) END::DOUBLE"
 NORMED = f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
@@ -202,7 +205,7 @@ TREE_MIXED = f"""SELECT p_partkey, r.s + coalesce(t.s, 0) AS s FROM ({TREE_RED})
   JOIN (SELECT w, ln((SELECT count(*) FROM texts) / (count(*) + 1.0)) + 1 AS idf FROM texts, (SELECT unnest(['promo', 'ring', 'brand']) AS w) WHERE list_contains(ws, w) GROUP BY w) USING (w) GROUP BY p_partkey) t USING (p_partkey)"""
 TEXTS = "texts AS (SELECT p_partkey, regexp_extract_all(lower(CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE concat_ws(' ', p_type, p_name, p_brand) END), '[a-z]+|[0-9]+') AS ws FROM part)"
 #: Documents after two additions and a deletion; a norm of twice the weight.
-CHANGED = f"""w AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN list_concat(['stupid'], {WORDS}) ELSE {WORDS} END AS ws FROM documents WHERE doc_id % 5 <> 0 AND (doc_id % 3 <> 0 OR doc_id % 2 = 0))"""
+CHANGED = f"""w AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN list_concat(['stupid'], {STANDARD}) ELSE {STANDARD} END AS ws FROM documents WHERE doc_id % 5 <> 0 AND (doc_id % 3 <> 0 OR doc_id % 2 = 0))"""
 DOUBLE_NORM = NORM.replace("1 / sqrt({n})", "2 / sqrt({n})")
 SEGMENTS_TFIDF = f"""WITH {CHANGED}, n AS (SELECT doc_id, ws, {DOUBLE_NORM.format(n="len(ws)")} AS norm FROM w),
 d AS (SELECT count(*) AS n, sum(list_contains(ws, 'the')::INT) AS a, sum(list_contains(ws, 'stupid')::INT) AS b FROM n),
@@ -259,7 +262,7 @@ def oracle_sql() -> dict[str, str]:
         "missing_last": f"{CORPUS}, g AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN gender END AS g FROM parts WHERE p_partkey < 30) SELECT p_partkey, g, row_number() OVER (ORDER BY g DESC NULLS LAST, p_partkey) AS place FROM g QUALIFY place <= 20",
         "synonym_position": _done(_near(f"(SELECT * FROM {SYN})", "token = 'band'", 1, 1.0)), "synonym_file": _done(_near(f"(SELECT * FROM {SYN})", "token = 'crimson'", None, 1.0)), "stored_index": _done(CONCAT),
         "whitespace_tokens": f"{CORPUS}, w AS (SELECT p_partkey, list_filter(string_split(upper(name) || ' x', ' '), lambda x: x <> '') AS ws FROM parts) SELECT p_partkey, unnest(ws) AS token, unnest(range(0, len(ws))) AS pos FROM w",
-        "analysed_text": f"SELECT doc_id, len(ws)::BIGINT AS n, sha256(array_to_string(ws, ' ')) AS tokens FROM (SELECT doc_id, {WORDS} AS ws FROM documents)",
+        "analysed_text": f"SELECT doc_id, len(ws)::BIGINT AS n, sha256(array_to_string(ws, ' ')) AS tokens FROM (SELECT doc_id, {STANDARD} AS ws FROM documents)",
         "field_types": FIELD_TYPES, "payload_bytes": "SELECT p_partkey, printf('%08X', p_partkey * 1000) AS bytes, p_partkey * 1000 AS n FROM part",
         "payload_scores": f"{CORPUS} SELECT p_partkey, count(pos)::DOUBLE AS classic, coalesce(sum(pos + 1), 0)::DOUBLE AS flat, coalesce(max(2.0 / (abs(pos + 1 - 2) + 1)), 1)::DOUBLE AS doc_score FROM parts LEFT JOIN (SELECT * FROM an WHERE token = 'widget') USING (p_partkey) GROUP BY p_partkey",
         "phrase_idf": f"WITH w AS (SELECT {WORDS} AS ws FROM documents), d AS (SELECT count(*) AS n, sum(list_contains(ws, 'the')::INT) AS a, sum(list_contains(ws, 'stupid')::INT) AS b FROM w) SELECT round(ln(n / (a + 1.0)) + ln(n / (b + 1.0)) + 2, 6) AS idf, 'idf(docFreq=' || a || ', maxDocs=' || n || ')' AS first_detail FROM d",
