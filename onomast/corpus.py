@@ -101,6 +101,14 @@ def name_postings(spark: SparkSession, sf_dir: str) -> Postings:
     return kept(spark, ("name postings", sf_dir), _version(spark, sf_dir, "part"), made)
 
 
+def long_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Postings]:
+    """Documents whose names are their words of nine letters and more, and the stored dictionary of these."""
+    version = _version(spark, sf_dir, "documents")
+    names = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), 0), " ").alias("n__fname_an"))
+    df = stored(spark, ("long words", sf_dir), lambda: index(names), version)
+    return df, kept(spark, ("long postings", sf_dir), version, lambda path: write_postings(df, path, "p_partkey", {"an": "n__fname_an"}))
+
+
 def word_postings(spark: SparkSession, sf_dir: str) -> Postings:
     """The stored postings of the documents' words."""
 

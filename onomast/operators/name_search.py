@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from onomast.functions.similarity import FLAT, Similarity
 from onomast.plans.name_query import Clause, NameQuery, like, most_edits
+from onomast.sources.postings import Postings
 
 
 def fields_of(base: str, mv: bool = False, columns: list[str] | None = None) -> dict[str, str | None]:
@@ -66,6 +68,15 @@ def clause_score(clause: Clause, fields: dict[str, str | None], similarity: Call
     if clause.kind == "half":
         mine = F.filter(c, lambda t: t["token"] == clause.term)
         return F.when(F.size(mine) > 0, F.sqrt(F.size(mine) / 2.0))
+    if clause.kind == "fuzzy" and clause.among is not None:
+        if not clause.among:
+            return F.lit(None).cast("double")
+        terms, weights = F.lit([t for t, _ in clause.among]), F.lit([w for _, w in clause.among])
+        mine = F.filter(c, lambda t: F.array_contains(terms, t["token"]))
+        weight = lambda w: F.element_at(weights, F.array_position(terms, w).cast("int"))
+        often = lambda w: F.size(F.filter(mine, lambda t: t["token"] == w)).cast("double")
+        total = F.aggregate(F.array_distinct(F.transform(mine, lambda t: t["token"])), F.lit(0.0), lambda s, w: s + weight(w) * similarity(name).tf(often(w)))
+        return F.when(F.size(mine) > 0, F.lit(clause.boost) * total)
     if clause.kind == "fuzzy":
         near = F.filter(c, lambda t: fuzzy_weight(t["token"], clause.term) > 0)
         terms = F.array_distinct(F.transform(near, lambda t: t["token"]))
@@ -91,13 +102,26 @@ def _free(query: NameQuery, gender: str | None, kind: str = "string") -> Column:
     return ~F.coalesce(F.array_contains(c, query.gender_value) if kind.startswith("array") else c == query.gender_value, F.lit(False))
 
 
-def _clause_scores(query: NameQuery, fields: dict[str, str | None], free: Column, similarity: Callable[[str], Similarity] = lambda column: FLAT) -> list[tuple[Clause, Column]]:
-    return [(c, F.when(free, s) if c.guard else s) for c in query.clauses() for s in [clause_score(c, fields, similarity)]]
+def clauses_of(query: NameQuery, dictionary: Postings | None) -> list[Clause]:
+    """The query's clauses; with a dictionary a fuzzy word stands for its best fifty terms, at most fifty rows for each such word."""
+    clauses = query.clauses()
+    fuzzy = sorted({(c.term, c.field) for c in clauses if c.kind == "fuzzy"})
+    if dictionary is None or not fuzzy:
+        return clauses
+    found: dict[tuple[str, str], list] = {key: [] for key in fuzzy}
+    asked = dictionary.spark.createDataFrame([(t, "fuzzy", f) for t, f in fuzzy], "pattern string, kind string, field string")
+    for r in dictionary.matches(asked).collect():
+        found[r["pattern"], r["field"]].append((r["term"], r["weight"]))
+    return [replace(c, among=tuple(sorted(found[c.term, c.field]))) if c.kind == "fuzzy" else c for c in clauses]
 
 
-def query_score(query: NameQuery, fields: dict[str, str | None], gender: str | None = None, kind: str = "string", similarity: Callable[[str], Similarity] = lambda column: FLAT) -> Column:
+def _clause_scores(query: NameQuery, fields: dict[str, str | None], free: Column, similarity: Callable[[str], Similarity] = lambda column: FLAT, dictionary: Postings | None = None) -> list[tuple[Clause, Column]]:
+    return [(c, F.when(free, s) if c.guard else s) for c in clauses_of(query, dictionary) for s in [clause_score(c, fields, similarity)]]
+
+
+def query_score(query: NameQuery, fields: dict[str, str | None], gender: str | None = None, kind: str = "string", similarity: Callable[[str], Similarity] = lambda column: FLAT, dictionary: Postings | None = None) -> Column:
     """The query's score on a row, null where it doesn't match: every word must match, words add up."""
-    scored = _clause_scores(query, fields, _free(query, gender, kind), similarity)
+    scored = _clause_scores(query, fields, _free(query, gender, kind), similarity, dictionary)
     if not scored:
         return F.lit(None).cast("double")
     variants = []
@@ -118,11 +142,14 @@ def gender_of(df: DataFrame, query: NameQuery, gender: str | None) -> tuple[str
     return gender, df.schema[gender].dataType.simpleString() if gender else "string"
 
 
-def name_search(df: DataFrame, query: NameQuery, base: str, mv: bool = False, gender: str | None = None) -> DataFrame:
-    """The matching rows with their score. The excluded gender is sought in `gender`, or in the query's own field if there is one."""
+def name_search(df: DataFrame, query: NameQuery, base: str, mv: bool = False, gender: str | None = None, dictionary: Postings | None = None) -> DataFrame:
+    """The matching rows with their score. The excluded gender is sought in `gender`, or in the query's own field if there is one.
+
+    dictionary: the stored terms of the field, by which a fuzzy word stands for its best fifty terms; without one, for every term within its edits.
+    """
     fresh_score(df)
     fields = fields_of(base, mv, df.columns)
-    return df.withColumn("score", query_score(query, fields, *gender_of(df, query, gender))).where(F.col("score").isNotNull())
+    return df.withColumn("score", query_score(query, fields, *gender_of(df, query, gender), dictionary=dictionary)).where(F.col("score").isNotNull())
 
 
 def request(df: DataFrame, params: dict[str, str]) -> DataFrame:
@@ -178,8 +205,13 @@ def token_rule(kind: str, pattern: str) -> Callable[[Column], Column]:
     return rules[kind]
 
 
-def multi_term_query(df: DataFrame, tokens: str, pattern: str, kind: str, target: int | None = None) -> DataFrame:
-    """Positions of all tokens that a prefix, wildcard or fuzzy pattern takes in, together."""
+def multi_term_query(df: DataFrame, tokens: str, pattern: str, kind: str, target: int | None = None, dictionary: Postings | None = None, field: str = "an") -> DataFrame:
+    """Positions of all tokens that a prefix, wildcard or fuzzy pattern takes in, together; with a dictionary a fuzzy one takes in its best fifty terms of the field."""
+    if dictionary is not None and kind == "fuzzy":
+        asked = dictionary.spark.createDataFrame([(pattern, "fuzzy", field)], "pattern string, kind string, field string")
+        terms = [r["term"] for r in dictionary.matches(asked).collect()]
+        rule = lambda t: t["token"].isin(terms) if terms else F.lit(False)
+        return df.withColumn("score", position_score(F.col(tokens), rule, target)).where("score is not null")
     return df.withColumn("score", position_score(F.col(tokens), token_rule(kind, pattern), target)).where("score is not null")
 
 
@@ -198,7 +230,20 @@ def match_all(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.lit(1.0))
 
 
-def with_total(df: DataFrame, order: str, k: int) -> tuple[DataFrame, int]:
-    """The first k and the number of all matches."""
-    return ranked(df, order, k), df.count()
+def with_total(df: DataFrame, order: str, k: int) -> tuple[list[Row], int]:
+    """The first k rows and the number of all matches, which is counted while they are ranked: one job."""
+    seen = Observation()
+    rows = ranked(df.observe(seen, F.count(F.lit(1)).alias("n")), order, k).collect()
+    return rows, seen.get["n"]
+
+
+def response(df: DataFrame, order: str, k: int, path: str) -> int:
+    """Writes a response as JSON lines below path: a line with numFound and the highest score, then the first k rows in their order. Returns numFound."""
+    rows, total = with_total(df, order, k)
+    spark = df.sparkSession
+    best = max((r["score"] for r in rows), default=None)
+    head = spark.range(1).select(F.to_json(F.struct(F.lit(total).alias("numFound"), F.lit(best).cast("double").alias("maxScore"))).alias("value"))
+    body = spark.createDataFrame(rows, df.schema).select(F.to_json(F.struct("*")).alias("value"))
+    head.union(body).coalesce(1).write.text(path)
+    return total
 

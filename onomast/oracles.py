@@ -227,6 +227,17 @@ p AS MATERIALIZED (SELECT DISTINCT unnest(['*' || substr(w, length(w) - 3), '*'
 SELECT pattern, count(*) AS n_terms, sum(n)::BIGINT AS n_uses FROM p JOIN v ON (CASE WHEN pattern LIKE '*%*' THEN contains(term, pattern[2:4]) WHEN pattern LIKE '*%' THEN suffix(term, pattern[2:]) ELSE length(term) = length(pattern) AND suffix(term, pattern[2:]) END) GROUP BY pattern"""
 
 
+RED_RING = _all([_word(_plain("red", 0, RED)), _word(_plain("ring", 1, "R9084"))])
+#: Words of nine letters and more, those near one of them, and their sums.
+LONG_WORDS = """WITH words AS (SELECT doc_id AS p_partkey, regexp_extract_all(lower(text), '[a-z]{9,}') AS ws FROM documents),
+w AS (SELECT p_partkey, unnest(ws) AS token, unnest(range(0, len(ws))) AS pos FROM words),
+terms AS (SELECT token, damerau_levenshtein(token, '@') AS d FROM (SELECT DISTINCT token FROM w WHERE substr(token, 1, 2) = substr('@', 1, 2))),
+best AS (SELECT * FROM terms WHERE d <= 2 QUALIFY row_number() OVER (ORDER BY 1 - d / least(length(token), length('@')) DESC, token) <= 50),
+near AS (SELECT w.*, d FROM w JOIN best USING (token)),
+fuzzy AS (SELECT p_partkey, sum(s) AS s FROM (SELECT p_partkey, 0.2 * (1 - d / least(length(token), length('@'))) * sqrt(count(*)) AS s FROM near GROUP BY p_partkey, token, d) GROUP BY p_partkey),
+exact AS (SELECT p_partkey, 1 / sum(1 / (pos + 1.0)) - 1 AS pos FROM near WHERE d = 0 GROUP BY p_partkey)""".replace("@", "thtiontion")
+
+
 def oracle_sql() -> dict[str, str]:
     gender = _all([_word(_plain("red", 0, RED, gender="male")), _word(_plain("widget", 1, WIDGET, gender="male"))])
     half = f"SELECT p_partkey, sqrt(count(*) / 2) AS s FROM {INITIAL} WHERE token = 'r' GROUP BY p_partkey"
@@ -258,8 +269,10 @@ def oracle_sql() -> dict[str, str]:
         "bulk_open": _open(), "bulk_top10": f"SELECT query_id, p_partkey, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey) AS place FROM ({_bulk()}) QUALIFY place <= 10",
         "posted_basic": _done(BASIC), "posted_fuzzy": _done(_word(_plain("widgte", 0, None, fuzzy=FUZZY))), "fuzzy_words": FUZZY_WORDS, "wildcard_words": WILDCARD_WORDS, "explain_name": EXPLAIN_NAME, "request": _request(), "name_empty": f"{CORPUS} SELECT p_partkey, 0.0::DOUBLE AS score FROM parts WHERE false",
         "name_total": f"{CORPUS}, b AS ({BASIC}) SELECT p_partkey, round(s::DOUBLE, 6) AS score, (SELECT count(*) FROM b) AS total FROM b ORDER BY score DESC, p_partkey LIMIT 5",
+        "response_lines": f"{CORPUS}, b AS (SELECT p_partkey, round(s::DOUBLE, 6) AS score FROM ({RED_RING})) SELECT (SELECT count(*) FROM b) AS numFound, (SELECT max(score) FROM b) AS maxScore, NULL::BIGINT AS p_partkey, NULL::DOUBLE AS score UNION ALL SELECT * FROM (SELECT NULL, NULL, p_partkey, score FROM b ORDER BY score DESC, p_partkey LIMIT 5)",
+        "sql_first": _done(BASIC), "sql_last": _done(CONCAT),
         "match_all": _done("SELECT p_partkey, 1.0 AS s FROM parts"),
-        "missing_last": f"{CORPUS}, g AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN gender END AS g FROM parts WHERE p_partkey < 30) SELECT p_partkey, g, row_number() OVER (ORDER BY g DESC NULLS LAST, p_partkey) AS place FROM g QUALIFY place <= 20",
+        "missing_last": f"{CORPUS}, g AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN gender END AS g FROM parts) SELECT p_partkey, g, row_number() OVER (ORDER BY g DESC NULLS LAST, p_partkey) AS place FROM g",
         "synonym_position": _done(_near(f"(SELECT * FROM {SYN})", "token = 'band'", 1, 1.0)), "synonym_file": _done(_near(f"(SELECT * FROM {SYN})", "token = 'crimson'", None, 1.0)), "stored_index": _done(CONCAT),
         "whitespace_tokens": f"{CORPUS}, w AS (SELECT p_partkey, list_filter(string_split(upper(name) || ' x', ' '), lambda x: x <> '') AS ws FROM parts) SELECT p_partkey, unnest(ws) AS token, unnest(range(0, len(ws))) AS pos FROM w",
         "analysed_text": f"SELECT doc_id, len(ws)::BIGINT AS n, sha256(array_to_string(ws, ' ')) AS tokens FROM (SELECT doc_id, {STANDARD} AS ws FROM documents)",
@@ -267,7 +280,7 @@ def oracle_sql() -> dict[str, str]:
         "payload_scores": f"{CORPUS} SELECT p_partkey, count(pos)::DOUBLE AS classic, coalesce(sum(pos + 1), 0)::DOUBLE AS flat, coalesce(max(2.0 / (abs(pos + 1 - 2) + 1)), 1)::DOUBLE AS doc_score FROM parts LEFT JOIN (SELECT * FROM an WHERE token = 'widget') USING (p_partkey) GROUP BY p_partkey",
         "phrase_idf": f"WITH w AS (SELECT {WORDS} AS ws FROM documents), d AS (SELECT count(*) AS n, sum(list_contains(ws, 'the')::INT) AS a, sum(list_contains(ws, 'stupid')::INT) AS b FROM w) SELECT round(ln(n / (a + 1.0)) + ln(n / (b + 1.0)) + 2, 6) AS idf, 'idf(docFreq=' || a || ', maxDocs=' || n || ')' AS first_detail FROM d",
         "overlap_norm": f"{CORPUS} SELECT p_partkey, CASE len(ws) WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 ELSE 0.625 END::DOUBLE AS discounted, CASE len(ws) WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS whole FROM split",
-        "name_fuzzy_two": _done(_word([_near("an", "token = 'w'", 0, 0.42), _null(0), f"SELECT p_partkey, 0.2 * (1 - 2 / 6.0) * sqrt(count(*)) AS s FROM an WHERE substr(token, 1, 2) = 'wi' AND damerau_levenshtein(token, 'widgetsts') <= 2 GROUP BY p_partkey"])),
-        "target_fuzzy_two": _done(_near("an", "substr(token, 1, 2) = 'wi' AND damerau_levenshtein(token, 'widegtess') <= 2", 1, 1.0)),
+        "name_fuzzy_two": f"{LONG_WORDS} SELECT p_partkey, round(max(s)::DOUBLE, 6) AS score FROM (SELECT p_partkey, s FROM fuzzy UNION ALL SELECT p_partkey, sqrt(1 / (pos + 1.0)) AS s FROM exact) GROUP BY p_partkey",
+        "target_fuzzy_two": f"{LONG_WORDS} SELECT p_partkey, round(sqrt(sum(1 / (abs(pos - 1) + 1.0)))::DOUBLE, 6) AS score FROM near GROUP BY p_partkey",
         "surname_wildcard": _done(f"SELECT DISTINCT p_partkey, 0.1 AS s FROM {LAST} WHERE token LIKE 'wi%t'"),
     }

@@ -27,6 +27,8 @@ class Clause:
     target: int | None
     boost: float
     guard: bool
+    #: A fuzzy word's terms with their weights, where a dictionary was asked.
+    among: tuple[tuple[str, float], ...] | None = None
 
 
 @dataclass(frozen=True)

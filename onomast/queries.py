@@ -6,14 +6,14 @@ import dataclasses
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast import corpus
 from onomast.functions import analysis as an
 from onomast.functions import payload, surname
 from onomast.functions import similarity as sim
-from onomast.operators import bulk_match, hedge, name_search, tfidf, tree_search
+from onomast.operators import bulk_match, hedge, name_search, sql_entry, tfidf, tree_search
 from onomast.operators.ranks import running
 from onomast.plans import query_tree as qt
 from onomast.plans.name_query import NameQuery
@@ -174,6 +174,22 @@ def segments_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running(live, [F.col("_seq").asc()]).select("doc_id", F.col("n_before").alias("place"))
 
 
+#: A word like many of the documents: more than fifty of sf0.01 are within two edits.
+LONG_WORD = "thtiontion"
+
+
+def fuzzy_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edits of a long word, as a name query over the documents' long words: the best fifty of them."""
+    query = NameQuery(LONG_WORD, is_surname=False, surname_field=False, usefuzzy=True, usephonetic=False, useinitial=False, usenull=False, usesyn=False)
+    df, dictionary = corpus.long_words(spark, sf_dir)
+    return _scored(name_search.name_search(df, query, "n__fname", dictionary=dictionary))
+
+
+def target_fuzzy_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, dictionary = corpus.long_words(spark, sf_dir)
+    return _scored(name_search.multi_term_query(df, "n__fname_an", LONG_WORD, "fuzzy", 1, dictionary))
+
+
 def _posted(text: str, **options) -> Query:
     """A query by the stored postings of its own terms."""
     query = NameQuery(text, is_surname=False, surname_field=False, **options)
@@ -222,8 +238,29 @@ def name_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top, total = name_search.with_total(_first("red widget")(spark, sf_dir), "p_partkey", 5)
-    return top.withColumn("total", F.lit(total).cast("bigint"))
+    found = _first("red widget")(spark, sf_dir)
+    top, total = name_search.with_total(found, "p_partkey", 5)
+    return spark.createDataFrame(top, found.schema).withColumn("total", F.lit(total).cast("bigint"))
+
+
+def response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response of five rows and the number of all, written as JSON lines and read again."""
+    path = f"{store.shared_folder(spark)}/onomast-response-{uuid.uuid4().hex}"
+    name_search.response(_first("red ring")(spark, sf_dir), "p_partkey", 5, path)
+    lines = spark.read.schema("numFound bigint, maxScore double, p_partkey bigint, score double").json(path)
+    return lines.select("numFound", F.round("maxScore", 6).alias("maxScore"), "p_partkey", "score")
+
+
+def _sql(text: str, surname: bool, options: str = "") -> Query:
+    """A search by the SQL table function."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        name = "last" if surname else "first"
+        (corpus.last_names if surname else corpus.first_names)(spark, d).createOrReplaceTempView(f"onomast_{name}")
+        sql_entry.register(spark, f"onomast_{name}", "n__lname" if surname else "n__fname", surname, gender="gender", name=f"onomast_{name}_search")
+        return spark.sql(f"SELECT p_partkey, round(score, 6) AS score FROM onomast_{name}_search('{text}'{options})")
+
+    return run
 
 
 def match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,10 +268,9 @@ def match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twenty by descending gender where half is missing: the missing ones would be last."""
-    df = corpus.parts(spark, sf_dir).where("p_partkey < 30").withColumn("g", F.when(F.col("p_partkey") % 2 == 0, F.col("gender")))
-    rows = name_search.sorted_by(df, "g", "p_partkey", descending=True)
-    return rows.select("p_partkey", "g", F.row_number().over(Window.orderBy(F.col("g").desc_nulls_last(), "p_partkey")).cast("bigint").alias("place")).limit(20)
+    """Every part's place by descending gender where half is missing: the missing ones are last."""
+    df = corpus.parts(spark, sf_dir).withColumn("g", F.when(F.col("p_partkey") % 2 == 0, F.col("gender")))
+    return running(df, [F.col("g").desc_nulls_last(), F.col("p_partkey").asc()]).select("p_partkey", "g", (F.col("n_before") + 1).alias("place"))
 
 
 def synonym_position(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,8 +348,8 @@ def queries() -> dict[str, Query]:
         "ascii_folding": folded, "tfidf_documents": tfidf_documents, "length_norm": length_norm, "explain_terms": explain_terms, "bulk_match": bulk, "replica_order": replica_order,
         "tree_names": _tree(qt.All(must=(FIRST_RED, LAST_WIDGET), must_not=(qt.Value("gender", "male"),))), "tree_places": _tree(SOME_PLACES), "tree_nested": _tree(NESTED),
         "tree_mixed": _tree(qt.All(must=(FIRST_RED,), should=(qt.Words(corpus.TEXT, ("promo", "ring", "brand")),)), classic=True), "segments_tfidf": segments_tfidf, "segments_order": segments_order,
-        "bulk_open": bulk_open, "bulk_top10": bulk_top10, "posted_basic": _posted("red widget"), "posted_fuzzy": _posted("widgte", usefuzzy=True, usephonetic=False), "fuzzy_words": fuzzy_words, "wildcard_words": wildcard_words, "explain_name": explain_name, "request": request, "name_empty": name_empty, "name_total": name_total, "match_all": match_all, "missing_last": missing_last,
+        "bulk_open": bulk_open, "bulk_top10": bulk_top10, "posted_basic": _posted("red widget"), "posted_fuzzy": _posted("widgte", usefuzzy=True, usephonetic=False), "fuzzy_words": fuzzy_words, "wildcard_words": wildcard_words, "explain_name": explain_name, "request": request, "name_empty": name_empty, "name_total": name_total, "response_lines": response_lines, "sql_first": _sql("red widget", False, ", is_surname => false"), "sql_last": _sql("red widget", True), "match_all": match_all, "missing_last": missing_last,
         "synonym_position": synonym_position, "synonym_file": synonym_file, "stored_index": stored_index, "whitespace_tokens": whitespace_tokens, "analysed_text": analysed_text,
         "field_types": field_types, "payload_bytes": payload_bytes, "payload_scores": payload_scores, "phrase_idf": phrase_idf, "overlap_norm": overlap_norm,
-        "name_fuzzy_two": _first("widgetsts", usefuzzy=True, usephonetic=False), "target_fuzzy_two": _multi("widegtess", "fuzzy", 1), "surname_wildcard": _last("wi*t"),
+        "name_fuzzy_two": fuzzy_two, "target_fuzzy_two": target_fuzzy_two, "surname_wildcard": _last("wi*t"),
     }
