@@ -106,3 +106,24 @@ def test_text_without_spaces_and_clashing_columns(spark):
     odd = spark.createDataFrame([(1, "漢字" * 20_000, "mine", 5), (2, '{"a":1},' * 6000, "mine", 6), (3, None, "mine", 7)], "doc_id long, text string, score string, offending int")
     got = tx.predict(odd, model)
     assert got.columns == ["doc_id", "text", "score", "predicted", "offending"] and all(0 <= r["score"] <= 1 for r in got.collect())
+
+
+def test_offending_sentences_equal_brute_force(spark):
+    model = tx.Model(np.random.default_rng(2).normal(0, 0.4, 1 << tx.BITS).astype(np.float32), -1.5)
+    df, _ = frames(spark, make(60, 8))
+
+    def chance(words):
+        return 1 / (1 + np.exp(-(model.bias + sum(float(model.weights[f]) for w in words for f in tx.features(w)))))
+
+    listed = 0
+    for r in tx.predict(df, model).collect():
+        if not r["predicted"]:
+            assert r["offending"] == []
+            continue
+        found = [(s["score"], tx.sentences(r["text"][s["start"] : s["end"]])) for s in r["offending"]]
+        assert all(len(own) == 1 and abs(chance(own[0]) - score) < 1e-3 for score, own in found)
+        whole = sorted(tx.sentences(r["text"]), key=chance, reverse=True)
+        hot = [w for w in whole if chance(w) >= tx.THRESHOLD] or whole[:1]
+        assert sorted(own[0] for _, own in found) == sorted(hot)
+        listed += len(found)
+    assert listed > 20
