@@ -37,6 +37,8 @@ from onomast.llm.common import others, release, row_slices, small_batches, worke
 
 BITS = 18
 SAMPLE, SAMPLE_BYTES = 16_000, 48 << 20
+#: Bytes of pieces that a worker remembers (in each of two generations).
+CACHE = 48 << 20
 BATCH_BYTES = 2 << 20
 EPOCHS, BATCH, RATE, DECAY, SPARSITY, LEAST_DOCS = 10, 128, 0.2, 1e-3, 0.02, 5
 THRESHOLD = 0.3
@@ -226,7 +228,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        table = worker_state(key, lambda: ChunkTable(own.pieces))
+        table = worker_state(key, lambda: ChunkTable(own.pieces, CACHE))
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
                 split = [pieces(t or "") for t in part.column(part.schema.get_field_index(text)).to_pylist()]
