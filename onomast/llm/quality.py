@@ -33,6 +33,8 @@ from onomast.llm.chunks import ChunkTable, sums
 from onomast.llm.common import ChunkCache, others, release, row_slices, small_batches, worker_state, written
 
 BITS, SAMPLE, SAMPLE_BYTES = 16, 16_000, 48 << 20
+#: Bytes of pieces that a worker remembers (in each of two generations).
+CACHE = 48 << 20
 BATCH_BYTES = 2 << 20
 EM_ROUNDS, EPOCHS, BATCH, RATE, DECAY, SCALE = 60, 8, 128, 0.2, 1e-4, 8.0
 LABELLERS = ("bare_marks", "doubled_marks", "echoes", "bars", "sentence_ends", "repeated_lines", "distinct_words", "symbols", "capitals")
@@ -251,7 +253,7 @@ def predict(docs: DataFrame, labels: Labels, model: Model, text: str = "text", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weak, own = shared.value
-        table = worker_state(key, lambda: ChunkTable(own.pieces))
+        table = worker_state(key, lambda: ChunkTable(own.pieces, CACHE))
         for batch in batches:
             for part in row_slices(batch, text, BATCH_BYTES):
                 texts = [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
