@@ -85,6 +85,20 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM documents LEFT JOIN g USING (doc_id)"""
 
 
+#: Every row is scored against every anchor.
+OP11 = """
+WITH r AS MATERIALIZED (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INT AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
 #: Every block's quotient is listed and ranked; shares are filled up in the order of 3 * size / weight.
 OP12 = r"""
 WITH d AS MATERIALIZED (
@@ -117,4 +131,4 @@ SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
 FROM e
 """
 
-SQL = {"op12_mix": OP12, "op2_ngram_join": OP2, "op4_secrets": _secrets(), "op6_decontaminate": OP6, "op10_exact_dedup": OP10}
+SQL = {"op11_hard_negatives": OP11, "op12_mix": OP12, "op2_ngram_join": OP2, "op4_secrets": _secrets(), "op6_decontaminate": OP6, "op10_exact_dedup": OP10}
