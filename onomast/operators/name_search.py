@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
+from onomast.functions.edits import swapped
 from onomast.functions.similarity import FLAT, Similarity
 from onomast.plans.name_query import Clause, NameQuery, like, most_edits
 from onomast.sources.postings import Postings
@@ -46,6 +47,8 @@ def edits(token: Column, word: str, most: int) -> Column:
     once = [F.when(near(s, most - 1) >= 0, 1 + near(s, most - 1)) if most > 1 else F.when(token == s, F.lit(1)) for s in swaps(word)]
     twice = sorted({t for s in swaps(word) for t in swaps(s)} - {word}) if most > 1 else []
     once += [F.when(token.isin(twice), F.lit(2))] if twice else []
+    if most > 1:  # a letter left out of the word may part the two that the token exchanges
+        once += [F.when((F.char_length(token) == len(word) - 1) & F.exists(swapped(token), lambda w: F.levenshtein(w, F.lit(word), 1) >= 0), F.lit(2))]
     found = reduce(lambda a, b: F.least(a, b), once, plain) if once else plain
     return F.when(F.substring(token, 1, 2) == word[:2], found)
 
