@@ -3,7 +3,7 @@
 Files below one folder:
   commits/<n>     one JSON line: the segments and tombstone folders that count, live rows, the next insertion number
   rows/<id>       a segment: the analysed columns, `_seq` (the insertion number, dense over all segments) and `<column>_norm`, a norm byte of each scored column
-  dead/<id>       tombstones: key, before. Rows of that key with a lesser insertion number are gone
+  dead/<id>       tombstones: block, bits. A bit for each of the block's 32,768 insertion numbers, set if the row is gone
   freqs/<id>      field, term, doc_freq: what an addition adds to document frequencies, or a deletion takes away, sorted by (field, term)
 
 Insertion numbers need no shuffle: a row's place in its task, plus the number of rows of the tasks before it. A row that replaces another is inserted anew.
@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast.functions import similarity as sim
@@ -27,6 +27,8 @@ from onomast.sources.schema import index as analysed
 from onomast.sources.store import removed
 
 SEQ = "_seq"
+#: Insertion numbers up to which the tombstones, a bit a row, are broadcast (128 MB); beyond it rows are shuffled to them.
+BROADCAST_BITS = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -84,8 +86,10 @@ class Segments:
         df.write.parquet(f"{self.path}/{kind}/{name}")
         return name
 
-    def add(self, df: DataFrame) -> None:
-        """Adds the rows in their order; of rows that share a key (of these, or of earlier ones) the last stays."""
+    def add(self, df: DataFrame, order: Sequence[str] = ()) -> None:
+        """Adds the rows in their order, or in that of the columns `order` (a table's files are read in any order); of rows that share a key (of these, or of earlier ones) the last stays."""
+        if order:
+            df = df.orderBy(*order)
         made = analysed(df, self.synonyms)
         norms = {f"{c}_norm": sim.norm_code(sim.field_length(F.col(c)), self.boosts.get(c, 1.0)).cast("short") for c in self.counted}
         name = self._write(made.withColumns(norms).withColumn("_at", F.monotonically_increasing_id()), "staged")
@@ -113,15 +117,27 @@ class Segments:
         self._bury(keys.select(self.key).where(F.col(self.key).isNotNull()).distinct().withColumn("before", F.lit(self.pending.next).cast("bigint")))
 
     def _bury(self, gone: DataFrame) -> None:
-        name = self._write(gone, "dead")
-        gone = self.spark.read.parquet(f"{self.path}/dead/{name}")
         live = self._live(self.pending)
-        dying = live.join(gone, self.key).where(F.col(SEQ) < F.col("before"))
-        n = dying.count()
+        dying = live.select(self.key, SEQ).join(gone, self.key).where(F.col(SEQ) < F.col("before")).select((F.col(SEQ) + 1).alias("at"))
+        bits = dying.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        name = self._write(bits, "dead")
+        bits = self.spark.read.parquet(f"{self.path}/dead/{name}")
+        n = bits.agg(F.sum(F.bitmap_count("bits")).alias("n")).first()["n"]
         if n:
-            freqs = self._freqs(dying, -1)
+            freqs = self._freqs(self._marked(live, bits, "inner").where("_gone").drop("_gone"), -1)
             self.pending = replace(self.pending, dead=(*self.pending.dead, name), docs=self.pending.docs - n, freqs=(*self.pending.freqs, *freqs))
 
+    def _marked(self, rows: DataFrame, bits: DataFrame, how: str) -> DataFrame:
+        """The rows with `_gone`, whether their bit is set; only the bits move."""
+        at = F.col(SEQ) + 1
+        tests = bits.select(F.col("block").alias("_block"), F.col("bits").alias("_bits"))
+        if self.pending.next <= BROADCAST_BITS:
+            tests = F.broadcast(tests)
+        place = F.bitmap_bit_position(at)
+        byte = F.conv(F.hex(F.substr(F.col("_bits"), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        met = rows.join(tests, F.bitmap_bucket_number(at) == F.col("_block"), how)
+        return met.withColumn("_gone", F.coalesce(F.getbit(byte, place.bitwiseAND(7).cast("int")) == 1, F.lit(False))).drop("_block", "_bits")
+
     def _freqs(self, rows: DataFrame, sign: int) -> list[str]:
         if not self.counted:
             return []
@@ -145,8 +161,8 @@ class Segments:
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self.spark.read.parquet(f"{self.path}/rows/{s}") for s in state.segments])
         if not state.dead:
             return rows
-        dead = self.spark.read.parquet(*[f"{self.path}/dead/{d}" for d in state.dead]).groupBy(self.key).agg(F.max("before").alias("_before"))
-        return rows.join(dead.withColumnRenamed(self.key, "_dead"), (F.col(self.key) == F.col("_dead")) & (F.col(SEQ) < F.col("_before")), "left_anti")
+        dead = self.spark.read.parquet(*[f"{self.path}/dead/{d}" for d in state.dead]).groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
+        return self._marked(rows, dead, "left").where("not _gone").drop("_gone")
 
     def rows(self) -> DataFrame:
         """The live rows of the last commit; `_seq` is the order of ties."""

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from onomast import corpus
 from onomast.functions import similarity as sim
 from onomast.operators import name_search, tfidf, tree_search
 from onomast.plans import query_tree as qt
@@ -150,3 +151,16 @@ def test_one_scorer_flat_for_names_and_classic_for_text(spark, tmp_path):
     reads = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in line]
     assert not any("norm" in line for line in reads(tree_search.tree_search(out.rows(), ann, scoring).select("id", "score")))
     assert any("norm" in line for line in reads(tree_search.tree_search(out.rows(), qt.Words("body__text", ("w1",)), scoring).select("id", "score")))
+
+
+def test_rows_are_inserted_by_key_whatever_the_order_of_files(spark, tmp_path):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    docs.where("doc_id < 20").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.where("doc_id >= 20").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 30)
+    try:
+        live = corpus.changed_documents(spark, str(tmp_path)).rows().select("doc_id", "_seq").orderBy("_seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    ids = [i for i in range(400) if i % 5 and (i % 3 or i % 2 == 0)]
+    assert [r["doc_id"] for r in live] == sorted(ids, key=lambda i: (i % 2 == 0, i))
