@@ -70,7 +70,9 @@ def decoded(code: Column) -> Column:
 def norm_code(length: Column, boost: Column | float = 1.0) -> Column:
     """The norm byte of a field of so many tokens with an index-time boost; 0 for an empty one."""
     boost = boost if isinstance(boost, Column) else F.lit(float(boost))
-    return F.when(length > 0, encoded(boost / F.sqrt(F.greatest(length, F.lit(1))))).otherwise(F.lit(0))
+    # the length is counted once, and the value computed once
+    value = F.transform(F.array(length), lambda n: F.when(n > 0, boost / F.sqrt(F.greatest(n, F.lit(1)))))
+    return F.transform(value, lambda v: F.when(v.isNotNull(), encoded(v)).otherwise(F.lit(0)))[0]
 
 
 def norm_of(length: Column, boost: Column | float = 1.0) -> Column:

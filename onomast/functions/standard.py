@@ -37,10 +37,13 @@ def _kept(after: str, marks: str) -> str:
     return rf"(?<=[{after}]{_MARKS}[{marks}])(?={EXTEND}{{0,8}}[{after}])"
 
 
+#: Most characters are told by these alone: letters, digits and connectors that never part words, and ASCII that always does.
+PLAIN_WORD = r"[A-Za-z0-9_\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+PLAIN_SEPARATOR = r"[\x00-\x20!-&(-+\-/<-@\[-\^`{-\x7f]"
 SEPARATOR = (
-    rf"[^{_ANY}{CONNECTOR}{EXTEND}{BETWEEN_LETTERS}{BETWEEN_DIGITS}{BETWEEN_EITHER}]"
+    rf"(?!{PLAIN_WORD})(?:{PLAIN_SEPARATOR}|[^{_ANY}{CONNECTOR}{EXTEND}{BETWEEN_LETTERS}{BETWEEN_DIGITS}{BETWEEN_EITHER}]"
     rf"|[{BETWEEN_LETTERS}](?!{_kept(LETTER, BETWEEN_LETTERS)})|[{BETWEEN_DIGITS}](?!{_kept(DIGIT, BETWEEN_DIGITS)})"
-    rf"|[{BETWEEN_EITHER}](?!{_kept(LETTER, BETWEEN_EITHER)}|{_kept(DIGIT, BETWEEN_EITHER)})"
+    rf"|[{BETWEEN_EITHER}](?!{_kept(LETTER, BETWEEN_EITHER)}|{_kept(DIGIT, BETWEEN_EITHER)}))"
 )
 #: Places where words end without a separator.
 PLACE = (
@@ -48,15 +51,19 @@ PLACE = (
     rf"|(?<=[{UNSPACED}]{_MARKS})(?![{UNSPACED}]|{EXTEND})|(?<![{UNSPACED}]|{EXTEND})(?=[{UNSPACED}])"
     rf"|(?<=[{KATAKANA}]{_MARKS})(?=[{LETTER}{DIGIT}])|(?<=[{LETTER}{DIGIT}]{_MARKS})(?=[{KATAKANA}])"
 )
-SCRIPTS = rf"[{IDEOGRAPH}{HIRAGANA}{KATAKANA}{UNSPACED}]"
-WORD, LEADING = rf"[{_ANY}]", rf"^{EXTEND}+"
+SCRIPTS = rf"(?![\x00-\u02ff])[{IDEOGRAPH}{HIRAGANA}{KATAKANA}{UNSPACED}]"
+WORD, LEADING = rf"[A-Za-z0-9]|[{_ANY}]", rf"^{EXTEND}+"
+SOME_MARKS = rf"(?![\x00-\xac]){EXTEND}"
+#: Stands where words part; a control character, which parts words itself.
+CUT = "\x01"
 
 
 def standard_words(c: Column) -> Column:
     """The words of a text with their positions, lower case; null for null."""
-    found = F.when(c.rlike(SCRIPTS), F.split(c, f"{SEPARATOR}|{PLACE}")).otherwise(F.split(c, SEPARATOR))
-    words = F.filter(found, lambda w: w.rlike(WORD))
-    placed = F.transform(words, lambda w, i: F.struct(F.lower(F.regexp_replace(w, LEADING, "")).alias("token"), i.cast("int").alias("pos")))
+    cut = F.when(c.rlike(SCRIPTS), F.regexp_replace(c, f"{SEPARATOR}|{PLACE}", CUT)).otherwise(F.regexp_replace(c, SEPARATOR, CUT))
+    words = F.filter(F.split(cut, CUT), lambda w: w.rlike(WORD))
+    bare = F.when(c.rlike(SOME_MARKS), F.transform(words, lambda w: F.regexp_replace(w, LEADING, ""))).otherwise(words)
+    placed = F.transform(bare, lambda w, i: F.struct(F.lower(w).alias("token"), i.cast("int").alias("pos")))
     return F.filter(placed, lambda t: F.char_length(t["token"]) <= LONGEST)
 
 

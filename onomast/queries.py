@@ -303,13 +303,13 @@ def whitespace_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analysed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = index(corpus.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body__text")))
+    df = index(corpus.read_spread(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body__text")))
     return df.select("doc_id", F.size("body__text").cast("bigint").alias("n"), F.sha2(F.array_join(F.transform("body__text", lambda t: t["token"]), " "), 256).alias("tokens"))
 
 
 def field_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind of dynamic field but the names: plain, several values, place, facet, generic text of several values, date."""
-    p = corpus.read(spark, sf_dir, "part")
+    p = corpus.read_spread(spark, sf_dir, "part")
     text = lambda c: F.col(c).cast("string")
     df = p.select(
         "p_partkey", text("p_size").alias("a__int"), text("p_retailprice").alias("b__double"), F.array(text("p_size"), F.lit("7")).alias("c__int_mv"), F.lit("true").alias("d__boolean"),
