@@ -46,8 +46,9 @@ def fold_table() -> dict[str, str]:
 
 def fold(c: Column) -> Column:
     table = fold_table()
-    c = F.translate(c, "".join(table), "".join(table.values()))
-    return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), FOLD_LONG.items(), c)
+    folded = F.translate(c, "".join(table), "".join(table.values()))
+    folded = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), FOLD_LONG.items(), folded)
+    return F.when(c.rlike(r"[^\x00-\x7f]"), folded).otherwise(c)
 
 
 def trim(c: Column) -> Column:
@@ -60,20 +61,31 @@ def hyphenate(c: Column) -> Column:
     return F.regexp_replace(c, r" \s*", "-")
 
 
+def once(c: Column, of) -> Column:
+    """What `of` makes of a value that is computed once, however often it stands there."""
+    return F.transform(F.array(c), of)[0]
+
+
 def positioned(words: Column) -> Column:
     return F.transform(words, lambda w, i: F.struct(w.alias("token"), i.cast("int").alias("pos")))
 
 
 def parts(c: Column, more: str = "") -> Column:
     """Words between delimiters, cut also where letters meet digits."""
+    if not more:
+        return F.regexp_extract_all(c, F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
     cut = F.regexp_replace(c, r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", "-")
     return F.filter(F.split(cut, rf"[^\p{{L}}\p{{N}}{more}]+"), lambda w: w != "")
 
 
 def catenated(words: Column) -> Column:
     """The words with positions, and all of them joined at the last one's position where there are several."""
-    joined = F.array(F.struct(F.array_join(words, "").alias("token"), (F.size(words) - 1).cast("int").alias("pos")))
-    return F.concat(positioned(words), F.when(F.size(words) > 1, joined).otherwise(F.array().cast(TOKENS)))
+
+    def made(w: Column) -> Column:
+        joined = F.array(F.struct(F.array_join(w, "").alias("token"), (F.size(w) - 1).cast("int").alias("pos")))
+        return F.concat(positioned(w), F.when(F.size(w) > 1, joined).otherwise(F.array().cast(TOKENS)))
+
+    return once(words, made)
 
 
 def words(c: Column) -> Column:

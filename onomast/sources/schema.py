@@ -47,10 +47,10 @@ def resolve(column: str) -> str | None:
     return f"{kind}_mv" if many else kind
 
 
-def derived(source: str, synonyms: dict[str, dict[str, list[str]]] | None = None) -> dict[str, Column]:
+def derived(source: str, synonyms: dict[str, dict[str, list[str]]] | None = None, tokens: Column | None = None) -> dict[str, Column]:
     """The analysed columns of a name column `x__fname_an`, `x__lname_an` or either with `_mv`, by field name.
 
-    The analysed source itself is `<field>_an` and so replaces the raw column.
+    The analysed source itself is `<field>_an` and so replaces the raw column. tokens: a single value's own tokens, where they were made before.
     """
     kind = resolve(source)
     if not kind or kind.removesuffix("_mv") not in ("fname", "lname"):
@@ -59,7 +59,10 @@ def derived(source: str, synonyms: dict[str, dict[str, list[str]]] | None = None
     many = kind.endswith("_mv")
     base, c, mv = source.removesuffix("_mv").removesuffix("_an"), F.col(source), "_mv" if many else ""
     each = (lambda f: an.multi_valued(c, f)) if many else (lambda f: f(c))
-    if kind[:5] == "fname":
+    if tokens is not None:
+        rest = {"_an_rs": an.first_rs(c), "_an_initial": an.initials(tokens)} if kind == "fname" else {"_an_rs": an.phonetic(tokens)}
+        out = {"_an": tokens, "_syn": an.with_synonyms(tokens, syn), **rest}
+    elif kind[:5] == "fname":
         out = {"_an": each(an.first_an), "_syn": each(lambda x: an.first_syn(x, syn)), "_an_rs": each(an.first_rs)}
         if not many:
             out["_an_initial"] = an.first_initial(c)
@@ -83,7 +86,10 @@ def analyse(column: str, kind: str, synonyms: dict[str, dict[str, list[str]]] |
 def index(df: DataFrame, synonyms: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
     """Casts plain columns by suffix, analyses the others, and adds the columns derived from every analysed name column (which replace columns of their names)."""
     made: dict[str, Column] = {}
-    for name in df.columns:
+    # a step of its own, so that the fields derived from a name's tokens don't make them again
+    own = {name: f"__tokens_{name}" for name in df.columns if resolve(name) in ("fname", "lname")}
+    columns, df = df.columns, df.withColumns({t: ANALYSED[resolve(name)](F.col(name)) for name, t in own.items()})
+    for name in columns:
         kind = resolve(name)
         if kind is None:
             continue
@@ -94,7 +100,7 @@ def index(df: DataFrame, synonyms: dict[str, dict[str, list[str]]] | None = None
             at = F.split(name, ",")
             made[name] = F.struct(F.trim(at[0]).cast("double").alias("lat"), F.trim(at[1]).cast("double").alias("lon"))
         elif plain in ("fname", "lname"):
-            made |= derived(name, synonyms)
+            made |= derived(name, synonyms, F.col(own[name]) if name in own else None)
         else:
             made.setdefault(name, analyse(name, kind, synonyms))
-    return df.withColumns(made)
+    return df.withColumns(made).drop(*own.values())
