@@ -20,6 +20,8 @@ __all__ = ["bulk_match", "clause_rows", "clause_table", "expanded", "postings",
 CLAUSES = "query_id string, variant int, n_tok int, tok int, clause int, kind string, field string, term string, target int, boost double, guard boolean"
 #: Clauses that are broadcast at once.
 TOGETHER = 200_000
+#: Rows of clauses met by postings that a task adds up.
+ROWS = 250_000
 #: Scores that differ by less are ties (sums may be added up in another order).
 DIGITS = 9
 
@@ -64,6 +66,19 @@ def expanded(clauses: DataFrame, index: DataFrame | Postings) -> DataFrame:
     return plain.unionByName(met.select(*plain.columns))
 
 
+def _tasks(clauses: DataFrame, index: DataFrame | Postings, parts: int = 1) -> int | None:
+    """Tasks for what the clauses meet, so that a task's rows are as many at any size: counted by the dictionary, whose terms say how often they stand."""
+    if not isinstance(index, Postings):
+        return None
+    asked = clauses.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n"))
+    met = asked.join(index.table("terms").select("field", "term", "total_freq"), ["field", "term"]).agg(F.sum(F.col("n") * F.col("total_freq")).alias("met")).first()["met"]
+    return max(1, -(-(met or 0) // (ROWS * parts)))
+
+
+def _dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    return df.repartition(*keys) if tasks is None else df.repartition(tasks, *keys)
+
+
 def _freed(found: DataFrame, excluded: DataFrame | None) -> DataFrame:
     """Without the guarded clauses of documents whose gender is excluded."""
     if excluded is None:
@@ -98,8 +113,10 @@ def bulk_match(clauses: DataFrame, index: DataFrame | Postings, tie: float = 0.0
     The optimizer broadcasts the clause table only while it is below its threshold. After the join rows are
     partial-aggregated, and all later steps group by supersets of (query_id, doc), dealt out once.
     """
-    found = _freed(expanded(clauses, index).join(_posted(index), ["field", "term"]), excluded)
-    return _by_document(_by_word(found.repartition("query_id", "doc"), tie), tie)
+    every = expanded(clauses, index)
+    every = written(every, "clauses") if isinstance(index, Postings) else every
+    found = _freed(every.join(_posted(index), ["field", "term"]), excluded)
+    return _by_document(_by_word(_dealt(found, _tasks(every, index), "query_id", "doc"), tie), tie)
 
 
 def _weak() -> Column:
@@ -130,8 +147,8 @@ def top_matches(clauses: DataFrame, index: Postings, k: int, tie: float = 0.0, e
     sums = Window.partitionBy("query_id", "variant")
     word = written(word.withColumn("without", F.sum("any").over(sums) - F.col("any") + F.col("weak")), "clause_bounds")
 
-    by_doc = index.table("postings").repartition("doc")
     blocks = max(1, -(-every.count() // TOGETHER))
+    by_doc = _dealt(index.table("postings"), _tasks(every, index, blocks), "doc")
 
     def met(those: DataFrame) -> list[DataFrame]:
         parts = [those if blocks == 1 else those.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
