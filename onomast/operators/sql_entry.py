@@ -4,7 +4,7 @@
     spark.sql("SELECT * FROM name_search('red widget', is_surname => false, gendervalue => 'male') ORDER BY score DESC LIMIT 10")
 
 The options are those of a name query with the same defaults (fuzzy words need the stored dictionary and are left out). The query's text may be any
-expression that is constant for the call; words, initials and phonetic codes are taken from it when the call is planned.
+expression that is constant for the call; words, patterns and phonetic codes are taken from it once a call, not once a row.
 """
 
 from __future__ import annotations
@@ -56,53 +56,65 @@ def _near(tokens: str | None, term: str, boost: str, at: str = "x.at") -> str:
 
 def _best(scores: str) -> str:
     """The best of an array of scores plus tie times the others; null where all are null."""
-    return f"array_max({scores}) + tie * (aggregate({scores}, 0D, (n, x) -> n + coalesce(x, 0D)) - array_max({scores}))"
+    return f"array_max({scores}) + q_.tie * (aggregate({scores}, 0D, (n, x) -> n + coalesce(x, 0D)) - array_max({scores}))"
+
+
+def _once(value: str, name: str, of: str) -> str:
+    """What `of` makes of a value that is computed once, however often its name stands there."""
+    return f"get(transform(array({value}), {name} -> {of}), 0)"
 
 
 def _alternatives(columns: dict[str, str | None], guard: str) -> str:
     """The scores of the alternatives of x, a word with its place (null: anywhere), factor and phonetic code."""
     guarded = lambda score: f"if(x.at IS NULL OR {guard}, {score}, NULL)"
     exact = columns["exact"] or "CAST(NULL AS STRING)"
-    like = r"replace(replace(replace(replace(replace(x.word, '\\', '\\\\'), '%', '\\%'), '_', '\\_'), '*', '%'), '?', '_')"
     half = f"{_near(columns['initial'], 'left(x.word, 1)', '1D', 'CAST(NULL AS INT)')} / sqrt(2D)"
-    first = guarded(_near(columns["initial"], "left(x.word, 1)", "wildboost * x.factor"))
-    wild = f"if({guard} AND exists({columns['an']}, t -> t.token LIKE {like}), wildboost * x.factor, NULL)"
-    is_half = "NOT is_surname AND length(x.word) = 2 AND NOT left(x.word, 1) IN ('*', '?')"
+    first = guarded(_near(columns["initial"], "left(x.word, 1)", "q_.wildboost * x.factor"))
+    wild = f"if({guard} AND exists({columns['an']}, t -> t.token LIKE x.like), q_.wildboost * x.factor, NULL)"
+    is_half = "NOT q_.is_surname AND length(x.word) = 2 AND NOT left(x.word, 1) IN ('*', '?')"
     longer = "length(x.word) > 1"
     plain = [
         _near(columns["an"], "x.word", "x.factor"),
-        f"if(useexact AND {exact} = q_exact, exactboost * x.factor, NULL)",
-        guarded(f"if(usenull AND {exact} = '-', nullboost * x.factor * sqrt(if(x.at IS NULL, 1D, 1D / (x.at + 1))), NULL)"),
-        guarded(f"if(useinitial AND NOT {longer}, {_near(columns['initial'], 'x.word', 'initialboost * x.factor')}, NULL)"),
-        f"if(usesyn AND {longer}, {_near(columns['syn'], 'x.word', 'synboost * x.factor')}, NULL)",
-        guarded(f"if(useinitial AND {longer}, {_near(columns['an'], 'left(x.word, 1)', 'initialboost * x.factor')}, NULL)"),
-        guarded(f"if(usephonetic AND {longer}, {_near(columns['rs'], 'x.code', 'phoneticboost * x.factor')}, NULL)"),
+        f"if(q_.useexact AND {exact} = q_.exact, q_.exactboost * x.factor, NULL)",
+        guarded(f"if(q_.usenull AND {exact} = '-', q_.nullboost * x.factor * sqrt(if(x.at IS NULL, 1D, 1D / (x.at + 1))), NULL)"),
+        guarded(f"if(q_.useinitial AND NOT {longer}, {_near(columns['initial'], 'x.word', 'q_.initialboost * x.factor')}, NULL)"),
+        f"if(q_.usesyn AND {longer}, {_near(columns['syn'], 'x.word', 'q_.synboost * x.factor')}, NULL)",
+        guarded(f"if(q_.useinitial AND {longer}, {_near(columns['an'], 'left(x.word, 1)', 'q_.initialboost * x.factor')}, NULL)"),
+        guarded(f"if(q_.usephonetic AND {longer}, {_near(columns['rs'], 'x.code', 'q_.phoneticboost * x.factor')}, NULL)"),
     ]
-    return f"if(x.word RLIKE '[*?]', array(if({is_half}, if(compat, {half}, {first}), {wild})), array({', '.join(plain)}))"
+    return f"if(x.like IS NOT NULL, array(if({is_half}, if(q_.compat, {half}, {first}), {wild})), array({', '.join(plain)}))"
 
 
 def function_sql(view: str, columns: list[tuple[str, str]], base: str, surname: bool, mv: bool = False, gender: str | None = None, name: str = "name_search") -> str:
-    """CREATE FUNCTION over a view with the columns (name, type), for the name field `base`; gender: the column that gendervalue is compared with."""
+    """CREATE FUNCTION over a view with the columns (name, type), for the name field `base`; gender: the column that gendervalue is compared with.
+
+    The query is taken apart in a table of one row, `q_`, which rows meet.
+    """
     fields = {k: f"v.`{c}`" if c else None for k, c in fields_of(base, mv, [c for c, _ in columns]).items()}
     query, words = NameQuery(""), _split("lower(q_folded)", "*?") if surname else r"filter(split(lower(q), r'\s+'), p -> p <> '')"
     defaults = ", ".join(f"{k} {kind} DEFAULT {str(getattr(query, k)).lower() + ('D' if kind == 'DOUBLE' else '')}" for k, kind in OPTIONS.items())
-    guard = f"(gendervalue IS NULL OR NOT coalesce(v.`{gender}` = gendervalue, false))" if gender else "true"
-    own = ", ".join(f"`{c}`" for c, _ in columns)
+    guard = f"(q_.gendervalue IS NULL OR NOT coalesce(v.`{gender}` = q_.gendervalue, false))" if gender else "true"
+    own = ", ".join(f"v.`{c}`" for c, _ in columns)
     table = ", ".join(f"`{c}` {kind}" for c, kind in columns)
-    # the words, and all of them joined as one more, each with its place, factor and the code of its first part
+    # the words, and all of them joined as one more, each with its place, factor, the code of its first part and, if it has wildcards, its pattern
     every = "concat(q_words, if(is_surname AND size(q_words) > 1, array(array_join(q_words, '')), CAST(array() AS ARRAY<STRING>)))"
     codes = f"transform(transform(q_all, w -> get({_split(f'lower({_fold("w")})')}, 0)), p -> {_code('p')})"
-    placed = "transform(q_all, (w, i) -> named_struct('word', w, 'code', get(q_codes, i), 'at', if((is_surname AND size(q_words) = 1) OR i = size(q_words), CAST(NULL AS INT), i), 'factor', if(i = size(q_words), CAST(i AS DOUBLE), 1D)))"
+    like = r"if(w RLIKE '[*?]', replace(replace(replace(replace(replace(w, '\\', '\\\\'), '%', '\\%'), '_', '\\_'), '*', '%'), '?', '_'), NULL)"
+    placed = f"transform(q_all, (w, i) -> named_struct('word', w, 'code', get(q_codes, i), 'like', {like}, 'at', if((is_surname AND size(q_words) = 1) OR i = size(q_words), CAST(NULL AS INT), i), 'factor', if(i = size(q_words), CAST(i AS DOUBLE), 1D)))"
+    options = ", ".join(f"'{k}', {k}" for k in ("gendervalue", *OPTIONS))
     steps = [
-        f"SELECT *, {_fold('q')} AS q_folded FROM {view}", f"SELECT *, {words} AS q_words, trim(lower(q_folded)) AS q_exact FROM (%)", f"SELECT *, {every} AS q_all FROM (%)", f"SELECT *, {codes} AS q_codes FROM (%)",
-        f"SELECT *, {placed} AS q_placed FROM (%)", f"SELECT *, transform(transform(q_placed, x -> {_alternatives(fields, guard)}), a -> {_best('a')}) AS q_scores FROM (%) v",
-        "SELECT *, array(if(size(q_words) > 0 AND forall(slice(q_scores, 1, size(q_words)), s -> s IS NOT NULL), aggregate(slice(q_scores, 1, size(q_words)), 0D, (n, s) -> n + s), NULL), get(q_scores, size(q_words))) AS q_variants FROM (%)",
-        f"SELECT {own}, {_best('q_variants')} AS score FROM (%)",
+        f"SELECT {_fold('q')} AS q_folded", f"SELECT *, {words} AS q_words, trim(lower(q_folded)) AS q_exact FROM (%)", f"SELECT *, {every} AS q_all FROM (%)", f"SELECT *, {codes} AS q_codes FROM (%)",
+        f"SELECT named_struct({options}, 'n', size(q_words), 'exact', q_exact, 'placed', {placed}) AS q_ FROM (%)",
     ]
-    body = steps[0]
+    asked = steps[0]
     for step in steps[1:]:
-        body = step.replace("(%)", f"({body})")
-    return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(q STRING, gendervalue STRING DEFAULT NULL, {defaults}) RETURNS TABLE ({table}, score DOUBLE) RETURN SELECT * FROM ({body}) WHERE score IS NOT NULL"
+        asked = step.replace("(%)", f"({asked})")
+    scores = f"transform(transform(q_.placed, x -> {_alternatives(fields, guard)}), a -> {_best('a')})"
+    variants = "array(if(q_.n > 0 AND forall(slice(s, 1, q_.n), o -> o IS NOT NULL), aggregate(slice(s, 1, q_.n), 0D, (n, o) -> n + o), NULL), get(s, q_.n))"
+    score = _once(scores, "s", _once(variants, "b", _best("b")))
+    # one expression, so that a filter that the optimizer moves down computes it once more and not once for each of its uses
+    body = f"SELECT * FROM (SELECT {own}, {score} AS score FROM {view} v CROSS JOIN ({asked})) WHERE score IS NOT NULL"
+    return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(q STRING, gendervalue STRING DEFAULT NULL, {defaults}) RETURNS TABLE ({table}, score DOUBLE) RETURN {body}"
 
 
 def register(spark: SparkSession, view: str, base: str, surname: bool, mv: bool = False, gender: str | None = None, name: str = "name_search") -> None:

@@ -41,3 +41,13 @@ def test_the_plan_has_no_python_and_joins_like_a_table(spark, views):
     got = spark.sql("SELECT s.*, p.name__fname AS whole FROM first_search('one', is_surname => false) s JOIN people_view p USING (Id) WHERE s.score > 0.5 ORDER BY s.score DESC, Id LIMIT 2")
     assert [r["Id"] for r in got.collect()] == ["1", "2"]
     assert "Python" not in spark.sql("SELECT * FROM first_search('one')")._jdf.queryExecution().toString()
+
+
+def test_the_query_is_taken_apart_once_a_call(spark, tmp_path):
+    index(spark.createDataFrame([("1", "one two"), ("2", "won")], "Id string, name__lname_an string"), SYN).write.parquet(f"{tmp_path}/names")
+    spark.read.parquet(f"{tmp_path}/names").createOrReplaceTempView("stored_names")
+    sql_entry.register(spark, "stored_names", "name__lname", True, name="stored_search")
+    found = spark.sql("SELECT Id FROM stored_search('one two')")
+    by_row = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "name__lname_an#" in line]
+    assert by_row and not [line for line in by_row if "split(" in line]
+    assert [r["Id"] for r in found.collect()] == ["1"]
