@@ -75,6 +75,12 @@ def _tasks(clauses: DataFrame, index: DataFrame | Postings, parts: int = 1) -> i
     return max(1, -(-(met or 0) // (ROWS * parts)))
 
 
+def _clauses_by_query(candidates: DataFrame, every: DataFrame) -> int:
+    """Rows that the candidates become when they meet their queries' clauses, from the numbers of both a query."""
+    n = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    return n(candidates, "docs").join(n(every, "clauses"), "query_id").agg(F.sum(F.col("docs") * F.col("clauses")).alias("rows")).first()["rows"] or 0
+
+
 def _dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
     return df.repartition(*keys) if tasks is None else df.repartition(tasks, *keys)
 
@@ -150,9 +156,11 @@ def top_matches(clauses: DataFrame, index: Postings, k: int, tie: float = 0.0, e
     blocks = max(1, -(-every.count() // TOGETHER))
     by_doc = _dealt(index.table("postings"), _tasks(every, index, blocks), "doc")
 
+    def blocks_of(those: DataFrame) -> list[DataFrame]:
+        return [those if blocks == 1 else those.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+
     def met(those: DataFrame) -> list[DataFrame]:
-        parts = [those if blocks == 1 else those.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-        return [_freed(by_doc.join(F.broadcast(p), ["field", "term"]), excluded) for p in parts]
+        return [_freed(by_doc.join(F.broadcast(p), ["field", "term"]), excluded) for p in blocks_of(those)]
 
     first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "doc"))
     top = lambda scored: scored.withColumn("rank", first).where(F.col("rank") <= k)
@@ -172,9 +180,15 @@ def top_matches(clauses: DataFrame, index: Postings, k: int, tie: float = 0.0, e
         can = bounded.groupBy("query_id", "doc", "variant", "n_tok").agg(F.sum(F.col("s") + F.col("w")).alias("can"), F.count(F.lit(1)).alias("words")).where("words = n_tok")
         able.append(can.groupBy("query_id", "doc").agg(F.max("can").alias("can")).join(closed, "query_id").where(F.col("can") * (1 + tie) >= F.col("least") - 1e-6).select("query_id", "doc"))
     candidates = written(reduce(DataFrame.union, able), "candidates")
-    again = candidates.join(every, "query_id").join(by_doc, ["doc", "field", "term"])
-    rest = top(_by_document(_by_word(_freed(again, excluded), tie), tie))
-    return top(reduce(DataFrame.union, [*whole, rest]).drop("rank"))
+    # candidates and postings are dealt out by document and meet there, then the clauses, so that a task has as many rows at any size and these are not shuffled
+    again = _clauses_by_query(candidates, every)
+    tasks = max(_tasks(every, index, blocks), -(-again // ROWS))
+    posted, mine = _dealt(index.table("postings"), tasks, "doc"), _dealt(candidates, tasks, "doc")
+    rest = []
+    for p in blocks_of(every):
+        both = mine.join(posted, "doc").join(F.broadcast(p), ["query_id", "field", "term"])
+        rest.append(top(_by_document(_by_word(_freed(both, excluded), tie), tie)))
+    return top(reduce(DataFrame.union, [*whole, *rest]).drop("rank"))
 
 
 #: Terms up to which one query's lookup is a filter that the scan of the postings prunes by; more are joined.
