@@ -57,13 +57,33 @@ SOME_MARKS = rf"(?![\x00-\xac]){EXTEND}"
 #: Stands where words part; a control character, which parts words itself.
 CUT = "\x01"
 
+#: Letters beside ASCII of texts that are split in one step: each is a letter to all rules, and its lower case is one of them.
+PLAIN_LETTERS = r"\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+NOT_PLAIN = rf"(?![\x00-\x7f\u00c0-\u00d6])[^{PLAIN_LETTERS}]"
+
+
+def _apart(marks: str, *classes: str) -> str:
+    """One of the marks, unless it stands between two characters of a class."""
+    return rf"[{marks}](?!{'|'.join(rf'(?<=[{c}].)[{c}]' for c in classes)})"
+
+
+#: The separators of such a text once it is lower case; a run of characters that always part words is one.
+PLAIN_SPLIT = "|".join((f"{PLAIN_SEPARATOR}++", _apart(",;", "0-9"), _apart(":", f"a-z{PLAIN_LETTERS}"), _apart(".'", f"a-z{PLAIN_LETTERS}", "0-9")))
+
+
+def _plain_words(c: Column) -> Column:
+    """The words of a text of plain characters, lower case. Connectors alone are no word."""
+    words = F.array_remove(F.split(F.lower(c), PLAIN_SPLIT), "")
+    return F.when(F.contains(c, F.lit("_")), F.filter(words, lambda w: w.rlike("[^_]"))).otherwise(words)
+
 
 def standard_words(c: Column) -> Column:
     """The words of a text with their positions, lower case; null for null."""
     cut = F.when(c.rlike(SCRIPTS), F.regexp_replace(c, f"{SEPARATOR}|{PLACE}", CUT)).otherwise(F.regexp_replace(c, SEPARATOR, CUT))
     words = F.filter(F.split(cut, CUT), lambda w: w.rlike(WORD))
     bare = F.when(c.rlike(SOME_MARKS), F.transform(words, lambda w: F.regexp_replace(w, LEADING, ""))).otherwise(words)
-    placed = F.transform(bare, lambda w, i: F.struct(F.lower(w).alias("token"), i.cast("int").alias("pos")))
+    lower = F.when(~c.rlike(NOT_PLAIN), _plain_words(c)).otherwise(F.transform(bare, lambda w: F.lower(w)))
+    placed = F.transform(lower, lambda w, i: F.struct(w.alias("token"), i.cast("int").alias("pos")))
     return F.filter(placed, lambda t: F.char_length(t["token"]) <= LONGEST)
 
 

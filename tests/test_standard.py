@@ -1,9 +1,11 @@
 """Words by the public word-break rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from onomast.functions.standard import standard_words, words_of
+from onomast.functions.standard import NOT_PLAIN, _plain_words, standard_words, words_of
 
 CASES = {
     "The quick (\"brown\") fox can't jump 32.3 feet, right?": "the quick brown fox can't jump 32.3 feet right", "": "", "  ": "", "a.b a..b a. .b": "a.b a b a b", "A:B A::B a:1": "a:b a b a 1",
@@ -29,3 +31,17 @@ def test_columns_and_strings_agree(spark):
     placed = {texts[k]: found for k, found in rows}
     assert [tuple(w) for w in placed["y" * 256 + " z"]] == [("z", 1)]
     assert [w["token"] for w in placed["3.2.1 v1.2.3 1.2a"]] == ["3.2.1", "v1.2.3", "1.2a"]
+
+
+def test_plain_texts_are_split_in_one_step(spark):
+    """Every text of ASCII and common Latin letters is told as plain, no other is, and both ways give the same words."""
+    r = random.Random(4)
+    texts = ["".join(r.choices("aZéÜßŸſĲ09__.':,; \n-@\x00\x1f\x7f", k=r.randint(0, 40))) for _ in range(3000)]
+    texts += ["x" * 256 + " y", " " * 100_000 + "a", "a.b" * 20_000, "_" * 5000 + " q"]
+    other = [f"a{c}b" for c in "×÷İ\xaa\xad\xb7’日ΣƁ\u0301"]
+    rows = spark.createDataFrame([(t,) for t in texts + other], "t string")
+    found = rows.select("t", F.col("t").rlike(NOT_PLAIN).alias("other"), _plain_words(F.col("t")).alias("p"), standard_words(F.col("t")).alias("w")).collect()
+    for t, not_plain, p, w in found:
+        assert not_plain == (t in other)
+        assert [x["token"] for x in w] == words_of(t), t[:60]
+        assert not_plain or [x for x in p if len(x) <= 255] == words_of(t), t[:60]
