@@ -1,6 +1,7 @@
 """A stored inverted index: postings in the order of (field, term), and a dictionary of the terms with the keys that fuzzy and wildcard words are found by.
 
-Files below one folder, each sorted by its first columns through all its files, so that the row groups and pages of a term are read and no others:
+Files below one folder, sorted by their first columns through all files, so that the row groups and pages of a term are read and no others; the keys, which
+joins read whole, are written by kind as they are made:
   postings    field, term, doc, pos, payload (the 1-based number of the token in its field)
   terms       field, term, doc_freq, total_freq, max_freq (the most often that a document has it)
   keys        kind, field, key, term. Kinds: gram (the one to three letters that stand together somewhere in a term, its ends marked), length (the
@@ -27,6 +28,10 @@ from onomast.functions.edits import edits_between
 BEST = 50
 #: Words longer than this may differ by two edits (a fixed value).
 LONG = 8
+#: Keys of patterns that are broadcast to those of the dictionary; more are shuffled.
+FEW_KEYS = 2_000_000
+#: Terms of a task that makes their keys, about.
+TASK_TERMS = 50_000
 START, END = "\x02", "\x03"
 
 
@@ -82,12 +87,26 @@ def deletions(w: Column, edits: int) -> Column:
 
 
 def term_keys(terms: DataFrame) -> DataFrame:
-    """kind, field, key, term of distinct (field, term)."""
+    """kind, field, key, term of distinct (field, term). A key of letters left out may be there twice."""
     n = F.char_length("term")
-    kinds = {"gram": _grams(F.col("term")), "length": F.array(n.cast("string")), "one": F.when(n <= LONG + 1, deletions(F.col("term"), 1)), "two": F.when(n >= LONG - 1, deletions(F.col("term"), 2))}
-    named = lambda kind: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
-    pairs = F.flatten(F.array(*[F.transform(F.coalesce(keys, F.array().cast("array<string>")), named(kind)) for kind, keys in kinds.items()]))
-    return terms.select("field", "term", F.explode(pairs).alias("k")).select("k.kind", "field", "k.key", "term")
+    kinds = {"gram": _grams(F.col("term")), "length": F.array(n.cast("string"))}
+    listed = [terms.select(F.lit(kind).alias("kind"), "field", F.explode(keys).alias("key"), "term") for kind, keys in kinds.items()]
+    return reduce(DataFrame.union, [*listed, _left(terms.where(n <= LONG + 1), "one", 1), _left(terms.where(n >= LONG - 1), "two", 2)])
+
+
+def _left(terms: DataFrame, kind: str, edits: int) -> DataFrame:
+    """What `deletions` gives, by rows: the places of the letters left out are exploded, so that no term's keys are held together."""
+    at = lambda first: F.explode(F.concat(F.array(F.lit(0)), F.when(F.char_length("term") >= first, F.sequence(first, F.char_length("term"))).otherwise(F.array().cast("array<int>"))))
+    # i is the last letter left out and j one before it; 0 is none
+    rows = terms.select("field", "term", at(F.lit(3)).alias("i"))
+    i, w = F.col("i"), F.col("term")
+    if edits == 1:
+        return rows.select(F.lit(kind).alias("kind"), "field", F.when(i == 0, w).otherwise(F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1))).alias("key"), "term")
+    before = F.when(i > 3, F.concat(F.array(F.lit(0)), F.sequence(F.lit(3), i - 1))).otherwise(F.array(F.lit(0)))
+    rows, j = rows.select("field", "term", "i", F.explode(before).alias("j")), F.col("j")
+    one = F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1))
+    two = F.concat(F.substr(w, F.lit(1), j - 1), F.substr(w, j + 1, i - j - 1), F.substr(w, i + 1))
+    return rows.select(F.lit(kind).alias("kind"), "field", F.when(i == 0, w).when(j == 0, one).otherwise(two).alias("key"), "term")
 
 
 def like_of(pattern: Column) -> Column:
@@ -98,10 +117,24 @@ def like_of(pattern: Column) -> Column:
     return out
 
 
-def matches(patterns: DataFrame, keys: DataFrame, key_counts: DataFrame, best: int = BEST) -> DataFrame:
+def fits_wildcard(term: Column, pattern: Column) -> Column:
+    """Whether a term matches a wildcard. Patterns of one run of letters are told by it, since a LIKE whose pattern is a column is compiled for each row."""
+    run = F.translate(pattern, "*?", "")
+    ended = F.endswith(term, run)
+    return (
+        F.when(pattern.rlike(r"^\*+[^*?]+$"), ended)
+        .when(pattern.rlike(r"^\*+[^*?]+\*+$"), F.contains(term, run))
+        .when(pattern.rlike(r"^[^*?]+\*+$"), F.startswith(term, run))
+        .when(pattern.rlike(r"^\?+[^*?]+$"), ended & (F.char_length(term) == F.char_length(pattern)))
+        .otherwise(F.like(term, like_of(pattern)))
+    )
+
+
+def matches(patterns: DataFrame, keys: DataFrame, key_counts: DataFrame, best: int = BEST, few: bool = False) -> DataFrame:
     """pattern, kind, field, term, weight: the terms that each distinct (pattern, kind, field) takes in; kind is wild or fuzzy.
 
     A wildcard's terms all weigh 1. A fuzzy word's weigh 1 - edits / length of the shorter of the two, and the best fifty count.
+    few: the patterns' keys are broadcast.
     """
     asked = patterns.select("pattern", "kind", "field").distinct()
     wild = asked.where("kind = 'wild'").withColumn("grams", pattern_grams(F.col("pattern")))
@@ -116,15 +149,19 @@ def matches(patterns: DataFrame, keys: DataFrame, key_counts: DataFrame, best: i
     fuzzy = asked.where("kind = 'fuzzy'").withColumn("long", F.char_length("pattern") > LONG)
     left = F.when(F.col("long"), deletions(F.col("pattern"), 2)).otherwise(deletions(F.col("pattern"), 1))
     by_letters = fuzzy.select("pattern", "kind", "field", F.when(F.col("long"), "two").otherwise("one").alias("by"), F.explode(left).alias("key"))
-    found = by_gram.union(by_length).union(by_letters).join(keys.withColumnRenamed("kind", "by"), ["by", "field", "key"]).select("pattern", "kind", "field", "term").distinct()
+    def met(asked_: DataFrame, *kinds: str) -> DataFrame:
+        of_kind = keys.where(F.col("kind").isin(*kinds)).withColumnRenamed("kind", "by")
+        return of_kind.join(F.broadcast(asked_) if few else asked_, ["by", "field", "key"]).select("pattern", asked_["kind"], "field", "term")
+
     same = F.substring("term", 1, 2) == F.substring("pattern", 1, 2)
     near = edits_between(F.col("term"), F.col("pattern"), F.when(F.char_length("pattern") > LONG, 2).otherwise(1))
-    fuzzy_weight = F.when(same, 1.0 - near / F.least(F.char_length("term"), F.char_length("pattern")))
-    weight = F.when(F.col("kind") == "wild", F.when(F.like(F.col("term"), like_of(F.col("pattern"))), 1.0)).otherwise(fuzzy_weight)
-    held = found.withColumn("weight", weight).where("weight > 0")
+    fuzzy_weight = 1.0 - near / F.least(F.char_length("term"), F.char_length("pattern"))
+    # held against the term before rows move; a wildcard has one key, so it meets a term once
+    held = met(by_gram.union(by_length), "gram", "length").where(fits_wildcard(F.col("term"), F.col("pattern"))).withColumn("weight", F.lit(1.0))
     order = Window.partitionBy("kind", "pattern", "field").orderBy(F.col("weight").desc(), "term")
-    ranked = held.where("kind = 'fuzzy'").withColumn("r", F.row_number().over(order)).where(F.col("r") <= best).drop("r")
-    return held.where("kind = 'wild'").union(ranked)
+    close = met(by_letters, "one", "two").where(same).distinct().withColumn("weight", fuzzy_weight).where("weight > 0")
+    ranked = close.withColumn("r", F.row_number().over(order)).where(F.col("r") <= best).drop("r")
+    return held.union(ranked)
 
 
 # --- files --------------------------------------------------------------------------------------------------
@@ -155,7 +192,10 @@ class Postings:
         return {(r["field"], r["term"]): r["doc_freq"] for r in self.table("terms").where(_any_of(terms)).collect()}
 
     def matches(self, patterns: DataFrame) -> DataFrame:
-        return matches(patterns, self.table("keys"), self.table("key_counts"))
+        n = F.char_length("pattern")
+        keys = F.when(F.col("kind") == "wild", F.lit(LONG * LONG)).when(n > LONG, n * n).otherwise(n).cast("bigint")
+        few = (patterns.agg(F.sum(keys)).first()[0] or 0) <= FEW_KEYS
+        return matches(patterns, self.table("keys"), self.table("key_counts"), few=few)
 
 
 def _any_of(terms: Iterable[tuple[str, str]]) -> Column:
@@ -172,7 +212,24 @@ def write_postings(df: DataFrame, path: str, order: str, fields: dict[str, str |
     of_doc = index.table("postings").groupBy("field", "term", "doc").agg(F.count(F.lit(1)).alias("n"))
     terms = of_doc.groupBy("field", "term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("n").alias("total_freq"), F.max("n").alias("max_freq"))
     _sorted(terms, f"{path}/terms", "field", "term")
-    _sorted(term_keys(index.table("terms").where(F.col("field").isin(*fuzzy_fields))), f"{path}/keys", "kind", "field", "key", "term")
-    counts = index.table("keys").where("kind = 'gram'").groupBy("field", "key").agg(F.count(F.lit(1)).alias("n"))
-    _sorted(counts, f"{path}/key_counts", "field", "key")
+    _write_keys(index, fuzzy_fields)
+    return index
+
+
+def write_dictionary(uses: DataFrame, path: str) -> Postings:
+    """The dictionary alone, of (field, term) once for each use: terms has field, term and total_freq, and all its fields can be looked up by patterns."""
+    index = Postings(uses.sparkSession, path)
+    _sorted(uses.groupBy("field", "term").agg(F.count(F.lit(1)).alias("total_freq")), f"{path}/terms", "field", "term")
+    _write_keys(index)
     return index
+
+
+def _write_keys(index: Postings, fields: tuple[str, ...] | None = None) -> None:
+    terms = index.table("terms").select("field", "term")
+    terms = terms if fields is None else terms.where(F.col("field").isin(*fields))
+    n, most = terms.count(), index.spark.sparkContext.defaultParallelism
+    keys = term_keys(terms.repartition(max(min(most, n // 500 + 1), -(-n // TASK_TERMS)), "field", "term"))
+    for kind in ("gram", "length", "one", "two"):
+        keys.where(F.col("kind") == kind).drop("kind").write.mode("overwrite").parquet(f"{index.path}/keys/kind={kind}")
+    counts = index.table("keys").where("kind = 'gram'").groupBy("field", "key").agg(F.count(F.lit(1)).alias("n"))
+    _sorted(counts, f"{index.path}/key_counts", "field", "key")

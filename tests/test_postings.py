@@ -117,3 +117,23 @@ def _metrics(plan):
         children = node.children()
         stack += [children.apply(k) for k in range(children.size())]
     return out
+
+
+def test_a_dictionary_alone_gives_terms_uses_and_matches(spark, tmp_path):
+    """Keys are written by kind, without postings, and matches are held against the terms before rows move."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abé%_") for _ in range(r.randint(1, 10))) for _ in range(400)] + ["washington", "wahsingtno", "new\nline"]
+    posted = ps.write_dictionary(spark.createDataFrame([("t", w) for w in words], "field string, term string"), str(tmp_path / "d"))
+    assert {x["term"]: x["total_freq"] for x in posted.table("terms").collect()} == {w: words.count(w) for w in words}
+    patterns = [(p, "wild") for p in ("*ab", "ab*", "*ab*", "??b", "?", "**", "*", "a*b", "*%", "_*", "*new*", "*line", "a?*", "ab", "***é")] + [("washingotn", "fuzzy"), ("abab", "fuzzy")]
+    got = [(x["pattern"], x["kind"], x["term"], round(x["weight"], 9)) for x in posted.matches(spark.createDataFrame([(*p, "t") for p in patterns], "pattern string, kind string, field string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(patterns, set(words))
+
+
+def test_keys_are_what_deletions_give(spark):
+    terms = ["a", "ab", "abc", "aabbcc", "abcdefg", "abcdefgh", "abcdefghi", "abcdéfghij", "aaaaaaaaaaaa"]
+    rows = spark.createDataFrame([("t", w) for w in terms], "field string, term string")
+    got = {(x["kind"], x["term"], x["key"]) for x in ps.term_keys(rows).where("kind in ('one', 'two')").collect()}
+    n = F.char_length("term")
+    want = {(kind, x["term"], k) for kind, edits, some in (("one", 1, n <= ps.LONG + 1), ("two", 2, n >= ps.LONG - 1)) for x in rows.where(some).select("term", ps.deletions(F.col("term"), edits).alias("keys")).collect() for k in x["keys"]}
+    assert got == want
