@@ -29,7 +29,7 @@ BEST = 50
 #: Words longer than this may differ by two edits (a fixed value).
 LONG = 8
 #: Keys of patterns that are broadcast to those of the dictionary; more are shuffled.
-FEW_KEYS = 2_000_000
+FEW_KEYS = 500_000
 #: Terms of a task that makes their keys, about.
 TASK_TERMS = 50_000
 START, END = "\x02", "\x03"
@@ -192,8 +192,9 @@ class Postings:
         return {(r["field"], r["term"]): r["doc_freq"] for r in self.table("terms").where(_any_of(terms)).collect()}
 
     def matches(self, patterns: DataFrame) -> DataFrame:
-        n = F.char_length("pattern")
-        keys = F.when(F.col("kind") == "wild", F.lit(LONG * LONG)).when(n > LONG, n * n).otherwise(n).cast("bigint")
+        # at most so many: one of a wildcard, or the dictionary's lengths; what is left of a fuzzy word without one or two letters
+        n = F.char_length("pattern").cast("bigint")
+        keys = F.when(F.col("pattern").rlike("^[*?]*$"), 1000).when(F.col("kind") == "wild", 1).when(n > LONG, n * n / 2).otherwise(n)
         few = (patterns.agg(F.sum(keys)).first()[0] or 0) <= FEW_KEYS
         return matches(patterns, self.table("keys"), self.table("key_counts"), few=few)
 
