@@ -1,14 +1,15 @@
-"""Cross-tokenizer alignment, relational: the tokens of two tokenizers are cut into groups wherever both end at the same byte.
+"""Cross-tokenizer alignment: the tokens of two tokenizers are cut into groups wherever both end at the same byte.
 
-Tokens are exploded with their places, windowed running sums of their lengths give where they end, an equi-join on (text, end) finds the places where
-both end, and the running count of these cuts numbers the groups. Tokens of one group are linked, by joins of the counts of ids in a group, so
-that a group with many tokens costs its different ids and not all pairs of occurrences.
+Running sums of the tokens' lengths give where they end, the ends that both sides have are the cuts, and the number of cuts before a token is its
+group. Tokens of one group are linked by their different ids and counts, so that a group with many tokens costs its different ids and not all pairs
+of occurrences.
 
 Neither tokenizer has a token across the place between a character that isn't white space and a space (checked on the files; else texts are taken
-whole), and both end a token there. So a text is the sequence of its pieces, every different piece is tokenized and aligned once in the corpus, and documents hold
-numbers of pieces. Documents are packed into blocks of BLOCK_BYTES of text at most (one document at least) with a list of the block's different pieces; what was found of pieces
-comes back to the blocks by joins on the piece and is put together there, in Spark's own expressions. Texts are read once; what is shuffled are pieces, numbers of pieces, and counts that were added up in
-their tasks first. The blocks hold hot words once each.
+whole), and both end a token there. So a text is the sequence of its pieces, and a task tokenizes and aligns each of the pieces that it remembers once, many of them as one
+stream of bytes. Documents are packed into blocks of BLOCK_BYTES of text (one document at least) with a list of the block's different
+id pairs and how many of its documents hold each; a document has its pairs as numbers in that list. What is shuffled are the blocks' pairs: their counts are added up over the
+corpus by a groupBy, each id's best is found by another, and a join brings both back to the blocks, where they meet the documents in a cogroup. Pairs repeat
+far more than words do, and a block holds a hot pair once. Texts are read once.
 
 An id pair's count is the number of documents that hold it linked at least once, over all documents.
 
@@ -19,28 +20,30 @@ pairs are all best. Very long texts, also without a space, are taken whole. Othe
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import os
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from onomast.llm.common import release, small_batches, worker_state, written
+from onomast.llm.common import LONGEST_PIECE, release, row_slices, small_batches, texts_of, worker_state, written
 
-#: Text of a block, about: a block's pieces and documents are one row each.
+#: Text of a block, about.
 BLOCK_BYTES = 16 << 20
+#: What a worker remembers of pieces, about, and pieces that go to the tokenizers as one text.
+CACHE_BYTES, UNIT = 160 << 20, 64
 #: Where a text is cut: at a space after a character that isn't white space, unless only spaces follow.
 CUT = re.compile(r"(?<=\S) (?! *\Z)")
 #: White space before a space, or spaces at the end: only then do cuts differ from all spaces.
@@ -104,166 +107,222 @@ def pieces_of(text: str, cut: bool = True) -> list[str]:
     return CUT.split(text) if text[:1] == " " or ODD.search(text) else text.split(" ")
 
 
-# --- blocks and pieces --------------------------------------------------------------------------------------
-
-
-def blocks(docs: DataFrame, doc_id: str, text: str, cut: bool) -> DataFrame:
-    """Rows of two kinds. code null: a block's documents with the numbers of their pieces; else one different piece of the block."""
+# --- alignment of pieces ------------------------------------------------------------------------------------
+
+
+def room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array, or a longer copy of it, with place for more values after those used."""
+    if used + more <= len(array):
+        return array
+    out = np.zeros((2 * (used + more), *array.shape[1:]), array.dtype)
+    out[:used] = array[:used]
+    return out
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+class Aligner:
+    """What is known of the pieces met lately, a row each; each new one is tokenized and aligned once.
+
+    numbers: n_a, n_b, n_groups, n_links, and 1 where a tokenizer doesn't give the piece's bytes back. texts: the groups, each with
+    a semicolon after it. Links are an id pair (a * width + b) and how often, from first[row] on, held[row] of them.
+    """
+
+    def __init__(self, a_file: bytes, b_file: bytes, cut: bool):
+        self.sides = ByteLevel(a_file), Pieces(b_file)
+        self.cut = cut
+        self.sizes = [np.fromiter(map(len, t.bytes), np.int64, len(t.bytes)) for t in self.sides]
+        self.width = max(1, len(self.sizes[1]))
+        #: Ids as text with what follows them: inside their side, and at its end.
+        self.names = [[b"%d%s" % (k, mark) for mark in (b",", last) for k in range(len(s))] for s, last in zip(self.sizes, (b"|", b";"), strict=True)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.texts: list[bytes] = []
+        self.numbers, self.first, self.held = np.zeros((0, 5), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pairs, self.times, self.links, self.spent = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
+
+    def _add(self, pieces: list[str], texts: list[bytes], numbers: np.ndarray, held: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
+        at, n = len(self.texts), len(pieces)
+        self.numbers, self.first, self.held = (room(x, at, n) for x in (self.numbers, self.first, self.held))
+        self.pairs, self.times = (room(x, self.links, len(pairs)) for x in (self.pairs, self.times))
+        self.numbers[at : at + n], self.held[at : at + n] = numbers, held
+        self.first[at : at + n] = self.links + np.cumsum(held) - held
+        self.pairs[self.links : self.links + len(pairs)], self.times[self.links : self.links + len(pairs)] = pairs, times
+        self.links += len(pairs)
+        self.texts += texts
+        self.index.update(zip(pieces, range(at, at + n), strict=True))
+        self.spent += 350 * n + sum(map(len, pieces)) + sum(map(len, texts)) + 32 * len(pairs)
+
+    def _encoded(self, units: list[list[str]]) -> tuple[list[list[str]], list[list[int]], list[list[str]]]:
+        """The units that both tokenizers give back, the ids of either side over them all, and the other units."""
+        whole = [" ".join(u) for u in units]
+        ids = [t.encode(whole) for t in self.sides]
+        good, bad, flat = [], [], ([], [])
+        for u, w, *own in zip(units, whole, *ids, strict=True):
+            given = f" {w}".encode()
+            if all(b"".join(map(t.bytes.__getitem__, x)) == given for t, x in zip(self.sides, own, strict=True)):
+                good.append(u)
+                for f, x in zip(flat, own, strict=True):
+                    f += x
+            else:
+                bad.append(u)
+        return good, list(flat), bad
+
+    def learn(self, pieces: list[str]) -> None:
+        """No token crosses a cut, so pieces that cuts can follow go to the tokenizers joined; where bytes differ, one by one."""
+        joined = [p for p in pieces if self.cut and len(p) <= LONGEST_PIECE and not p[-1:].isspace()]
+        units = [joined[k : k + UNIT] for k in range(0, len(joined), UNIT)]
+        known = set(joined)
+        units += [[p] for p in pieces if p not in known]
+        for at in range(0, len(units), 500):
+            good, ids, bad = self._encoded(units[at : at + 500])
+            self._align(good, *ids)
+            if bad:
+                good, ids, bad = self._encoded([[p] for u in bad for p in u])
+                self._align(good, *ids)
+                none = np.zeros((len(bad), 5), np.int64)
+                none[:, 4] = 1
+                self._add([u[0] for u in bad], [b""] * len(bad), none, none[:, 0], none[:0, 0], none[:0, 0])
+
+    def _align(self, units: list[list[str]], a_ids: list[int], b_ids: list[int]) -> None:
+        """The pieces as one stream of bytes: tokens by where they end, a cut wherever both sides end, and the cuts before number the groups."""
+        pieces = [p for u in units for p in u]
+        if not pieces:
+            return
+        ids = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        ends = [np.cumsum(s[x]) for s, x in zip(self.sizes, ids, strict=True)]
+        stops = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in pieces), np.int64, len(pieces)))
+        cuts = ends[0][ends[1][np.searchsorted(ends[1], ends[0])] == ends[0]]
+        own = [np.searchsorted(cuts, e) for e in ends]
+        counts = [np.bincount(g, minlength=len(cuts)) for g in own]
+        last = np.searchsorted(cuts, stops) + 1
+        of_piece = lambda x, stop=last: np.diff(np.concatenate([[0], np.cumsum(x)])[stop], prepend=0)
+
+        # groups as text: a group's tokens of A, then those of B
+        order, marked = np.empty(len(a_ids) + len(b_ids), np.int64), []
+        tail = [np.cumsum(c) for c in counts]
+        places = np.arange(len(a_ids)) + (tail[1] - counts[1])[own[0]], np.arange(len(b_ids)) + tail[0][own[1]]
+        for side, (x, g, t) in enumerate(zip(ids, own, tail, strict=True)):
+            marked.append(x + len(self.sizes[side]) * (np.arange(len(x)) + 1 == t[g]))
+        order[places[0]], order[places[1]] = marked[0], marked[1] + len(self.names[0])
+        parts = [self.names[0][k] if k < len(self.names[0]) else self.names[1][k - len(self.names[0])] for k in order.tolist()]
+        lengths = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        whole, at = b"".join(parts), [0, *lengths[(tail[0] + tail[1])[last - 1] - 1].tolist()]
+        texts = [whole[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+        # links: a group's different ids of A, each with the group's different ids of B
+        (a_keys, a_n), (b_keys, b_n) = (np.unique(g * len(s) + x, return_counts=True) for g, s, x in zip(own, self.sizes, ids, strict=True))
+        a_group, b_group = a_keys // len(self.sizes[0]), b_keys // len(self.sizes[1])
+        kinds = np.bincount(b_group, minlength=len(cuts))
+        each = kinds[a_group]
+        a_at, b_at = np.repeat(np.arange(len(a_keys)), each), ranges((np.cumsum(kinds) - kinds)[a_group], each)
+        pairs = (a_keys % len(self.sizes[0]))[a_at] * self.width + (b_keys % len(self.sizes[1]))[b_at]
+        held = of_piece(np.bincount(a_group[a_at], minlength=len(cuts)))
+        numbers = np.stack([of_piece(counts[0]), of_piece(counts[1]), np.diff(last, prepend=0), of_piece(counts[0] * counts[1]), np.zeros_like(last)], 1)
+        self._add(pieces, texts, numbers, held, pairs, a_n[a_at] * b_n[b_at])
+
+    def documents(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text its numbers and the hash of its groups; of each text's different pairs the text's number, the pair and how often."""
+        if self.spent > CACHE_BYTES:
+            self.forget()
+        split = [pieces_of(t, self.cut) if t else [] for t in texts]
+        self.learn(list(set().union(*split).difference(self.index)))
+        flat = [list(map(self.index.__getitem__, s)) for s in split]
+        stops = np.cumsum([len(r) for r in flat])
+        rows = np.fromiter(itertools.chain.from_iterable(flat), np.int64, stops[-1])
+        numbers = np.diff(np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(self.numbers[rows], 0)])[stops], axis=0, prepend=np.zeros((1, 5), np.int64))
+        sound = (numbers[:, 4] == 0) & (numbers[:, 0] > 0)
+        hashes = [hashlib.sha256(b"".join(map(self.texts.__getitem__, r))[:-1]).hexdigest() if s else "" for r, s in zip(flat, sound.tolist(), strict=True)]
+        numbers[~sound] = 0
+        doc = np.repeat(np.arange(len(flat)), [len(r) for r in flat])
+        rows, doc = rows[sound[doc]], doc[sound[doc]]
+        at = ranges(self.first[rows], self.held[rows])
+        most = self.width * len(self.sizes[0])
+        keys, back = np.unique(np.repeat(doc, self.held[rows]) * most + self.pairs[at], return_inverse=True)
+        times = np.zeros(len(keys), np.int64)
+        np.add.at(times, back, self.times[at])
+        return numbers[:, :4], hashes, keys // most, keys % most, times
+
+
+# --- blocks of documents ------------------------------------------------------------------------------------
+
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
+
+
+def blocks(docs: DataFrame, doc_id: str, text: str, a_file: bytes, b_file: bytes, cut: bool) -> DataFrame:
+    """Rows of two kinds. code null: a document, with the codes of its different pairs and how often it links each; else one different pair of the block and how many of the block's documents hold it."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = _parse_datatype_string(f"block bigint, code int, piece string, docs array<struct<doc_id:{rows.dtypes[0][1]},codes:array<int>>>")
+    schema = _parse_datatype_string(f"block bigint, code int, pair bigint, n bigint, doc_id {rows.dtypes[0][1]}, {', '.join(f'{n} bigint' for n in NUMBERS)}, groups_sha256 string, codes array<int>, times array<bigint>")
     arrow, most = to_arrow_schema(schema), BLOCK_BYTES
 
-    def made(block: int, ids: list[pa.Array], codes: list[np.ndarray], index: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(codes)))
-        docs_ = pa.StructArray.from_arrays([pa.concat_arrays(ids), lists], ["doc_id", "codes"])
-        row = [pa.array([block]), pa.array([None], pa.int32()), pa.array([None], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), docs_)]
-        yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(row, arrow, strict=True)], schema=arrow)
-        names = list(index)
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(part, pa.string()), pa.nulls(n, arrow.field("docs").type)], schema=arrow)
+    def batch_of(block: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns["block"] = pa.array(np.full(size, block))
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
+
+    def made(block: int, width: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The block's pairs get their codes when all its documents are known."""
+        pairs, codes, n = np.unique(np.concatenate([pairs for *_, pairs, _ in held]), return_inverse=True, return_counts=True)
+        at = 0
+        for ids, numbers, hashes, doc, own, times in held:
+            stops = np.searchsorted(doc, np.arange(len(ids) + 1)).astype(np.int32)
+            lists = {"codes": pa.array(codes[at : at + len(own)].astype(np.int32)), "times": pa.array(times)}
+            at += len(own)
+            yield batch_of(block, len(ids), doc_id=ids, groups_sha256=pa.array(hashes, pa.string()), **{k: pa.array(numbers[:, j]) for j, k in enumerate(NUMBERS)}, **{k: pa.ListArray.from_arrays(pa.array(stops), v) for k, v in lists.items()})
+        ids = (pairs // width << 32) + pairs % width
+        for at in range(0, len(ids), 50_000):
+            k = min(50_000, len(ids) - at)
+            yield batch_of(block, k, code=pa.array(np.arange(at, at + k, dtype=np.int32)), pair=pa.array(ids[at : at + k]), n=pa.array(n[at : at + k]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = worker_state(("alignment", hash(a_file), hash(b_file), cut), lambda: Aligner(a_file, b_file, cut))
         base, n = TaskContext.get().partitionId() << 32, itertools.count()
-        fresh = lambda: ([], [], defaultdict(itertools.count().__next__))
-        (ids, codes, index), held = fresh(), 0
+        held, size = [], 0
         for batch in batches:
-            at = 0
-            for k, value in enumerate(batch.column(1)):
-                t = value.as_py() or ""
-                own = pieces_of(t, cut) if t else []
-                codes.append(np.fromiter(map(index.__getitem__, own), np.int32, len(own)))
-                held += len(t)
-                if held >= most:
-                    ids.append(batch.column(0).slice(at, k + 1 - at))
-                    yield from made(base | next(n), ids, codes, index)
-                    (ids, codes, index), held, at = fresh(), 0, k + 1
-            if at < len(batch):
-                ids.append(batch.column(0).slice(at))
-        if codes:
-            yield from made(base | next(n), ids, codes, index)
-        del ids, codes, index
+            for part in row_slices(batch, "text", most):
+                texts = texts_of(part, "text")
+                held.append((part.column(0), *own.documents(texts)))
+                size += sum(map(len, texts))
+                if size >= most:
+                    yield from made(base | next(n), own.width, held)
+                    held, size = [], 0
+        if held:
+            yield from made(base | next(n), own.width, held)
+        del held
         release()
 
     return rows.mapInArrow(run, schema)
 
 
-def tokenized(pieces: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
-    """pid and the ids and byte lengths of either tokenizer; pieces whose bytes either doesn't give back are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = worker_state(("alignment", hash(a_file), hash(b_file)), lambda: (ByteLevel(a_file), Pieces(b_file)))
-        for batch in batches:
-            pieces_, pids = batch.column("piece").to_pylist(), batch.column("pid").to_numpy()
-            ids = [t.encode(pieces_) for t in both]
-            whole = [f" {p}".encode() for p in pieces_]
-            sound = [all(b"".join(map(t.bytes.__getitem__, x[k])) == w for t, x in zip(both, ids, strict=True)) for k, w in enumerate(whole)]
-            keep = np.flatnonzero(sound)
-            out = [pa.array(pids[keep])]
-            for t, x in zip(both, ids, strict=True):
-                kept = [x[k] for k in keep]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(np.fromiter(map(len, kept), np.int64, len(kept)))]).astype(np.int32))
-                flat = np.fromiter(itertools.chain.from_iterable(kept), np.int32)
-                sizes = np.fromiter(map(len, map(t.bytes.__getitem__, flat.tolist())), np.int32, len(flat))
-                out += [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(sizes))]
-            yield pa.RecordBatch.from_arrays(out, ["pid", "a_ids", "a_sizes", "b_ids", "b_sizes"])
-        release()
-
-    return pieces.mapInArrow(run, "pid bigint, a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>")
-
-
-# --- alignment ----------------------------------------------------------------------------------------------
-
-def ends(tokens: DataFrame, side: str) -> DataFrame:
-    """One row for each token of one side: its piece, the byte it ends at, its id."""
-    rows = tokens.select("pid", F.posexplode(F.arrays_zip(f"{side}_ids", f"{side}_sizes")).alias("pos", "t"))
-    end = F.sum(F.col(f"t.{side}_sizes")).over(Window.partitionBy("pid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("pid", end.alias("end"), F.col(f"t.{side}_ids").alias(side))
-
-
-def grouped(tokens: DataFrame) -> DataFrame:
-    """Tokens by end: a, b (null where only the other side ends there) and g, the number of cuts before."""
-    both = ends(tokens, "a").join(ends(tokens, "b"), ["pid", "end"], "full")
-    cut = F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1))
-    return both.withColumn("g", cut.over(Window.partitionBy("pid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)))
-
-
-def pair_of(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("bigint"), 32) + b
-
-
-def aligned(tokens: DataFrame) -> DataFrame:
-    """For each piece: groups (as text), n_a, n_b, n_groups, n_links, and links: the id pairs that a group links and how often."""
-    in_order = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda t: t[side])
-    joined = lambda x: F.array_join(F.transform(x, lambda k: k.cast("string")), ",")
-    # the join of a group's two sides goes by different ids and their counts
-    counted = lambda x: F.transform(F.array_distinct(x), lambda k: F.struct(k.alias("k"), F.size(F.filter(x, lambda v: v == k)).cast("bigint").alias("n")))
-    groups = grouped(tokens).groupBy("pid", "g").agg(in_order("a").alias("x"), in_order("b").alias("y"))
-    links = F.flatten(F.transform(counted(F.col("x")), lambda a: F.transform(counted(F.col("y")), lambda b: F.struct(pair_of(a["k"], b["k"]).alias("pair"), (a["n"] * b["n"]).alias("times")))))
-    size = lambda c: F.size(c).cast("bigint")
-    groups = groups.select("pid", "g", F.concat(joined(F.col("x")), F.lit("|"), joined(F.col("y"))).alias("text"), size("x").alias("n_x"), size("y").alias("n_y"), links.alias("links"))
-    return groups.groupBy("pid").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "text"))), lambda s: s["text"]), ";").alias("groups"),
-        F.sum("n_x").alias("n_a"), F.sum("n_y").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("n_x") * F.col("n_y")).alias("n_links"), F.flatten(F.collect_list("links")).alias("links"),
-    )
-
-
-def listed(entries: DataFrame, value: Column) -> DataFrame:
-    """block and the values of its pieces, in the order of their numbers."""
-    rows = entries.select("block", "code", value.alias("value")).repartition("block").sortWithinPartitions("block", "code")
-    return rows.groupBy("block").agg(F.collect_list("value").alias("known"))
-
-
-@contextmanager
-def partitioned_by_some_keys(spark: SparkSession) -> Iterator[None]:
-    """Joins inside partitions by one of their keys."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def summed(documents: pa.Table, pairs: pa.Table) -> pa.Table:
+    """The documents of a block with n_best and count_sum, from what its pairs' counts are in the corpus."""
+    known = np.zeros((2, len(pairs)), np.int64)
+    known[:, pairs.column("code").to_numpy()] = pairs.column("best").to_numpy(), pairs.column("n").to_numpy()
+    codes, times = (pc.list_flatten(documents.column(c)).to_numpy() for c in ("codes", "times"))
+    stops = np.cumsum(pc.list_value_length(documents.column("codes")).to_numpy())
+    totals = [pa.array(np.diff(np.concatenate([[0], np.cumsum(k[codes] * times)])[stops], prepend=0)) for k in known]
+    columns = [documents.column(c) for c in ("doc_id", *NUMBERS)]
+    return pa.Table.from_arrays([*columns, *totals, documents.column("groups_sha256")], ["doc_id", *NUMBERS, "n_best", "count_sum", "groups_sha256"])
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256."""
     small_batches(docs.sparkSession)
     a_file, b_file = (open(p, "rb").read() for p in (a_path, b_path))  # noqa: SIM115
-    raw = written(blocks(docs, doc_id, text, ByteLevel.cuts_at_spaces(a_file) and Pieces.cuts_at_spaces(b_file)), "alignment_blocks")
-    found = raw.where("code is not null").select("block", "code", "piece")
-    pieces = written(found.select("piece").distinct().withColumn("pid", F.monotonically_increasing_id()), "pieces")
-    tokens = written(tokenized(pieces, a_file, b_file), "piece_tokens")
-    with partitioned_by_some_keys(docs.sparkSession):
-        # tokens are dealt out once, as arrays; all that follows up to a piece's result stays in its partition
-        results = written(aligned(tokens.repartition("pid")), "pieces_aligned")
-    entries = written(found.join(pieces, "piece").select("block", "code", "pid"), "alignment_entries")
-    by_block = raw.where("code is null").select("block", "docs")
-
-    # documents that hold a pair: the different pairs of a document's different pieces, counted in the task first
-    pairs = results.select("pid", F.array_distinct(F.transform("links", lambda s: s["pair"])).alias("pairs"))
-    with_pairs = by_block.join(listed(entries.join(pairs, "pid", "left"), F.struct("pairs")), "block")
-    of_doc = lambda d: F.transform(F.array_distinct(d["codes"]), lambda c: F.get("known", c)["pairs"])
-    # a piece without tokens has null pairs, which make the whole document's null
-    each = F.transform("docs", lambda d: F.array_distinct(F.flatten(of_doc(d))))
-    counts = with_pairs.select(F.explode(each).alias("p")).select(F.explode("p").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    counts = written(counts.withColumn("a", F.shiftright("pair", 32)), "pair_counts")
+    raw = written(blocks(docs, doc_id, text, a_file, b_file, ByteLevel.cuts_at_spaces(a_file) and Pieces.cuts_at_spaces(b_file)), "alignment_blocks")
+    documents = raw.where("code is null").select("block", "doc_id", *NUMBERS, "groups_sha256", "codes", "times")
+    pairs = raw.where("code is not null").select("block", "code", "pair", "n")
+
+    # a document is in one block, so the blocks' counts add up
+    counts = written(pairs.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)), "pair_counts")
     best = counts.groupBy("a").agg(F.max("n").alias("most"))
     counts = counts.join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("bigint").alias("best"))
-    sums = results.select("pid", F.explode("links").alias("l")).select("pid", "l.*").join(counts, "pair", "left")
-    sums = sums.groupBy("pid").agg(F.sum(F.col("times") * F.coalesce("n", F.lit(0))).alias("count_sum"), F.sum(F.col("times") * F.coalesce("best", F.lit(0))).alias("n_best"))
-
-    numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    values = results.drop("links").join(sums, "pid")
-    with_values = by_block.join(listed(entries.join(written(values, "piece_values"), "pid", "left"), F.struct("groups", *numbers)), "block")
-
-    def result(d: Column) -> Column:
-        groups = F.transform(d["codes"], lambda c: F.get("known", c)["groups"])
-        sound = (F.size(d["codes"]) > 0) & ~F.exists(groups, lambda g: g.isNull())
-        total = lambda name: F.aggregate(d["codes"], F.lit(0).cast("bigint"), lambda s, c: s + F.get("known", c)[name])
-        digest = F.when(sound, F.sha2(F.array_join(groups, ";").cast("binary"), 256)).otherwise(F.lit(""))
-        return F.struct(d["doc_id"].alias("doc_id"), *[F.coalesce(F.when(sound, total(n)), F.lit(0)).cast("bigint").alias(n) for n in numbers], digest.alias("groups_sha256"))
+    known = pairs.select("block", "code", "pair").join(counts, "pair").select(F.col("block").alias("of_block"), "code", "n", "best")
 
-    return with_values.select(F.inline(F.transform("docs", result)))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, {', '.join(f'{n} bigint' for n in (*NUMBERS, 'n_best', 'count_sum'))}, groups_sha256 string"
+    return documents.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(summed, schema)

@@ -1,5 +1,7 @@
 import hashlib
+import random
 from collections import defaultdict
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -84,3 +86,25 @@ def test_pieces_join_to_the_text():
     for t in filter(None, TEXTS):
         assert "".join(" " + p for p in al.pieces_of(t)) == " " + t
         assert "".join(" " + p for p in al.pieces_of(t, False)) == " " + t
+
+
+def test_scratch_tables_stay_small(spark):
+    """What is kept between the steps goes by pairs of ids, which repeat, and not by words, most of which don't."""
+    draw = random.Random(1)
+    rows = [(n, " ".join("".join(draw.choices(["ba", "ren", "thi", "so", "ing", "le"], k=4)) for _ in range(400))) for n in range(300)]
+    files = lambda: set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("*.parquet"))
+    before = files()
+    assert al.align(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), A, B).count() == 300
+    assert 0 < 8 * sum(p.stat().st_size for p in files() - before) < sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("cut", [True, False])
+def test_pieces_are_aligned_together_as_alone(monkeypatch, cut):
+    """Also next to pieces that aren't given back, and when nothing is remembered."""
+    monkeypatch.setattr(al, "CACHE_BYTES", 0)
+    own, texts = al.Aligner(*(open(p, "rb").read() for p in (A, B)), cut), [t or "" for t in TEXTS]
+    for part in (texts, texts[::-1], texts[:3], ["under▁score ok", "ok under then ▁"]):
+        numbers, hashes, doc, pairs, times = own.documents(part)
+        for n, t in enumerate(part):
+            (_, *head, _, _, digest), links = brute([(0, t)])[0], times[doc == n].sum()
+            assert (numbers[n].tolist(), hashes[n], links) == (head, digest, head[3])
