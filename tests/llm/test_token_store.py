@@ -175,3 +175,10 @@ def test_text_without_spaces(spark):
     own = ts.encoder(PATH, "<u2")
     own.encode_all(texts)
     assert max(map(len, own.words), default=0) <= 64
+
+
+def test_sets_are_listed_and_printable_words_are_not_translated():
+    assert ts.re.fullmatch(f"[{ts.NUMBER}]+", "09٣") and not ts.re.search(f"[{ts.LETTER}]", "0_ -٣") and ts.re.fullmatch(f"[{ts.OTHER}]+", "_]-^\\")
+    own = ts.Encoder(public_tokenizers.path("byte_bpe_50k.json"), "<u2")
+    words = [" the", "the", "\n", " ", "é", " ~", "\x7f", "\x00", " naïve", "  "]
+    assert own._encoded(words) == [own.whole(w) for w in words]
